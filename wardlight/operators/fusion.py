@@ -21,47 +21,48 @@ def pool_size(pack: RulePack, k: Column, is_action: Column) -> Column:
     return F.when(is_action, wide).otherwise(k).cast("int")
 
 
+def _listed(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
+    columns = ["query_id", "rank", "frame_id", "score"]
+    return lexical.select(F.lit(0).alias("list_ord"), *columns).unionByName(
+        semantic.select(F.lit(1).alias("list_ord"), *columns))
+
+
+def _merge(listed: DataFrame, fuse: Column, k: int) -> DataFrame:
+    """One row per query and parent (where fused) or hit; at most two short lists meet per query."""
+    unnamed = F.concat(F.when(F.col("list_ord") == 0, "l").otherwise("s"), (F.col("rank") - 1).cast("string"))
+    parent = F.when(F.coalesce("frame_id", F.lit("")) == "", unnamed).otherwise(parent_of(F.col("frame_id")))
+    named = listed.withColumn("_fuse", fuse).withColumn("parent_id", F.when(F.col("_fuse"), parent).otherwise(F.col("frame_id")))
+    places = F.array_sort(F.collect_list(F.struct("list_ord", "rank", "frame_id", "score")))
+    merged = named.groupBy("query_id", "parent_id", "_fuse").agg(places.alias("_places"))
+    total = F.aggregate("_places", F.lit(0.0), lambda acc, p: acc + F.lit(1.0) / (F.lit(k) + p["rank"]))
+    first = F.element_at("_places", 1)
+    # arrival order: all of the first list, then what the second list adds
+    arrival = first["rank"] + F.when(F.col("_fuse"), first["list_ord"] * 1_000_000).otherwise(0)
+    return merged.select(
+        "query_id", "parent_id", first["frame_id"].alias("frame_id"),
+        F.when(F.col("_fuse"), total).otherwise(first["score"]).alias("score"), arrival.alias("pos"))
+
+
 def rrf(lexical: DataFrame, semantic: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion by parent chunk.
 
     Pages of one parent add up, the first hit stands for the parent, hits
-    without an id stay apart.  At most two short lists per query meet here.
+    without an id stay apart.
     """
-    listed = lexical.select("query_id", F.lit(0).alias("list_ord"), "rank", "frame_id").unionByName(
-        semantic.select("query_id", F.lit(1).alias("list_ord"), "rank", "frame_id")
-    )
-    named = listed.withColumn(
-        "parent_id",
-        F.when(
-            F.coalesce("frame_id", F.lit("")) == "",
-            F.concat(F.when(F.col("list_ord") == 0, "l").otherwise("s"), (F.col("rank") - 1).cast("string")),
-        ).otherwise(parent_of(F.col("frame_id"))),
-    )
-    places = F.array_sort(F.collect_list(F.struct("list_ord", "rank", "frame_id")))
-    merged = named.repartition("query_id").groupBy("query_id", "parent_id").agg(places.alias("_places"))
-    total = F.aggregate("_places", F.lit(0.0), lambda acc, p: acc + F.lit(1.0) / (F.lit(k) + p["rank"]))
-    first = F.element_at("_places", 1)
-    return merged.select(
-        "query_id",
-        "parent_id",
-        first["frame_id"].alias("frame_id"),
-        total.alias("score"),
-        # arrival order: all of the first list, then what the second list adds
-        (first["list_ord"] * 1_000_000 + first["rank"]).alias("pos"),
-    )
+    return _merge(_listed(lexical, semantic), F.lit(True), k)
 
 
 def dispatch(requests: DataFrame, lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     """Candidates of each request by its search mode; unknown modes are lexical.
 
-    The fused order is settled by score before later stages read it.
+    Each list is read once: rows of fused requests merge by parent, the others
+    pass through.
     """
     mode = F.lower("search_mode")
-    of = lambda hits, cond: hits.join(requests.where(cond).select("query_id"), "query_id", "left_semi")
-    fused = rrf(of(lexical, mode == "rrf"), of(semantic, mode == "rrf"))
-    single = of(lexical, ~mode.isin("rrf", "sem")).unionByName(of(semantic, mode == "sem"))
-    columns = ["query_id", "frame_id", "score", "pos"]
-    return single.withColumn("pos", F.col("rank")).select(columns).unionByName(fused.select(columns))
+    listed = _listed(lexical, semantic).join(requests.select("query_id", mode.alias("_mode")), "query_id")
+    wanted = (F.col("_mode") == "rrf") | (F.col("list_ord") == F.when(F.col("_mode") == "sem", 1).otherwise(0))
+    merged = _merge(listed.where(wanted), F.col("_mode") == "rrf", RRF_K)
+    return merged.select("query_id", "frame_id", "score", "pos")
 
 
 def fetch_errors(requests: DataFrame, query_vecs: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ def promote_aligned(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     """
     lower = F.lower(_plain())
     aligned = F.when(
-        F.col("condition").isNotNull(), topic_match(lower, pack, 2) & ~topic_match(lower, pack, 3)
-    ).otherwise(coherent(_plain(), pack))
+        F.col("condition").isNotNull(), topic_match(lower, 2) & ~topic_match(lower, 3)
+    ).otherwise(coherent(_plain()))
     hits = hits.withColumns({"aligned": aligned, "promotable": is_in(pack.action_types) | F.col("rescued")})
     strong = F.col("score") >= _of_top(F.col("score")) * pack.promote_ratio
     wanted = (F.col("pos") > 1) & F.col("aligned") & strong
@@ -59,7 +59,7 @@ def promote_aligned(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
 
 
 def _off_condition(pack: RulePack, top_actionable: Column) -> Column:
-    off = ~topic_match(_plain(), pack, 2) & ((F.size("coherence") == 0) | ~coherent(_plain(), pack))
+    off = ~topic_match(_plain(), 2) & ((F.size("coherence") == 0) | ~coherent(_plain()))
     if pack.chest_syndrome:
         off = off | (F.col("asks_chest_syndrome") & ~matches(_plain(), v.CHEST_SYNDROME_CHUNK))
     return F.col("condition").isNotNull() & off & ~(F.col("asks_component") & top_actionable)
@@ -70,7 +70,7 @@ def safe_top(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     component = is_in(pack.component_types) if pack.component_types else is_in(pack.action_types)
     hits = hits.withColumns({
         "_off": _off_condition(pack, component),
-        "_fits": topic_match(_plain(), pack, 2) & ((F.size("coherence") == 0) | coherent(_plain(), pack)),
+        "_fits": topic_match(_plain(), 2) & ((F.size("coherence") == 0) | coherent(_plain())),
     })
     wanted = (
         F.col("safe_top1_guardrail") & (F.col("pos") > 1) & _of_top(F.col("_off")) & F.col("_fits")

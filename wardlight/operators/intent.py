@@ -1,19 +1,13 @@
 """Query understanding: synonym expansion and intent slots (map-only)."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, quote, strip
+from ..functions.text import java_regex, matches, quote, strip
 from ..rules import RulePack, V2
 from ..rules import vocabulary as v
 
 
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def expand_query(query: Column, pack: RulePack) -> Column:
     """Query followed by the sorted synonyms of its terms that it does not hold yet."""
     nothing = F.array().cast("array<string>")
@@ -40,11 +34,27 @@ def first_topic(query: Column, pack: RulePack) -> Column:
     return F.coalesce(*[F.when(matches(query, q), cid) for cid, q, _, _ in pack.conditions])
 
 
-def active_topics(query: Column, rules) -> Column:
-    """Ids of all rules whose query pattern matches."""
-    return F.filter(
-        F.array(*[F.when(matches(query, r[1]), F.lit(r[0])) for r in rules]), lambda r: r.isNotNull()
-    )
+def topic_pattern(condition: Column, pack: RulePack, slot: int) -> Column:
+    """Chunk pattern (2: on-topic, 3: off-topic) of a condition; null if there is none."""
+    branch = F
+    for rule in pack.conditions:
+        if rule[slot]:
+            branch = branch.when(condition == rule[0], java_regex(rule[slot]))
+    return branch.otherwise(F.lit(None).cast("string"))
+
+
+def active_rules(query: Column, rules) -> Column:
+    """All rules whose query pattern matches: array of (id, pattern, factor)."""
+    found = [
+        F.when(matches(query, rule[1]), F.struct(
+            F.lit(rule[0]).alias("id"), F.lit(java_regex(rule[2])).alias("pattern"),
+            F.lit(rule[3] if len(rule) > 3 else 1.0).alias("factor")))
+        for rule in rules
+    ]
+    return F.array_compact(F.array(*found)) if found else F.array().cast(_RULES)
+
+
+_RULES = "array<struct<id:string,pattern:string,factor:double>>"
 
 
 def query_intent(queries: DataFrame, pack: RulePack = V2) -> DataFrame:
@@ -57,9 +67,9 @@ def query_intent(queries: DataFrame, pack: RulePack = V2) -> DataFrame:
     slots = asked.withColumns({
         "is_action": action_query(q, pack),
         "condition": first_topic(q, pack),
-        "coherence": active_topics(q, pack.coherence),
-        "title_exclusions": active_topics(q, pack.title_exclusions) if pack.title_exclusions else F.array().cast("array<string>"),
-        "content_exclusions": active_topics(q, pack.content_exclusions) if pack.content_exclusions else F.array().cast("array<string>"),
+        "coherence": active_rules(q, pack.coherence),
+        "title_exclusions": active_rules(q, (*pack.title_exclusions, *pack.title_overrides)),
+        "content_exclusions": active_rules(q, pack.content_exclusions),
         "sev_light": matches(q, v.SEVERITY_LIGHT_QUERY),
         "_heavy": matches(q, v.SEVERITY_HEAVY_QUERY),
         "sensitive_tb": matches(q, v.SENSITIVE_TB_QUERY),
@@ -75,28 +85,28 @@ def query_intent(queries: DataFrame, pack: RulePack = V2) -> DataFrame:
     return slots.withColumns({
         "sev_heavy": F.col("_heavy") & ~F.col("sev_light"),
         "pop_child": F.col("_child") & ~F.col("pop_adult") & ~F.col("pop_neonate"),
+        "topic_on": topic_pattern(F.col("condition"), pack, 2),
+        "topic_off": topic_pattern(F.col("condition"), pack, 3),
+        "coherence_on": F.array_join(F.transform("coherence", lambda r: r["pattern"]), "|"),
     }).drop("_heavy", "_child")
 
 
 INTENT_COLUMNS = [
-    "is_action", "condition", "coherence", "title_exclusions", "content_exclusions",
-    "sev_light", "sev_heavy", "sensitive_tb", "pop_adult", "pop_neonate", "pop_child",
+    "is_action", "condition", "coherence", "title_exclusions", "content_exclusions", "topic_on", "topic_off",
+    "coherence_on", "sev_light", "sev_heavy", "sensitive_tb", "pop_adult", "pop_neonate", "pop_child",
     "task", "asks_chest_syndrome", "asks_component", "asks_paediatric", "asks_adult_other",
 ]
 
 
-def topic_match(text: Column, pack: RulePack, slot: int) -> Column:
-    """Does the chunk text match the condition of its query (2: on-topic, 3: off-topic)?
+def topic_match(text: Column, slot: int) -> Column:
+    """Does the chunk text match the on-topic (2) or off-topic (3) pattern of its query?
 
-    Only the one pattern of the query's own condition runs on a row.
+    A query brings its own few patterns along as columns, so a candidate row
+    runs only those, and plans stay small however many rules a pack has.
     """
-    branch = F
-    for rule in pack.conditions:
-        hit = matches(text, rule[slot]) if rule[slot] else F.lit(False)
-        branch = branch.when(F.col("condition") == rule[0], hit)
-    return branch.otherwise(F.lit(False))
+    return F.coalesce(F.rlike(text, F.col("topic_on" if slot == 2 else "topic_off")), F.lit(False))
 
 
-def coherent(text: Column, pack: RulePack) -> Column:
+def coherent(text: Column) -> Column:
     """Does the chunk text match any coherence rule that the query activates?"""
-    return any_of(F.array_contains("coherence", rid) & matches(text, chunk) for rid, _, chunk in pack.coherence)
+    return (F.col("coherence_on") != "") & F.rlike(text, F.col("coherence_on"))

@@ -22,6 +22,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def term_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def build_lexical_index(chunks: DataFrame) -> LexicalIndex:
     """Index of title and content.
 
@@ -37,7 +41,7 @@ def build_lexical_index(chunks: DataFrame) -> LexicalIndex:
     )
     return LexicalIndex(
         postings=postings,
-        term_df=postings.groupBy("term").agg(F.count("*").alias("df")),
+        term_df=term_frequencies(postings),
         stats=lengths.agg(F.count("*").alias("n_chunks"), F.avg("doc_len").alias("avg_len")),
     )
 

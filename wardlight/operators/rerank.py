@@ -117,27 +117,25 @@ def demote_population(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
 
 def demote_incoherent(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     """Chunks without a word of any topic that the query names."""
-    off = (F.size("coherence") > 0) & ~coherent(_with_title(1000), pack)
+    off = (F.size("coherence") > 0) & ~coherent(_with_title(1000))
     harsh = F.when(is_in(pack.action_types), pack.harsh_incoherence).otherwise(INCOHERENT_FACTOR)
     return rescored(hits, F.when(off, F.col("score") * harsh).otherwise(F.col("score")))
 
 
-def _exclusion(score: Column, rules, active: str, text: Column) -> Column:
-    for rid, _, pattern, weight in rules:
-        score = score * factor(F.array_contains(active, rid) & matches(text, pattern), weight)
-    return score
+def _exclusions(rules: str, text: Column) -> Column:
+    """Score times the factor of every active rule that the text matches, in rule order."""
+    return F.aggregate(rules, F.col("score"), lambda acc, r: acc * F.when(F.rlike(text, r["pattern"]), r["factor"]).otherwise(1.0))
 
 
 def demote_exclusions(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     """Chunks about a disease that is known to be confused with the query's."""
-    score = _exclusion(F.col("score"), pack.title_exclusions, "title_exclusions", _title())
-    score = _exclusion(score, pack.title_overrides, "title_exclusions", _title())
+    by_title = _exclusions("title_exclusions", _title())
     if pack.metadata_priority:
-        return rescored(hits, _exclusion(score, pack.content_exclusions, "content_exclusions", _with_title(1200)))
-    hits = rescored(hits, score)
+        return rescored(hits.withColumn("score", by_title), _exclusions("content_exclusions", _with_title(1200)))
+    hits = rescored(hits, by_title)
     if not pack.content_exclusions:
         return hits
-    return rescored(hits, _exclusion(F.col("score"), pack.content_exclusions, "content_exclusions", _with_title(1200)))
+    return rescored(hits, _exclusions("content_exclusions", _with_title(1200)))
 
 
 def rescue_background(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
@@ -149,7 +147,7 @@ def rescue_background(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
         matches(_protocol_window(), v.RESCUE_RECOMMEND) | (signal_count(_protocol_window()) >= 2)
     )
     # an off-topic chunk is rescued only if it is on topic as well, which is the plain on-topic test
-    on_topic = F.when(F.col("condition").isNotNull(), topic_match(text, pack, 2)).otherwise(coherent(text, pack))
+    on_topic = F.when(F.col("condition").isNotNull(), topic_match(text, 2)).otherwise(coherent(text))
     hits = hits.withColumn("rescued", (_type() == "background") & protocol & on_topic)
     return rescored(hits, F.col("score") * factor(F.col("rescued"), RESCUE_FACTOR))
 
@@ -212,8 +210,8 @@ def intent_signals(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     severity = F.col("sev_light") | F.col("sev_heavy")
     adult, neonate, child = F.col("pop_adult"), F.col("pop_neonate"), F.col("pop_child")
     return hits.withColumns({
-        "on_topic": topic_match(text, pack, 2),
-        "off_topic": topic_match(text, pack, 3),
+        "on_topic": topic_match(text, 2),
+        "off_topic": topic_match(text, 3),
         "chunk_heavy": only(severity, v.SEVERITY_HEAVY_CHUNK),
         "chunk_light": only(F.col("sev_light"), v.SEVERITY_LIGHT_CHUNK),
         "chunk_resistant": only(F.col("sensitive_tb"), v.RESISTANT_TB_CHUNK),
@@ -224,7 +222,7 @@ def intent_signals(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
         "chunk_rabies_confuser": only(F.col("condition") == "rabies", v.RABIES_CONFUSERS),
         "chest_miss": (F.col("condition") == "sickle_cell") & F.col("asks_chest_syndrome")
         & ~matches(text, v.CHEST_SYNDROME_CHUNK),
-        "incoherent": (F.size("coherence") > 0) & ~coherent(text, pack),
+        "incoherent": (F.size("coherence") > 0) & ~coherent(text),
     }).withColumns({
         c: F.coalesce(c, F.lit(False)) for c in ("chunk_scorpion", "chunk_rabies_confuser", "chest_miss")
     })

@@ -7,10 +7,9 @@ from ..functions.ranking import start_trail
 from ..operators import guardrails as g
 from ..operators import rerank as r
 from ..operators.fusion import fetch_errors
-from ..operators.intent import query_intent
 from ..rules import FEDERATED
 from ..rules import vocabulary as v
-from .search import Corpus, candidates
+from .search import Corpus, candidates, understood
 
 def _mode():
     return F.lower("source_mode")
@@ -100,7 +99,7 @@ def settle_positions(hits: DataFrame) -> DataFrame:
 def federated_search(requests: DataFrame, primary: Corpus, secondary: Corpus, query_vecs: DataFrame) -> DataFrame:
     """One response per request: hits, hit, source_used, secondary count, failover reason, flags."""
     pack = FEDERATED
-    intents = query_intent(requests.where(F.col("error").isNull()), pack)
+    intents = understood(requests, pack)
     hits, p, s, asked = federated_hits(intents, primary, secondary, query_vecs)
     hits = hits.withColumns({"rescued": F.lit(False)})
     flags = g.quality_flags(hits, pack)

@@ -10,9 +10,10 @@ from ..operators import guardrails as g
 from ..operators import rerank as r
 from ..operators.fusion import dispatch, fetch_errors, pool_size
 from ..operators.intent import INTENT_COLUMNS, query_intent
-from ..operators.lexical import LexicalIndex, bm25_topk, build_lexical_index
+from ..operators.lexical import LexicalIndex, bm25_topk, build_lexical_index, term_frequencies
 from ..operators.semantic import cosine_topk
 from ..rules import PROFILES, RulePack, V2
+from ..session import stored
 
 REQUEST_COLUMNS = ["k", "threshold", "safe_top1_guardrail", "strict_mode", "strict_cds_mode"]
 
@@ -27,7 +28,15 @@ class Corpus:
 
     @classmethod
     def of(cls, chunks: DataFrame, vectors: DataFrame) -> "Corpus":
-        return cls(chunks, build_lexical_index(chunks), vectors)
+        """Index the chunks; the postings are stored, since several tables derive from them."""
+        index = build_lexical_index(chunks)
+        postings = stored(index.postings)
+        return cls(chunks, LexicalIndex(postings, term_frequencies(postings), index.stats), vectors)
+
+
+def understood(requests: DataFrame, pack: RulePack = V2) -> DataFrame:
+    """Intents of the valid requests, stored: one row per request, read by many joins."""
+    return stored(query_intent(requests.where(F.col("error").isNull()), pack))
 
 
 def candidate_lists(intents: DataFrame, corpus: Corpus, query_vecs: DataFrame, pack: RulePack = V2) -> DataFrame:
@@ -39,7 +48,7 @@ def candidate_lists(intents: DataFrame, corpus: Corpus, query_vecs: DataFrame, p
     ready = sized.where(~semantic_mode).select(*sized.columns).unionByName(with_vec.select(*sized.columns))
     lexical = bm25_topk(ready.where(F.lower("search_mode") != "sem"), corpus.index, F.col("_pool"), largest)
     semantic = cosine_topk(with_vec, corpus.vectors, F.col("_pool"))
-    return dispatch(ready, lexical, semantic)
+    return stored(dispatch(ready, lexical, semantic))
 
 
 def with_chunks(candidates: DataFrame, intents: DataFrame, chunks: DataFrame, n_requests: int, pool: int) -> DataFrame:
@@ -78,7 +87,7 @@ def search(requests: DataFrame, corpus: Corpus, query_vecs: DataFrame, profile:
     query_id, embedding.
     """
     pack = PROFILES[profile]
-    intents = query_intent(requests.where(F.col("error").isNull()), pack)
+    intents = understood(requests, pack)
     hits = rerank_all(candidates(intents, corpus, query_vecs, pack), pack)
     errors = fetch_errors(intents, query_vecs)
     blank = requests.where(F.col("error").isNotNull()).select("query_id", "error")

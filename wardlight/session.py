@@ -1,8 +1,9 @@
 """Session settings for local runs; a cluster brings its own session."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "wardlight") -> SparkSession:
@@ -32,3 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a small intermediate table to the shared folder and read it back.
+
+    Cuts the lineage, so that a lost executor costs a re-read, and gives later
+    joins the true size of the table.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

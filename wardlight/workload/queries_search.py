@@ -7,11 +7,11 @@ from ..operators import guardrails as g
 from ..operators import rerank as r
 from ..operators.compare import compare_runs
 from ..operators.fusion import rrf
-from ..operators.intent import INTENT_COLUMNS, query_intent
+from ..operators.intent import INTENT_COLUMNS
 from ..operators.lexical import bm25_topk, build_lexical_index
 from ..operators.semantic import cosine_topk, embedding_windows, pool_embeddings
 from ..plans import federation as fed
-from ..plans.search import Corpus, candidate_lists, candidates, rerank_all, search
+from ..plans.search import Corpus, candidate_lists, candidates, rerank_all, search, understood
 from ..rules import FEDERATED, PROFILES, V1, V2
 from ..rules import vocabulary as v
 from ..sources.corpus import corpus_stats
@@ -40,7 +40,7 @@ def chunks(spark, d, pack=V2):
 
 def intents(spark, d, profile="v2"):
     requests = with_defaults(i.requests_raw(spark, d, profile), profile)
-    return query_intent(requests.where(F.col("error").isNull()), PROFILES[profile])
+    return understood(requests, PROFILES[profile])
 
 
 def corpus(spark, d, pack=V2):
@@ -52,10 +52,6 @@ def pool(spark, d, profile="v2"):
     return candidates(intents(spark, d, profile), corpus(spark, d, pack), i.query_vectors(spark, d), pack)
 
 
-def r8(c):
-    return F.round(c, 8).alias(c if isinstance(c, str) else "score")
-
-
 # ------------------------------------------------------------------ sources and chunks
 
 @query("s1_corpus_scan", with_(o.raw(), "SELECT frame_id, title, length(snippet) AS chars, uri, len(regexp_split_to_array(uri, '/')) AS depth FROM chunks_raw"))
@@ -148,10 +144,10 @@ def _(spark, d):
     return ix.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("doc_len").alias("longest"))
 
 
-@query("i1_index_stats", with_(_INDEX, "SELECT n_chunks, round(avg_len, 8) AS avg_len, n_terms FROM stats, (SELECT count(*) AS n_terms FROM term_df)"))
+@query("i1_index_stats", with_(_INDEX, "SELECT n_chunks, avg_len, n_terms FROM stats, (SELECT count(*) AS n_terms FROM term_df)"))
 def _(spark, d):
     ix = build_lexical_index(chunks(spark, d))
-    return ix.stats.select("n_chunks", r8("avg_len"), ix.term_df.agg(F.count("*")).scalar().alias("n_terms"))
+    return ix.stats.select("n_chunks", "avg_len", ix.term_df.agg(F.count("*")).scalar().alias("n_terms"))
 
 
 _LISTS = o.chunks() + o.intents() + o.index() + o.lists(V2)
@@ -183,69 +179,67 @@ def _(spark, d):
         "label", F.col("dim").cast("bigint").alias("dim"), "windows", F.round("x", 6).alias("x"))
 
 
-@query("i5_cosine_topk", with_(_LISTS, "SELECT query_id, frame_id, round(score, 8) AS score, rank FROM sem"))
+@query("i5_cosine_topk", with_(_LISTS, "SELECT query_id, frame_id, score, rank FROM sem"))
 def _(spark, d):
     q = intents(spark, d).where(F.lower("search_mode").isin("sem", "rrf")).select("query_id").join(i.query_vectors(spark, d), "query_id")
     out = cosine_topk(q, i.chunk_vectors(spark, d), F.lit(15))
-    return out.select("query_id", "frame_id", r8("score"), F.col("rank").cast("bigint").alias("rank"))
+    return out.select("query_id", "frame_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("i5_cosine_topk_lsh")
 def _(spark, d):
     out = cosine_topk(i.query_vectors(spark, d), i.chunk_vectors(spark, d), F.lit(15), mode="lsh")
-    return out.select("query_id", "frame_id", r8("score"), F.col("rank").cast("bigint").alias("rank"))
+    return out.select("query_id", "frame_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("i6_rrf", with_(_LISTS, "SELECT query_id, parent_id, frame_id, round(score, 12) AS score, pos FROM fused"))
+@query("i6_rrf", with_(_LISTS, "SELECT query_id, parent_id, frame_id, score, pos FROM fused"))
 def _(spark, d):
     q = intents(spark, d).where(F.lower("search_mode") == "rrf").join(i.query_vectors(spark, d), "query_id")
     lex = bm25_topk(q, build_lexical_index(chunks(spark, d)), F.lit(15), 15)
     sem = cosine_topk(q.select("query_id", "embedding"), i.chunk_vectors(spark, d), F.lit(15))
-    return rrf(lex, sem).select("query_id", "parent_id", "frame_id", F.round("score", 12).alias("score"), F.col("pos").cast("bigint").alias("pos"))
+    return rrf(lex, sem).select("query_id", "parent_id", "frame_id", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query("i7_dispatch", with_(_LISTS, "SELECT query_id, frame_id, round(score, 8) AS score, pos FROM candidates"))
+@query("i7_dispatch", with_(_LISTS, "SELECT query_id, frame_id, score, pos FROM candidates"))
 def _(spark, d):
     out = candidate_lists(intents(spark, d), corpus(spark, d), i.query_vectors(spark, d))
-    return out.select("query_id", "frame_id", r8("score"), F.col("pos").cast("bigint").alias("pos"))
+    return out.select("query_id", "frame_id", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
 _LISTS_V1 = o.chunks_v1() + o.intents("v1", V1) + o.index() + o.lists(V1)
 
 
-@query("i8_pool_size_v1", with_(_LISTS_V1, "SELECT query_id, frame_id, round(score, 8) AS score, pos FROM candidates"))
+@query("i8_pool_size_v1", with_(_LISTS_V1, "SELECT query_id, frame_id, score, pos FROM candidates"))
 def _(spark, d):
     out = candidate_lists(intents(spark, d, "v1"), corpus(spark, d, V1), i.query_vectors(spark, d), V1)
-    return out.select("query_id", "frame_id", r8("score"), F.col("pos").cast("bigint").alias("pos"))
+    return out.select("query_id", "frame_id", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
 # ------------------------------------------------------------------ query understanding
 
 @query("q1_expand", with_(o.intents(), "SELECT query_id, length(query) AS chars, query AS expanded FROM expanded"))
 def _(spark, d):
-    # the comparison works on texts whose accented letters are replaced by z
-    q = intents(spark, d).withColumn("query", F.regexp_replace("query", o.FOLD, "z"))
-    return q.select("query_id", F.length("query").cast("bigint").alias("chars"), F.col("query").alias("expanded"))
+    return intents(spark, d).select("query_id", F.length("query").cast("bigint").alias("chars"), F.col("query").alias("expanded"))
 
 
-_SLOTS = [c for c in INTENT_COLUMNS if c not in ("coherence", "title_exclusions", "content_exclusions")]
+_SLOTS = [c for c in INTENT_COLUMNS if c not in ("coherence", "title_exclusions", "content_exclusions", "topic_on", "topic_off", "coherence_on")]
 _LISTED = ["coherence", "title_exclusions", "content_exclusions"]
 _SLOT_SQL = "SELECT query_id, " + ", ".join(_SLOTS + [f"array_to_string({c}, '|') AS {c}" for c in _LISTED]) + " FROM intents"
 
 for _p in ("v2", "v1", "v1_federated"):
     @query(f"q2_q9_intent_{_p}", with_(o.intents(_p, PROFILES[_p]), _SLOT_SQL))
     def _(spark, d, _p=_p):
-        return intents(spark, d, _p).select("query_id", *_SLOTS, *[F.array_join(c, "|").alias(c) for c in _LISTED])
+        return intents(spark, d, _p).select("query_id", *_SLOTS, *[F.array_join(F.array_distinct(F.transform(c, lambda r: r["id"])), "|").alias(c) for c in _LISTED])
 
 
 # ------------------------------------------------------------------ rerank stages
 
 _HEAD = o.chunks() + o.intents() + o.index() + o.lists(V2) + o.hits(V2) + o.stages(V2)
-_SCORES = "SELECT query_id, frame_id, round(score, 8) AS score FROM "
+_SCORES = "SELECT query_id, frame_id, score FROM "
 
 
 def _scores(hits):
-    return hits.select("query_id", "frame_id", r8("score"))
+    return hits.select("query_id", "frame_id", "score")
 
 
 def _start(spark, d):
@@ -277,10 +271,10 @@ for _n, (_name, _cte, _) in enumerate(_CHAIN):
 _FULL = o.full("v2")[1]
 
 
-@query("r11_threshold", with_(_FULL, "SELECT query_id, frame_id, pos, round(score, 8) AS score FROM thresholded"))
+@query("r11_threshold", with_(_FULL, "SELECT query_id, frame_id, pos, score FROM thresholded"))
 def _(spark, d):
     hits = r.apply_threshold(r.score_candidates(pool(spark, d)), F.col("threshold"))
-    return hits.select("query_id", "frame_id", F.col("pos").cast("bigint").alias("pos"), r8("score"))
+    return hits.select("query_id", "frame_id", F.col("pos").cast("bigint").alias("pos"), "score")
 
 
 _WEIGHED = ["on_topic", "off_topic", "chunk_heavy", "chunk_light", "chunk_neonate", "chunk_child", "chunk_adult", "incoherent"]
@@ -292,18 +286,18 @@ def _weighed(spark, d, profile="v2"):
     return r.intent_scores(r.intent_signals(hits, pack), pack)
 
 
-@query("r12_r19_intent_scores", with_(_FULL, "SELECT query_id, frame_id, " + ", ".join(_WEIGHED) + """, slots, round(penalty, 10) AS penalty,
-  round(boost, 10) AS boost, round(adjusted, 8) AS adjusted FROM weighed"""))
+@query("r12_r19_intent_scores", with_(_FULL, "SELECT query_id, frame_id, " + ", ".join(_WEIGHED) + """, slots, penalty,
+  boost, adjusted FROM weighed"""))
 def _(spark, d):
-    return _weighed(spark, d).select("query_id", "frame_id", *_WEIGHED, "slots", F.round("penalty", 10).alias("penalty"),
-                                     F.round("boost", 10).alias("boost"), r8("adjusted"))
+    return _weighed(spark, d).select("query_id", "frame_id", *_WEIGHED, "slots", "penalty",
+                                     "boost", "adjusted")
 
 
-_RANKED = "SELECT query_id, frame_id, pos AS rank, round(score, 8) AS score, {} FROM {}"
+_RANKED = "SELECT query_id, frame_id, pos AS rank, score, {} FROM {}"
 
 
 def _ranked(hits, *more):
-    return hits.select("query_id", "frame_id", F.col("pos").cast("bigint").alias("rank"), r8("score"), *more)
+    return hits.select("query_id", "frame_id", F.col("pos").cast("bigint").alias("rank"), "score", *more)
 
 
 @query("r20_light_guard", with_(_FULL, _RANKED.format("relaxed", "reranked")))
@@ -399,11 +393,11 @@ def _(spark, d):
     return _scores(r.strict_types(r.trim_tail(_before_tail(spark, d)), V1))
 
 
-@query("v6_intent_scores", with_(_FULL_V1, "SELECT query_id, frame_id, " + ", ".join(_WEIGHED) + """, slots, round(penalty, 10) AS penalty,
-  round(boost, 10) AS boost, round(adjusted, 8) AS adjusted FROM weighed"""))
+@query("v6_intent_scores", with_(_FULL_V1, "SELECT query_id, frame_id, " + ", ".join(_WEIGHED) + """, slots, penalty,
+  boost, adjusted FROM weighed"""))
 def _(spark, d):
-    return _weighed(spark, d, "v1").select("query_id", "frame_id", *_WEIGHED, "slots", F.round("penalty", 10).alias("penalty"),
-                                           F.round("boost", 10).alias("boost"), r8("adjusted"))
+    return _weighed(spark, d, "v1").select("query_id", "frame_id", *_WEIGHED, "slots", "penalty",
+                                           "boost", "adjusted")
 
 
 @query("v7_promotion_and_guard", with_(_FULL_V1, _RANKED.format("aligned_swap, safe_swap", "safe")))
