@@ -41,7 +41,7 @@ def think_lines(raw: Column, labels: Column) -> Column:
             lambda x: ~F.array_contains(seen, x) & F.contains(F.lower(line), F.lower(x)) & F.rlike(line, pattern(x)),
         )
         label = F.try_element_at(hits, F.lit(1))
-        value = tx.strip(F.rtrim(tx.strip(F.regexp_extract(line, pattern(label), 1)), F.lit(",")))
+        value = tx.strip(F.rtrim(tx.strip(F.call_function("regexp_extract", line, pattern(label), F.lit(1))), F.lit(",")))
         add = F.concat(found, F.array(F.struct(label.alias("label"), value.alias("value"))))
         return F.when(label.isNotNull() & (value != ""), add).otherwise(found)
 

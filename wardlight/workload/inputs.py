@@ -149,7 +149,8 @@ def encounters(spark: SparkSession, folder: str) -> DataFrame:
     value = pick(
         F.col("l_quantity").cast("string"), (F.floor("l_extendedprice") % 200).cast("string"), "28", None,
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), '{"uuid": "u", "display": "Malaria (CIEL:116128)"}', None, "Malaria, confirmed")
-    member = lambda n, t, c, v_: F.struct(_concept(_text(n), _text(t), _text(c)).alias("concept"), v_.alias("value"))
+    member = lambda n, t, c, v_: F.struct(_concept(_text(n), _text(t), _text(c)).alias("concept"), v_.alias("value"),
+                                          F.lit(None).cast("array<struct<uuid:string>>").alias("groupMembers"))
     group = F.when(kind == 6, F.array(
         member("Height (cm)", "Numeric", "5090", F.col("l_linenumber").cast("string")), member("Flag", "Text", None, F.col("l_returnflag"))))
     obs = F.struct(_concept(name, datatype, code).alias("concept"), value.alias("value"), group.alias("groupMembers"))
@@ -237,7 +238,7 @@ def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(
         k.alias("ord"), F.concat(F.lit("c"), (k % 5).cast("string")).alias("category"), (k + 100000).alias("ciel_id"),
         F.concat(F.lit("Concept "), k.cast("string")).alias("name"), F.lit("coded").alias("datatype"),
-        F.array(F.concat(F.substring(F.lit("TheAndIonMenUngLaHerOusDerQueCion"), (k % 28).cast("int") + 1, F.lit(5)), F.lit(" ")),
+        F.array(F.concat(F.substring(F.lit("The and ing ion ent der die und que los las"), (k % 38).cast("int") + 1, F.lit(4)), F.lit("")),
                 F.concat(F.lit("x"), (k % 40).cast("string"))).alias("synonyms"),
         F.lit(None).cast("string").alias("units"), F.when(k % 2 == 0, F.concat(F.lit("A"), k.cast("string"))).alias("icd10"))
 

@@ -496,7 +496,7 @@ def _(spark, d):
 
 
 @query("e17_vocabulary_terms", with_(_NOTES + [
-    """vocab AS (SELECT p_partkey AS ord, 0 AS k, lower(substr('TheAndIonMenUngLaHerOusDerQueCion', (p_partkey % 28 + 1)::INTEGER, 5) || ' ') AS s, p_partkey + 100000 AS ciel_id, CASE WHEN p_partkey % 2 = 0 THEN 'A' || p_partkey END AS icd10 FROM part
+    """vocab AS (SELECT p_partkey AS ord, 0 AS k, lower(substr('The and ing ion ent der die und que los las', (p_partkey % 38 + 1)::INTEGER, 4)) AS s, p_partkey + 100000 AS ciel_id, CASE WHEN p_partkey % 2 = 0 THEN 'A' || p_partkey END AS icd10 FROM part
     UNION ALL SELECT p_partkey, 1, 'x' || p_partkey % 40, p_partkey + 100000, CASE WHEN p_partkey % 2 = 0 THEN 'A' || p_partkey END FROM part)""",
     "syn AS (SELECT s, min(ord * 10 + k) AS place, last(ciel_id ORDER BY ord, k) AS ciel_id, last(icd10 ORDER BY ord, k) AS icd10 FROM vocab WHERE length(s) > 2 GROUP BY s)",
     f"rest AS (SELECT doc_id, {strip('t')} AS t FROM notes WHERE doc_id NOT IN (SELECT doc_id FROM vitals))",
