@@ -68,7 +68,7 @@ def _handle(state: dict, seq: int, text: str | None, emit) -> None:
         emit(seq, kind, text=event.get("message"))
 
 
-def _advance(key, batches, group: GroupState):
+def _advance(key, batches, group: GroupState, idle_ms: int | None):
     stream_id = key[0]
     state = json.loads(group.get[0]) if group.exists else json.loads(json.dumps(_FRESH))
     rows = []
@@ -96,19 +96,26 @@ def _advance(key, batches, group: GroupState):
             run(state["next"], state["early"].pop(str(state["next"])))
             state["next"] += 1
         group.update((json.dumps(state),))
-        group.setTimeoutDuration(30 * 60 * 1000)
+        if idle_ms:
+            group.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def follow(lines: DataFrame) -> DataFrame:
+def follow(lines: DataFrame, idle_minutes: int | None = 30) -> DataFrame:
     """Typed rows of live streams from (stream_id, seq, line); ``seq`` counts every line from 0.
 
     Kinds: thinking, answer, section, turn_text, query, hit, done, error.  State
-    of a silent stream is dropped after 30 minutes.
+    of a stream that stays silent for ``idle_minutes`` is dropped.  A run that
+    must end once all input is read needs None: an idle timeout keeps it waiting.
     """
     texts = lines.select("stream_id", "seq", payload(F.col("line")).alias("text"))
-    return texts.groupBy("stream_id").applyInPandasWithState(
-        _advance, OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout
+    idle_ms = idle_minutes * 60_000 if idle_minutes else None
+
+    def advance(key, batches, group):
+        return _advance(key, batches, group, idle_ms)
+
+    return texts.groupBy("stream_id").applyInPandasWithState(advance, OUTPUT, _STATE, "append", timeout)
 
 
 def run_to_table(rows: DataFrame, out: str, checkpoint: str) -> None:

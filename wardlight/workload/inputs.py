@@ -68,6 +68,23 @@ def chunks_raw_v1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def chunks_secondary(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the secondary corpus: every web page behind a clinical seed."""
+    d = _seeded(table(spark, folder, "pages"), "page_id", seeds.CHUNKS,
+                "title string, sentence string, type2 string, type1 string, pdf string")
+    i = F.col("page_id").cast("string")
+    return d.select(
+        F.concat(F.lit("w"), i).alias("frame_id"), "title", F.concat("sentence", F.lit("\n"), "html").alias("snippet"),
+        F.concat(F.lit("kb://wiki/"), "pdf", F.lit("/"), i).alias("uri"), F.array().cast("array<string>").alias("tags"),
+        F.col("pdf").alias("track"), F.create_map(F.lit("content_type"), F.col("type1")).alias("metadata"))
+
+
+def secondary_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    p_ = table(spark, folder, "pages").select("page_id")
+    return e.join(p_, e.vec_id == p_.page_id).select(F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("frame_id"), "embedding")
+
+
 def requests_raw(spark: SparkSession, folder: str, profile: str = "v2") -> DataFrame:
     """A request per benchmark item: a clinical phrase, for each fourth one before the whole text.
 

@@ -185,13 +185,13 @@ def pool(pack: RulePack) -> str:
     return "CASE WHEN is_action THEN least(greatest(k * 3, 15), 50) ELSE k END"
 
 
-def lists(pack: RulePack, asked: str = "intents", s: str = "") -> list[str]:
+def lists(pack: RulePack, asked: str = "intents", s: str = "", vectors: str | None = None) -> list[str]:
     """lexical, semantic and dispatched candidate lists."""
+    vectors = vectors or f"SELECT {FRAME.format(i='vec_id')} AS frame_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN documents ON doc_id = vec_id"
     return [
         f"""query_vecs{s} AS MATERIALIZED (
   SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id % 13 <> 12)""",
-        f"""chunk_vecs{s} AS MATERIALIZED (
-  SELECT {FRAME.format(i='vec_id')} AS frame_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN documents ON doc_id = vec_id)""",
+        f"chunk_vecs{s} AS MATERIALIZED ({vectors})",
         f"""ready{s} AS MATERIALIZED (
   SELECT *, lower(search_mode) AS mode, {pool(pack)} AS pool FROM {asked}
   WHERE lower(search_mode) NOT IN ('sem', 'rrf') OR query_id IN (SELECT query_id FROM query_vecs{s}))""",
@@ -293,8 +293,8 @@ def stages(pack: RulePack, s: str = "") -> list[str]:
     else:
         prev = f"boost{s}"
         for n, step in enumerate(steps):
-            out.append(_stage(f"action_{n}{s}", prev, f"CASE WHEN is_action THEN score * {step} ELSE score END"))
-            prev = f"action_{n}{s}"
+            out.append(_stage(f"action_step{n}{s}", prev, f"CASE WHEN is_action THEN score * {step} ELSE score END"))
+            prev = f"action_step{n}{s}"
         out.append(f"action{s} AS (SELECT * FROM {prev} WHERE NOT (is_action AND {inlist('content_type', v.EVIDENCE_TYPES_V1)} AND score < {num(r.EVIDENCE_FLOOR)}))")
     pop = ("CASE WHEN asks_paediatric THEN score ELSE score" + _f(inlist("pdf_file", pack.paediatric_files), r.PAEDIATRIC_FACTOR)
            + _f(f"asks_adult_other AND {inlist('pdf_file', v.OBSTETRIC_FILES)}", r.OBSTETRIC_FACTOR) + " END")
@@ -485,3 +485,38 @@ def full(profile: str = "v2") -> tuple[RulePack, list[str]]:
     base = chunks() if profile == "v2" else chunks_v1()
     head = base + intents(profile, pack) + index() + lists(pack) + hits(pack) + stages(pack)
     return pack, head + intent_stages(pack) + guards(pack) + flags(pack)
+
+
+def federated() -> list[str]:
+    """CTEs of a two-corpus search: p_ranked, s_asked, s_ranked, merged, kept, reranked, final, flags."""
+    pack = FEDERATED
+    body = drop_lines("sentence || chr(10) || html", v.METADATA_LINES_V1)
+    limit = " ".join(f"WHEN lower(search_mode) = {lit(m)} THEN {num(x)}" for m, x in v.FAILOVER_THRESHOLDS.items())
+    n = len(seeds.CHUNKS)
+    out = chunks_v1() + intents("v1_federated", pack) + [
+        f"""pages2 AS MATERIALIZED (SELECT 'w' || page_id AS frame_id, title, substr({body}, 1, 15000) AS content, 'WikiMed' AS source,
+  'kb://wiki/' || pdf || '/' || page_id AS uri, type1 AS content_type, 1.0e0 AS retrieval_priority, pdf AS pdf_file, page_id AS i
+  FROM pages JOIN seed_chunks ON page_id % {n} = seed_no)""",
+        "asked_1 AS (SELECT * FROM intents WHERE source_mode <> 'wiki')",
+    ]
+    out += index() + lists(pack, "asked_1") + hits(pack, "asked_1") + stages(pack)
+    out += [
+        "counts AS (SELECT query_id, count(*)::INTEGER AS n, max(CASE WHEN pos = 1 THEN score END) AS top FROM ranked GROUP BY query_id)",
+        f"""gaps AS (SELECT i.*, coalesce(n, 0) AS n, top IS NULL OR top < (CASE {limit} ELSE who_failover_threshold END) AS low FROM intents i LEFT JOIN counts USING (query_id))""",
+        """asked_2f AS MATERIALIZED (SELECT * REPLACE (CASE WHEN source_mode = 'who' THEN k - n ELSE k END AS k, source_mode <> 'who' AND strict_cds_mode AS strict_cds_mode),
+  CASE WHEN source_mode = 'auto' AND who_first_policy THEN CASE WHEN n = 0 THEN 'who_no_hit' ELSE 'who_low_score' END END AS failover_reason
+  FROM gaps WHERE CASE source_mode WHEN 'who' THEN k > n WHEN 'wiki' THEN true ELSE NOT who_first_policy OR low END)""",
+        "asked_2 AS (SELECT * EXCLUDE (n, low, failover_reason) FROM asked_2f)",
+    ]
+    vec = "SELECT 'w' || page_id AS frame_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN pages ON page_id = vec_id"
+    out += index("pages2", "_2") + lists(pack, "asked_2", "_2", vec) + hits(pack, "asked_2", "pages2", "_2") + stages(pack, "_2")
+    floor = f"CASE WHEN NOT strict_cds_mode AND is_action THEN {num(pack.action_floor)} ELSE threshold END"
+    out += [
+        "both_ AS (SELECT 0 AS side, * FROM ranked UNION ALL BY NAME SELECT 1 AS side, * FROM ranked_2)",
+        """merged0 AS (SELECT b.* EXCLUDE (k, strict_cds_mode), q.k, q.strict_cds_mode, q.source_mode, row_number() OVER (PARTITION BY query_id
+  ORDER BY CASE WHEN q.source_mode = 'auto' THEN -b.score END, side, b.pos) AS mpos FROM both_ b JOIN (SELECT query_id, k, strict_cds_mode, source_mode FROM intents) q USING (query_id))""",
+        "merged AS MATERIALIZED (SELECT * EXCLUDE (mpos) REPLACE (mpos AS pos, [score] AS trail) FROM merged0 WHERE source_mode <> 'auto' OR mpos <= k)",
+        f"kept AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos) FROM merged WHERE ({floor}) <= 0 OR score >= ({floor}))",
+    ]
+    out += intent_stages(pack, "kept") + ["final AS (SELECT * FROM reranked)"] + flags(pack)
+    return out

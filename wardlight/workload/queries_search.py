@@ -11,7 +11,7 @@ from ..operators.intent import INTENT_COLUMNS
 from ..operators.lexical import bm25_topk, build_lexical_index
 from ..operators.semantic import cosine_topk, embedding_windows, pool_embeddings
 from ..plans import federation as fed
-from ..plans.search import Corpus, candidate_lists, candidates, rerank_all, search, understood
+from ..plans.search import Corpus, candidate_lists, rerank_all, search, understood, with_chunks
 from ..rules import FEDERATED, PROFILES, V1, V2
 from ..rules import vocabulary as v
 from ..sources.corpus import corpus_stats
@@ -38,18 +38,40 @@ def chunks(spark, d, pack=V2):
     return ch.normalize_chunks(raw, v.PRIMARY_SOURCE, pack=pack)
 
 
+_MADE = {}
+
+
+def reset():
+    """Forget the tables shared between queries (for timing)."""
+    _MADE.clear()
+
+
+def _once(spark, name, d, profile, make):
+    """Requests, index and candidate lists are built once per session and input folder."""
+    key = (spark.sparkContext.applicationId, name, d, profile)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def intents(spark, d, profile="v2"):
     requests = with_defaults(i.requests_raw(spark, d, profile), profile)
-    return understood(requests, PROFILES[profile])
+    return _once(spark, "intents", d, profile, lambda: understood(requests, PROFILES[profile]))
 
 
 def corpus(spark, d, pack=V2):
-    return Corpus.of(chunks(spark, d, pack), i.chunk_vectors(spark, d))
+    return _once(spark, "corpus", d, pack.metadata_priority, lambda: Corpus.of(chunks(spark, d, pack), i.chunk_vectors(spark, d)))
 
 
-def pool(spark, d, profile="v2"):
+def lists(spark, d, profile="v2"):
     pack = PROFILES[profile]
-    return candidates(intents(spark, d, profile), corpus(spark, d, pack), i.query_vectors(spark, d), pack)
+    return _once(spark, "lists", d, profile, lambda: candidate_lists(
+        intents(spark, d, profile), corpus(spark, d, pack), i.query_vectors(spark, d), pack))
+
+
+def pool(spark, d, profile="v2"):
+    pack, it = PROFILES[profile], intents(spark, d, profile)
+    return with_chunks(lists(spark, d, profile), it, corpus(spark, d, pack).chunks, it.count(), pack.pool_limit or 50)
 
 
 # ------------------------------------------------------------------ sources and chunks
@@ -157,7 +179,7 @@ _LISTS = o.chunks() + o.intents() + o.index() + o.lists(V2)
 def _(spark, d):
     q = intents(spark, d).join(i.query_vectors(spark, d).select("query_id", F.lit(True).alias("has")), "query_id", "left")
     q = q.where((F.col("has") | ~F.lower("search_mode").isin("rrf")) & (F.lower("search_mode") != "sem"))
-    out = bm25_topk(q, build_lexical_index(chunks(spark, d)), F.lit(15), 15)
+    out = bm25_topk(q, corpus(spark, d).index, F.lit(15), 15)
     return out.select("query_id", "frame_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -195,14 +217,14 @@ def _(spark, d):
 @query("i6_rrf", with_(_LISTS, "SELECT query_id, parent_id, frame_id, score, pos FROM fused"))
 def _(spark, d):
     q = intents(spark, d).where(F.lower("search_mode") == "rrf").join(i.query_vectors(spark, d), "query_id")
-    lex = bm25_topk(q, build_lexical_index(chunks(spark, d)), F.lit(15), 15)
+    lex = bm25_topk(q, corpus(spark, d).index, F.lit(15), 15)
     sem = cosine_topk(q.select("query_id", "embedding"), i.chunk_vectors(spark, d), F.lit(15))
     return rrf(lex, sem).select("query_id", "parent_id", "frame_id", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("i7_dispatch", with_(_LISTS, "SELECT query_id, frame_id, score, pos FROM candidates"))
 def _(spark, d):
-    out = candidate_lists(intents(spark, d), corpus(spark, d), i.query_vectors(spark, d))
+    out = lists(spark, d)
     return out.select("query_id", "frame_id", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
@@ -211,7 +233,7 @@ _LISTS_V1 = o.chunks_v1() + o.intents("v1", V1) + o.index() + o.lists(V1)
 
 @query("i8_pool_size_v1", with_(_LISTS_V1, "SELECT query_id, frame_id, score, pos FROM candidates"))
 def _(spark, d):
-    out = candidate_lists(intents(spark, d, "v1"), corpus(spark, d, V1), i.query_vectors(spark, d), V1)
+    out = lists(spark, d, "v1")
     return out.select("query_id", "frame_id", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
@@ -367,7 +389,7 @@ def _(spark, d):
     return _scores(r.boost_types(_start_v1(spark, d), V1))
 
 
-@query("v2_action_order", with_(_FULL_V1, _SCORES + "action_3"))
+@query("v2_action_order", with_(_FULL_V1, _SCORES + "action_step3"))
 def _(spark, d):
     return _scores(r.boost_actions(r.boost_types(_start_v1(spark, d), V1), V1))
 
@@ -422,16 +444,59 @@ def _(spark, d):
     return _responses(search(requests, corpus(spark, d, V1), i.query_vectors(spark, d), "v1"))
 
 
-# ------------------------------------------------------------------ comparison of runs
+# ------------------------------------------------------------------ two corpora
+
+_FED = o.federated()
+_ASKED = f"CASE {' '.join(f'WHEN lower(search_mode) = {chr(39)}{m}{chr(39)} THEN {x}e0' for m, x in v.FAILOVER_THRESHOLDS.items())} ELSE who_failover_threshold END"
+
 
-_TOP = "SELECT query_id, query, source, content FROM final WHERE pos = 1"
+def _corpora(spark, d):
+    second = ch.normalize_chunks(i.chunks_secondary(spark, d), v.SECONDARY_SOURCE, pack=FEDERATED)
+    return corpus(spark, d, FEDERATED), Corpus.of(second, i.secondary_vectors(spark, d))
 
 
-@query("y1_compare_runs", None)
+def _both(spark, d):
+    it = intents(spark, d, "v1_federated")
+    return it, fed.federated_hits(it, *_corpora(spark, d), i.query_vectors(spark, d))
+
+
+@query("v10_v13_merged_sources", with_(_FED, "SELECT query_id, frame_id, source, pos AS rank, score FROM merged"))
+def _(spark, d):
+    it, (_, p, s, _) = _both(spark, d)
+    return fed.merge_sources(it, p, s).select("query_id", "frame_id", "source", F.col("pos").cast("bigint").alias("rank"), "score")
+
+
+@query("v12_failover", with_(_FED, "SELECT query_id, k, failover_reason FROM asked_2f"))
+def _(spark, d):
+    _, (_, _, _, asked) = _both(spark, d)
+    return asked.select("query_id", "k", "failover_reason")
+
+
+@query("v14_federated_responses", with_(_FED + [
+    "tops AS (SELECT query_id, first({'f': frame_id, 's': source, 'x': score} ORDER BY pos) AS p FROM ranked GROUP BY query_id)",
+    "tops_2 AS (SELECT query_id, first({'f': frame_id, 's': source, 'x': score} ORDER BY pos) AS s FROM ranked_2 GROUP BY query_id)",
+    f"""chosen AS (SELECT query_id, CASE WHEN source_mode = 'who' THEN p WHEN source_mode = 'wiki' THEN s
+  WHEN NOT who_first_policy THEN CASE WHEN s.x > p.x THEN s ELSE coalesce(p, s) END
+  WHEN p.x >= {_ASKED} THEN p ELSE coalesce(s, p) END AS c, CASE WHEN NOT strict_cds_mode AND is_action THEN 0.05e0 ELSE threshold END AS floor
+  FROM intents LEFT JOIN tops USING (query_id) LEFT JOIN tops_2 USING (query_id))""",
+    "heads AS (SELECT query_id, first(frame_id ORDER BY pos) AS f, count(*) AS n, count_if(source = 'WikiMed')::BIGINT AS w FROM final GROUP BY query_id)",
+    """parts AS (SELECT i.query_id, strict_mode, coalesce(array_to_string(quality_flags, '|'), '') || CASE WHEN strict_cds_mode AND n IS NULL AND is_action THEN
+  CASE WHEN len(coalesce(quality_flags, [])) > 0 THEN '|' ELSE '' END || 'strict_cds_no_hit' ELSE '' END AS flags, f, coalesce(n, 0) AS n, coalesce(w, 0) AS w,
+  CASE WHEN floor <= 0 OR c.x >= floor THEN c.f END AS own FROM intents i LEFT JOIN flags USING (query_id) LEFT JOIN heads USING (query_id) JOIN chosen USING (query_id))""",
+], """SELECT query_id, flags, CASE WHEN strict_mode AND flags <> '' THEN 0 ELSE n END AS n_hits, CASE WHEN strict_mode AND flags <> '' THEN 0 ELSE w END AS secondary_count,
+  CASE WHEN strict_mode AND flags <> '' THEN NULL ELSE coalesce(own, f) END AS hit FROM parts"""))
+def _(spark, d):
+    requests = with_defaults(i.requests_raw(spark, d, "v1_federated"), "v1_federated")
+    out = fed.federated_search(requests, *_corpora(spark, d), i.query_vectors(spark, d))
+    return out.select("query_id", F.array_join("quality_flags", "|").alias("flags"), F.size("hits").cast("bigint").alias("n_hits"),
+                      F.col("secondary_count").cast("bigint").alias("secondary_count"), F.col("hit.frame_id").alias("hit"))
+
+
+# ------------------------------------------------------------------ comparison of runs
+
+@query("y1_compare_runs")
 def _(spark, d):
-    q2, q1 = intents(spark, d), intents(spark, d, "v1")
     top = lambda hits: hits.where(F.col("pos") == 1).select("query_id", "query", "source", "content")
-    a = top(rerank_all(candidates(q2, corpus(spark, d), i.query_vectors(spark, d))))
-    b = top(rerank_all(candidates(q1, corpus(spark, d, V1), i.query_vectors(spark, d), V1), V1))
+    a, b = top(rerank_all(pool(spark, d))), top(rerank_all(pool(spark, d, "v1"), V1))
     out = compare_runs(a, b, strict_source=True)
     return out.select("query_id", "source_a", "source_b", "has_content_a", "has_content_b", "source_match", "failure")

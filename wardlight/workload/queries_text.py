@@ -587,7 +587,7 @@ def live_rows(spark, d):
     """The seeded token streams after one run of the keyed-state stream."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     i.sse_lines(spark, d).write.parquet(f"{folder}/lines")
-    live.run_to_table(live.follow(sse.read_lines(spark, f"{folder}/lines")), f"{folder}/rows", f"{folder}/state")
+    live.run_to_table(live.follow(sse.read_lines(spark, f"{folder}/lines"), idle_minutes=None), f"{folder}/rows", f"{folder}/state")
     return spark.read.schema(live.OUTPUT).parquet(f"{folder}/rows")
 
 

@@ -73,7 +73,7 @@ ASSISTANT = [
     "<think>first thoughts</think><KB_QUERY>severe malaria dose</KB_QUERY>",
     "<think>more</think><kb_query> Sepsis fluids </kb_query> and <KB_QUERY>Severe Malaria Dose</KB_QUERY>",
     "DECISION: continue\n<KB_QUERY>sepsis fluids</KB_QUERY>\nNEXT_QUERY: none",
-    "## Alert Level\nYellow\n## Clinical Assessment\nStable.\n## clinical assessment\nAgain.\n## Safety Alert\n\n## Key Points\n",
+    "<think>done</think>\n## Alert Level\nYellow\n## Clinical Assessment\nStable.\n## clinical assessment\nAgain.\n## Safety Alert\n\n## Key Points\n",
 ]
 
 # extraction lines by observation number modulo the list: label, value
