@@ -10,6 +10,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a text table, spread over the cores if the file has fewer splits than that.
+
+    Rule matching is heavy per row; a large table has many splits and stays as read.
+    """
+    df = table(spark, folder, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _seeded(df: DataFrame, key: str, rows, schema: str) -> DataFrame:
     """Join a short literal list by ``key % len(rows)``."""
     spark = df.sparkSession
@@ -26,7 +36,7 @@ def frame_id(doc_id) -> F.Column:
 
 def chunks_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Raw chunks: every document with a clinical seed, metadata tail, tags and a path."""
-    d = _seeded(table(spark, folder, "documents"), "doc_id", seeds.CHUNKS,
+    d = _seeded(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", seeds.CHUNKS,
                 "title string, sentence string, type2 string, type1 string, pdf string")
     i = F.col("doc_id")
     rp = F.when(i % 31 == 30, "0.0").when(i % 7 == 0, "0.3").when(i % 7 == 1, "bad").otherwise("1.0")
@@ -55,7 +65,7 @@ def chunks_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunks_raw_v1(spark: SparkSession, folder: str) -> DataFrame:
     """First-generation chunks: type in the metadata map, metadata as lines of the text."""
-    d = _seeded(table(spark, folder, "documents"), "doc_id", seeds.CHUNKS,
+    d = _seeded(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", seeds.CHUNKS,
                 "title string, sentence string, type2 string, type1 string, pdf string")
     i = F.col("doc_id")
     snippet = F.concat("sentence", F.when(i % 5 == 2, F.lit("\nhierarchy_level: 2")).otherwise(""), F.lit("\n"), "text")
@@ -70,7 +80,7 @@ def chunks_raw_v1(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunks_secondary(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the secondary corpus: every web page behind a clinical seed."""
-    d = _seeded(table(spark, folder, "pages"), "page_id", seeds.CHUNKS,
+    d = _seeded(texts(spark, folder, "pages", "page_id", "html"), "page_id", seeds.CHUNKS,
                 "title string, sentence string, type2 string, type1 string, pdf string")
     i = F.col("page_id").cast("string")
     return d.select(
