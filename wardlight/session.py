@@ -1,7 +1,10 @@
 """Session settings for local runs; a cluster brings its own session."""
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +47,26 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once per application, so that Python kernels can import it there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    from pyarrow import fs
+
+    home, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for path in sorted(home.rglob("*.py")):
+            z.write(path, path.relative_to(home.parent))
+    uri = f"{shared_folder(spark).rstrip('/')}/{home.name}-{uuid.uuid4().hex}.zip"
+    store, place = fs.FileSystem.from_uri(uri)
+    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(place) as out:
+        out.write(data.getvalue())
+    context.addPyFile(uri)
+    _shipped.add(context.applicationId)
