@@ -2,11 +2,13 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import packing, token_files
+from . import packing, pieces, quality_classifier, quality_rules, simhash, token_files, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,6 +16,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_warc_packages(spark, folder):
+    found = warc.read_packages(warc.write_packages(_table(spark, folder, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_files(spark, folder):
     return token_files.read_token_files(token_files.write_token_files(_table(spark, folder, "documents"), WORD_BPE))
 
@@ -22,5 +29,25 @@ def op4_best_fit_packing(spark, folder):
     return packing.pack_documents(_table(spark, folder, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+def op5_quality_rules(spark, folder):
+    return quality_rules.judge(_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left_words")
+
+
+def op6_quality_classifier(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, _table(spark, folder, "labels")))
+
+
+def op8_simhash_near_dedup(spark, folder):
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_sentencepiece(spark, folder):
+    return pieces.encode_and_decode(_table(spark, folder, "documents"), PIECE_BPE)
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_warc_packages, op3_token_files, op4_best_fit_packing, op5_quality_rules, op6_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece)}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.ORACLE, "op2_warc_packages": warc.ORACLE}
