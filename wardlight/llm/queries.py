@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import packing, pieces, quality_classifier, quality_rules, simhash, token_files, warc
+from . import balltree, packing, pieces, quality_classifier, quality_rules, simhash, token_files, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,6 +39,12 @@ def op6_quality_classifier(spark, folder):
     return quality_classifier.classify(docs, quality_classifier.fit(docs, _table(spark, folder, "labels")))
 
 
+def op7_exact_topk(spark, folder):
+    rows = _table(spark, folder, "embeddings").where(balltree.usable("embedding") & F.col("vec_id").isNotNull())
+    vectors = rows.select("vec_id", balltree.whole_numbers("embedding").alias("vector"))
+    return balltree.top_k(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
 def op8_simhash_near_dedup(spark, folder):
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,5 +55,5 @@ def op9_sentencepiece(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_warc_packages, op3_token_files, op4_best_fit_packing, op5_quality_rules, op6_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece)}
-ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.ORACLE, "op2_warc_packages": warc.ORACLE}
+    op2_warc_packages, op3_token_files, op4_best_fit_packing, op5_quality_rules, op6_quality_classifier, op7_exact_topk, op8_simhash_near_dedup, op9_sentencepiece)}
+ORACLES: dict[str, str] = {"op7_exact_topk": balltree.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op2_warc_packages": warc.ORACLE}
