@@ -1,11 +1,12 @@
 """Binary files in the shared folder, written and range-read by tasks."""
 
+import gc
 import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_folder
+from ..session import shared_folder, stored
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -34,3 +35,11 @@ def open_range(uri: str):
 def one_task_each(manifest: DataFrame) -> DataFrame:
     """Spread a small table of files so that each row is a task of its own."""
     return manifest.repartition(max(1, manifest.count()))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``stored``, and let Spark drop the shuffle files of the steps before, which it does as the driver collects garbage."""
+    written = stored(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written

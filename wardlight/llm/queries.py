@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import balltree, packing, pieces, quality_classifier, quality_rules, simhash, token_files, warc
+from . import balltree, extraction, packing, pieces, quality_classifier, quality_rules, simhash, substring, token_files, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark, folder):
+    return substring.digests(_table(spark, folder, "documents"))
+
+
 def op2_warc_packages(spark, folder):
     found = warc.read_packages(warc.write_packages(_table(spark, folder, "pages")), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,6 +58,11 @@ def op9_sentencepiece(spark, folder):
     return pieces.encode_and_decode(_table(spark, folder, "documents"), PIECE_BPE)
 
 
+def op10_html_extraction(spark, folder):
+    pages = _table(spark, folder, "pages")
+    return extraction.extract(pages, extraction.fit(extraction.sample_words(pages)))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_warc_packages, op3_token_files, op4_best_fit_packing, op5_quality_rules, op6_quality_classifier, op7_exact_topk, op8_simhash_near_dedup, op9_sentencepiece)}
-ORACLES: dict[str, str] = {"op7_exact_topk": balltree.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op2_warc_packages": warc.ORACLE}
+    op1_substring_dedup, op2_warc_packages, op3_token_files, op4_best_fit_packing, op5_quality_rules, op6_quality_classifier, op7_exact_topk, op8_simhash_near_dedup, op9_sentencepiece, op10_html_extraction)}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring.ORACLE, "op7_exact_topk": balltree.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op2_warc_packages": warc.ORACLE}
