@@ -33,7 +33,7 @@ def test_bm25_does_not_depend_on_partitions(spark, tmp_path):
     queries = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w16 nothing")], "query_id bigint, query string")
     results = [sorted(map(tuple, bm25_topk(queries, build_lexical_index(chunks.repartition(n)), F.lit(7), 7).collect())) for n in (1, 7, 64)]
     assert results[0] == results[1] == results[2] and len(results[0]) == 14
-    write_lexical_index(build_lexical_index(chunks), str(tmp_path / "ix"), buckets=2)
+    write_lexical_index(build_lexical_index(chunks), str(tmp_path / "ix"))
     stored = read_lexical_index(spark, str(tmp_path / "ix"))
     assert sorted(map(tuple, bm25_topk(queries, stored, F.lit(7), 7).collect())) == results[0]
 
@@ -66,3 +66,31 @@ def test_swap_moves_one_hit_and_keeps_scores(spark):
     hits = spark.createDataFrame([(1, p, 10.0 - p) for p in range(1, 5)], "query_id bigint, pos int, score double")
     out = g._swap(hits, F.col("pos").isin(3, 4), "moved").orderBy("pos").collect()
     assert [r.score for r in out] == [7.0, 9.0, 8.0, 6.0] and all(r.moved for r in out)
+
+
+def test_whole_content_is_indexed_and_cut_by_the_request(spark):
+    """A word far behind the usual cut is found; the request's length cuts what is returned; nameless chunks stay apart."""
+    from wardlight.operators.chunks import normalize_chunks
+    from wardlight.plans.search import Corpus, search
+    from wardlight.schemas import CHUNKS_RAW
+    from wardlight.sources.requests import with_defaults
+
+    names = [f.name for f in CHUNKS_RAW]
+    row = lambda **k: tuple(k.get(n) for n in names)
+    long = "malaria dose " * 2000 + "zebrafish " + "end " * 3000
+    raw = spark.createDataFrame([
+        row(frame_id="a", title="A", snippet=long, uri="u/a", metadata={"content_type": "recommendation"}),
+        row(frame_id=None, title="N1", snippet="one zebrafish text", uri="u/n", metadata={"content_type": "recommendation"}),
+        row(frame_id="", title="N2", snippet="another zebrafish text", uri="u/n", metadata={"content_type": "recommendation"}),
+        row(frame_id="e", title="zebrafish zebrafish", snippet="chunk_id: 5", uri="u/e", metadata={"content_type": "recommendation"}),
+    ], CHUNKS_RAW)
+    vectors = spark.createDataFrame([("a", [1.0, 0.0])], "frame_id string, embedding array<double>")
+    corpus = Corpus.of(normalize_chunks(raw, "S"), vectors)
+    asked = with_defaults(spark.createDataFrame([(1, "zebrafish", "bm25", 30000), (2, "zebrafish", "bm25", 100)], "query_id bigint, query string, search_mode string, snippet_chars int"))
+    none = spark.createDataFrame([], "query_id bigint, embedding array<double>")
+    got = {r.query_id: r for r in search(asked, corpus, none).collect()}
+    for q, n in ((1, 30000), (2, 100)):
+        hits = {h.title: h for h in got[q].hits}
+        assert set(hits) == {"A", "N1", "N2"} and len(hits["A"].content) == n
+        assert hits["N1"].frame_id == hits["N2"].frame_id == ""
+    assert "zebrafish" in {h.title: h for h in got[1].hits}["A"].content

@@ -108,14 +108,25 @@ def with_metadata(raw: DataFrame) -> DataFrame:
     return found.withColumn("meta", F.struct(*merged)).drop("_own", "_parts")
 
 
-def normalize_chunks(raw: DataFrame, source: str, snippet_chars: int | Column = 15000,
-                     pack: RulePack = V2) -> DataFrame:
-    """Clean, typed chunks; empty ones are dropped (v2 only)."""
-    kept = raw.where(F.coalesce(F.col("snippet"), F.lit("")) != "")
-    limit = snippet_chars if isinstance(snippet_chars, Column) else F.lit(snippet_chars)
+#: First character of the key of a chunk without a frame_id.
+NAMELESS = "~"
+
+
+def chunk_key() -> Column:
+    """The frame_id, or a hash of place, title and text where there is none, so that nameless chunks stay apart."""
+    own = F.concat(F.lit(NAMELESS), F.sha1(F.concat_ws("\0", "uri", "title", "snippet")))
+    return F.when(F.coalesce("frame_id", F.lit("")) == "", own).otherwise(F.col("frame_id"))
+
+
+def normalize_chunks(raw: DataFrame, source: str, pack: RulePack = V2) -> DataFrame:
+    """Clean, typed chunks with their whole content; a request cuts it (``plans.search.with_chunks``).
+
+    Chunks whose content is empty after cleaning stay: a search may fetch them,
+    and leaves them out of its pool then (v2 only).
+    """
+    kept = raw.where(F.coalesce(F.col("snippet"), F.lit("")) != "").withColumn("chunk_id", chunk_key())
     if pack.metadata_priority:
         rows = with_metadata(kept).withColumn("body", drop_metadata_lines(F.col("body"), pack.metadata_lines))
-        rows = rows.where(F.col("body") != "")
         meta = lambda f: F.col(f"meta.{f}")
         file_name = F.coalesce(meta("pdf_file"), F.lit(""))
     else:
@@ -123,9 +134,10 @@ def normalize_chunks(raw: DataFrame, source: str, snippet_chars: int | Column =
         meta = lambda f: F.try_element_at("metadata", F.lit(f))
         file_name = file_of_uri(clean_uri(F.col("uri")))
     return rows.select(
+        "chunk_id",
         F.coalesce("frame_id", F.lit("")).alias("frame_id"),
         F.coalesce("title", F.lit("")).alias("title"),
-        F.substring(F.col("body"), F.lit(1), limit).alias("content"),
+        F.col("body").alias("content"),
         F.lit(source).alias("source"),
         clean_uri(F.coalesce("uri", F.lit(""))).alias("uri"),
         F.coalesce(meta("content_type"), F.lit(pack.default_type)).alias("content_type"),

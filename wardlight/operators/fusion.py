@@ -4,9 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import RulePack
+from .chunks import NAMELESS
 
 # fixed values: fusion bias and the bounds of a widened pool
 RRF_K = 60
+RANKS = 1_000_000
 POOL_FACTOR, POOL_MIN, POOL_MAX = 3, 15, 50
 
 
@@ -30,14 +32,15 @@ def _listed(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
 def _merge(listed: DataFrame, fuse: Column, k: int) -> DataFrame:
     """One row per query and parent (where fused) or hit; at most two short lists meet per query."""
     unnamed = F.concat(F.when(F.col("list_ord") == 0, "l").otherwise("s"), (F.col("rank") - 1).cast("string"))
-    parent = F.when(F.coalesce("frame_id", F.lit("")) == "", unnamed).otherwise(parent_of(F.col("frame_id")))
+    nameless = F.coalesce("frame_id", F.lit("")) == ""
+    parent = F.when(nameless | F.col("frame_id").startswith(NAMELESS), unnamed).otherwise(parent_of(F.col("frame_id")))
     named = listed.withColumn("_fuse", fuse).withColumn("parent_id", F.when(F.col("_fuse"), parent).otherwise(F.col("frame_id")))
     places = F.array_sort(F.collect_list(F.struct("list_ord", "rank", "frame_id", "score")))
     merged = named.groupBy("query_id", "parent_id", "_fuse").agg(places.alias("_places"))
     total = F.aggregate("_places", F.lit(0.0), lambda acc, p: acc + F.lit(1.0) / (F.lit(k) + p["rank"]))
     first = F.element_at("_places", 1)
-    # arrival order: all of the first list, then what the second list adds
-    arrival = first["rank"] + F.when(F.col("_fuse"), first["list_ord"] * 1_000_000).otherwise(0)
+    # arrival order: all of the first list, then what the second list adds; ranks are at most RANKS
+    arrival = first["rank"] + F.when(F.col("_fuse"), first["list_ord"] * RANKS).otherwise(0)
     return merged.select(
         "query_id", "parent_id", first["frame_id"].alias("frame_id"),
         F.when(F.col("_fuse"), total).otherwise(first["score"]).alias("score"), arrival.alias("pos"))

@@ -1,110 +1,176 @@
 """Term index and BM25 top-k for whole batches of queries."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ranking import top_k
+from ..functions.text import let
+from ..session import ship, stored
 
 K1, B = 1.2, 0.75
 _UNITS = 1_000_000  # scores add up in whole millionths, so that the order of the sum does not matter
+#: Query terms that travel to the index at once, and (chunk, query) sums that a task holds at once.
+BLOCK_TERMS, PAIRS = 200_000, 2_000_000
 
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # term, frame_id, tf, doc_len
+    """``entries`` has one row per chunk, so that a task scores its chunks whole."""
+
+    entries: DataFrame  # frame_id, doc_len, terms: array of (term, tf)
     term_df: DataFrame  # term, df
     stats: DataFrame  # one row: n_chunks, avg_len
 
+    @property
+    def postings(self) -> DataFrame:
+        """term, frame_id, tf, doc_len."""
+        return self.entries.select("frame_id", "doc_len", F.inline("terms")).select("term", "frame_id", "tf", "doc_len")
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def term_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+def counted(words: Column) -> Column:
+    """Array of (term, tf): starts of equal runs in the sorted words, each up to the next."""
 
+    def of_sorted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k) != F.get(s, k - 1)))
+        return let(starts, lambda p: F.transform(p, lambda k, n: F.struct(
+            F.get(s, k).alias("term"), (F.coalesce(F.get(p, n + 1), F.size(s)) - k).cast("long").alias("tf"))))
 
-def build_lexical_index(chunks: DataFrame) -> LexicalIndex:
-    """Index of title and content.
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(words) == 0, empty).otherwise(let(F.sort_array(words), of_sorted))
 
-    Length is known per row, so the only shuffle moves pre-counted postings.
-    """
-    words = chunks.select("frame_id", tokens(F.concat_ws(" ", "title", "content")).alias("_words"))
-    lengths = words.select("frame_id", F.size("_words").cast("long").alias("doc_len"))
-    postings = (
-        words.select("frame_id", F.size("_words").cast("long").alias("doc_len"), F.explode("_words").alias("term"))
-        .groupBy("term", "frame_id", "doc_len")
-        .agg(F.count("*").alias("tf"))
-        .select("term", "frame_id", "tf", "doc_len")
-    )
+
+def index_of(entries: DataFrame) -> LexicalIndex:
+    """Index over its entries. Only document frequencies are shuffled, after map-side counts."""
     return LexicalIndex(
-        postings=postings,
-        term_df=term_frequencies(postings),
-        stats=lengths.agg(F.count("*").alias("n_chunks"), F.avg("doc_len").alias("avg_len")),
+        entries=entries,
+        term_df=entries.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")),
+        stats=entries.agg(F.count("*").alias("n_chunks"), F.avg("doc_len").alias("avg_len")),
     )
 
 
-def write_lexical_index(index: LexicalIndex, folder: str, buckets: int = 64) -> None:
-    """Store the index; postings are foldered by a hash of the term, salted by frame.
+def build_lexical_index(chunks: DataFrame, key: str = "frame_id") -> LexicalIndex:
+    """Index of title and whole content; ``key`` names the chunk."""
+    words = chunks.select(F.col(key).alias("frame_id"), tokens(F.concat_ws(" ", "title", "content")).alias("_words"))
+    return index_of(words.select("frame_id", F.size("_words").cast("long").alias("doc_len"), counted(F.col("_words")).alias("terms")))
 
-    A very frequent term would fill one writer task, so each term bucket is
-    spread over several tasks by frame.
-    """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    salt = F.pmod(F.xxhash64("frame_id"), F.lit(8)).cast("int")
-    (
-        index.postings.withColumns({"term_bucket": bucket, "_salt": salt})
-        .repartition("term_bucket", "_salt")
-        .drop("_salt")
-        .sortWithinPartitions("term_bucket", "term")
-        .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{folder}/postings")
-    )
+
+def write_lexical_index(index: LexicalIndex, folder: str) -> None:
+    """Store the index as Spark partitions it; a search reads each entry once, so entries need no folders."""
+    index.entries.write.mode("overwrite").parquet(f"{folder}/entries")
     index.term_df.write.mode("overwrite").parquet(f"{folder}/term_df")
     index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
 
 def read_lexical_index(spark, folder: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "term_df", "stats")))
+    return LexicalIndex(*(spark.read.parquet(f"{folder}/{t}") for t in ("entries", "term_df", "stats")))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def bm25_scores(queries: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Score of every (query, chunk) pair that shares a term.
-
-    Postings of other terms drop out at the join.  Join sides are left to the
-    runtime statistics: a small query batch is broadcast, a large one is
-    shuffled with skewed terms split.
-    """
-    n = index.stats.select("n_chunks").scalar()
-    avg_len = index.stats.select("avg_len").scalar()
-    weights = (
-        query_terms(queries)
-        .join(index.term_df, "term")
-        .withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-        .select("query_id", "term", "idf")
-    )
-    tf, doc_len = F.col("tf").cast("double"), F.col("doc_len").cast("double")
-    gain = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * doc_len / avg_len))
-    return (
-        index.postings.join(weights, "term")
-        .groupBy("query_id", "frame_id")
-        .agg((F.sum(F.round(gain * _UNITS).cast("long")) / _UNITS).alias("score"))
-    )
+def _best(queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first k of each query, by score and then id."""
+    order = np.lexsort((ids, -scores, queries))
+    q = queries[order]
+    first = np.searchsorted(q, q, "left")
+    return order[np.arange(len(q)) - first < k]
+
+
+def _score_kernel(block, k: int, avg_len: float, schema: pa.Schema):
+    """Arrow kernel over index entries: sums per (chunk, query), then the k best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, terms, starts, owner, idf = block.value
+        wanted, many = pa.array(terms, pa.string()), np.diff(starts)
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object))
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            length, lists = batch.column(1).to_numpy(), batch.column(2)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            term = pc.index_in(flat.field("term"), value_set=wanted)
+            hit = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
+            term = pc.fill_null(term, 0).to_numpy()[hit]
+            row, tf = row[hit], flat.field("tf").to_numpy()[hit].astype(np.float64)
+            sums = np.append(0, np.cumsum(many[term]))
+            a = 0
+            while a < len(term):  # parts of whole chunks with a bounded number of pairs
+                b = int(np.searchsorted(sums, sums[a] + PAIRS, "right")) - 1
+                b = max(b, a + 1)
+                if b < len(term):
+                    edge = int(np.searchsorted(row, row[b], "left"))
+                    b = edge if edge > a else int(np.searchsorted(row, row[a], "right"))
+                held = _merge(held, _scored(term[a:b], row[a:b], tf[a:b], length, starts, many, owner, idf, avg_len, len(query_ids)), names, k)
+                a = b
+        if len(held[0]):
+            q, score, ids = held
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([query_ids[x] for x in q], schema.field(0).type), pa.array(ids.tolist(), pa.string()), pa.array(score / _UNITS)], schema=schema)
+
+    return run
+
+
+def _scored(term, row, tf, length, starts, many, owner, idf, avg_len, n_queries):
+    """(query, score, row) of each pair of these postings that shares a term."""
+    n = many[term]
+    post = np.repeat(np.arange(len(term)), n)
+    at = starts[term][post] + np.arange(len(post)) - np.repeat(np.cumsum(n) - n, n)
+    gain = idf[at] * (tf[post] * (K1 + 1)) / (tf[post] + K1 * (1 - B + B * length[row[post]] / avg_len))
+    pair, where = np.unique(row[post] * n_queries + owner[at], return_inverse=True)
+    total = np.bincount(where, np.floor(gain * _UNITS + 0.5), len(pair)).astype(np.int64)
+    return pair % n_queries, total, pair // n_queries
+
+
+def _merge(held, found, names, k):
+    q, score, row = found
+    q, score, ids = np.concatenate([held[0], q]), np.concatenate([held[1], score]), np.concatenate([held[2], names[row]])
+    keep = _best(q, score, np.unique(ids, return_inverse=True)[1] if len(ids) else ids, k)
+    return q[keep], score[keep], ids[keep]
 
 
 def bm25_topk(queries: DataFrame, index: LexicalIndex, k: Column, largest_k: int) -> DataFrame:
     """(query_id, frame_id, score, rank) of the best k chunks of each query.
 
-    ``largest_k`` bounds every k, which lets each task drop all but its own best
-    rows before the shuffle.
+    Query terms with their weights go to the index in blocks of a bounded number
+    of rows, one pass over the entries per block. A task scores its chunks whole
+    and keeps ``largest_k`` (the bound of every k) rows per query, so only those
+    are shuffled, whatever number of chunks share a word with a query.
     """
-    scored = bm25_scores(queries, index)
-    best = top_k(scored, "query_id", F.lit(largest_k), F.col("score").desc(), F.col("frame_id"))
+    spark = queries.sparkSession
+    ship(spark)
+    row = index.stats.first()
+    n, avg_len = row["n_chunks"], row["avg_len"] or 1.0
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    weights = stored(query_terms(queries).join(index.term_df, "term").select("query_id", "term", idf.alias("idf")))
+    blocks = max(1, -(-weights.count() // BLOCK_TERMS))
+    id_field = queries.schema["query_id"]
+    schema = T.StructType([T.StructField("query_id", id_field.dataType), T.StructField("frame_id", T.StringType()), T.StructField("score", T.DoubleType())])
+    id_type = pa.int64() if isinstance(id_field.dataType, T.LongType) else pa.string()
+    arrow = pa.schema([("query_id", id_type), ("frame_id", pa.string()), ("score", pa.float64())])
+    found = None
+    for b in range(blocks):
+        rows = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("term", "query_id").collect()
+        ids = list(dict.fromkeys(r.query_id for r in rows))
+        number = {x: i for i, x in enumerate(ids)}
+        terms = list(dict.fromkeys(r.term for r in rows))
+        starts = [i for i, r in enumerate(rows) if i == 0 or r.term != rows[i - 1].term] + [len(rows)]
+        block = spark.sparkContext.broadcast(
+            (ids, terms, np.array(starts, np.int64), np.array([number[r.query_id] for r in rows], np.int64), np.array([r.idf for r in rows], np.float64)))
+        part = index.entries.select("frame_id", "doc_len", "terms").mapInArrow(_score_kernel(block, largest_k, avg_len, arrow), schema)
+        found = part if found is None else found.unionByName(part)
+    best = top_k(found, "query_id", F.lit(largest_k), F.col("score").desc(), F.col("frame_id"))
     return (
         best.join(queries.select("query_id", k.alias("_k")), "query_id")
         .where(F.col("rank") <= F.col("_k"))

@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizing import broadcast_if
@@ -10,7 +10,7 @@ from ..operators import guardrails as g
 from ..operators import rerank as r
 from ..operators.fusion import dispatch, fetch_errors, pool_size
 from ..operators.intent import INTENT_COLUMNS, query_intent
-from ..operators.lexical import LexicalIndex, bm25_topk, build_lexical_index, term_frequencies
+from ..operators.lexical import LexicalIndex, bm25_topk, build_lexical_index, index_of
 from ..operators.semantic import cosine_topk
 from ..rules import PROFILES, RulePack, V2
 from ..session import stored
@@ -20,7 +20,7 @@ REQUEST_COLUMNS = ["k", "threshold", "safe_top1_guardrail", "strict_mode", "stri
 
 @dataclass
 class Corpus:
-    """Chunks, their term index and their vectors (frame_id, embedding)."""
+    """Chunks, their term index and their vectors (frame_id, embedding); index and vectors go by chunk_id."""
 
     chunks: DataFrame
     index: LexicalIndex
@@ -28,10 +28,9 @@ class Corpus:
 
     @classmethod
     def of(cls, chunks: DataFrame, vectors: DataFrame) -> "Corpus":
-        """Index the chunks; the postings are stored, since several tables derive from them."""
-        index = build_lexical_index(chunks)
-        postings = stored(index.postings)
-        return cls(chunks, LexicalIndex(postings, term_frequencies(postings), index.stats), vectors)
+        """Store the cleaned chunks and their index entries once; searches read them."""
+        chunks = stored(chunks)
+        return cls(chunks, index_of(stored(build_lexical_index(chunks, "chunk_id").entries)), vectors)
 
 
 def understood(requests: DataFrame, pack: RulePack = V2) -> DataFrame:
@@ -48,18 +47,27 @@ def candidate_lists(intents: DataFrame, corpus: Corpus, query_vecs: DataFrame, p
     ready = sized.where(~semantic_mode).select(*sized.columns).unionByName(with_vec.select(*sized.columns))
     lexical = bm25_topk(ready.where(F.lower("search_mode") != "sem"), corpus.index, F.col("_pool"), largest)
     semantic = cosine_topk(with_vec, corpus.vectors, F.col("_pool"))
+    if pack.metadata_priority:
+        lexical, semantic = (without_empty(x, corpus.chunks) for x in (lexical, semantic))
     return stored(dispatch(ready, lexical, semantic))
 
 
+def without_empty(listed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A fetched list without chunks that have no content, ranked anew."""
+    empty = chunks.where(F.col("content") == "").select(F.col("chunk_id").alias("frame_id"))
+    left = listed.join(empty, "frame_id", "left_anti")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).select(listed.columns)
+
+
 def with_chunks(candidates: DataFrame, intents: DataFrame, chunks: DataFrame, n_requests: int, pool: int) -> DataFrame:
-    """Candidates with chunk and intent columns, hash-partitioned by query.
+    """Candidates with chunk and intent columns, hash-partitioned by query; content is cut to the request's length here.
 
     The chunk table is by far the largest input.  Candidates number at most two
     pools per request; while that bound is small they are broadcast to the
     chunks, so that chunk text is not shuffled.
     """
     bound = broadcast_if(candidates, n_requests * pool * 2, 96)
-    joined = chunks.join(bound, "frame_id")
+    joined = chunks.join(bound.withColumnRenamed("frame_id", "chunk_id"), "chunk_id").drop("chunk_id")
     slots = intents.select("query_id", "query", "snippet_chars", *REQUEST_COLUMNS, *INTENT_COLUMNS)
     full = joined.repartition("query_id").join(slots, "query_id")
     return full.withColumn("content", F.substring(F.col("content"), F.lit(1), F.col("snippet_chars"))).drop("snippet_chars")

@@ -66,7 +66,7 @@ def chunks() -> list[str]:
         """merged AS (
   SELECT *, coalesce(m_pdf, '') = '' AS no_pdf FROM own)""",
         f"""chunks AS MATERIALIZED (
-  SELECT frame_id, title, substr(content, 1, 15000) AS content, 'WHO Guidelines' AS source,
+  SELECT frame_id, title, content, 'WHO Guidelines' AS source,
     CASE WHEN contains(uri, '#page-') THEN split_part(uri, '#', 1) ELSE uri END AS uri,
     coalesce(m_type, CASE WHEN no_pdf THEN type2 END, 'background') AS content_type,
     coalesce(TRY_CAST(coalesce(m_rp, CASE WHEN no_pdf AND superseded THEN '0.0' END) AS DOUBLE), 1.0e0) AS retrieval_priority,
@@ -74,7 +74,7 @@ def chunks() -> list[str]:
     CASE WHEN m_head IS NULL OR m_head = '' THEN [] WHEN starts_with(m_head, '[') THEN CAST(json(m_head) AS VARCHAR[]) ELSE [m_head] END AS headings,
     coalesce(m_url, '') AS source_url, CASE WHEN has_map THEN 'strong' END AS recommendation_strength,
     coalesce(m_pdf, CASE WHEN no_pdf THEN pdf END, '') AS pdf_file, i
-  FROM merged WHERE content <> '')""",
+  FROM merged)""",
     ]
 
 
@@ -86,7 +86,7 @@ def chunks_v1() -> list[str]:
         values("seed_chunks", "seed_no, title, sentence, type2, type1, pdf", rows),
         f"docs AS (SELECT d.doc_id AS i, d.text, s.* FROM documents d JOIN seed_chunks s ON d.doc_id % {n} = s.seed_no)",
         f"""chunks AS MATERIALIZED (
-  SELECT {FRAME.format(i='i')} AS frame_id, title, substr({drop_lines(body, v.METADATA_LINES_V1)}, 1, 15000) AS content,
+  SELECT {FRAME.format(i='i')} AS frame_id, title, {drop_lines(body, v.METADATA_LINES_V1)} AS content,
     'WHO Guidelines' AS source, 'kb://guides/' || pdf || '/' || i AS uri,
     CASE WHEN i % 9 <> 8 THEN type1 ELSE 'regular' END AS content_type, 1.0e0 AS retrieval_priority, pdf AS pdf_file, i
   FROM docs)""",
@@ -187,6 +187,10 @@ def pool(pack: RulePack) -> str:
 
 def lists(pack: RulePack, asked: str = "intents", s: str = "", vectors: str | None = None) -> list[str]:
     """lexical, semantic and dispatched candidate lists."""
+    new, gone = "rank", ""
+    if pack.metadata_priority:  # chunks without content leave after the fetch
+        new = "row_number() OVER (PARTITION BY query_id ORDER BY rank)"
+        gone = " AND frame_id NOT IN (SELECT frame_id FROM chunks WHERE content = '')"
     vectors = vectors or f"SELECT {FRAME.format(i='vec_id')} AS frame_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN documents ON doc_id = vec_id"
     return [
         f"""query_vecs{s} AS MATERIALIZED (
@@ -202,14 +206,14 @@ def lists(pack: RulePack, asked: str = "intents", s: str = "", vectors: str | No
       / (tf + 1.2e0 * (1 - 0.75e0 + 0.75e0 * doc_len / avg_len)) * 1000000) AS BIGINT)) AS DOUBLE) / 1000000 AS score
   FROM terms{s} JOIN term_df{s} USING (term) JOIN postings{s} USING (term), stats{s} GROUP BY query_id, frame_id)""",
         f"""lex{s} AS MATERIALIZED (
-  SELECT query_id, frame_id, score, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM bm25{s}) WHERE rank <= pool)""",
+  SELECT query_id, frame_id, score, {new} AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM bm25{s}) WHERE rank <= pool{gone})""",
         f"""cosine{s} AS (
   SELECT query_id, pool, frame_id, round(list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))), 9) AS score
   FROM ready{s} JOIN query_vecs{s} q USING (query_id), chunk_vecs{s} c WHERE mode IN ('sem', 'rrf'))""",
         f"""sem{s} AS MATERIALIZED (
-  SELECT query_id, frame_id, score, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM cosine{s}) WHERE rank <= pool)""",
+  SELECT query_id, frame_id, score, {new} AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM cosine{s}) WHERE rank <= pool{gone})""",
         f"""listed{s} AS (
   SELECT query_id, frame_id, rank, 0 AS l FROM lex{s} UNION ALL SELECT query_id, frame_id, rank, 1 FROM sem{s})""",
         f"""fused{s} AS (
@@ -259,7 +263,7 @@ def hits(pack: RulePack, asked: str = "intents", chunk_table: str = "chunks", s:
   SELECT c.query_id, c.score, c.pos, [c.score] AS trail, h.*, q.* EXCLUDE (query_id, asked, search_mode, source_mode),
     {fold('h.title')} AS title_f, {fold('h.content')} AS content_f,
     lower({fold(strip('h.title'))}) || ' ' || lower({fold('h.content')}) AS both_f
-  FROM candidates{s} c JOIN {chunk_table} h USING (frame_id) JOIN {asked} q USING (query_id)
+  FROM candidates{s} c JOIN (SELECT * REPLACE (substr(content, 1, 15000) AS content) FROM {chunk_table}) h USING (frame_id) JOIN {asked} q USING (query_id)
   WHERE NOT {matches(f"substr({fold('h.content')}, 1, 2000)", pack.corruption)} {drop})""",
     ]
 
@@ -494,7 +498,7 @@ def federated() -> list[str]:
     limit = " ".join(f"WHEN lower(search_mode) = {lit(m)} THEN {num(x)}" for m, x in v.FAILOVER_THRESHOLDS.items())
     n = len(seeds.CHUNKS)
     out = chunks_v1() + intents("v1_federated", pack) + [
-        f"""pages2 AS MATERIALIZED (SELECT 'w' || page_id AS frame_id, title, substr({body}, 1, 15000) AS content, 'WikiMed' AS source,
+        f"""pages2 AS MATERIALIZED (SELECT 'w' || page_id AS frame_id, title, {body} AS content, 'WikiMed' AS source,
   'kb://wiki/' || pdf || '/' || page_id AS uri, type1 AS content_type, 1.0e0 AS retrieval_priority, pdf AS pdf_file, page_id AS i
   FROM pages JOIN seed_chunks ON page_id % {n} = seed_no)""",
         "asked_1 AS (SELECT * FROM intents WHERE source_mode <> 'wiki')",
