@@ -38,3 +38,15 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str, spread:
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
     return salted(big, small, keys, how, spread)
+
+
+def renewed(docs: DataFrame, text: Column) -> list[Column]:
+    """The columns of ``docs`` out of struct ``row``, with a new text and, where it is there, its n_chars."""
+    def value(name: str) -> Column:
+        if name == "text":
+            return text
+        if name == "n_chars":
+            return F.length(text).cast(docs.schema[name].dataType)
+        return F.col("row")[name]
+
+    return [value(name).alias(name) for name in docs.columns]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .columns import BLANK, let, lines_with_words, lookup, words
+from .columns import BLANK, let, lines_with_words, lookup, renewed, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -127,16 +127,7 @@ def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = rows.select("row", cleaned.alias("clean"), both.alias("w"))
     rows = rows.select("row", "clean", F.col("w.n").alias("n_words"), F.col("w.again").alias("again"), F.size(words(F.col("clean"))).alias("n_left_words"))
     kept = rows.where((F.col("n_words") >= limits.min_words) & (100 * F.col("again") <= limits.repeat_percent * F.col("n_words")) & _enough(limits))
-    return kept.select(*[_renewed(docs, c) for c in docs.columns])
-
-
-def _renewed(docs: DataFrame, column: str) -> Column:
-    value = F.col("row")[column]
-    if column == "text":
-        value = F.col("clean")
-    if column == "n_chars":
-        value = F.length("clean").cast(docs.schema["n_chars"].dataType)
-    return value.alias(column)
+    return kept.select(*renewed(docs, F.col("clean")))
 
 
 ORACLE = r"""

@@ -20,6 +20,7 @@ returned whole and is no reference. Rows that repeat a doc_id are one document:
 do not remove each other's words. Other columns than doc_id and text are not read.
 """
 
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .columns import lookup
+from .columns import lookup, renewed
 from .files import settled
 from .windows import anchors, parts, runs, words_of
 
 WINDOW, GRAM = 13, 4
+_SPANS = re.compile(r"[ \t-\r]*[^ \t-\r]+")
 SHARD, CROWDED = 100_000, 4096
 
 
@@ -194,21 +196,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     @F.pandas_udf("string")
     def cut(texts, starts):
-        import re
-
         def one(text, places):
             if places is None or len(places) == 0:
                 return text
             _, stays = _kept(text, list(places), window)
-            spans = re.findall(r"[ \t-\r]*[^ \t-\r]+", text)
+            spans = _SPANS.findall(text)
             return "".join(x for x, s in zip(spans, stays, strict=True) if s).strip(" \t\n\x0b\x0c\r")
 
         return texts.combine(starts, one)
 
     rows = _with_windows(docs, window, gram, F.struct("*").alias("row"))
     rows = rows.withColumn("clean", F.when(F.col("starts").isNull(), F.col("text")).otherwise(cut("text", "starts")))
-    n_chars = lambda: F.length("clean").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[{"text": F.col("clean"), "n_chars": n_chars() if c == "n_chars" else None}.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return rows.select(*renewed(docs, F.col("clean")))
 
 
 ORACLE = r"""
