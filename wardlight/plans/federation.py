@@ -9,6 +9,7 @@ from ..operators import rerank as r
 from ..operators.fusion import fetch_errors
 from ..rules import FEDERATED
 from ..rules import vocabulary as v
+from ..session import stored
 from .search import Corpus, candidates, understood
 
 def _mode():
@@ -79,12 +80,15 @@ def chosen_hit(intents: DataFrame, primary: DataFrame, secondary: DataFrame) ->
 
 
 def federated_hits(intents: DataFrame, primary: Corpus, secondary: Corpus, query_vecs: DataFrame):
-    """(final hits, primary hits, secondary hits, secondary requests) of all requests."""
+    """(final hits, primary hits, secondary hits, secondary requests) of all requests.
+
+    Hits of either side are at most a pool per request; they are stored, as several results derive from them.
+    """
     pack = FEDERATED
     first = intents.where(_mode() != "wiki")
-    p = r.score_candidates(candidates(first, primary, query_vecs, pack), pack)
-    asked = secondary_requests(intents, p)
-    s = r.score_candidates(candidates(asked, secondary, query_vecs, pack), pack)
+    p = stored(r.score_candidates(candidates(first, primary, query_vecs, pack), pack))
+    asked = stored(secondary_requests(intents, p))
+    s = stored(r.score_candidates(candidates(asked, secondary, query_vecs, pack), pack))
     merged = merge_sources(intents, p, s)
     floor = F.when(~F.col("strict_cds_mode") & F.col("is_action"), pack.action_floor).otherwise(F.col("threshold"))
     kept = settle_positions(r.apply_threshold(merged, floor))
@@ -97,7 +101,7 @@ def settle_positions(hits: DataFrame) -> DataFrame:
 
 
 def federated_search(requests: DataFrame, primary: Corpus, secondary: Corpus, query_vecs: DataFrame) -> DataFrame:
-    """One response per request: hits, hit, source_used, secondary count, failover reason, flags."""
+    """One response per request, blank ones with an error: hits, hit, source_used, secondary count, failover reason, flags."""
     pack = FEDERATED
     intents = understood(requests, pack)
     hits, p, s, asked = federated_hits(intents, primary, secondary, query_vecs)
@@ -107,7 +111,9 @@ def federated_search(requests: DataFrame, primary: Corpus, secondary: Corpus, qu
         F.col("pos").alias("rank"), "score", "frame_id", "source", "title", "content", "uri", "content_type"))).alias("hits"))
     floor = F.when(~F.col("strict_cds_mode") & F.col("is_action"), pack.action_floor).otherwise(F.col("threshold"))
     chosen = chosen_hit(intents, p, s)
-    errors = fetch_errors(intents, query_vecs).groupBy("query_id").agg(F.array_sort(F.collect_list("error")).alias("errors"))
+    # each side that is asked and cannot be reports its own error, the primary first
+    failed = fetch_errors(intents.where(_mode() != "wiki"), query_vecs).unionByName(fetch_errors(asked, query_vecs))
+    errors = failed.groupBy("query_id").agg(F.collect_list("error").alias("errors"))
     joined = (
         intents.join(lists, "query_id", "left").join(flags, "query_id", "left").join(chosen, "query_id", "left")
         .join(asked.select("query_id", "failover_reason"), "query_id", "left").join(errors, "query_id", "left")
@@ -123,10 +129,15 @@ def federated_search(requests: DataFrame, primary: Corpus, secondary: Corpus, qu
     first = F.try_element_at("hits", F.lit(1))
     fallback = F.when(first.isNotNull(), F.struct(first["frame_id"].alias("frame_id"), first["source"].alias("source"), first["score"].alias("score")))
     hit = F.coalesce(own, fallback)
-    return joined.select(
+    answered = joined.select(
         "query_id", "query", hit.alias("hit"), F.coalesce(hit["source"], F.lit("none")).alias("source_used"), "hits",
         F.size(F.filter("hits", lambda h: h["source"] == v.SECONDARY_SOURCE)).alias("secondary_count"),
         "failover_reason", F.coalesce("errors", strings).alias("errors"), "quality_flags",
     )
+    blank = {"hit": F.lit(None), "source_used": F.lit("none"), "hits": empty, "secondary_count": F.lit(0), "failover_reason": F.lit(None),
+             "errors": F.array("error"), "quality_flags": strings}
+    invalid = requests.where(F.col("error").isNotNull()).select(
+        "query_id", "query", *[c.cast(answered.schema[n].dataType).alias(n) for n, c in blank.items()])
+    return answered.unionByName(invalid)
 
 

@@ -6,22 +6,26 @@ from pyspark.sql import functions as F
 from ..operators.fhir import confirm
 
 
-def write_confirmed(items: DataFrame, folder: str, accepted: Column | None = None) -> DataFrame:
-    """Write payloads by resource type and the status rows; returns the status rows as written."""
-    status = confirm(items, accepted)
+_STATUS = ["encounter_uuid", "item_id", "label", "fhir_type", "status", "error"]
+
+
+def _write(status: DataFrame, folder: str, batch: str) -> None:
+    """One folder per batch, overwritten when the batch is repeated."""
     status.where(F.col("status") == "posted").select("fhir_type", F.col("fhir_payload").alias("value")).write.mode(
-        "append").partitionBy("fhir_type").text(f"{folder}/resources")
-    columns = ["encounter_uuid", "item_id", "label", "fhir_type", "status", "error"]
-    status.select(*columns).write.mode("append").parquet(f"{folder}/results")
-    return items.sparkSession.read.parquet(f"{folder}/results")
+        "overwrite").partitionBy("fhir_type").text(f"{folder}/resources/batch={batch}")
+    status.select(*_STATUS).write.mode("overwrite").parquet(f"{folder}/results/batch={batch}")
+
+
+def write_confirmed(items: DataFrame, folder: str, accepted: Column | None = None, batch: str = "0") -> DataFrame:
+    """Write payloads by resource type and the status rows of a batch; returns its status rows as written."""
+    _write(confirm(items, accepted), folder, batch)
+    return items.sparkSession.read.parquet(f"{folder}/results/batch={batch}")
 
 
 def confirm_batches(folder: str):
     """``foreachBatch`` function that routes each micro-batch to its own folder (safe to repeat)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        status = confirm(batch)
-        status.where(F.col("status") == "posted").select("fhir_type", F.col("fhir_payload").alias("value")).write.mode(
-            "overwrite").partitionBy("fhir_type").text(f"{folder}/resources/batch={batch_id}")
+        _write(confirm(batch), folder, str(batch_id))
 
     return write

@@ -32,9 +32,10 @@ def stream_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def request_log(log: DataFrame) -> DataFrame:
-    """Finished HTTP requests, one row per trace id (works on files and streams)."""
+    """Finished HTTP requests: of each trace id the first by time, ties by the other columns."""
     done = log.where((F.col("message") == "Request completed") & F.col("trace_id").isNotNull())
-    return done.select("trace_id", "ts", "method", "path", "status", "elapsed_ms").dropDuplicates(["trace_id"])
+    first = F.min(F.struct("ts", "method", "path", "status", "elapsed_ms"))
+    return done.groupBy("trace_id").agg(first.alias("_r")).select("trace_id", "_r.*")
 
 
 def ingest_requests(spark: SparkSession, path: str, out: str, checkpoint: str, delay: str = "1 hour"):

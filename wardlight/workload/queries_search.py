@@ -484,17 +484,29 @@ def _(spark, d):
   CASE WHEN len(coalesce(quality_flags, [])) > 0 THEN '|' ELSE '' END || 'strict_cds_no_hit' ELSE '' END AS flags, f, coalesce(n, 0) AS n, coalesce(w, 0) AS w,
   CASE WHEN floor <= 0 OR c.x >= floor THEN c.f END AS own FROM intents i LEFT JOIN flags USING (query_id) LEFT JOIN heads USING (query_id) JOIN chosen USING (query_id))""",
 ], """SELECT query_id, flags, CASE WHEN strict_mode AND flags <> '' THEN 0 ELSE n END AS n_hits, CASE WHEN strict_mode AND flags <> '' THEN 0 ELSE w END AS secondary_count,
-  CASE WHEN strict_mode AND flags <> '' THEN NULL ELSE coalesce(own, f) END AS hit FROM parts"""))
+  CASE WHEN strict_mode AND flags <> '' THEN NULL ELSE coalesce(own, f) END AS hit,
+  repeat('x', coalesce(first_, 0) + coalesce(second_, 0)) AS errors FROM parts
+  LEFT JOIN (SELECT query_id, 1 AS first_ FROM asked_1 WHERE lower(search_mode) IN ('sem', 'rrf') AND query_id NOT IN (SELECT query_id FROM query_vecs)) USING (query_id)
+  LEFT JOIN (SELECT query_id, 1 AS second_ FROM asked_2 WHERE lower(search_mode) IN ('sem', 'rrf') AND query_id NOT IN (SELECT query_id FROM query_vecs)) USING (query_id)
+  UNION ALL SELECT query_id, '', 0, 0, NULL, 'query_required' FROM requests WHERE asked = ''"""))
 def _(spark, d):
     requests = with_defaults(i.requests_raw(spark, d, "v1_federated"), "v1_federated")
     out = fed.federated_search(requests, *_corpora(spark, d), i.query_vectors(spark, d))
     return out.select("query_id", F.array_join("quality_flags", "|").alias("flags"), F.size("hits").cast("bigint").alias("n_hits"),
-                      F.col("secondary_count").cast("bigint").alias("secondary_count"), F.col("hit.frame_id").alias("hit"))
+                      F.col("secondary_count").cast("bigint").alias("secondary_count"), F.col("hit.frame_id").alias("hit"),
+                      F.array_join(F.transform("errors", lambda e: F.when(e.startswith("fetch error ("), "x").otherwise(e)), "").alias("errors"))
 
 
 # ------------------------------------------------------------------ comparison of runs
 
-@query("y1_compare_runs")
+_RUN = "SELECT query_id, source, content FROM final WHERE pos = 1"
+
+
+@query("y1_compare_runs", f"""SELECT query_id, coalesce(a.source, 'none') AS source_a, coalesce(b.source, 'none') AS source_b,
+  coalesce(a.content <> '', false) AS has_content_a, coalesce(b.content <> '', false) AS has_content_b, coalesce(a.source = b.source, false) AS source_match,
+  CASE WHEN NOT coalesce(a.content <> '', false) OR NOT coalesce(b.content <> '', false) THEN 'missing content'
+    WHEN NOT coalesce(a.source = b.source, false) THEN 'source mismatch' END AS failure
+  FROM ({with_(o.full("v2")[1], _RUN)}) a FULL JOIN ({with_(o.full("v1")[1], _RUN)}) b USING (query_id)""")
 def _(spark, d):
     top = lambda hits: hits.where(F.col("pos") == 1).select("query_id", "query", "source", "content")
     a, b = top(rerank_all(pool(spark, d))), top(rerank_all(pool(spark, d, "v1"), V1))

@@ -556,9 +556,12 @@ def _(spark, d):
     return logs.search_log_summary(logs.parse_log(i.service_log_lines(spark, d)))
 
 
-@query("x5_request_log", f"SELECT DISTINCT 't' || event_id % 1000 AS trace_id, 'GET' AS method {_LOG} AND event_id % 3 = 2")
+@query("x5_request_log", f"""SELECT 't' || event_id % 1000 AS trace_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS ts, 'GET' AS method, NULL::VARCHAR AS path,
+  CAST(arg_min(200 + event_id % 2, (ts, event_id % 2)) AS INTEGER) AS status, NULL::DOUBLE AS elapsed_ms
+  FROM (SELECT event_id, date_trunc('millisecond', ts) AS ts {_LOG}) WHERE event_id % 3 = 2 GROUP BY event_id % 1000""")
 def _(spark, d):
-    return logs.request_log(logs.parse_log(i.service_log_lines(spark, d))).select("trace_id", "method")
+    done = logs.request_log(logs.parse_log(i.service_log_lines(spark, d)))
+    return done.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"))
 
 
 @query("s8_audio_triage", """SELECT doc_id, doc_id % 2 = 0 AS is_wav, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 8 = 2 THEN 2 ELSE 1 END END AS channels,
