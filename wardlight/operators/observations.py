@@ -4,8 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.sizing import broadcast_small
 from ..rules import concepts as c
-from .manifests import manifest_labels
+from ..session import stored
+from .manifests import manifest_labels, suffix_entries
 from .semantic import dot, pool_embeddings, vector_norm
 
 # fixed values: negations, confidences
@@ -147,32 +149,37 @@ def _says(value: Column, phrases) -> Column:
     return out
 
 
-def find_entry(manifest: Column, label: Column) -> Column:
-    return F.try_element_at(F.filter(manifest, lambda m: m["label"] == label), F.lit(1))
+def with_entry(rows: DataFrame, entries: DataFrame, suffixes: bool) -> DataFrame:
+    """Rows with the manifest ``entry`` of their type and label.
 
-
-def suffix_entry(manifest: Column, label: Column) -> Column:
-    """First manifest entry whose label ends in ``_label``, for keys that lost their start."""
-    ends = F.filter(manifest, lambda m: F.endswith(m["label"], F.concat(F.lit("_"), label)))
-    return F.when(F.length(label) >= 2, F.try_element_at(ends, F.lit(1)))
+    ``suffixes``: else the first entry whose label ends in ``_label``, for keys
+    that lost their start. Both tables go by (manifest_type, label), so a row
+    carries a type and not a manifest.
+    """
+    n, key = entries.count(), ["manifest_type", "label"]
+    if not suffixes:
+        return rows.join(broadcast_small(entries, n), key, "left")
+    ends = stored(suffix_entries(entries).withColumnRenamed("entry", "_end"))
+    rows = rows.join(broadcast_small(entries, n), key, "left").join(broadcast_small(ends, ends.count()), key, "left")
+    return rows.withColumn("entry", F.coalesce("entry", "_end")).drop("_end")
 
 
-def accept(rows: DataFrame, path: str = "audio") -> DataFrame:
+def accept(rows: DataFrame, entries: DataFrame, path: str = "audio") -> DataFrame:
     """Cleaned rows that pass the filters, with their manifest ``entry`` (null outside).
 
-    ``rows``: doc_id, pos, label, value and the encounter's ``manifest``.
+    ``rows``: doc_id, pos, label, value and manifest_type; ``entries``: see
+    ``manifests.manifest_entries``.
     """
     if path == "audio":
         rows = rows.withColumns({"label": clean_label(F.col("label")), "value": clean_value(F.col("value"))})
         rows = rows.where((F.col("label") != "") & (F.col("value") != "") & ~_says(F.col("value"), AUDIO_NEGATIONS))
-        entry = F.coalesce(find_entry(F.col("manifest"), F.col("label")), suffix_entry(F.col("manifest"), F.col("label")))
-        rows = rows.withColumn("entry", entry).withColumn("label", F.coalesce("entry.label", "label"))
+        rows = with_entry(rows, entries, True).withColumn("label", F.coalesce("entry.label", "label"))
         rows = rows.where(~F.lower("value").isin(*AUDIO_ABSENT))
     else:
         quoted = F.btrim(F.btrim("value", F.lit('"')), F.lit("'"))
         rows = rows.where(~F.col("label").startswith("#")).withColumn("value", quoted)
         rows = rows.where(~_says(F.col("value"), TEXT_NEGATIONS))
-        rows = rows.withColumn("entry", find_entry(F.col("manifest"), F.col("label")))
+        rows = with_entry(rows, entries, False)
     bare = (F.lower(tx.strip(F.col("value"))) == "present") & F.coalesce(F.col("entry.value_type") == "Quantity", F.lit(False))
     return rows.where(~bare & (F.col("value") != ""))
 
@@ -183,26 +190,31 @@ def first_per_label(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "label").agg(F.min_by(F.struct(*rest), "pos").alias("_r")).select("doc_id", "label", "_r.*")
 
 
-def clean_observations(rows: DataFrame, path: str = "audio", labels: Column | None = None) -> DataFrame:
+def clean_observations(rows: DataFrame, entries: DataFrame, path: str = "audio", labels: Column | None = None) -> DataFrame:
     """Accepted items with confidence and the outside-manifest flag.
 
     ``labels``: labels listed in the manifest text; by default those of the
     manifest itself.
     """
-    kept = accept(rows, path)
+    kept = accept(rows, entries, path)
     if path == "audio":
         kept = first_per_label(kept)
     inside = F.col("entry").isNotNull()
-    listed = labels if labels is not None else F.transform("manifest", lambda m: m["label"])
+    plain = F.translate(F.lower("label"), " ", "_")
+    if labels is None:
+        names = entries.select("manifest_type", F.col("label").alias("_plain"), F.lit(True).alias("_listed"))
+        kept = kept.withColumn("_plain", plain).join(broadcast_small(names, entries.count()), ["manifest_type", "_plain"], "left")
+        listed = F.coalesce("_listed", F.lit(False))
+    else:
+        listed = F.array_contains(labels, plain)
     out = kept.withColumns({
         "item_id": F.concat(F.lit("item_"), F.col("pos").cast("string")),
         "confidence": F.when(inside, CONFIDENCE[(path, True)]).otherwise(CONFIDENCE[(path, False)]),
         "not_in_manifest": (
-            ~inside & ~F.array_contains(listed, F.translate(F.lower("label"), " ", "_"))
-            if path == "audio" else F.lit(False)
+            ~inside & ~listed if path == "audio" else F.lit(False)
         ),
     })
-    return out.drop("manifest")
+    return out.drop("manifest_type", "_plain", "_listed")
 
 
 def display_items(data: DataFrame) -> DataFrame:

@@ -38,21 +38,38 @@ CONCEPTS = [
 
 # --- fixed values: concept codes per encounter type ----------------------------
 
-_VITALS = ["5088", "5085", "5086", "5087", "5092", "5089", "5090", "5242"]
-_GENERAL = ["1342", "159368", "160347", "166589", "161422"]
-_LAB = ["730", "5497", "160912", "169187", "167176", "887"]
-_ANTENATAL = ["163166", "1160", "1439", "163460", "5916", "165380", "166604"]
-
 ENCOUNTER_CONCEPTS = {
-    "67a71486-1a54-468f-ac3e-7091a9a79584": _VITALS + ["1342", "5314"],
-    "d7151f82-c1f3-4152-a605-2f9ea7414a79": _VITALS + _GENERAL + _LAB,
-    "dd528487-82a5-4082-9c72-ed246bd49591": _VITALS + _GENERAL + _LAB,
-    "3596fafb-6f6f-4396-8c87-6e63a0f1bd71": _LAB + ["162660", "5475"],
-    "0e8230ce-bd1d-43f5-a863-cf44344fa4b0": _VITALS + _GENERAL + _LAB[:3],
-    "e22e39fd-7db2-45e7-80f1-60fa0d5a4378": _VITALS + _ANTENATAL,
-    "6d88e570-a489-4e31-9e0a-5406c2e75d9e": _VITALS + ["5314", "1343", "5916", "166604"],
+    "67a71486-1a54-468f-ac3e-7091a9a79584": [
+        "5088", "5085", "5086", "5087", "5092", "5089", "5090", "5242", "1342", "5314",
+    ],
+    "d7151f82-c1f3-4152-a605-2f9ea7414a79": [
+        "5088", "5085", "5086", "5087", "5092", "5089", "5090", "5242", "1342", "159368", "160347", "166589",
+        "161422", "730", "5497", "160912", "169187", "167176", "887",
+    ],
+    "dd528487-82a5-4082-9c72-ed246bd49591": [
+        "5088", "5085", "5086", "5087", "5092", "5089", "5090", "5242", "1342", "159368", "160347", "166589",
+        "161422", "730", "5497", "160912", "169187", "167176", "887",
+    ],
+    "3596fafb-6f6f-4396-8c87-6e63a0f1bd71": [
+        "730", "5497", "160912", "169187", "167176", "887", "162660", "5475",
+    ],
+    "0e8230ce-bd1d-43f5-a863-cf44344fa4b0": [
+        "5088", "5085", "5086", "5087", "5092", "5089", "5090", "5242", "1342", "159368", "160347", "166589",
+        "161422", "730", "5497", "160912",
+    ],
+    "e22e39fd-7db2-45e7-80f1-60fa0d5a4378": [
+        "5088", "5085", "5086", "5087", "5092", "5089", "5090", "5242", "163166", "1160", "1439", "163460", "5916",
+        "165380", "166604",
+    ],
+    "6d88e570-a489-4e31-9e0a-5406c2e75d9e": [
+        "5088", "5085", "5086", "5087", "5092", "5089", "5090", "5242", "5314", "1343", "5916", "166604",
+    ],
 }
-DEFAULT_CONCEPTS = _VITALS + _GENERAL + _LAB + _ANTENATAL + ["5314", "1343", "162660"]
+DEFAULT_CONCEPTS = [
+    "5088", "5085", "5086", "5087", "5092", "5089", "5090", "5242", "1342", "159368", "160347", "166589", "161422",
+    "730", "5497", "160912", "169187", "167176", "887", "163166", "1160", "1439", "163460", "5916", "165380",
+    "166604", "5314", "1343", "162660",
+]
 
 # --- fixed values: vital signs in free text: pattern, code, label, units ---------
 

@@ -402,29 +402,45 @@ _ACC = _E + [
 ]
 
 
-def _rows(spark, d):
+def _entries(spark, d):
+    concepts, lists = ma.dictionary_tables(spark)
+    return ma.manifest_entries(concepts, lists, i.concept_ids(spark, d))
+
+
+def _rows(spark, d, entries):
     lines = i.observation_lines(spark, d)
     per = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "label", "value"))).alias("ls"))
     rows = per.select("doc_id", F.posexplode("ls").alias("pos", "o")).select("doc_id", "pos", "o.label", "o.value")
-    return rows.join(_manifests(spark, d).select("doc_id", "encounter_uuid", "patient_uuid", "manifest"), "doc_id")
+    typed = ma.with_manifest_type(i.encounters_flat(spark, d), entries)
+    return rows.join(typed.select("doc_id", "encounter_uuid", "patient_uuid", "manifest_type"), "doc_id")
+
+
+def _cleaned(spark, d):
+    entries = _entries(spark, d)
+    return ob.clean_observations(_rows(spark, d, entries), entries, "audio")
+
+
+def _accepted(spark, d, path):
+    entries = _entries(spark, d)
+    return ob.accept(_rows(spark, d, entries), entries, path)
 
 
 @query("e7_e8_e9_accept", with_(_ACC, "SELECT doc_id, pos, label, value, entry FROM accepted"))
 def _(spark, d):
-    out = ob.accept(_rows(spark, d), "audio")
+    out = _accepted(spark, d, "audio")
     return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "label", "value", F.col("entry.label").alias("entry"))
 
 
 @query("e7_text_path", with_(_OBS + _M, f"""SELECT doc_id, pos, label, value FROM (SELECT doc_id, pos, label, trim(trim(value, '"'), '''') AS value FROM obs_lines) x JOIN enc USING (doc_id)
   WHERE NOT starts_with(label, '#') AND NOT ({_NEG(ob.TEXT_NEGATIONS)}) AND value <> '' AND NOT (lower(value) = 'present' AND EXISTS (SELECT 1 FROM manifest m WHERE m.t = enc.t AND m.label = x.label))"""))
 def _(spark, d):
-    return ob.accept(_rows(spark, d), "text").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "label", "value")
+    return _accepted(spark, d, "text").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "label", "value")
 
 
 @query("e10_e11_items", with_(_ACC, """SELECT doc_id, label, value, pos, CASE WHEN entry IS NULL THEN 0.9e0 ELSE 0.95e0 END AS confidence,
   entry IS NULL AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.t = firsts.t AND m.label = replace(lower(firsts.label), ' ', '_')) AS not_in_manifest FROM firsts"""))
 def _(spark, d):
-    out = ob.clean_observations(_rows(spark, d), "audio")
+    out = _cleaned(spark, d)
     return out.select("doc_id", "label", "value", F.col("pos").cast("bigint").alias("pos"), "confidence", "not_in_manifest")
 
 
@@ -432,7 +448,7 @@ _BUILT = "2026-01-01T00:00:00+00:00"
 
 
 def _items(spark, d):
-    return fh.to_fhir(ob.clean_observations(_rows(spark, d), "audio"), F.lit(_BUILT))
+    return fh.to_fhir(_cleaned(spark, d), F.lit(_BUILT))
 
 
 _NUM = "regexp_replace(value, '[^\\d.\\-]', '', 'g')"
@@ -456,7 +472,7 @@ def _(spark, d):
   FROM (SELECT doc_id, label, CASE doc_id % 4 WHEN 0 THEN 'Absent' WHEN 1 THEN 'unconfirmed' WHEN 2 THEN 'ruled_out' ELSE value END AS value FROM built WHERE entry IS NOT NULL)"""))
 def _(spark, d):
     value = F.when(F.col("doc_id") % 4 == 0, "Absent").when(F.col("doc_id") % 4 == 1, "unconfirmed").when(F.col("doc_id") % 4 == 2, "ruled_out").otherwise(F.col("value"))
-    items = ob.clean_observations(_rows(spark, d), "audio").where(F.col("entry").isNotNull())
+    items = _cleaned(spark, d).where(F.col("entry").isNotNull())
     items = items.withColumn("value", value).withColumn("entry", F.col("entry").withField("fhir_type", F.lit("Condition")))
     out = fh.to_fhir(items, F.lit(_BUILT))
     at = lambda path: F.get_json_object("fhir_payload", "$." + path)
