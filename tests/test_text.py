@@ -96,13 +96,18 @@ def test_case_text_from_json(spark, tmp_path):
         '{"patient_uuid":"p1","uuid":"e1","encounterDatetime":"2024-08-17T10:00:00.000+0000","encounterType":{"display":"First"},'
         f'"location":{{"display":"Here"}},"obs":[{weight},{gone},{date},{group},{coded}]}}\n')
     patients = records.read_patients(spark, str(tmp_path / "p.json"))
-    visits = records.earliest(records.read_encounters(spark, str(tmp_path / "e.json")))
+    visits = records.earliest(records.read_encounters(spark, str(tmp_path / "e.json")), 50)
     row = ca.case_text(patients, visits).first()
     assert row.case_text.split("\n") == [
         "Age: 38.0", "Gender: M", "Birthdate: 1986-08-19", "OpenMRS ID: JIN-2024-017872", "Occupation: Farmer",
         "Visit: First", "Date: 2024-08-17T10:00:00", "Location: Here", "Weight (kg): 63.2 kg", "Appointment Date: 2025-01-01",
         "Gestational age: 28", "Diagnosis: Depression", "Visit: Late", "Date: 2024-08-18T00:00:00", "Location: Unknown"]
-    assert (row.encounter_count, row.obs_count, row.groups_too_deep) == (2, 5, 0)
+    assert (row.encounter_count, row.obs_count, row.groups_too_deep, row.encounters_left_out) == (2, 5, 0, 0)
+    # what is left out is counted: a second encounter, and a group below the declared levels
+    flat = records.earliest(records.read_encounters(spark, str(tmp_path / "e.json"), depth=1), 1)
+    row = ca.case_text(patients, flat).first()
+    assert (row.encounter_count, row.encounters_left_out, row.groups_too_deep) == (1, 1, 1)
+    assert ca.declared_depth(flat) == 1 and ca.declared_depth(visits) == 4
 
 
 def test_sse(spark):

@@ -65,8 +65,23 @@ def too_deep(obs: Column, depth: int) -> Column:
     return F.coalesce(F.aggregate(obs, F.lit(0), lambda n, o: n + F.coalesce(too_deep(o["groupMembers"], depth - 1), F.lit(0))), F.lit(0))
 
 
-def flatten_obs(encounters: DataFrame, depth: int = 4) -> DataFrame:
-    """One row per leaf observation: patient_uuid, encounter_uuid, ord, name, datatype, code, value."""
+def declared_depth(encounters: DataFrame) -> int:
+    """Levels of observations that the schema declares; nothing below is read."""
+    kind, depth = encounters.schema["obs"].dataType, 0
+    while "concept" in kind.elementType.names:
+        depth += 1
+        if "groupMembers" not in kind.elementType.names:
+            break
+        kind = kind.elementType["groupMembers"].dataType
+    return depth
+
+
+def flatten_obs(encounters: DataFrame) -> DataFrame:
+    """One row per leaf observation: patient_uuid, encounter_uuid, ord, name, datatype, code, value.
+
+    All levels of the schema are followed; ``case_text`` counts groups that nest deeper.
+    """
+    depth = declared_depth(encounters)
     rows = encounters.select(
         "patient_uuid", F.col("uuid").alias("encounter_uuid"), F.posexplode(leaves(F.col("obs"), depth)).alias("ord", "_o")
     )
@@ -133,20 +148,23 @@ def encounter_lines(depth: int) -> Column:
     return F.concat(top, F.coalesce(F.array_compact(F.transform(leaves(F.col("obs"), depth), obs_line)), none))
 
 
-def case_text(patients: DataFrame, encounters: DataFrame, depth: int = 4) -> DataFrame:
-    """Case text and prompt per patient.
+def case_text(patients: DataFrame, encounters: DataFrame) -> DataFrame:
+    """Case text and prompt per patient, with what it leaves out.
 
-    ``encounters`` carries ``ord`` and at most 50 rows per patient (see the
-    record source), so a patient's lines are gathered within a bound.
+    ``encounters`` comes from ``records.earliest``: ``ord``, at most its limit of
+    rows per patient, so that a patient's lines are gathered within a bound, and
+    ``n_encounters``, from which encounters_left_out is counted.
     """
+    depth = declared_depth(encounters)
     visits = encounters.select(
-        "patient_uuid", "ord", encounter_lines(depth).alias("lines"),
+        "patient_uuid", "ord", "n_encounters", encounter_lines(depth).alias("lines"),
         F.coalesce(F.size("obs"), F.lit(0)).alias("n_obs"), too_deep(F.col("obs"), depth).alias("deep"),
     ).groupBy("patient_uuid").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lines"))), lambda e: e["lines"])).alias("lines"),
         F.count("*").alias("encounter_count"),
         F.sum(F.greatest("n_obs", F.lit(0))).alias("obs_count"),
         F.sum("deep").alias("groups_too_deep"),
+        (F.max("n_encounters") - F.count("*")).alias("encounters_left_out"),
     )
     none = F.array().cast("array<string>")
     joined = patients.withColumnRenamed("uuid", "patient_uuid").join(visits, "patient_uuid", "left")
@@ -164,4 +182,5 @@ def case_text(patients: DataFrame, encounters: DataFrame, depth: int = 4) -> Dat
         F.coalesce("encounter_count", zero).alias("encounter_count"),
         F.coalesce("obs_count", zero).alias("obs_count"),
         F.coalesce("groups_too_deep", zero).alias("groups_too_deep"),
+        F.coalesce("encounters_left_out", zero).alias("encounters_left_out"),
     ).withColumn("prompt", F.concat(F.lit(PROMPT[0]), F.col("case_text"), F.lit(PROMPT[1])))

@@ -12,16 +12,18 @@ from pyspark.sql import types as T
 
 from ..functions.ranking import top_k
 
-# fixed values: window layout
-WINDOW_CHARS, MAX_WINDOWS = 10_000, 3
+# fixed value: window size; the embedding service itself reads three windows
+WINDOW_CHARS = 10_000
 _DIGITS = 9
 
 
-def embedding_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Up to three consecutive windows of 10,000 characters; none for empty text."""
-    n = F.least(F.lit(MAX_WINDOWS), F.ceil(F.length(text) / WINDOW_CHARS).cast("int"))
+def embedding_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window_chars: int = WINDOW_CHARS,
+                      max_windows: int | None = None) -> DataFrame:
+    """Consecutive windows of a text; none for empty text. ``max_windows`` leaves out what lies behind the last."""
+    n = F.ceil(F.length(text) / window_chars).cast("int")
+    n = n if max_windows is None else F.least(F.lit(max_windows), n)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.substring(F.col(text), i * WINDOW_CHARS + 1, F.lit(WINDOW_CHARS)))
+    windows = F.transform(starts, lambda i: F.substring(F.col(text), i * window_chars + 1, F.lit(window_chars)))
     return docs.select(key, F.posexplode(windows).alias("window", "window_text"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
+#: The usual number of encounters of a patient that a case shows.
 ENCOUNTER_LIMIT = 50
 
 
@@ -16,8 +17,9 @@ def read_encounters(spark: SparkSession, path: str, depth: int = 4) -> DataFrame
     return spark.read.schema(schemas.encounters(depth)).json(path)
 
 
-def earliest(encounters: DataFrame, limit: int = ENCOUNTER_LIMIT) -> DataFrame:
-    """The first ``limit`` encounters of each patient in time order, numbered by ``ord``."""
+def earliest(encounters: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` encounters of each patient in time order, numbered by ``ord``; n_encounters counts all of them."""
     order = Window.partitionBy("patient_uuid").orderBy(
         F.col("encounterDatetime").try_cast("timestamp").asc_nulls_last(), "uuid")
-    return encounters.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= limit)
+    every = Window.partitionBy("patient_uuid")
+    return encounters.withColumns({"ord": F.row_number().over(order), "n_encounters": F.count("*").over(every)}).where(F.col("ord") <= limit)

@@ -184,7 +184,7 @@ def _(spark, d):
 
 
 @query("i3_embedding_windows", """SELECT doc_id, w AS "window", length(t) AS chars, md5(t) AS hash FROM (
-  SELECT doc_id, w, substr(text, w * 10000 + 1, 10000) AS t FROM documents, (SELECT unnest([0, 1, 2]) AS w) WHERE w * 10000 < length(text))""")
+  SELECT doc_id, w, substr(text, w * 10000 + 1, 10000) AS t FROM (SELECT doc_id, text, unnest(range((length(text) + 9999) // 10000)) AS w FROM documents))""")
 def _(spark, d):
     w = embedding_windows(i.table(spark, d, "documents"))
     return w.select("doc_id", "window", F.length("window_text").cast("bigint").alias("chars"), F.md5(F.col("window_text").cast("binary")).alias("hash"))

@@ -244,7 +244,7 @@ _HEAD = f"""'Age: ' || {_AGE} || chr(10) || 'Gender: ' || CASE c_custkey % 3 WHE
 
 @query("s3_patient_encounters", with_(_P, "SELECT patient_uuid, uuid, ord, dt AS encounterDatetime FROM ranked"))
 def _(spark, d):
-    e = records.earliest(i.encounters(spark, d))
+    e = records.earliest(i.encounters(spark, d), records.ENCOUNTER_LIMIT)
     return e.select("patient_uuid", "uuid", F.col("ord").cast("bigint").alias("ord"), "encounterDatetime")
 
 
@@ -252,7 +252,7 @@ def _(spark, d):
   trim(regexp_replace(name, '\\s*\\(CIEL:\\d+\\)', '', 'g')) AS name, CASE kind WHEN 0 THEN '5089' WHEN 1 THEN '5085' WHEN 2 THEN '161439' WHEN 3 THEN '5090'
   WHEN 6 THEN CASE WHEN m = 0 THEN '5090' END WHEN 7 THEN '1284' END AS code, value FROM leaves WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""))
 def _(spark, d):
-    flat = ca.flatten_obs(i.encounters(spark, d), depth=2)
+    flat = ca.flatten_obs(i.encounters(spark, d))
     return flat.select("encounter_uuid", F.col("ord").cast("bigint").alias("ord"), ca.strip_code(F.col("name")).alias("name"), "code", "value")
 
 
@@ -278,10 +278,11 @@ def _(spark, d):
     || coalesce(chr(10) || t, '') AS v, coalesce(n_obs, 0) AS n_obs FROM ranked LEFT JOIN obs_text ON l_orderkey = o_orderkey)""",
     "per AS (SELECT patient_uuid, string_agg(v, chr(10) ORDER BY ord) AS vs, count(*) AS encounter_count, sum(n_obs)::BIGINT AS obs_count FROM visits GROUP BY patient_uuid)",
 ], f"""SELECT 'p' || c_custkey AS patient_uuid, md5({_HEAD} || chr(10) || 'Occupation: ' || c_mktsegment || chr(10) || 'Civil Status: Married' || coalesce(chr(10) || vs, '')) AS case_text,
-  coalesce(encounter_count, 0) AS encounter_count, coalesce(obs_count, 0) AS obs_count FROM customer JOIN ages USING (c_custkey) LEFT JOIN per ON patient_uuid = 'p' || c_custkey"""))
+  coalesce(encounter_count, 0) AS encounter_count, coalesce(obs_count, 0) AS obs_count,
+  coalesce(all_, 0) - coalesce(encounter_count, 0) AS encounters_left_out FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS all_ FROM orders GROUP BY 1) USING (c_custkey) JOIN ages USING (c_custkey) LEFT JOIN per ON patient_uuid = 'p' || c_custkey"""))
 def _(spark, d):
-    out = ca.case_text(i.patients(spark, d), records.earliest(i.encounters(spark, d)), depth=2)
-    return out.select("patient_uuid", md5("case_text").alias("case_text"), "encounter_count", "obs_count")
+    out = ca.case_text(i.patients(spark, d), records.earliest(i.encounters(spark, d), records.ENCOUNTER_LIMIT))
+    return out.select("patient_uuid", md5("case_text").alias("case_text"), "encounter_count", "obs_count", "encounters_left_out")
 
 
 # ------------------------------------------------------------------ manifests and observations
