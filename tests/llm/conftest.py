@@ -1,7 +1,11 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parents[2])]
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, host string, row int, path string, kept boolean, fp long, _id int"
 
 

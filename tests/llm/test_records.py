@@ -118,7 +118,7 @@ def test_states_do_not_contradict():
     main, wrap = np.full(n, -5.0), np.full(n, -5.0)
     main[-1] = 1.0  # a paragraph alone against parts that are surely left out
     assert extraction.decode(page, main, wrap) == ""
-    wrap[:] = 5.0
+    wrap[:-1] = 5.0
     assert extraction.decode(page, main, wrap) == "b"
 
 
