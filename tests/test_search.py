@@ -27,6 +27,17 @@ def test_cosine_matches_brute_force(spark, block_bytes):
         assert [got[(i, n + 1)] for n in range(5)] == [f"c{j:02d}" for j in order]
 
 
+def test_cosine_compares_vectors_of_one_size(spark, monkeypatch):
+    from wardlight.operators import semantic
+
+    monkeypatch.setattr(semantic, "SCORES", 3)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 0.0])], "query_id bigint, embedding array<double>")
+    chunks = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.0, 1.0, 0.2]), ("c", [0.5, 0.5]), ("d", [1.0])], "frame_id string, embedding array<double>")
+    got = sorted((r.query_id, r.frame_id) for r in cosine_topk(queries, chunks, F.lit(5)).collect())
+    assert got == [(1, "a"), (1, "c"), (2, "b")]
+    assert [(r.dim, r.n) for r in semantic.unmatched_vectors(queries, chunks).collect()] == [(1, 1)]
+
+
 def test_bm25_does_not_depend_on_partitions(spark, tmp_path):
     texts = [(f"d{i}", "", " ".join(f"w{(i * j) % 17}" for j in range(1, 30))) for i in range(60)]
     chunks = spark.createDataFrame(texts, "frame_id string, title string, content string")

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import top_k
+from ..session import ship
 
 # fixed value: window size; the embedding service itself reads three windows
 WINDOW_CHARS = 10_000
 _DIGITS = 9
+#: Scores (chunks by queries) that a task holds at once.
+SCORES = 8_000_000
 
 
 def embedding_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window_chars: int = WINDOW_CHARS,
@@ -86,13 +89,16 @@ def _block_topk(query_ids, matrix, ks, id_type):
             block = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             norms = np.linalg.norm(block, axis=1)
             norms[norms == 0] = 1.0
-            scores = np.round((block / norms[:, None]) @ matrix.T, _DIGITS)
-            for q, k in enumerate(ks):
-                rows = _best_rows(ids, scores[:, q], k)
-                all_ids = np.concatenate([best[q][0], ids[rows]])
-                all_scores = np.concatenate([best[q][1], scores[rows, q]])
-                keep = _best_rows(all_ids, all_scores, k)
-                best[q] = (all_ids[keep], all_scores[keep])
+            step = max(1, SCORES // len(query_ids))
+            for a in range(0, len(ids), step):  # the score matrix stays bounded
+                part = ids[a:a + step]
+                scores = np.round((block[a:a + step] / norms[a:a + step, None]) @ matrix.T, _DIGITS)
+                for q, k in enumerate(ks):
+                    rows = _best_rows(part, scores[:, q], k)
+                    all_ids = np.concatenate([best[q][0], part[rows]])
+                    all_scores = np.concatenate([best[q][1], scores[rows, q]])
+                    keep = _best_rows(all_ids, all_scores, k)
+                    best[q] = (all_ids[keep], all_scores[keep])
         for q, (ids, scores) in enumerate(best):
             if len(ids):
                 yield pa.RecordBatch.from_arrays(
@@ -111,24 +117,26 @@ def cosine_topk(query_vecs: DataFrame, chunk_vecs: DataFrame, k: Column, mode: s
 
     ``exact``: chunk vectors stay where they are read; query vectors travel to
     them in blocks of bounded size, one pass over the chunks per block, and each
-    task returns only its own best k.  ``lsh``: approximate, by random
+    task returns only its own best k.  Vectors meet those of their own size; see
+    ``unmatched_vectors`` for the rest.  ``lsh``: approximate, by random
     projection buckets.
     """
+    ship(query_vecs.sparkSession)
     queries = query_vecs.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), k.cast("int").alias("_k"))
     if mode == "lsh":
         return _lsh_topk(queries, chunk_vecs, bucket_length, tables, max_distance)
-    size = queries.agg(F.count("*"), F.max(F.size("embedding")), F.max("_k")).first()
-    count, dim, largest_k = size[0], size[1] or 1, size[2] or 1
-    blocks = max(1, math.ceil(count * dim * 8 / block_bytes))
-    chunks = chunk_vecs.select(F.col("frame_id").cast("string"), "embedding").where(F.size("embedding") == dim)
+    sizes = queries.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("dim")).agg(F.count("*"), F.max("_k")).orderBy("dim").collect()
+    largest_k = max((r[2] for r in sizes), default=1)
     id_field = queries.schema["query_id"]
     schema = T.StructType([id_field, T.StructField("frame_id", T.StringType()), T.StructField("score", T.DoubleType())])
     id_type = pa.int64() if isinstance(id_field.dataType, T.LongType) else pa.string()
     parts = []
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+    plan = [(dim, max(1, math.ceil(count * dim * 8 / block_bytes))) for dim, count, _ in sizes]
+    for dim, blocks, b in [(dim, n, b) for dim, n in plan for b in range(n)]:
+        rows = queries.where((F.size("embedding") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toPandas()
         if rows.empty:
             continue
+        chunks = chunk_vecs.select(F.col("frame_id").cast("string"), "embedding").where(F.size("embedding") == dim)
         matrix = np.stack([np.asarray(e, dtype=np.float64) for e in rows["embedding"]])
         norms = np.linalg.norm(matrix, axis=1)
         norms[norms == 0] = 1.0
@@ -147,6 +155,12 @@ def cosine_topk(query_vecs: DataFrame, chunk_vecs: DataFrame, k: Column, mode: s
     )
 
 
+def unmatched_vectors(query_vecs: DataFrame, chunk_vecs: DataFrame) -> DataFrame:
+    """Sizes of chunk vectors that no query has, with their number: chunks that a search cannot find."""
+    asked = query_vecs.select(F.size("embedding").alias("dim")).distinct()
+    return chunk_vecs.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).join(asked, "dim", "left_anti")
+
+
 def _lsh_topk(queries, chunk_vecs, bucket_length, tables, max_distance):
     unit = lambda c: F.transform(c, lambda x: x / F.greatest(vector_norm(c), F.lit(1e-300)))
     left = queries.select("query_id", "_k", array_to_vector(unit(F.col("embedding"))).alias("vec"))
