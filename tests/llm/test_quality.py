@@ -84,6 +84,24 @@ def test_odd_rows_and_labels(odd, none, spark):
     assert qc.fit(none, labels).bias == 0.0
 
 
+def test_salted_joins_give_the_same(odd, spark, monkeypatch):
+    """Beyond the broadcast bound small tables meet salted rows."""
+    from wardlight.llm import columns, warc
+
+    lines = [(1000 + k, "a common line\n" + " ".join(f"w{k}x{j}" for j in range(30)), "en", "s0") for k in range(30)]
+    docs = odd.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(lines, "doc_id long, text string, lang string, source string"))
+    pages = spark.createDataFrame([(k, "u", f"{'x' * 1500}{k % 3}") for k in range(20)], "page_id long, url string, html string")
+    model = qc.fit(docs, spark.createDataFrame([(9, 1), (13, 0), (12, 0), (8, 1)], "doc_id long, quality int"))
+
+    def results():
+        tables = qr.judge(docs), qr.apply_rules(docs), qc.classify(docs, model), warc.read_packages(warc.write_packages(pages))
+        return [sorted(map(str, t.collect())) for t in tables]
+
+    first = results()
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", -1)
+    assert results() == first
+
+
 def test_features_are_as_named(spark):
     x = spark.range(1).select(qc.features(F.lit("Aa aa aa #1|\nAa aa aa #1|\n")).alias("x")).first().x
     assert len(x) == len(qc.FEATURES)

@@ -150,6 +150,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataF
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     files = stored(ordered.mapInArrow(write, "part long, uri string, n_ids long"))
+    # one row a file, so this one window stays small
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
