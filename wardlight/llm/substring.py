@@ -36,7 +36,7 @@ from .windows import anchors, parts, runs, words_of
 
 WINDOW, GRAM = 13, 4
 _SPANS = re.compile(r"[ \t-\r]*[^ \t-\r]+")
-SHARD, CROWDED = 100_000, 4096
+SHARD, CROWDED = 100_000, 1024
 
 
 def _rows(docs: DataFrame) -> DataFrame:
