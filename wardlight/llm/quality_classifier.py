@@ -26,17 +26,15 @@ from .columns import let, lines_with_words, lookup, share, words
 #: Labelled rows that the model is fitted on, at most; chosen by hash of doc_id.
 SAMPLE = 20_000
 THRESHOLD = 0.5
-FEATURES = ["symbols", "upper", "digits", "bars", "marks", "next_same", "distinct", "log_words", "distinct_by_log", "word_length", "line_repeats", "no_words"]
+FEATURES = ["symbols", "upper", "digits", "bars", "marks", "next_same", "distinct", "log_words", "distinct_by_log", "word_length", "no_words", "line_repeats"]
 
 
 def features(text: Column) -> Column:
     """Array of the measures in FEATURES, worked out in one reading of the words."""
     length = F.length(text).cast("double")
 
-    def count(characters: str) -> Column:
-        return length - F.length(F.translate(text, characters, ""))
-
-    upper = length - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
+    def count(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern)).cast("double")
 
     def of_words(w: Column) -> Column:
         n = F.size(w).cast("double")
@@ -45,9 +43,8 @@ def features(text: Column) -> Column:
         return F.array(share(same, n), distinct, F.log1p(n), distinct * F.log1p(n), share(length, n) / 10, (n < 10).cast("double"))
 
     lines = let(lines_with_words(text), lambda x: share((F.size(x) - F.size(F.array_distinct(x))).cast("double"), F.size(x).cast("double")))
-    head = F.array(share(count("#*$%&<>"), length), share(upper, length), share(count("0123456789"), length), share(count("|"), length), share(count("!?"), length))
-    w = let(words(text), of_words)
-    return F.concat(head, F.slice(w, 1, 5), F.array(lines), F.slice(w, 6, 1))
+    head = F.array(*[share(count(p), length) for p in ("[#*$%&<>]", r"\p{Lu}", "[0-9]", r"\|", "[!?]")])
+    return F.concat(head, let(words(text), of_words), F.array(lines))
 
 
 @dataclass(frozen=True)
@@ -128,12 +125,11 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     return stored(table), mean
 
 
-def _judged(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """``rows`` (with t, host, path) plus evidence, site_rate, score, kept."""
-    rows = rows.withColumn("logit", model.logit(features(F.col("t"))))
+def _judged(rows: DataFrame, threshold: float) -> DataFrame:
+    """``rows`` (with host, path and logit) plus evidence, site_rate, score, kept."""
     evidence = rows.select("host", "path", _probability(F.col("logit")).alias("p"))
     table, mean = site_posteriors(evidence)
-    joined = lookup(rows, table, ["host", "path"], "inner", F.col("t"))
+    joined = lookup(rows, table, ["host", "path"], "inner", F.col("logit"))
     p = _probability(F.col("logit"))
     site = (F.col("weight") * F.col("host_rate") + F.col("path_total") - p) / (F.col("weight") + F.col("path_n") - 1)
     site = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), site))
@@ -144,15 +140,16 @@ def _judged(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
     return joined.withColumn("kept", F.col("score") >= threshold)
 
 
-def _sites(docs: DataFrame, *more) -> DataFrame:
-    return docs.select(*more, F.coalesce("text", F.lit("")).alias("t"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"))
+def _sites(docs: DataFrame, model: Model, *more) -> DataFrame:
+    logit = model.logit(features(F.coalesce("text", F.lit(""))))
+    return docs.select(*more, F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"), logit.alias("logit"))
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, host, path, evidence, site_rate, score, kept of each row."""
-    return _judged(_sites(docs, "doc_id"), model, threshold).select("doc_id", "host", "path", "evidence", "site_rate", "score", "kept")
+    return _judged(stored(_sites(docs, model, "doc_id")), threshold).select("doc_id", "host", "path", "evidence", "site_rate", "score", "kept")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` with a score of at least the threshold, columns as given."""
-    return _judged(_sites(docs, F.struct("*").alias("row")), model, threshold).where("kept").select("row.*")
+    return _judged(_sites(docs, model, F.struct("*").alias("row")), threshold).where("kept").select("row.*")
