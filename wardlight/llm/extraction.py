@@ -170,8 +170,11 @@ def fit(words: list[str], built: int = BUILT, seed: int = 7) -> Models:
 def sample_words(pages: DataFrame, sample: int = SAMPLE, words: int = SAMPLE_WORDS) -> list[str]:
     """At most ``sample`` times ``words`` words of pages chosen by hash; used for fitting only."""
     plain = F.regexp_replace(F.col("html"), r"<[^>]*>|&\w+;", " ")
-    rows = pages.where("html IS NOT NULL").orderBy(F.xxhash64("page_id", "html")).limit(sample).select(F.slice(F.split(plain, r"\s+"), 1, words)).collect()
-    return [w for r in rows for w in r[0] if w and "<" not in w]
+    key = F.xxhash64("page_id", "html")
+    # hashes alone are ordered, so that tasks send numbers and not pages to the driver
+    chosen = [r[0] for r in pages.where("html IS NOT NULL").select(key.alias("key")).distinct().orderBy("key").limit(sample).collect()]
+    rows = pages.where(key.isin(chosen)).dropDuplicates(["page_id", "html"]).select(F.slice(F.split(plain, r"\s+"), 1, words)).collect() if chosen else []
+    return [w for r in sorted(r[0] for r in rows) for w in r if w and "<" not in w]
 
 
 def decode(page: Page, main: np.ndarray, wrap: np.ndarray) -> str:
