@@ -14,13 +14,13 @@ def _least(pairs: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of u to the least node around u."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
+    least = stored(_least(both).select("u", F.least("u", "m").alias("m")))  # a written side lets Spark split a hot u in the join
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link u and its smaller neighbours to the least of them."""
-    least = _least(edges)
+    least = stored(_least(edges))
     rest = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("u", F.col("m").alias("v"))).distinct()
 
