@@ -223,3 +223,64 @@ def test_usable_vectors(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = table.where(balltree.usable("embedding")).select("vec_id", balltree.whole_numbers("embedding").alias("v")).collect()
     assert [(x.vec_id, x.v) for x in got] == [(1, [256, 512]), (7, [-1, 128])]
+
+
+def shingles(text):
+    words = text.encode().split()
+    return frozenset(tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4)))
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def made_words(r, n):
+    return ["".join(r.choice("aeioustrnl") for _ in range(7)) for _ in range(n)]
+
+
+def test_links_below_the_similarity_are_dropped(spark):
+    """Pairs of 0.6 to 0.79 keep both texts, although their prints are often near."""
+    r, rows = random.Random(21), []
+    for k in range(60):
+        base = made_words(r, 300)
+        copy = list(base)
+        for p in range(0, 300, 300 // (8 + k % 6)):
+            copy[p] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    sets = [shingles(t) for _, t in rows]
+    assert not any(alike(sets[k], sets[k + 1]) for k in range(0, 120, 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.one_of_each(docs).collect()) == list(range(120))
+
+
+@pytest.mark.parametrize("chunk", [2048, 9])
+def test_proven_links_equal_brute_force(spark, monkeypatch, chunk):
+    """A star of copies, a chain and pairs at the limit within one candidate component, whole and dealt in chunks."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "MIDDLES", 2)
+    r = random.Random(22)
+    base, texts = made_words(r, 60), []
+    for k in range(60):  # near to the base, and not to each other
+        copy = list(base)
+        copy[r.randrange(5, 55)] = f"changed{k}"
+        texts.append(" ".join(copy))
+    texts.append(" ".join(base))
+    chain = list(base)
+    for k in range(0, 60, 2):
+        chain[k] = f"step{k}"
+        texts.append(" ".join(chain))
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_id = {x.doc_id: x for x in simhash.copy_prints(docs).collect()}
+
+    def grams(text):
+        return sorted(x - (1 << 64) if x >> 63 else x for x in (xxh64_intdigest(b" ".join(g)) for g in shingles(text)))
+
+    rows = [(7, k, by_id[k].p0, by_id[k].p1, grams(t)) for k, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "cc long, node long, p0 long, p1 long, grams array<long>")
+    roots = {x.node: x.root for x in components(simhash.proven_links(members)).collect()}
+    group = plain_components([shingles(t) for t in texts], alike)
+    least = {}
+    for k, g in enumerate(group):
+        least[g] = min(k, least.get(g, k))
+    assert [roots.get(k, k) for k in range(len(texts))] == [least[g] for g in group]

@@ -9,10 +9,10 @@ links leaves the task. A key with more than ``CHUNK`` members is dealt in chunks
 task for each pair of chunks.
 
 ``near_duplicates`` links by that distance alone. ``one_of_each`` is for cleaning a
-corpus, where near copies share at least 0.8 of their five-word shingles: no 64-bit
-print of such shingles finds those within a few bits, so a print of the single words
-is cut into blocks, and a link must also hold between prints of 128 bits over the
-five-word shingles, by their Hamming distance.
+corpus, where near copies share at least 0.8 of their distinct five-word shingles. Prints
+only give candidates there: a print of the single words is cut into blocks, and prints of
+128 bits over the shingles must not be far apart. Texts of one component of candidates are
+then linked if their sets of shingles, compared whole, share enough.
 
 Rows without doc_id take no part. A null or empty text has fingerprint zero, which
 links like any other. Rows that repeat a doc_id are one node: they are linked. Only
@@ -24,18 +24,26 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .components import components
 from .files import settled
-from .windows import mix, parts, words_of
+from .windows import Words, mix, parts, words_of
 
 DISTANCE, BLOCKS, SHINGLE, SEED = 3, 6, 3, 42
 #: For near copies: words of a shingle; bits that may differ in the print of words, and its blocks; bits of 128 that
 #: may differ over shingles. 0.8 of the shingles in common makes 19.4 different bits in the mean with a deviation of 4.1.
 COPY_SHINGLE, COPY_DISTANCE, COPY_BLOCKS, COPY_PROOF = 5, 5, 7, 23
+#: Bits of 128 that may differ in a candidate: 6 deviations above the mean at 0.8, and enough for sets of 5 shingles. Per cent of
+#: all distinct shingles of two texts that are in both.
+COPY_REACH, COPY_PERCENT = 44, 80
+#: Keys from least hashes of the shingles, and least hashes a key.
+COPY_KEYS, COPY_LEAST = 16, 4
+_ORDERS = mix(np.arange(1, COPY_KEYS * COPY_LEAST + 1, dtype=np.uint64)) | np.uint64(1)
+#: Shingles of a chunk of a component, and members that go to all of its chunks.
+GRAMS, MIDDLES = 1 << 22, 16
 #: Members of a key that are compared in one task; a pair of chunks has twice as many.
 CHUNK = 2048
 #: Links held before they are reduced to a forest.
@@ -157,28 +165,37 @@ def _edges(columns: list[np.ndarray], new: np.ndarray, distance: int, proof_dist
 def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, proof: tuple = (), proof_distance: int = 0) -> DataFrame:
     """u, v: links that connect all of ``nodes`` (fp, doc, proof columns) within the distances, without all pairs."""
     keyed = nodes.select("fp", "doc", *proof, F.posexplode(F.transform(F.array(*[F.lit(m) for m in masks(blocks, distance)]), lambda m: F.col("fp").bitwiseAND(m))).alias("mask", "key"))
+    return _within(keyed, distance, proof, proof_distance)
+
+
+def _within(keyed: DataFrame, distance: int, proof: tuple = (), proof_distance: int = 0) -> DataFrame:
+    """u, v: links within the distances between rows of equal mask and key."""
     # keys with more than CHUNK members; there are at most rows / CHUNK of them
     large = stored(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
                    .select("mask", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("n")))
     dealt = keyed.join(large, ["mask", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    own = F.pmod(F.xxhash64("doc"), F.col("n").cast("long")).cast("int")
-    pairs = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "doc", *proof)
+    pairs = _dealt(dealt, F.col("doc")).select("mask", "key", "i", "j", "fp", "doc", *proof)
     group = ["mask", "key", "i", "j"]
     return pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(_links(distance, proof_distance), "u long, v long")
 
 
-def _reached(prints: DataFrame, distance: int, blocks: int, proof: tuple = (), proof_distance: int = 0) -> DataFrame:
-    """component_id of every row of ``prints`` (doc_id, fp, proof columns), a written table."""
-    keys = ["fp", *proof]
-    nodes = settled(prints.groupBy(keys).agg(F.min("doc_id").alias("doc")))
-    edges = links(nodes, distance, blocks, proof, proof_distance)
+def _dealt(rows: DataFrame, by: Column) -> DataFrame:
+    """Rows with a number n of chunks, once for each pair i, j of chunks that holds their own."""
+    own = F.pmod(F.xxhash64(by), F.col("n").cast("long")).cast("int")
+    both = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return both.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
+def _reached(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """component_id of every row of ``prints`` (doc_id, fp), a written table."""
+    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")))
+    edges = links(nodes, distance, blocks)
     # the rows of one repeated doc_id are one node
-    repeated = prints.groupBy("doc_id").agg(F.min(F.struct(keys)).alias("a"), F.max(F.struct(keys)).alias("b")).where("a <> b").select("doc_id")
-    own = prints.join(repeated, "doc_id").join(nodes, keys).select(F.greatest("doc_id", "doc").alias("u"), F.least("doc_id", "doc").alias("v")).where("u > v")
+    repeated = prints.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
+    own = prints.join(repeated, "doc_id").join(nodes, "fp").select(F.greatest("doc_id", "doc").alias("u"), F.least("doc_id", "doc").alias("v")).where("u > v")
     roots = components(edges.union(own))
-    reached = nodes.join(roots, nodes.doc == roots.node, "left").select(*keys, F.coalesce("root", "doc").alias("component_id"))
-    return prints.join(settled(reached), keys)
+    reached = nodes.join(roots, nodes.doc == roots.node, "left").select("fp", F.coalesce("root", "doc").alias("component_id"))
+    return prints.join(settled(reached), "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -198,34 +215,226 @@ def _majority(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return found.view("<i8").ravel()
 
 
-def copy_prints(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """doc_id, fp (over single words) and the proofs p0 and p1 (over word shingles; of fewer words, over all of them)."""
+def _shingle_sets(words: Words, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the word shingles of each of n texts, sorted, and their text; of fewer words, the one over all of them."""
+    grams = np.zeros(len(words.hashes), np.uint64)
+    whole = np.append(words.text, np.full(shingle, -1))
+    many = np.zeros(len(grams), np.int64)  # words of the shingle that lie in its text
+    for k in range(shingle):
+        here = whole[k:k + len(grams)] == words.text
+        grams[here] = grams[here] * np.uint64(0x9E3779B97F4A7C15) + words.hashes[np.flatnonzero(here) + k]
+        many += here
+    first = np.append(True, words.text[1:] != words.text[:-1])[:len(grams)]
+    keep = (many == shingle) | first
+    grams, owner = mix(grams[keep]), words.text[keep]
+    edges = np.searchsorted(owner, np.arange(n + 1))
+    sets = [np.unique(grams[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(n), [len(x) for x in sets])
+
+
+def _by_text(docs: DataFrame, values, schema: str, shingle: int) -> DataFrame:
+    """Rows of ``docs`` (id, text) with what ``values`` makes of the words and shingles of a part of the texts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, b, data, offsets in parts(batch.column(1)):
+            for a, b, data, offsets in parts(batch.column(batch.num_columns - 1)):
                 words = words_of(data, offsets)
-                grams = np.zeros(len(words.hashes), np.uint64)
-                whole = np.append(words.text, np.full(shingle, -1))
-                many = np.zeros(len(grams), np.int64)  # words of the shingle that lie in its text
-                for k in range(shingle):
-                    here = whole[k:k + len(grams)] == words.text
-                    grams[here] = grams[here] * np.uint64(0x9E3779B97F4A7C15) + words.hashes[np.flatnonzero(here) + k]
-                    many += here
-                first = np.append(True, words.text[1:] != words.text[:-1])[:len(grams)]
-                keep = (many == shingle) | first
-                grams, owner = mix(grams[keep]), words.text[keep]
-                proofs = [_majority(g, owner, b - a) for g in (grams, mix(grams ^ np.uint64(0x5851F42D4C957F2D)))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), *map(pa.array, (_majority(words.hashes, words.text, b - a), *proofs))], names=["doc_id", "fp", "p0", "p1"])
+                own = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]
+                columns = [*own, *values(words, *_shingle_sets(words, b - a, shingle), b - a)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(kernel, "doc_id long, fp long, p0 long, p1 long")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return docs.mapInArrow(kernel, schema)
+
+
+def _proofs(grams: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
+    return [pa.array(_majority(g, owner, n)) for g in (grams, mix(grams ^ np.uint64(0x5851F42D4C957F2D)))]
 
 
-def one_of_each(docs: DataFrame, distance: int = COPY_DISTANCE, blocks: int = COPY_BLOCKS, proof_distance: int = COPY_PROOF) -> DataFrame:
+def _totals(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """One hash for each set of shingles."""
+    sums = np.append(np.uint64(0), np.cumsum(mix(grams ^ np.uint64(0xA0761D6478BD642F))))
+    edges = np.searchsorted(owner, np.arange(n + 1))
+    return mix(sums[edges[1:]] - sums[edges[:-1]]).view(np.int64)
+
+
+def copy_prints(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """doc_id, t (hash of the text), fp (over single words), the proofs p0 and p1 (over distinct word shingles), doc (hash of the set of shingles) and keys."""
+
+    def values(words: Words, grams: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
+        fp = pa.array(_majority(words.hashes, words.text, n))
+        return [fp, *_proofs(grams, owner, n), pa.array(_totals(grams, owner, n)), _keys(grams, owner, n)]
+
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return _by_text(rows, values, "doc_id long, t long, fp long, p0 long, p1 long, doc long, keys array<long>", shingle)
+
+
+def _keys(grams: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """COPY_KEYS hashes of COPY_LEAST least values of a set each: two sets share such a value as often as they share shingles."""
+    keys = np.zeros((n, COPY_KEYS), np.uint64)
+    if len(grams):
+        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        for k, m in enumerate(_ORDERS):
+            c = k // COPY_LEAST
+            keys[owner[starts], c] = mix(keys[owner[starts], c] ^ np.minimum.reduceat(grams * m, starts))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * COPY_KEYS), pa.array(keys.view(np.int64).ravel()))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first columns."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _near_pairs(p0: np.ndarray, p1: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions a < b and distance of pairs with near proofs and different labels, by blocks of rows."""
+    for k in range(0, len(p0), 256):
+        rows = slice(k, k + 256)
+        apart = np.bitwise_count(p0[rows, None] ^ p0) + np.bitwise_count(p1[rows, None] ^ p1)
+        a, b = np.nonzero((apart <= COPY_REACH) & (label[rows, None] != label))
+        later = a + k < b
+        a, b = a[later], b[later]
+        yield (a + k).astype(np.int32), b.astype(np.int32), apart[a, b]
+
+
+def _proven(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a group (node, label, p0, p1, grams in the last columns) whose sets share enough; the nearest are tried first."""
+    node, label, p0, p1 = (table.column(k).to_numpy() for k in range(-5, -1))
+    column = table.column(-1).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets, grams = column.offsets.to_numpy(), column.values.to_numpy()
+    size = np.diff(offsets)
+    found = [np.concatenate(x) for x in zip(*_near_pairs(p0.view(np.uint64), p1.view(np.uint64), label), strict=True)]
+    a, b, apart = found
+    fits = 100 * np.minimum(size[a], size[b]) >= COPY_PERCENT * np.maximum(size[a], size[b])
+    order = np.argsort(apart[fits], kind="stable")
+    a, b = a[fits][order], b[fits][order]
+    joined = _Forest(len(node))
+    _, first, same = np.unique(label, return_index=True, return_inverse=True)
+    joined.add(np.arange(len(node)), first[same])
+    u, v = [], []
+    for k in range(0, len(a), 4096):
+        left = joined.root[a[k:k + 4096]] != joined.root[b[k:k + 4096]]
+        for x, y in zip(a[k:k + 4096][left].tolist(), b[k:k + 4096][left].tolist(), strict=True):
+            if joined.root[x] != joined.root[y]:
+                both = len(np.intersect1d(grams[offsets[x]:offsets[x + 1]], grams[offsets[y]:offsets[y + 1]], assume_unique=True))
+                if 100 * both >= COPY_PERCENT * (size[x] + size[y] - both):
+                    joined.add(np.array([x]), np.array([y]))
+                    u.append(x)
+                    v.append(y)
+    u, v = node[np.array(u, np.int64)], node[np.array(v, np.int64)]
+    apart = u != v
+    return np.maximum(u, v)[apart], np.minimum(u, v)[apart]
+
+
+def _proven_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _groups(batches, 3):
+        if table.num_rows > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _proven(table)], names=["u", "v"])
+
+
+def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cc, node, apart: the member of each chunk (cc, own, node, p0, p1) that is nearest to the majority of its bits."""
+    for table in _groups(batches, 2):
+        prints = np.stack([table.column(k).to_numpy() for k in (3, 4)], axis=1).view(np.uint8)
+        bits = np.unpackbits(prints, axis=1)
+        apart = (bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(bits))).sum(axis=1)
+        k = int(np.argmin(apart))
+        yield pa.RecordBatch.from_arrays([table.column(0).chunk(0)[k:k + 1], table.column(2).chunk(0)[k:k + 1], pa.array([int(apart[k])])], names=["cc", "node", "apart"])
+
+
+def _open_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of a pair of chunks (cc, i, j, node, label, p0, p1) that are near to one with another label."""
+    for table in _groups(batches, 3):
+        node, label, p0, p1 = (table.column(k).to_numpy() for k in range(3, 7))
+        some = [np.unique(np.concatenate([a, b])) for a, b, _ in _near_pairs(p0.view(np.uint64), p1.view(np.uint64), label)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[np.concatenate(some)]))], names=["node"])
+
+
+def proven_links(members: DataFrame) -> DataFrame:
+    """u, v: links that connect ``members`` (cc, node, p0, p1, grams; a written table) within each candidate component cc.
+
+    A component beyond CHUNK members or GRAMS shingles is dealt in chunks. The members in
+    the middle of it go to all chunks, which joins most copies of one text. Then members
+    near to one that is still apart are dealt to pairs of chunks.
+    """
+    group, last = ["cc", "i", "j"], ["node", "label", "p0", "p1", "grams"]
+
+    def proven(rows: DataFrame) -> DataFrame:
+        return settled(rows.select(*group, *last).repartition(*group).sortWithinPartitions(*group).mapInArrow(_proven_links, "u long, v long"))
+
+    def chunked(rows: DataFrame, size: Column) -> DataFrame:
+        n = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(size) / GRAMS), F.lit(1))
+        return stored(rows.groupBy("cc").agg(n.cast("int").alias("n")).where("n > 1"))
+
+    large = chunked(members, F.size("grams"))
+    rows = members.join(large, "cc", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("n").cast("long")).cast("int")
+    rows = rows.withColumn("i", own).withColumn("j", own).withColumn("label", F.col("node"))
+    if not large.count():
+        return proven(rows)
+    some = rows.where("n > 1").select("cc", "i", "node", "p0", "p1")
+    middles = some.repartition("cc", "i").sortWithinPartitions("cc", "i").mapInArrow(_middles, "cc long, node long, apart long")
+    middles = stored(middles.groupBy("cc").agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "node"))), 1, MIDDLES).alias("m"))
+                     .select("cc", F.explode("m.node").alias("node")))
+    away = members.join(middles, ["cc", "node"]).join(large, "cc").withColumn("label", F.col("node"))
+    away = away.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where(F.col("i") != F.pmod(F.xxhash64("node"), F.col("n").cast("long")))
+    edges = proven(rows.select(*group, *last).union(away.withColumn("j", F.col("i")).select(*group, *last)))
+    labels = settled(components(edges))
+    named = rows.where("n > 1").select("cc", "n", "node", "p0", "p1").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    named = settled(named.select("cc", "n", "node", "label", "p0", "p1"))
+    mixed = stored(named.groupBy("cc").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cc"))
+    pairs = _dealt(named.join(mixed, "cc", "left_semi"), F.col("node")).select(*group, "node", "label", "p0", "p1")
+    opened = settled(pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(_open_nodes, "node long").distinct())
+    left = settled(members.join(opened, "node", "left_semi").join(named.select("node", "label"), "node"))
+    dealt = left.join(chunked(left, F.size("grams")), "cc", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    return edges.union(proven(_dealt(dealt, F.col("node"))))
+
+
+def copy_candidates(nodes: DataFrame) -> DataFrame:
+    """u, v: pairs that connect all near copies among ``nodes`` (doc, fp, p0, p1, keys), and others."""
+    return links(nodes, COPY_DISTANCE, COPY_BLOCKS, ("p0", "p1"), COPY_REACH)
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text) and the doc_id and t that stay for it (keep_id, keep_t), of every row with doc_id."""
+    prints = settled(copy_prints(docs))
+    nodes = settled(prints.groupBy("doc").agg(F.min(F.struct("doc_id", "t")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "p0", "p1", "keys")]))
+    near = components(settled(copy_candidates(nodes)))
+    near = settled(near.select("node", F.col("root").alias("cc")).union(near.select("root", "root").distinct()))
+    asked = settled(nodes.join(near, nodes.doc == near.node).select("cc", "node", "p0", "p1", "least.*"))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(asked.select("doc_id", "t"), ["doc_id", "t"], "left_semi")
+
+    def values(words: Words, grams: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
+        edges = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(edges), pa.array(grams.view(np.int64)))]
+
+    sets = _by_text(texts, values, "doc_id long, t long, grams array<long>", COPY_SHINGLE)
+    members = settled(asked.join(sets, ["doc_id", "t"]).select("cc", "node", "p0", "p1", "grams"))
+    roots = components(proven_links(members))
+    whole = settled(nodes.join(roots, nodes.doc == roots.node, "left").select("doc", "least", F.coalesce("root", "doc").alias("root")))
+    first = settled(whole.groupBy("root").agg(F.min("least").alias("keep")))
+    kept = settled(whole.join(first, "root").select("doc", F.col("keep.doc_id").alias("keep_id"), F.col("keep.t").alias("keep_t")))
+    return prints.select("doc_id", "t", "doc").join(kept, "doc").drop("doc")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group of near copies, columns as given; of rows that repeat a doc_id one stays, rows without doc_id all stay."""
-    reached = _reached(settled(copy_prints(docs)), distance, blocks, ("p0", "p1"), proof_distance)
-    others = settled(reached.where("component_id <> doc_id").select("doc_id").distinct())
+    others = settled(copies(docs).where("keep_id <> doc_id OR keep_t <> t").select("doc_id").distinct())
     named = docs.where("doc_id IS NOT NULL").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
