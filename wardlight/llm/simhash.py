@@ -10,8 +10,9 @@ task for each pair of chunks.
 
 ``near_duplicates`` links by that distance alone. ``one_of_each`` is for cleaning a
 corpus, where near copies share at least 0.8 of their distinct five-word shingles. Prints
-only give candidates there: a print of the single words is cut into blocks, and prints of
-128 bits over the shingles must not be far apart. Texts of one component of candidates are
+only give candidates there: a print of the single words is cut into blocks, 16 keys come
+from the least hashes of the shingles, which added passages move as little as scattered
+edits, and prints of 128 bits over the shingles must not be far apart. Texts of one component of candidates are
 then linked if their sets of shingles, compared whole, share enough.
 
 Rows without doc_id take no part. A null or empty text has fingerprint zero, which
@@ -407,7 +408,9 @@ def proven_links(members: DataFrame) -> DataFrame:
 
 def copy_candidates(nodes: DataFrame) -> DataFrame:
     """u, v: pairs that connect all near copies among ``nodes`` (doc, fp, p0, p1, keys), and others."""
-    return links(nodes, COPY_DISTANCE, COPY_BLOCKS, ("p0", "p1"), COPY_REACH)
+    proof = ("p0", "p1")
+    keyed = nodes.select("fp", "doc", *proof, F.posexplode("keys").alias("mask", "key"))
+    return links(nodes, COPY_DISTANCE, COPY_BLOCKS, proof, COPY_REACH).union(_within(keyed, 64, proof, COPY_REACH))
 
 
 def copies(docs: DataFrame) -> DataFrame:
