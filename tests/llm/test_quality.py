@@ -107,3 +107,12 @@ def test_features_are_as_named(spark):
     assert len(x) == len(qc.FEATURES)
     named = dict(zip(qc.FEATURES, x, strict=True))
     assert named["line_repeats"] == 0.5 and named["no_words"] == 1.0 and named["bars"] == 2 / 26 and named["upper"] == 2 / 26 and named["next_same"] == 2 / 8
+
+
+def test_pipeline_count_does_not_grow_with_the_host(spark):
+    """A line of 15 documents goes on a host of 40 as on one of 400, and no array of a host's lines rides on its documents."""
+    import corpus_pipeline
+
+    rows = [(1000 * size + k, ("Cookie notice of this host\n" if k < 15 else "") + " ".join(f"w{size}x{k}x{j}" for j in range(20)), f"s{size}") for size in (40, 400) for k in range(size)]
+    out = corpus_pipeline.rules(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), None).collect()
+    assert len(out) == 440 and not any("Cookie" in r.text for r in out)

@@ -26,7 +26,7 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Limits:
-    """A line goes if more than ``documents`` and more than ``percent`` of its host's documents hold it."""
+    """A line goes if more than ``documents`` and more than ``percent`` of its host's documents hold it; with 0 the size of the host plays no part."""
 
     min_words: int = 10
     repeat_percent: int = 20
@@ -92,7 +92,7 @@ def _line_rows(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """host, line (hash) and n of lines above the limits. A host has at most 100 / percent times the lines of a document."""
+    """host, line (hash) and n of lines above the limits."""
     counts = _line_rows(docs).groupBy("host", "line").agg(F.countDistinct("text_hash").alias("n")).where(F.col("n") > limits.documents)
     hosts = docs.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.countDistinct(F.xxhash64(F.coalesce("text", F.lit("")))).alias("documents"))
     return stored(counts.join(hosts, "host").where(100 * F.col("n") > limits.percent * F.col("documents")).select("host", "line", "n"))
@@ -116,11 +116,14 @@ def _enough(limits: Limits) -> Column:
 def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Kept documents without their frequent lines; columns as given, n_chars (if there) renewed.
 
-    The frequent lines of a host come to a document as an array, bounded as ``frequent_lines`` says.
+    A document meets only those frequent lines that it holds, so nothing grows with the lines of a host.
     """
-    by_host = stored(frequent_lines(docs, limits).groupBy("host").agg(F.collect_list("line").alias("frequent")))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
-    rows = lookup(rows, by_host, ["host"], "left", F.col("t"))
+    hits = lookup(_line_rows(docs), frequent_lines(docs, limits), ["host", "line"], "inner", F.struct("doc_id", "text_hash"))
+    own = stored(hits.groupBy("doc_id", "host", "text_hash").agg(F.collect_set("line").alias("frequent"))
+                 .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "frequent"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_d"), F.coalesce("source", F.lit("")).alias("_s"), text.alias("t"), F.xxhash64(text).alias("_t"))
+    rows = rows.join(own, rows._d.eqNullSafe(own._id) & (rows._s == own._host) & (rows._t == own._hash), "left")
     cleaned = F.when(F.col("frequent").isNull(), F.col("t")).otherwise(
         F.array_join(F.filter(F.split("t", "\n"), lambda x: ~F.array_contains("frequent", F.xxhash64(normalised(x)))), "\n"))
     both = let(words(F.col("t")), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("again")))
