@@ -302,3 +302,11 @@ def test_added_passages_and_edits_are_found(spark):
     assert all(alike(sets[k], sets[k + 1]) for k in range(0, 240, 2))
     kept = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(0, 240, 2)) <= kept and len(kept) <= 121
+
+
+def test_a_clean_text_stays_where_its_doc_id_is_repeated(spark):
+    r = random.Random(24)
+    clean, base = (" ".join(made_words(r, 40)) for _ in range(2))
+    rows = [(3, base), (5, clean), (5, base + " end"), (5, clean)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(3, base), (5, clean)]

@@ -437,7 +437,11 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each group of near copies, columns as given; of rows that repeat a doc_id one stays, rows without doc_id all stay."""
-    others = settled(copies(docs).where("keep_id <> doc_id OR keep_t <> t").select("doc_id").distinct())
-    named = docs.where("doc_id IS NOT NULL").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """The row with the smallest doc_id (then text hash) of each group of near copies, columns as given.
+
+    Of rows that repeat doc_id and text one stays; rows that repeat a doc_id with another text are judged by their text. Rows without doc_id all stay.
+    """
+    others = settled(copies(docs).where("keep_id <> doc_id OR keep_t <> t").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct())
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
+    named = rows.join(others, ["_d", "_t"], "left_anti").dropDuplicates(["_d", "_t"])
+    return named.select("row.*").union(docs.where("doc_id IS NULL"))
