@@ -1,9 +1,12 @@
 """Session settings for local runs; a cluster brings its own session."""
 
+import contextlib
+import contextvars
 import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +41,58 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Removes the shuffle files of a statement when it ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of the open scopes, innermost last.
+_scopes: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("scopes", default=())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes within this scope are removed at its end.
+
+    A result that is returned out of the scope must read only tables stored with ``keep``, which belong to the
+    scope around it (to the application, where there is none).
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    token = _scopes.set((*_scopes.get(), folder))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        remove(folder)
+
+
+def remove(uri: str) -> None:
+    """Delete a folder below the shared folder, if it is there."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(place).type == fs.FileType.Directory:
+        store.delete_dir(place)
+
+
+def stored(df: DataFrame, keep: bool = False, folder: str | None = None) -> DataFrame:
     """Write a small intermediate table to the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs a re-read, and gives later
-    joins the true size of the table.
+    joins the true size of the table. The shuffle files of the steps before go when it is
+    written, the table itself at the end of the scope (``scratch``), with ``keep`` of the scope around; in a
+    ``folder`` of the caller's it stays.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, scopes = df.sparkSession, _scopes.get()
+    above = scopes[:-1] if keep else scopes
+    path = folder or f"{(above[-1] if above else shared_folder(spark)).rstrip('/')}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
