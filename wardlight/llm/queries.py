@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import balltree, extraction, merkle, packing, pieces, quality_classifier, quality_rules, simhash, substring, token_files, warc
+from . import balltree, extraction, merkle, negatives, packing, pieces, quality_classifier, quality_rules, simhash, substring, suffix_dedup, token_files, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -63,6 +63,16 @@ def op10_html_extraction(spark, folder):
     return extraction.extract(pages, extraction.fit(extraction.sample_words(pages)))
 
 
+def op11_suffix_array_dedup(spark, folder):
+    return suffix_dedup.without_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
+def op12_hard_negatives(spark, folder):
+    rows = _table(spark, folder, "embeddings").where(balltree.usable("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), balltree.whole_numbers("embedding").alias("vector")), F.col("vec_id") % 50 == 0)
+
+
 def op13_merkle_manifest(spark, folder):
     docs = _table(spark, folder, "documents")
     one_more = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1)
@@ -75,6 +85,6 @@ def op13_merkle_manifest(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_warc_packages, op3_token_files, op4_best_fit_packing, op5_quality_rules, op6_quality_classifier, op7_exact_topk, op8_simhash_near_dedup, op9_sentencepiece, op10_html_extraction,
-    op13_merkle_manifest)}
+    op11_suffix_array_dedup, op12_hard_negatives, op13_merkle_manifest)}
 ORACLES: dict[str, str] = {"op1_substring_dedup": substring.ORACLE, "op7_exact_topk": balltree.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op2_warc_packages": warc.ORACLE,
-                            "op13_merkle_manifest": merkle.ORACLE}
+                            "op12_hard_negatives": negatives.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
