@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from hashlib import sha256
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -79,7 +80,10 @@ def test_odd_rows(odd, none):
     assert suffix_dedup.without_repeats(none).collect() == []
 
 
-def test_registered_query(spark):
+def test_registered_query_equals_sql_and_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-    assert Counter(map(tuple, QUERIES["op11_suffix_array_dedup"](spark, folder).collect())) == plain(rows, 400)
+    got = Counter(map(tuple, QUERIES["op11_suffix_array_dedup"](spark, folder).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    assert got == plain(rows, 400) == Counter(con.execute(suffix_dedup.ORACLE).fetchall())

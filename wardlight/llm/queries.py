@@ -87,4 +87,4 @@ QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_warc_packages, op3_token_files, op4_best_fit_packing, op5_quality_rules, op6_quality_classifier, op7_exact_topk, op8_simhash_near_dedup, op9_sentencepiece, op10_html_extraction,
     op11_suffix_array_dedup, op12_hard_negatives, op13_merkle_manifest)}
 ORACLES: dict[str, str] = {"op1_substring_dedup": substring.ORACLE, "op7_exact_topk": balltree.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op2_warc_packages": warc.ORACLE,
-                            "op12_hard_negatives": negatives.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+                            "op11_suffix_array_dedup": suffix_dedup.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_merkle_manifest": merkle.ORACLE}

@@ -323,3 +323,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, siz
     texts = _texts(docs)
     rows = texts.join(gone, texts.doc_id.eqNullSafe(F.col("_d")) & (texts.t == F.col("_t")), "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+x AS (SELECT row, doc_id, octet_length(b) AS n, hex(b) AS h FROM d),
+p AS (SELECT row, n, k, substring(h, 2 * k + 1, 1798) AS part FROM (SELECT row, n, h, unnest(range(0, n - 399, 500)) AS k FROM x WHERE n >= 400)),
+w AS (SELECT row, k + j AS i, md5_number(substring(part, 2 * j + 1, 800)) AS win FROM (SELECT row, k, part, unnest(range(0, least(500, n - 399 - k))) AS j FROM p)),
+r AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY win) AS c FROM w) WHERE c > 1),
+g AS (SELECT row, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT row, min(i) AS a, max(i) + 400 AS z FROM (SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g) GROUP BY row, k),
+k AS (SELECT row, list(a ORDER BY a) AS first, list(z ORDER BY a) AS last FROM s GROUP BY row)
+SELECT doc_id, n AS n_bytes, CAST(n - octet_length(kept) AS BIGINT) AS n_removed, CAST(coalesce(len(first), 0) AS BIGINT) AS n_spans, sha256(kept) AS kept_sha256
+FROM (SELECT doc_id, n, first, unhex(CASE WHEN first IS NULL THEN h ELSE array_to_string(list_transform(list_zip(list_prepend(0, last), list_append(first, n)), lambda p: h[2 * p[1] + 1:2 * p[2]]), '') END) AS kept
+  FROM x LEFT JOIN k USING (row))"""
