@@ -1,15 +1,20 @@
 """Search operators: exactness, ties, independence of partitioning."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wardlight.functions.ranking import settle, start_trail
 from wardlight.operators import guardrails as g
+from wardlight.operators import lexical
 from wardlight.operators.fusion import rrf
 from wardlight.operators.intent import query_intent
-from wardlight.operators.lexical import bm25_topk, build_lexical_index, read_lexical_index, write_lexical_index
+from wardlight.operators.lexical import asked_lists, bm25_topk, bucket_of, build_lexical_index, invert, read_lexical_index, write_lexical_index
 from wardlight.operators.semantic import cosine_topk
+from wardlight.session import stored
 
 
 @pytest.mark.parametrize("block_bytes", [64 << 20, 100])
@@ -105,3 +110,74 @@ def test_whole_content_is_indexed_and_cut_by_the_request(spark):
         assert set(hits) == {"A", "N1", "N2"} and len(hits["A"].content) == n
         assert hits["N1"].frame_id == hits["N2"].frame_id == ""
     assert "zebrafish" in {h.title: h for h in got[1].hits}["A"].content
+
+
+def _index(spark, n=600, **more):
+    texts = [(f"d{i:03d}", f"t{i % 7}", " ".join(f"w{(i * j) % 97}" for j in range(1, 30 + i % 5))) for i in range(n)] + [("same", "", "w1 w1 w2")] * 3 + [("empty", "", "")]
+    chunks = spark.createDataFrame(texts, "frame_id string, title string, content string")
+    return chunks, build_lexical_index(chunks.repartition(5))
+
+
+def test_inverted_index_holds_the_postings(spark):
+    _, forward = _index(spark)
+    for shard_chunks in (50, 8192):
+        found = invert(forward, shard_chunks=shard_chunks)
+        assert sorted(map(tuple, found.postings.collect())) == sorted(map(tuple, forward.postings.collect()))
+        blocks = found.lists.where("size(peaks) <> ceil(n / 128) OR n <> size(ords)")
+        assert blocks.count() == 0
+
+
+def test_search_opens_only_the_folders_of_its_terms(spark):
+    _, forward = _index(spark)
+    found = invert(forward)
+    asked = spark.createDataFrame([("w1",), ("nowhere",)], "term string").withColumn("bucket", bucket_of(F.col("term"), 8))
+    lists = asked_lists(stored(asked), found, 2)
+    rows = lists.collect()
+    assert [r.term for r in rows] == ["w1"]
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression" in plan and "PartitionFilters" in plan
+
+
+def test_shards_and_blocks_do_not_change_the_result(spark, monkeypatch):
+    chunks, forward = _index(spark)
+    queries = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(6)) + " w1 t1 nothing") for i in range(40)], "query_id bigint, query string")
+    want = sorted(map(tuple, bm25_topk(queries, invert(forward), F.lit(9), 9).collect()))
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 30)
+    assert sorted(map(tuple, bm25_topk(queries, invert(forward, shard_chunks=40), F.lit(9), 9).collect())) == want
+    n, avg = 604, forward.stats.first().avg_len
+    texts = {}
+    for r in chunks.collect():
+        texts.setdefault(r.frame_id, []).append((r.title + " " + r.content).split())
+    df = Counter(t for x in texts.values() for w in x for t in set(w))
+    for q in queries.collect()[:5]:
+        scores = []
+        for name, copies in texts.items():
+            for w in copies:
+                hits = [t for t in set(q["query"].split()) if t in w]
+                gain = lambda t: math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * (w.count(t) * 2.2) / (w.count(t) + 1.2 * (1 - 0.75 + 0.75 * len(w) / avg))  # noqa: E731, B023
+                if hits:
+                    scores.append((-sum(math.floor(gain(t) * 1e6 + 0.5) for t in hits), name))
+        assert [(-s / 1e6, f) for s, f in sorted(scores)[:9]] == [(r[2], r[1]) for r in sorted(want, key=lambda r: r[3]) if r[0] == q.query_id]
+
+
+def test_skipping_loses_no_chunk():
+    """Random postings of very different weight: the result with upper bounds equals the whole sums."""
+    rng = np.random.default_rng(2)
+    for case in range(60):
+        n, k = int(rng.integers(1, 900)), int(rng.integers(1, 12))
+        terms, total, seen = [], np.zeros(n, np.int64), np.zeros(n, bool)
+        for _ in range(int(rng.integers(1, 9))):
+            ords = np.flatnonzero(rng.random(n) < rng.random() ** 2).astype(np.int32)
+            if not len(ords):
+                continue
+            tfs, lens = rng.integers(1, 9, len(ords)), rng.integers(1, 50, len(ords))
+            first, second = lexical._gain(tfs.astype(float), lens, 20.0)
+            peaks = np.maximum.reduceat(first / second, np.arange(0, len(ords), lexical.BLOCK))
+            term = lexical._Term(ords, tfs, lens, peaks, float(rng.choice([1e-9, 0.01, 1.0, 9.0])), 20.0)
+            assert all(term.gains <= term.peaks[np.arange(len(ords)) // lexical.BLOCK])
+            terms.append(term)
+            total[ords] += term.gains
+            seen[ords] = True
+        found, scores = lexical.best_chunks(terms, n, k)
+        want = sorted(((-int(total[i]), i) for i in np.flatnonzero(seen)))[:k]
+        assert [(-int(s), int(i)) for i, s in zip(found, scores, strict=True)] == want, case

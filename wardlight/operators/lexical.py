@@ -1,28 +1,38 @@
-"""Term index and BM25 top-k for whole batches of queries."""
+"""Term index and BM25 top-k for whole batches of queries.
+
+``LexicalIndex`` holds each chunk with its term counts. ``InvertedIndex`` is what a search reads:
+chunks are dealt to shards and numbered in the order of their names; a row holds the postings of a
+term in a shard, in blocks with their greatest gains. Rows lie in folders by the hash of their
+term, so a search opens only the folders of its terms. Its terms meet the postings in a join, and
+the postings of a shard meet the queries in one task, which scores whole chunks and returns its best.
+"""
 
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import top_k
+from ..functions.sizing import broadcast_if
 from ..functions.text import let
-from ..session import ship, stored
+from ..session import scratch, ship, stored, stored_by
 
 K1, B = 1.2, 0.75
 _UNITS = 1_000_000  # scores add up in whole millionths, so that the order of the sum does not matter
-#: Query terms that travel to the index at once, and (chunk, query) sums that a task holds at once.
-BLOCK_TERMS, PAIRS = 200_000, 2_000_000
+#: Chunks of a shard, postings of a block, and query terms that meet a shard in one task.
+SHARD_CHUNKS, BLOCK, BLOCK_TERMS = 8192, 128, 200_000
+#: Folders of an index: one for this many chunks, within these bounds.
+BUCKET_CHUNKS, BUCKETS = 8192, (8, 1024)
+_NAMES = -1  # the folder of the chunks' names
 
 
 @dataclass
 class LexicalIndex:
-    """``entries`` has one row per chunk, so that a task scores its chunks whole."""
+    """``entries`` has one row per chunk."""
 
     entries: DataFrame  # frame_id, doc_len, terms: array of (term, tf)
     term_df: DataFrame  # term, df
@@ -34,6 +44,30 @@ class LexicalIndex:
         return self.entries.select("frame_id", "doc_len", F.inline("terms")).select("term", "frame_id", "tf", "doc_len")
 
 
+@dataclass
+class InvertedIndex:
+    """``rows`` (by bucket): a term's postings in a shard; in the folder of names the names of a shard's chunks, in order."""
+
+    rows: DataFrame  # bucket, shard, term, n, ords, tfs, lens, peaks (greatest gain of each block), names
+    stats: DataFrame  # one row: n_chunks, avg_len, shards, buckets
+
+    @property
+    def lists(self) -> DataFrame:
+        return self.rows.where("term IS NOT NULL").drop("names")  # a filter on the folder itself would keep Spark from choosing folders by the join
+
+    @property
+    def names(self) -> DataFrame:
+        """shard, ord, frame_id."""
+        return self.rows.where(F.col("bucket") == _NAMES).select("shard", F.posexplode("names").alias("ord", "frame_id"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, frame_id, tf, doc_len."""
+        zipped = F.inline(F.arrays_zip("ords", "tfs", "lens"))
+        return self.lists.select("shard", "term", zipped).join(self.names.withColumnRenamed("ord", "ords"), ["shard", "ords"]).select(
+            "term", "frame_id", F.col("tfs").cast("long").alias("tf"), F.col("lens").cast("long").alias("doc_len"))
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
@@ -65,114 +99,213 @@ def build_lexical_index(chunks: DataFrame, key: str = "frame_id") -> LexicalInde
     return index_of(words.select("frame_id", F.size("_words").cast("long").alias("doc_len"), counted(F.col("_words")).alias("terms")))
 
 
+def _gain(tf: np.ndarray, length: np.ndarray, avg_len: float) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of a posting's gain, which is idf * first / second."""
+    return tf * (K1 + 1), tf + K1 * (1 - B + B * length / avg_len)
+
+
+_ROWS = "shard int, term string, n int, ords array<int>, tfs array<int>, lens array<int>, peaks array<double>, names array<string>"
+
+
+def _invert_kernel(avg_len: float):
+    """Kernel over the entries of a shard: a row for each of its terms, and one with its names."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        names = table.column("frame_id").to_pylist()
+        order = sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] or ""))
+        table = table.take(pa.array(order, pa.int64())).combine_chunks()
+        lists = table.column("terms").combine_chunks()
+        many = lists.value_lengths().to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        words = flat.field("term").dictionary_encode()
+        ords = np.repeat(np.arange(len(names), dtype=np.int32), many)
+        tfs = flat.field("tf").to_numpy(zero_copy_only=False).astype(np.int32)
+        lens = table.column("doc_len").to_numpy().astype(np.int32)[ords]
+        turn = np.argsort(words.indices.to_numpy(zero_copy_only=False), kind="stable")
+        ords, tfs, lens = ords[turn], tfs[turn], lens[turn]
+        counts = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
+        starts = np.append(0, np.cumsum(counts))
+        first, second = _gain(tfs.astype(np.float64), lens, avg_len)
+        blocks = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(starts, starts[1:], strict=False)]) if len(counts) else np.empty(0, np.int64)
+        peaks = np.maximum.reduceat(first / second, blocks) if len(blocks) else np.empty(0)
+        ends = np.append(0, np.cumsum(-(-counts // BLOCK)))
+        of = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+        n = len(counts)
+        found = pa.table({"shard": pa.array(np.full(n, key[0].as_py(), np.int32)), "term": words.dictionary.cast(pa.string()), "n": pa.array(counts.astype(np.int32)),
+                          "ords": of(starts, ords), "tfs": of(starts, tfs), "lens": of(starts, lens), "peaks": of(ends, peaks), "names": pa.nulls(n, pa.list_(pa.string()))})
+        own = {"shard": pa.array([key[0].as_py()], pa.int32()), "names": pa.array([[names[i] for i in order]], pa.list_(pa.string()))}
+        return pa.concat_tables([found, pa.table({f.name: own.get(f.name, pa.nulls(1, f.type)) for f in found.schema}, schema=found.schema)])
+
+    return run
+
+
+def invert(index: LexicalIndex, folder: str | None = None, keep: bool = False, shard_chunks: int = SHARD_CHUNKS) -> InvertedIndex:
+    """Write the postings by term. ``folder`` names the place; without one it is a table of the open scope (``keep``: of the one around)."""
+    spark = index.entries.sparkSession
+    ship(spark)
+    row = index.stats.first()
+    n, avg_len = row["n_chunks"], row["avg_len"] or 1.0
+    shards = max(1, -(-n // shard_chunks))
+    buckets = min(BUCKETS[1], max(BUCKETS[0], -(-n // BUCKET_CHUNKS)))
+    dealt = index.entries.withColumn("shard", F.pmod(F.xxhash64("frame_id", "doc_len", "terms"), F.lit(shards)).cast("int"))
+    rows = dealt.groupBy("shard").applyInArrow(_invert_kernel(avg_len), _ROWS)
+    rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), F.lit(_NAMES)).otherwise(bucket_of(F.col("term"), buckets)))
+    # files of even size: Spark splits a bucket of frequent terms and joins small ones
+    written = stored_by(rows.hint("rebalance", "bucket"), "bucket", keep, folder and f"{folder}/rows")
+    stats = index.stats.withColumns({"shards": F.lit(shards), "buckets": F.lit(buckets)})
+    return InvertedIndex(written, stored(stats, keep, folder and f"{folder}/stats"))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def write_lexical_index(index: LexicalIndex, folder: str) -> None:
-    """Store the index as Spark partitions it; a search reads each entry once, so entries need no folders."""
-    index.entries.write.mode("overwrite").parquet(f"{folder}/entries")
-    index.term_df.write.mode("overwrite").parquet(f"{folder}/term_df")
-    index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    invert(index, folder)
 
 
-def read_lexical_index(spark, folder: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{folder}/{t}") for t in ("entries", "term_df", "stats")))
+def read_lexical_index(spark, folder: str) -> InvertedIndex:
+    return InvertedIndex(*(spark.read.parquet(f"{folder}/{t}") for t in ("rows", "stats")))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def _best(queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the first k of each query, by score and then id."""
-    order = np.lexsort((ids, -scores, queries))
-    q = queries[order]
-    first = np.searchsorted(q, q, "left")
-    return order[np.arange(len(q)) - first < k]
-
-
-def _score_kernel(block, k: int, avg_len: float, schema: pa.Schema):
-    """Arrow kernel over index entries: sums per (chunk, query), then the k best of each query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, terms, starts, owner, idf = block.value
-        wanted, many = pa.array(terms, pa.string()), np.diff(starts)
-        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object))
-        for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), dtype=object)
-            length, lists = batch.column(1).to_numpy(), batch.column(2)
-            flat = lists.flatten()
-            row = np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            term = pc.index_in(flat.field("term"), value_set=wanted)
-            hit = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
-            term = pc.fill_null(term, 0).to_numpy()[hit]
-            row, tf = row[hit], flat.field("tf").to_numpy()[hit].astype(np.float64)
-            sums = np.append(0, np.cumsum(many[term]))
-            a = 0
-            while a < len(term):  # parts of whole chunks with a bounded number of pairs
-                b = int(np.searchsorted(sums, sums[a] + PAIRS, "right")) - 1
-                b = max(b, a + 1)
-                if b < len(term):
-                    edge = int(np.searchsorted(row, row[b], "left"))
-                    b = edge if edge > a else int(np.searchsorted(row, row[a], "right"))
-                held = _merge(held, _scored(term[a:b], row[a:b], tf[a:b], length, starts, many, owner, idf, avg_len, len(query_ids)), names, k)
-                a = b
-        if len(held[0]):
-            q, score, ids = held
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([query_ids[x] for x in q], schema.field(0).type), pa.array(ids.tolist(), pa.string()), pa.array(score / _UNITS)], schema=schema)
+class _Term:
+    """Postings of one term in a shard, with their gains in millionths."""
 
-    return run
+    def __init__(self, ords: np.ndarray, tfs: np.ndarray, lens: np.ndarray, peaks: np.ndarray, idf: float, avg_len: float):
+        first, second = _gain(tfs.astype(np.float64), lens, avg_len)
+        self.ords, self.gains = ords, np.floor(idf * first / second * _UNITS + 0.5).astype(np.int64)
+        self.peaks = np.floor(idf * peaks * _UNITS + 1.5).astype(np.int64)  # no gain of the block is above
+        self.peak = int(self.peaks.max(initial=0))
 
+    def of(self, chunks: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the chunks (sorted) have the term, and its gains; blocks whose greatest gain is below a chunk's room are not read."""
+        at = np.searchsorted(self.ords, chunks)
+        near = np.flatnonzero(at < len(self.ords))
+        near = near[self.peaks[at[near] // BLOCK] >= room[near]]
+        hit = near[self.ords[at[near]] == chunks[near]]
+        return hit, self.gains[at[hit]]
 
-def _scored(term, row, tf, length, starts, many, owner, idf, avg_len, n_queries):
-    """(query, score, row) of each pair of these postings that shares a term."""
-    n = many[term]
-    post = np.repeat(np.arange(len(term)), n)
-    at = starts[term][post] + np.arange(len(post)) - np.repeat(np.cumsum(n) - n, n)
-    gain = idf[at] * (tf[post] * (K1 + 1)) / (tf[post] + K1 * (1 - B + B * length[row[post]] / avg_len))
-    pair, where = np.unique(row[post] * n_queries + owner[at], return_inverse=True)
-    total = np.bincount(where, np.floor(gain * _UNITS + 0.5), len(pair)).astype(np.int64)
-    return pair % n_queries, total, pair // n_queries
 
+#: A sum holds the score above these bits and the number of terms in them, so that a chunk with a score of zero counts as found.
+_COUNT_BITS = 20
 
-def _merge(held, found, names, k):
-    q, score, row = found
-    q, score, ids = np.concatenate([held[0], q]), np.concatenate([held[1], score]), np.concatenate([held[2], names[row]])
-    keep = _best(q, score, np.unique(ids, return_inverse=True)[1] if len(ids) else ids, k)
-    return q[keep], score[keep], ids[keep]
 
+def best_chunks(terms: list[_Term], n_chunks: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and scores of the k best chunks of a shard, by score and then number.
 
-def bm25_topk(queries: DataFrame, index: LexicalIndex, k: Column, largest_k: int) -> DataFrame:
+    Terms go in by descending peak. Once the kth score is above what all later terms together can
+    give, no new chunk can come in: the later terms are looked up for the chunks that can still reach it.
+    """
+    terms = sorted(terms, key=lambda t: -t.peak)
+    rest = np.append(np.cumsum([t.peak for t in terms][::-1])[::-1], 0).tolist()
+    sums = np.zeros(n_chunks, np.int64)
+    for i, t in enumerate(terms):
+        if i and int(sums.max()) >> _COUNT_BITS > rest[i]:
+            scores = sums >> _COUNT_BITS
+            kth = int(np.partition(scores, -k)[-k]) if n_chunks >= k else 0
+            if kth > rest[i]:
+                chunks = np.flatnonzero(scores + rest[i] >= kth)
+                for j in range(i, len(terms)):
+                    hit, gains = terms[j].of(chunks, kth - (sums[chunks] >> _COUNT_BITS) - rest[j + 1])
+                    sums[chunks[hit]] += (gains << _COUNT_BITS) + 1
+                break
+        sums[t.ords] += (t.gains << _COUNT_BITS) + 1
+    found = np.flatnonzero(sums)
+    scores = sums[found] >> _COUNT_BITS
+    if len(found) > k:
+        edge = np.partition(scores, -k)[-k]
+        keep = scores >= edge
+        found, scores = found[keep], scores[keep]
+    order = np.lexsort((found, -scores))[:k]
+    return found[order], scores[order]
+
+
+def _search_kernel(k: int, avg_len: float, id_type: pa.DataType):
+    """Kernel over a shard's postings of the asked terms and a block of query terms."""
+
+    def run(key: tuple, lists: pa.Table, asked: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", id_type), ("shard", pa.int32()), ("ord", pa.int32()), ("score", pa.int64())])
+        if not lists.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        lists = lists.combine_chunks()
+        words = lists.column("term").to_pylist()
+        at = {w: i for i, w in enumerate(words)}
+        columns = {}
+        for c in ("ords", "tfs", "lens", "peaks"):
+            column = lists.column(c).combine_chunks()
+            columns[c] = (column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+        part = lambda c, i: columns[c][0][columns[c][1][i]:columns[c][1][i + 1]]
+        n_chunks = int(columns["ords"][0].max()) + 1
+        asked = asked.sort_by("query_id")
+        ids = asked.column("query_id").combine_chunks().dictionary_encode()
+        of = ids.indices.to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)).tolist()
+        terms, idf = asked.column("term").to_pylist(), asked.column("idf").to_pylist()
+        made: dict[int, _Term] = {}
+        queries, chunks, scores = [], [], []
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = []
+            for w, x in zip(terms[a:b], idf[a:b], strict=True):
+                i = at.get(w)
+                if i is not None:
+                    if i not in made:
+                        made[i] = _Term(*(part(c, i) for c in ("ords", "tfs", "lens", "peaks")), x, avg_len)
+                    own.append(made[i])
+            if own:
+                found, score = best_chunks(own, n_chunks, k)
+                queries.append(np.full(len(found), a))
+                chunks.append(found)
+                scores.append(score)
+        if not queries:
+            return schema.empty_table()
+        query = asked.column("query_id").take(pa.array(np.concatenate(queries)))
+        chunk = np.concatenate(chunks).astype(np.int32)
+        return pa.table([query, pa.array(np.full(len(chunk), key[0].as_py(), np.int32)), pa.array(chunk), pa.array(np.concatenate(scores))], schema=schema)
+
+    return run
+
+
+def asked_lists(asked: DataFrame, index: InvertedIndex, n_terms: int) -> DataFrame:
+    """Postings of the asked terms (bucket, term, more; ``n_terms`` of them at most). While these are few they are broadcast and Spark opens only their folders."""
+    return index.lists.join(broadcast_if(asked.where("term <> ''"), n_terms, 64), ["bucket", "term"])
+
+
+def bm25_topk(queries: DataFrame, index: LexicalIndex | InvertedIndex, k: Column, largest_k: int) -> DataFrame:
     """(query_id, frame_id, score, rank) of the best k chunks of each query.
 
-    Query terms with their weights go to the index in blocks of a bounded number
-    of rows, one pass over the entries per block. A task scores its chunks whole
-    and keeps ``largest_k`` (the bound of every k) rows per query, so only those
-    are shuffled, whatever number of chunks share a word with a query.
+    ``largest_k`` bounds every k. Query terms are a table throughout: they find their postings, and meet
+    every shard in blocks of a bounded number. Only a shard's best chunks of a query are shuffled.
     """
-    spark = queries.sparkSession
-    ship(spark)
+    ship(queries.sparkSession)
+    if isinstance(index, LexicalIndex):
+        index = invert(index)
     row = index.stats.first()
-    n, avg_len = row["n_chunks"], row["avg_len"] or 1.0
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    weights = stored(query_terms(queries).join(index.term_df, "term").select("query_id", "term", idf.alias("idf")))
-    blocks = max(1, -(-weights.count() // BLOCK_TERMS))
+    n, avg_len, shards = row["n_chunks"], row["avg_len"] or 1.0, row["shards"]
     id_field = queries.schema["query_id"]
-    schema = T.StructType([T.StructField("query_id", id_field.dataType), T.StructField("frame_id", T.StringType()), T.StructField("score", T.DoubleType())])
     id_type = pa.int64() if isinstance(id_field.dataType, T.LongType) else pa.string()
-    arrow = pa.schema([("query_id", id_type), ("frame_id", pa.string()), ("score", pa.float64())])
-    found = None
-    for b in range(blocks):
-        rows = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("term", "query_id").collect()
-        ids = list(dict.fromkeys(r.query_id for r in rows))
-        number = {x: i for i, x in enumerate(ids)}
-        terms = list(dict.fromkeys(r.term for r in rows))
-        starts = [i for i, r in enumerate(rows) if i == 0 or r.term != rows[i - 1].term] + [len(rows)]
-        block = spark.sparkContext.broadcast(
-            (ids, terms, np.array(starts, np.int64), np.array([number[r.query_id] for r in rows], np.int64), np.array([r.idf for r in rows], np.float64)))
-        part = index.entries.select("frame_id", "doc_len", "terms").mapInArrow(_score_kernel(block, largest_k, avg_len, arrow), schema)
-        found = part if found is None else found.unionByName(part)
-    best = top_k(found, "query_id", F.lit(largest_k), F.col("score").desc(), F.col("frame_id"))
+    schema = T.StructType([T.StructField("query_id", id_field.dataType), T.StructField("shard", T.IntegerType()), T.StructField("ord", T.IntegerType()), T.StructField("score", T.LongType())])
+    with scratch(queries.sparkSession):
+        terms = stored(query_terms(queries).withColumn("bucket", bucket_of(F.col("term"), row["buckets"])))
+        n_terms = terms.count()
+        distinct = terms.select("bucket", "term").distinct()
+        found = stored(asked_lists(distinct, index, n_terms).select("shard", "term", "n", "ords", "tfs", "lens", "peaks"))
+        idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+        weights = found.groupBy("term").agg(F.sum("n").alias("df")).select("term", idf.alias("idf"))
+        blocks = max(1, -(-n_terms // BLOCK_TERMS))
+        asked = stored(terms.join(weights, "term").select("query_id", "term", "idf", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        cells = found.withColumn("block", every(blocks)) if blocks > 1 else found.withColumn("block", F.lit(0))
+        meet = asked.withColumn("shard", every(shards))
+        best = stored(cells.groupBy("shard", "block").cogroup(meet.groupBy("shard", "block")).applyInArrow(_search_kernel(largest_k, avg_len, id_type), schema), keep=True)
+    named = index.names.join(broadcast_if(best, best.count(), 48), ["shard", "ord"])
+    named = named.select("query_id", "frame_id", (F.col("score") / _UNITS).alias("score"))
+    ranked = top_k(named, "query_id", F.lit(largest_k), F.col("score").desc(), F.col("frame_id"))
     return (
-        best.join(queries.select("query_id", k.alias("_k")), "query_id")
+        ranked.join(queries.select("query_id", k.alias("_k")), "query_id")
         .where(F.col("rank") <= F.col("_k"))
         .select("query_id", "frame_id", "score", "rank")
     )

@@ -10,10 +10,10 @@ from ..operators import guardrails as g
 from ..operators import rerank as r
 from ..operators.fusion import dispatch, fetch_errors, pool_size
 from ..operators.intent import INTENT_COLUMNS, query_intent
-from ..operators.lexical import LexicalIndex, bm25_topk, build_lexical_index, index_of
+from ..operators.lexical import InvertedIndex, bm25_topk, build_lexical_index, index_of, invert
 from ..operators.semantic import cosine_topk
 from ..rules import PROFILES, RulePack, V2
-from ..session import stored
+from ..session import scratch, stored
 
 REQUEST_COLUMNS = ["k", "threshold", "safe_top1_guardrail", "strict_mode", "strict_cds_mode"]
 
@@ -23,14 +23,17 @@ class Corpus:
     """Chunks, their term index and their vectors (frame_id, embedding); index and vectors go by chunk_id."""
 
     chunks: DataFrame
-    index: LexicalIndex
+    index: InvertedIndex
     vectors: DataFrame
 
     @classmethod
     def of(cls, chunks: DataFrame, vectors: DataFrame) -> "Corpus":
-        """Store the cleaned chunks and their index entries once; searches read them."""
+        """Store the cleaned chunks and their postings once; searches read them."""
         chunks = stored(chunks)
-        return cls(chunks, index_of(stored(build_lexical_index(chunks, "chunk_id").entries)), vectors)
+        with scratch(chunks.sparkSession):
+            entries = index_of(stored(build_lexical_index(chunks, "chunk_id").entries))
+            index = invert(entries, keep=True)
+        return cls(chunks, index, vectors)
 
 
 def understood(requests: DataFrame, pack: RulePack = V2) -> DataFrame:

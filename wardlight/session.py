@@ -80,19 +80,37 @@ def stored(df: DataFrame, keep: bool = False, folder: str | None = None) -> Data
     written, the table itself at the end of the scope (``scratch``), with ``keep`` of the scope around; in a
     ``folder`` of the caller's it stays.
     """
-    spark, scopes = df.sparkSession, _scopes.get()
+    path = folder or _new_place(df.sparkSession, keep)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite" if folder else "error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, column: str, keep: bool = False, folder: str | None = None) -> DataFrame:
+    """``stored`` with a folder for each value of ``column``, so that readers open only those they ask for."""
+    path = folder or _new_place(df.sparkSession, keep)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.partitionBy(column).mode("overwrite" if folder else "error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _new_place(spark: SparkSession, keep: bool) -> str:
+    scopes = _scopes.get()
     above = scopes[:-1] if keep else scopes
-    path = folder or f"{(above[-1] if above else shared_folder(spark)).rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{(above[-1] if above else shared_folder(spark)).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(_DROP_SHUFFLES)
         else:
             spark.conf.set(_DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
