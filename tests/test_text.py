@@ -114,3 +114,33 @@ def test_sse(spark):
     lines = [": heartbeat", "event: ping", 'data: {"type":"token","text":"A"}', "data: NOT_VALID_JSON", 'data: {"type":"token","text":"B"}', "data: [DONE]", 'data: {"type":"token","text":"late"}']
     df = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "stream_id string, seq bigint, line string")
     assert [r.text for r in sse.decode_sse(df).orderBy("seq").collect()] == ["A", "B"]
+
+
+@pytest.mark.parametrize("lines,labels,expected", [
+    (["Weight: 70", "weight = 71"], ["weight"], [("weight", "70")]),
+    (["- Blood Pressure (mean) : 90,"], ["mean", "pressure"], []),
+    (["pulse rate: 80", "pulse rate: 81"], ["pulse", "pulse rate", "rate"], [("pulse rate", "80"), ("rate", "81")]),
+    (["a.b: x", "axb: y"], ["a.b"], [("a.b", "x")]),  # a label is no pattern
+    (["weight of weight: 5"], ["weight"], [("weight", "5")]),
+    (["temp:", "temp: ,", "temp: 38"], ["temp"], [("temp", "38")]),
+    (["İ weight: 3"], ["weight"], [("weight", "3")]),
+    (["bb: 1 aa: 2"], ["aa", "bb"], [("aa", "2")]),
+    (["x: 1"], [], []),
+])
+def test_labelled_lines(lines, labels, expected):
+    assert ob.labelled_lines(lines, tuple(labels)) == expected
+
+
+@pytest.mark.parametrize("part_chars", [1_000_000, 12])
+def test_first_term_in_dictionary_order(spark, part_chars):
+    """Also with a synonym that every note holds, overlapping ones, and a dictionary in many parts."""
+    entries = [("fever", 3), ("ever", 1), ("malaria fever", 2), ("the", 9), ("cough", 4), ("ärger", 5)]
+    words = spark.createDataFrame([(w, (n, 0), (n, w, "coded", None)) for w, n in entries],
+                                  "synonym string, place struct<ord:bigint,syn_ord:int>, concept struct<ciel_id:bigint,name:string,datatype:string,icd10:string>")
+    texts = ["the malaria fever", "cough and ärger", "nothing", "", None, "the cough"] + ["the end"] * 200
+    notes = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, _text string").repartition(4)
+    out = ob.first_terms(notes, words, part_chars)
+    want = {k: min((n for w, n in entries if t and w in t), default=None) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.concept.ciel_id for r in out.collect()} == {k: n for k, n in want.items() if n is not None}
+    if part_chars > 12:
+        assert "Exchange hash" not in out._jdf.queryExecution().executedPlan().toString()

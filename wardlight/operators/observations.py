@@ -1,12 +1,20 @@
 """Observations from model output and notes: parsing, cleaning, matching to manifests."""
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.sizing import broadcast_small
 from ..rules import concepts as c
-from ..session import stored
+from ..session import ship, stored
 from .manifests import manifest_labels, suffix_entries
 from .semantic import dot, pool_embeddings, vector_norm
 
@@ -20,35 +28,64 @@ RULE_CONFIDENCE, SYNONYM_CONFIDENCE = 0.85, 0.70
 _PAIR = "array<struct<pos:int,label:string,value:string>>"
 
 
+_SEPARATED = re.compile(r"\s*[:=]\s*(.+)")
+
+
+def _even_lower(text: str) -> str:
+    """Lower case with every character in its place."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x) == 1 else c for c in text for x in [c.lower()])
+
+
+@lru_cache(maxsize=256)
+def _label_automaton(labels: tuple[str, ...]):
+    """Automaton over the lower-cased labels; each holds the ranks of its labels, the longest first, equal lengths in alphabetical order."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for rank, label in enumerate(sorted(labels, key=lambda x: (-len(x), x))):
+        low = _even_lower(label)
+        automaton.add_word(low, (*automaton.get(low, ()), (rank, label)))
+    automaton.make_automaton()
+    return automaton
+
+
+def labelled_lines(lines: list[str], labels: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(label, value) of the lines that hold a label, a colon or equals sign and a value."""
+    if not labels:
+        return []
+    automaton, found = _label_automaton(labels), {}
+    for raw in lines:
+        line = raw.strip(tx.BLANKS).lstrip("- ")
+        places: dict = {}
+        for end, same in automaton.iter(_even_lower(line)):
+            for mark in same:
+                places.setdefault(mark, []).append(end + 1)
+        for (_, label), ends in sorted(places.items()):
+            value = next(filter(None, (_SEPARATED.match(line, e) for e in ends)), None) if label not in found else None
+            if value:
+                text = value[1].strip(tx.BLANKS).rstrip(",").strip(tx.BLANKS)
+                if text:
+                    found[label] = text
+                break
+    return list(found.items())
+
+
 def think_lines(raw: Column, labels: Column) -> Column:
     """``label: value`` lines of the think block, for manifest labels only.
 
-    A line goes to the longest label it holds that was not found before, equal
-    lengths in alphabetical order.
+    A line goes to the longest label it holds before a separator that was not found before, equal
+    lengths in alphabetical order. Labels are found by one automaton for each list of labels.
     """
     inner = F.regexp_extract(raw, r"(?s)<think>(.*?)</think>", 1)
     body = F.when(raw.rlike(r"(?s)<think>.*?</think>"), inner).otherwise(raw)
-    ordered = F.transform(
-        F.array_sort(F.transform(labels, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("label")))),
-        lambda s: s["label"],
-    )
-    pattern = lambda label: F.concat(F.lit(r"(?iUd)\Q"), label, F.lit(r"\E\s*[:=]\s*(.+)"))
-    start = F.array().cast("array<struct<label:string,value:string>>")
-
-    def take(found, raw_line):
-        line = tx.lstrip(tx.strip(raw_line), "- ")
-        seen = F.transform(found, lambda f: f["label"])
-        hits = F.filter(
-            ordered,
-            lambda x: ~F.array_contains(seen, x) & F.contains(F.lower(line), F.lower(x)) & F.rlike(line, pattern(x)),
-        )
-        label = F.try_element_at(hits, F.lit(1))
-        value = tx.strip(F.rtrim(tx.strip(F.call_function("regexp_extract", line, pattern(label), F.lit(1))), F.lit(",")))
-        add = F.concat(found, F.array(F.struct(label.alias("label"), value.alias("value"))))
-        return F.when(label.isNotNull() & (value != ""), add).otherwise(found)
 
-    pairs = F.aggregate(tx.lines(body), start, take)
-    return F.array_join(F.transform(pairs, lambda p: F.concat(p["label"], F.lit(": "), p["value"])), "\n")
+    @F.pandas_udf("string")
+    def pick(lines: pd.Series, listed: pd.Series) -> pd.Series:
+        made = (None if x is None or y is None else "\n".join(f"{label}: {value}" for label, value in labelled_lines(list(x), tuple(y))) for x, y in zip(lines, listed, strict=True))
+        return pd.Series(list(made), dtype=object)
+
+    return pick(tx.lines(body), F.array_distinct(labels))
 
 
 def _pairs(lines: Column, make) -> Column:
@@ -264,13 +301,68 @@ def synonyms(vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def extract_rules(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Observations of free-text notes by rule: vital signs, else one dictionary term.
+#: Characters of synonyms that one broadcast automaton holds, at under 100 bytes each.
+PART_CHARS = 1_000_000
+
+
+def _first_mention(words: Broadcast):
+    """Kernel: the number of the first word, in the order given, that each text holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for n, word in enumerate(words.value):
+            automaton.add_word(word, n)
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            found = [min((n for _, n in automaton.iter(text)), default=None) if len(automaton) and text else None for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["doc_id", "_text", "_n"])
+
+    return run
+
 
-    Synonyms are matched as substrings.  To avoid comparing every note with every
-    synonym, notes and synonyms meet on a fixed-length piece of the synonym: each
-    note offers its distinct pieces once, and the full synonym is then checked.
+def dictionary_parts(words: DataFrame, part_chars: int = PART_CHARS) -> list[list]:
+    """Rows (synonym, concept) in dictionary order, cut into parts of bounded size; ``words`` is a written table."""
+    total = words.agg(F.sum(F.length("synonym"))).first()[0] or 0
+    n = -(-total // part_chars)
+    edges = [None, *words.agg(F.percentile_approx("place.ord", [k / n for k in range(1, n)], 10_000)).first()[0], None] if n > 1 else [None, None]
+    parts = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        some = words
+        if low is not None:
+            some = some.where(F.col("place.ord") > low)
+        if high is not None:
+            some = some.where(F.col("place.ord") <= high)
+        parts.append(some.select("synonym", "concept", "place"))
+    return parts
+
+
+def first_terms(texts: DataFrame, words: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """doc_id and concept: of the synonyms that a text holds the first in dictionary order.
+
+    ``texts``: doc_id, _text. The dictionary is broadcast in parts of bounded size, in its order, as an automaton
+    that reads each text once; a text that an earlier part has found is not read again. Nothing is shuffled.
     """
+    ship(texts.sparkSession)
+    context, found, left = texts.sparkSession.sparkContext, None, texts
+    parts = dictionary_parts(words, part_chars)
+    for k, part in enumerate(parts):
+        rows = part.orderBy("place").collect()  # at most about ``part_chars`` characters
+        automaton = context.broadcast([r.synonym for r in rows])
+        concepts = texts.sparkSession.createDataFrame([(n, r.concept) for n, r in enumerate(rows)], T.StructType([T.StructField("_n", T.IntegerType()), words.schema["concept"]]))
+        read = left.select("doc_id", "_text").mapInArrow(_first_mention(automaton), T.StructType([texts.schema["doc_id"], T.StructField("_text", T.StringType()), T.StructField("_n", T.IntegerType())]))
+        if len(parts) > 1:
+            read = stored(read)  # the next part reads what is left
+        hits = read.join(F.broadcast(concepts), "_n").select("doc_id", "concept")
+        found = hits if found is None else found.unionByName(hits)
+        left = read.where("_n IS NULL")
+    return found
+
+
+def extract_rules(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Observations of free-text notes by rule: vital signs, else one dictionary term (synonyms count as substrings)."""
     scanned = notes.select("doc_id", F.lower("text").alias("_text"), vital_signs(F.col("text")).alias("_vitals"))
     vitals = scanned.select("doc_id", F.inline("_vitals")).select(
         "doc_id", "concept_id", "label", F.lit("numeric").alias("datatype"), "value_num",
@@ -278,14 +370,7 @@ def extract_rules(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("certainty"), "units", F.lit(RULE_CONFIDENCE).alias("confidence"),
     )
     rest = scanned.where(F.size("_vitals") == 0).select("doc_id", tx.strip(F.col("_text")).alias("_text"))
-    words = synonyms(vocabulary).where(F.length("synonym") > 2).withColumn("_piece", tx.head(F.col("synonym"), 3))
-    starts = F.when(F.length("_text") >= 3, F.sequence(F.lit(1), F.length("_text") - 2))
-    pieces = rest.select("doc_id", F.explode(F.array_distinct(F.transform(
-        starts, lambda i: F.substring(F.col("_text"), i, F.lit(3)),
-    ))).alias("_piece"))
-    pairs = pieces.join(words, "_piece").select("doc_id", "synonym", "place", "concept")
-    hits = pairs.join(rest, "doc_id").where(F.contains("_text", F.col("synonym")))
-    best = hits.groupBy("doc_id").agg(F.min_by("concept", "place").alias("c"))
+    best = first_terms(rest, stored(synonyms(vocabulary).where(F.length("synonym") > 2))).withColumnRenamed("concept", "c")
     coded = F.coalesce(F.col("c.icd10"), F.lit("")) != ""
     terms = best.select(
         "doc_id", F.col("c.ciel_id").alias("concept_id"), F.col("c.name").alias("label"), F.col("c.datatype").alias("datatype"),
@@ -314,5 +399,6 @@ def confidence_scores(clip_vectors: DataFrame, label_vectors: DataFrame, pairs:
 
 def labelled_outputs(outputs: DataFrame, variant: str = "plain") -> DataFrame:
     """Text path: think-block lines of the manifest labels, parsed. Needs ``manifest_string``."""
+    ship(outputs.sparkSession)
     lines = think_lines(F.col("raw"), manifest_labels(F.col("manifest_string")))
     return parse_kv(outputs.withColumn("raw", lines), variant)

@@ -301,6 +301,15 @@ def sse_lines(spark: SparkSession, folder: str) -> DataFrame:
         "stream_id", F.col("seq").cast("bigint").alias("seq"), "line")
 
 
+def query_results(spark: SparkSession, folder: str) -> DataFrame:
+    """A top hit for two of three query texts."""
+    from ..operators.transcripts import tag_rows
+
+    n = F.length("query")
+    asked = tag_rows(transcripts(spark, folder)).select(F.lower("query").alias("query")).distinct().where(n % 3 != 0)
+    return asked.select("query", F.lit("WHO Guidelines").alias("source"), (n * 0.25).alias("score"), F.concat(F.lit("about "), "query").alias("content"))
+
+
 def service_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Events as service log lines in JSON: searches, answers, finished requests; a few malformed."""
     e = table(spark, folder, "events")

@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -555,7 +556,21 @@ def _(spark, d):
     return fh.confirm_summary(fh.confirm(_items(spark, d), F.col("doc_id") % 7 != 6))
 
 
-@query("e3_think_lines")
+_THINK = _OBS + _M + [
+    "block AS (SELECT doc_id, CASE WHEN regexp_matches(raw, '(?s)<think>.*?</think>') THEN regexp_extract(raw, '(?s)<think>(.*?)</think>', 1) ELSE raw END AS body FROM outputs)",
+    f"think AS MATERIALIZED (SELECT doc_id, unnest(range(len(x))) AS n, ltrim({strip('unnest(x)')}, '- ') AS line FROM (SELECT doc_id, string_split(body, chr(10)) AS x FROM block))",
+    "listed AS (SELECT DISTINCT doc_id, label FROM enc JOIN manifest USING (t))",
+    f"""able AS MATERIALIZED (SELECT doc_id, n, label, {strip("rtrim(" + strip("regexp_extract(line, '(?i)' || regexp_escape(label) || '\s*[:=]\s*(.+)', 1)") + ", ',')")} AS value
+  FROM think JOIN listed USING (doc_id) WHERE regexp_matches(line, '(?i)' || regexp_escape(label) || '\s*[:=]\s*.'))""",
+    """taken AS (SELECT doc_id, 0 AS n, []::VARCHAR[] AS seen, NULL::VARCHAR AS label, NULL::VARCHAR AS value FROM block
+  UNION ALL SELECT t.doc_id, t.n + 1, CASE WHEN a.value <> '' THEN list_append(seen, a.label) ELSE seen END, a.label, a.value
+  FROM taken t LEFT JOIN LATERAL (SELECT label, value FROM able WHERE able.doc_id = t.doc_id AND able.n = t.n AND NOT list_contains(t.seen, label) ORDER BY length(label) DESC, label LIMIT 1) a ON true
+  WHERE t.n <= (SELECT max(n) FROM think))""",
+]
+
+
+@query("e3_think_lines", with_(_THINK, """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, replace(lower(label), ' ', '_') AS label, value
+  FROM taken WHERE value <> ''""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
     out = i.model_outputs(spark, d).join(_manifests(spark, d).select("doc_id", "manifest_string"), "doc_id")
     return ob.labelled_outputs(out).select("doc_id", "pos", "label", "value")
@@ -626,9 +641,29 @@ def _(spark, d):
     return live.spoken(live_rows(spark, d)).select("stream_id", "kind", md5("text").alias("text"))
 
 
-@query("x2_live_sections")
+# a heading counts at the end of its line; its line still belongs to the section before; the end of the stream overwrites what it parses
+_LIVE_SECTIONS = _SPLIT + [
+    "spoken AS (SELECT conv_id::VARCHAR AS stream_id, string_agg(answer, '' ORDER BY turn) AS t FROM modes GROUP BY conv_id)",
+    "spoken_lines AS (SELECT stream_id, unnest(range(len(x))) AS n, len(x) AS many, unnest(x) AS line FROM (SELECT stream_id, string_split(t, chr(10)) AS x FROM spoken))",
+    f"marks AS (SELECT *, CASE WHEN n < many - 1 AND regexp_matches(line, '^##\\s+\\S') THEN {strip('substr(line, 3)')} END AS title FROM spoken_lines)",
+    "opens AS (SELECT *, title IS NOT NULL AND row_number() OVER (PARTITION BY stream_id, lower(title) ORDER BY n) = 1 AS opens FROM marks)",
+    "placed AS (SELECT *, sum(opens::INT) OVER (PARTITION BY stream_id ORDER BY n ROWS UNBOUNDED PRECEDING) - opens::INT AS holds, sum(opens::INT) OVER (PARTITION BY stream_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS own FROM opens)",
+    "live AS (SELECT t.stream_id, t.own - 1 AS ord, t.title, coalesce(string_agg(c.line, '' ORDER BY c.n), '') AS content FROM placed t LEFT JOIN placed c ON c.stream_id = t.stream_id AND c.holds = t.own WHERE t.opens GROUP BY ALL)",
+    f"cleaned AS (SELECT conv_id::VARCHAR AS stream_id, {strip(_chain('t', _CLEAN_UI))} AS c FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM said GROUP BY conv_id))",
+    "marked AS (SELECT *, string_split(regexp_replace(c, '(?m)^##\\s+(.+)$', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS x FROM cleaned)",
+    "rows_ AS (SELECT stream_id, unnest(range(1, len(x))) AS n, unnest(x[2:]) AS p FROM marked)",
+    f"heads AS (SELECT stream_id, n, {strip('split_part(p, chr(2), 1)')} AS title, {strip('substr(p, strpos(p, chr(2)) + 1)')} AS body FROM rows_)",
+    "firsts AS (SELECT * FROM heads QUALIFY row_number() OVER (PARTITION BY stream_id, lower(title) ORDER BY n) = 1)",
+    f"final AS (SELECT stream_id, lower(title) AS key, {strip("regexp_replace(body, '(?m)^## .+$', '', 'g')")} AS content FROM firsts)",
+]
+
+
+@query("x2_live_sections", with_(_LIVE_SECTIONS, f"""SELECT l.stream_id, ord, title, {_ICON} AS icon, md5(coalesce(nullif(final.content, ''), l.content)) AS content
+  FROM live l LEFT JOIN final ON final.stream_id = l.stream_id AND key = lower(title)"""))
 def _(spark, d):
-    return live.live_sections(live_rows(spark, d))
+    rows = live_rows(spark, d)
+    out = live.live_sections(rows, live.final_texts(rows))
+    return out.select("stream_id", F.col("ord").cast("bigint").alias("ord"), "title", "icon", md5("content").alias("content"))
 
 
 @query("x3_turn_texts", with_(_LIVE, "SELECT conv_id::VARCHAR AS conv_id, turn, md5(text) AS text FROM said"))
@@ -636,7 +671,32 @@ def _(spark, d):
     return live.turn_texts(live_rows(spark, d)).select("conv_id", "turn", md5("text").alias("text"))
 
 
+_EVENTS = _fold("streaming") + [
+    "said AS MATERIALIZED (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step FROM transcripts WHERE role = 'assistant')",
+    "loop_end AS (SELECT conv_id, max(step) AS last, arg_max(outcome, step) AS ended FROM outcomes GROUP BY conv_id)",
+    "more AS (SELECT conv_id, last, ended, bool_or(step <= last AND regexp_matches(text, '## (?:Alert Level|Clinical Assessment|Recommended)')) AS assessed FROM said JOIN loop_end USING (conv_id) GROUP BY ALL)",
+    "shown AS (SELECT conv_id, step, text FROM said JOIN more USING (conv_id) WHERE step <= last OR (step = last + 1 AND NOT assessed AND ended = 'stop'))",
+    "asked AS (SELECT conv_id, step, query, length(query) AS n FROM outcomes WHERE outcome IN ('query', 'final_query'))",
+    """sequence AS (SELECT conv_id, step, 0 AS place, 0 AS k, 'turn_start' AS type, NULL::VARCHAR AS text, NULL::VARCHAR AS source, NULL::DOUBLE AS score FROM shown
+  UNION ALL SELECT conv_id, step, 1, k, 'token', substr(text, k * 7 + 1, 7), NULL, NULL FROM (SELECT conv_id, step, text, unnest(range((length(text) + 6) // 7)) AS k FROM shown)
+  UNION ALL SELECT conv_id, step, 2, 0, 'kb_query', query, NULL, NULL FROM asked
+  UNION ALL SELECT conv_id, step, 2, 1, 'kb_result', NULL, CASE WHEN n % 3 <> 0 THEN 'WHO Guidelines' ELSE 'none' END, CASE WHEN n % 3 <> 0 THEN n * 0.25e0 ELSE 0e0 END FROM asked
+  UNION ALL SELECT conv_id, last + 2, 3, 0, 'done', (SELECT coalesce(string_agg(lower(query), chr(10) ORDER BY step), '') FROM asked WHERE asked.conv_id = more.conv_id), NULL, NULL FROM more)""",
+]
+
+
+@query("x3_event_sequence", _rec(_EVENTS, """SELECT conv_id::VARCHAR AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY step, place, k) AS n, type, md5(text) AS text, source, score FROM sequence"""))
+def _(spark, d):
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    i.sse_lines(spark, d).write.parquet(f"{folder}/lines")
+    rows = live.follow(sse.read_lines(spark, f"{folder}/lines"), idle_minutes=None)
+    live.run_events(rows, i.query_results(spark, d), f"{folder}/events", f"{folder}/state")
+    order = Window.partitionBy("stream_id").orderBy("seq", "part", "sub")
+    events = spark.read.parquet(f"{folder}/events").withColumn("n", F.row_number().over(order).cast("bigint"))
+    return events.select("stream_id", "n", "type", md5("text").alias("text"), "source", "score")
+
+
 @query("x4_merged_evidence", with_(_LIVE, """SELECT conv_id::VARCHAR AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank, turn * 0.5e0 AS score, 't' || turn AS title FROM said"""))
 def _(spark, d):
-    out = live.merged_evidence(live_rows(spark, d))
+    out = live.running_evidence(live_rows(spark, d))
     return out.select("stream_id", F.col("rank").cast("bigint").alias("rank"), "score", "title")
