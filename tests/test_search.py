@@ -17,14 +17,14 @@ from wardlight.operators.semantic import cosine_topk
 from wardlight.session import stored
 
 
-@pytest.mark.parametrize("block_bytes", [64 << 20, 100])
-def test_cosine_matches_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("components", [1 << 18, 20])
+def test_cosine_matches_brute_force(spark, components):
     rng = np.random.default_rng(5)
     q, c = rng.normal(size=(6, 8)), rng.normal(size=(50, 8))
     c[10:30] = c[10]  # many equal copies
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "query_id bigint, embedding array<double>")
     chunks = spark.createDataFrame([(f"c{i:02d}", [float(x) for x in v]) for i, v in enumerate(c)], "frame_id string, embedding array<double>").repartition(7)
-    got = {(r.query_id, r["rank"]): r.frame_id for r in cosine_topk(queries, chunks, F.lit(5), block_bytes=block_bytes).collect()}
+    got = {(r.query_id, r["rank"]): r.frame_id for r in cosine_topk(queries, chunks, F.lit(5), components=components).collect()}
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     scores = np.round(unit(q) @ unit(c).T, 9)
     for i in range(6):
@@ -181,3 +181,29 @@ def test_skipping_loses_no_chunk():
         found, scores = lexical.best_chunks(terms, n, k)
         want = sorted(((-int(total[i]), i) for i in np.flatnonzero(seen)))[:k]
         assert [(-int(s), int(i)) for i, s in zip(found, scores, strict=True)] == want, case
+
+
+def test_lsh_recall(spark):
+    """At least 0.9 of the exact best, over all query vectors of the given table."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    chunks = rows.select(F.col("vec_id").cast("string").alias("frame_id"), "embedding")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact, near = ({(r.query_id, r.frame_id) for r in cosine_topk(queries, chunks, F.lit(15), mode=m).collect()} for m in ("exact", "lsh"))
+    assert len(exact) == 1500 and len(exact & near) >= 0.9 * len(exact)
+
+
+def test_pooling_moves_a_row_for_each_task_and_key(spark, monkeypatch):
+    from wardlight.operators import semantic
+
+    rng = np.random.default_rng(1)
+    rows = [(("a", "b", None)[i % 3], [float(x) for x in rng.normal(size=5)]) for i in range(300)] + [("one", [3.0, 4.0]), ("none", None), ("none", [])]
+    frame = spark.createDataFrame(rows, "k string, embedding array<double>").repartition(6)
+    for keys in (50_000, 1):
+        monkeypatch.setattr(semantic, "KEYS", keys)
+        got = {r.k: r for r in semantic.pool_embeddings(frame, "k").collect()}
+        assert set(got) == {"a", "b", None, "one"} and list(got["one"].embedding) == [3.0, 4.0]
+        for name in ("a", "b", None):
+            mean = np.mean([v for k, v in rows[:300] if k == name], axis=0)
+            assert got[name].windows == 100 and np.allclose(got[name].embedding, mean / np.linalg.norm(mean), atol=1e-9)
+    plan = semantic.pool_embeddings(frame, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan

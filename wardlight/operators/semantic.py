@@ -1,7 +1,5 @@
 """Embedding windows, pooling, and cosine top-k."""
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -9,15 +7,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.ranking import top_k
-from ..session import ship
+from ..functions.sizing import broadcast_if
+from ..session import scratch, ship, stored
 
 # fixed value: window size; the embedding service itself reads three windows
 WINDOW_CHARS = 10_000
 _DIGITS = 9
-#: Scores (chunks by queries) that a task holds at once.
-SCORES = 8_000_000
+#: Components of a shard or block, and scores (chunks by queries) that a task holds at once.
+COMPONENTS, SCORES = 1 << 18, 4_000_000
 
 
 def embedding_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window_chars: int = WINDOW_CHARS,
@@ -38,23 +38,87 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+#: Keys whose sums a task holds at once, and the parts of a whole number that are added up apart.
+KEYS, _SCALE, _LOW = 50_000, 1e12, 30
+
+
+def _vector_sums(key: str, key_type: pa.DataType):
+    """Kernel: one row of sums for each key that a task sees: count and whole sums (high and low part) of each component.
+
+    Components count in units of 1e-12, as whole numbers, so that sums do not depend on their order.
+    """
+    schema = pa.schema([(key, key_type), ("windows", pa.int64()), ("high", pa.list_(pa.int64())), ("low", pa.list_(pa.int64()))])
+
+    def out(held: dict) -> pa.RecordBatch:
+        n, high, low = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), key_type), pa.array(n, pa.int64()), pa.array(list(high), schema.field(2).type), pa.array(list(low), schema.field(3).type)], schema=schema)
+
+    def add(held: dict, name, n: int, high: np.ndarray, low: np.ndarray) -> None:
+        old = held.get(name)
+        if old is None:
+            held[name] = [n, high, low]
+        elif len(old[1]) != len(high):
+            raise ValueError(f"vectors of {len(old[1])} and of {len(high)} components under one {key}")
+        else:
+            old[0], old[1], old[2] = old[0] + n, old[1] + high, old[2] + low
+
+    def rows_of(batch: pa.RecordBatch):
+        """Key codes and matrix of the vectors of each size in a batch."""
+        sizes = batch.column(1).value_lengths().fill_null(0).to_numpy()
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            some = batch.take(pa.array(np.flatnonzero(sizes == size)))
+            yield some.column(0), np.asarray(some.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            for names, matrix in rows_of(batch):
+                whole = np.rint(matrix * _SCALE).astype(np.int64)
+                codes = names.dictionary_encode()
+                of = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                order = np.argsort(of, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+                high, low = (np.add.reduceat(x[order], starts) for x in (whole >> _LOW, whole & (1 << _LOW) - 1))
+                for code, n, h, x in zip(of[order][starts].tolist(), np.diff(np.append(starts, len(of))).tolist(), high, low, strict=True):
+                    add(held, codes.dictionary[code].as_py() if code >= 0 else None, n, h, x)
+                if len(held) > KEYS:
+                    yield out(held)
+                    held = {}
+        if held:
+            yield out(held)
+
+    def merge(batches):
+        """Of rows sorted by key: one row for each."""
+        held: dict = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row[key] not in held:
+                    yield out(held)
+                    held = {}
+                add(held, row[key], row["windows"], np.array(row["high"]), np.array(row["low"]))
+        if held:
+            yield out(held)
+
+    return run, merge
+
+
 def pool_embeddings(vectors: DataFrame, key: str, renorm: bool = True) -> DataFrame:
     """Mean vector per key, rescaled to unit length.
 
-    A single window is returned as it is.  Components are averaged with partial
-    aggregation, so a key with very many vectors never gathers in one task.
+    A single window is returned as it is. Tasks add up whole vectors before the shuffle, so
+    it moves one row for each task and key, whatever the number of vectors and components.
+    Null and empty vectors take no part; a key whose vectors differ in size is an error.
     """
-    components = vectors.select(
-        key, F.size("embedding").alias("_dim"), F.posexplode("embedding").alias("_i", "_x")
-    )
-    means = components.groupBy(key, "_i").agg(
-        F.count("*").alias("_n"),
-        (F.sum(F.round(F.col("_x").cast("double") * 1e12).cast("decimal(28,0)")).cast("double") / 1e12 / F.count("*")).alias("_m"),
-    )
-    pooled = means.groupBy(key).agg(
-        F.max("_n").alias("windows"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("embedding"),
-    )
+    spark, field = vectors.sparkSession, vectors.schema[key]
+    ship(spark)
+    key_type = to_arrow_type(field.dataType)
+    run, merge = _vector_sums(key, key_type)
+    schema = T.StructType([field, T.StructField("windows", T.LongType()), T.StructField("high", T.ArrayType(T.LongType())), T.StructField("low", T.ArrayType(T.LongType()))])
+    sums = vectors.select(key, F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, schema)
+    sums = sums.repartition(key).sortWithinPartitions(key).mapInArrow(merge, schema)
+    total = lambda h, x: (h.cast("decimal(38,0)") * F.lit(1 << _LOW).cast("decimal(12,0)") + x.cast("decimal(20,0)")).cast("double") / _SCALE
+    mean = F.transform(F.arrays_zip("high", "low"), lambda z: total(z["high"], z["low"]) / F.col("windows"))
+    pooled = sums.select(key, "windows", mean.alias("embedding"))
     if not renorm:
         return pooled
     norm = vector_norm(F.col("embedding"))
@@ -66,93 +130,81 @@ def pool_embeddings(vectors: DataFrame, key: str, renorm: bool = True) -> DataFr
     )
 
 
-def _best_rows(ids, scores, k):
-    """Indexes of the k best scores, ties by id; whole ties never leave the task."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        rows = np.flatnonzero(scores >= edge)
+def first_scores(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best scores of each row, ties to the smaller column; all rows at once."""
+    if scores.shape[1] > k:
+        edge = np.partition(scores, -k, axis=1)[:, -k]
+        row, col = np.nonzero(scores >= edge[:, None])
     else:
-        rows = np.arange(len(scores))
-    return rows[np.lexsort((ids[rows], -scores[rows]))][:k]
-
-
-def _block_topk(query_ids, matrix, ks, id_type):
-    """Arrow kernel: one matrix product per batch, running top-k per query."""
-
-    def run(batches):
-        best = [(np.empty(0, dtype=object), np.empty(0)) for _ in query_ids]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            vectors = batch.column(1)
-            block = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            norms = np.linalg.norm(block, axis=1)
-            norms[norms == 0] = 1.0
-            step = max(1, SCORES // len(query_ids))
-            for a in range(0, len(ids), step):  # the score matrix stays bounded
-                part = ids[a:a + step]
-                scores = np.round((block[a:a + step] / norms[a:a + step, None]) @ matrix.T, _DIGITS)
-                for q, k in enumerate(ks):
-                    rows = _best_rows(part, scores[:, q], k)
-                    all_ids = np.concatenate([best[q][0], part[rows]])
-                    all_scores = np.concatenate([best[q][1], scores[rows, q]])
-                    keep = _best_rows(all_ids, all_scores, k)
-                    best[q] = (all_ids[keep], all_scores[keep])
-        for q, (ids, scores) in enumerate(best):
-            if len(ids):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query_ids[q]] * len(ids), type=id_type),
-                     pa.array(list(ids), type=pa.string()), pa.array(scores, type=pa.float64())],
-                    names=["query_id", "frame_id", "score"],
-                )
+        row, col = np.nonzero(np.ones(scores.shape, bool))
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    return row[keep], col[keep]
+
+
+def _unit_rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    rows = np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
+    norms = np.linalg.norm(rows, axis=1)
+    norms[norms == 0] = 1.0
+    return rows / norms[:, None]
+
+
+def _cosine_cell(id_type: pa.DataType, held_scores: int):
+    """Kernel over a shard of chunk vectors and a block of query vectors: the best of the shard for each query."""
+
+    def run(key: tuple, chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", id_type), ("frame_id", pa.string()), ("score", pa.float64())])
+        if not chunks.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        chunks = chunks.sort_by("frame_id")  # columns in the order that settles ties
+        matrix, asked = _unit_rows(chunks.column("embedding"), chunks.num_rows), _unit_rows(queries.column("embedding"), queries.num_rows)
+        ks = queries.column("_k").to_numpy()
+        parts, step = [], max(1, held_scores // chunks.num_rows)
+        for a in range(0, queries.num_rows, step):  # the score matrix stays bounded
+            scores = np.round(matrix @ asked[a:a + step].T, _DIGITS).T
+            row, col = first_scores(scores, int(ks[a:a + step].max()))
+            parts.append(pa.table([queries.column("query_id").take(pa.array(a + row)), chunks.column("frame_id").take(pa.array(col)), pa.array(scores[row, col])], schema=schema))
+        return pa.concat_tables(parts)
 
     return run
 
 
 def cosine_topk(query_vecs: DataFrame, chunk_vecs: DataFrame, k: Column, mode: str = "exact",
-                block_bytes: int = 64 << 20, bucket_length: float = 0.8, tables: int = 8,
+                components: int = COMPONENTS, bucket_length: float = 0.8, tables: int = 8,
                 max_distance: float = 1.5) -> DataFrame:
     """(query_id, frame_id, score, rank) of the best k chunks by cosine.
 
-    ``exact``: chunk vectors stay where they are read; query vectors travel to
-    them in blocks of bounded size, one pass over the chunks per block, and each
-    task returns only its own best k.  Vectors meet those of their own size; see
-    ``unmatched_vectors`` for the rest.  ``lsh``: approximate, by random
+    ``exact``: chunk vectors are dealt to shards and query vectors to blocks of a bounded number of
+    ``components``; a shard meets each block in one task, which returns its best k. Vectors meet
+    those of their own size; see ``unmatched_vectors`` for the rest. ``lsh``: approximate, by random
     projection buckets.
     """
-    ship(query_vecs.sparkSession)
+    spark = query_vecs.sparkSession
+    ship(spark)
     queries = query_vecs.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), k.cast("int").alias("_k"))
     if mode == "lsh":
         return _lsh_topk(queries, chunk_vecs, bucket_length, tables, max_distance)
-    sizes = queries.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("dim")).agg(F.count("*"), F.max("_k")).orderBy("dim").collect()
-    largest_k = max((r[2] for r in sizes), default=1)
     id_field = queries.schema["query_id"]
     schema = T.StructType([id_field, T.StructField("frame_id", T.StringType()), T.StructField("score", T.DoubleType())])
     id_type = pa.int64() if isinstance(id_field.dataType, T.LongType) else pa.string()
-    parts = []
-    plan = [(dim, max(1, math.ceil(count * dim * 8 / block_bytes))) for dim, count, _ in sizes]
-    for dim, blocks, b in [(dim, n, b) for dim, n in plan for b in range(n)]:
-        rows = queries.where((F.size("embedding") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toPandas()
-        if rows.empty:
-            continue
-        chunks = chunk_vecs.select(F.col("frame_id").cast("string"), "embedding").where(F.size("embedding") == dim)
-        matrix = np.stack([np.asarray(e, dtype=np.float64) for e in rows["embedding"]])
-        norms = np.linalg.norm(matrix, axis=1)
-        norms[norms == 0] = 1.0
-        kernel = _block_topk(rows["query_id"].tolist(), matrix / norms[:, None], rows["_k"].tolist(), id_type)
-        parts.append(chunks.mapInArrow(kernel, schema))
-    if not parts:
-        return chunk_vecs.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    best = top_k(found, "query_id", F.lit(largest_k), F.col("score").desc(), F.col("frame_id"))
-    return (
-        best.join(queries.select("query_id", "_k"), "query_id")
-        .where(F.col("rank") <= F.col("_k"))
-        .select("query_id", "frame_id", "score", "rank")
-    )
+    with scratch(spark):
+        asked = stored(queries.where(F.size("embedding") > 0).withColumn("dim", F.size("embedding")))
+        chunks = stored(chunk_vecs.select(F.col("frame_id").cast("string").alias("frame_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim")).where("dim > 0"))
+        parts = lambda df, name: df.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.first("dim") / components)).cast("int").alias(name))
+        sizes = stored(parts(asked, "blocks").join(parts(chunks, "shards"), "dim"))  # a row for each size of vectors
+        sizes = broadcast_if(sizes, sizes.count(), 32)
+        dealt = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        # repeated names are told apart by their vectors, so that no shard grows with one name
+        left = chunks.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("frame_id", "embedding"), F.col("shards")).cast("int")).withColumn("block", every("blocks"))
+        right = asked.join(sizes, "dim").withColumn("block", dealt("query_id", "blocks")).withColumn("shard", every("shards"))
+        cell = ["dim", "shard", "block"]
+        found = left.select(*cell, "frame_id", "embedding").groupBy(*cell).cogroup(right.select(*cell, "query_id", "embedding", "_k").groupBy(*cell)).applyInArrow(
+            _cosine_cell(id_type, SCORES), schema)
+        found = stored(found, keep=True)
+    ranked = found.join(queries.select("query_id", "_k"), "query_id")
+    return top_k(ranked, "query_id", F.col("_k"), F.col("score").desc(), F.col("frame_id")).select("query_id", "frame_id", "score", "rank")
 
 
 def unmatched_vectors(query_vecs: DataFrame, chunk_vecs: DataFrame) -> DataFrame:
