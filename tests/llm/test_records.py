@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from wardlight.llm import extraction, pieces, warc
-from wardlight.llm.dom import Page
+from wardlight.llm.dom import Page, measures
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -138,3 +139,19 @@ def test_given_pages_and_odd_rows(spark, models):
     assert extraction.sample_words(odd.where("false")) == []
 
 
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "x", "<div><p>a" * 50_000, "<b>" * 100_000 + "x" + "</i>" * 1000, "<ul><li>" * 50_000])
+def test_deep_pages_take_linear_time(html):
+    start = time.process_time()
+    measures(Page(html))
+    assert time.process_time() - start < 5
+
+
+def test_word_caches_are_bounded_by_bytes(monkeypatch):
+    tool = pieces.Codec(PIECES)
+    monkeypatch.setattr(pieces, "CACHE", 20_000)
+    long = ["漢字" * 500 + str(k) for k in range(30)]  # no blanks: a word each
+    for k, text in enumerate(long + [f"word{j} other{j}" for j in range(500)]):
+        assert np.array_equal(np.frombuffer(tool.encode(text), "<u4"), tool.viterbi(pieces.MARK + text.replace(" ", pieces.MARK))), k
+        assert tool.cached < 20_000 + pieces.ENTRY + 1000 and max(map(len, tool.cache), default=0) <= pieces.LONGEST

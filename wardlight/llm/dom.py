@@ -1,7 +1,7 @@
 """A small DOM of a page: element nodes with their text blocks, and measures of each node."""
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 from math import log1p
 
@@ -47,6 +47,8 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("html", -1, 0, frozenset(), False)]
         self.open: list[tuple[str, int]] = []  # open elements and their node
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements by tag, innermost last
+        self.nested: list[int] = []  # places of open elements that are nodes
         self.blocks: list[tuple[int, str]] = []
         self.text: list[str] = []
         self.links = 0
@@ -74,23 +76,31 @@ class Page(HTMLParser):
         self.nodes[self.here].children.append(len(self.nodes) - 1)
         self.here = len(self.nodes) - 1
 
+    def _open(self, tag: str, node: int | None) -> None:
+        self.places[tag].append(len(self.open))
+        if node is not None:
+            self.nested.append(len(self.open))
+        self.open.append((tag, node))
+
     def _pop_to(self, k: int) -> None:
         """Close the open elements from place k on."""
-        if any(node is not None for _, node in self.open[k:]):
+        if self.nested and self.nested[-1] >= k:
             self._end_block()
-        for tag, node in reversed(self.open[k:]):
+        while len(self.open) > k:
+            tag, node = self.open.pop()
+            self.places[tag].pop()
             self.links -= tag == "a"
             if node is not None:
+                self.nested.pop()
                 self.here = self.nodes[node].parent
-        del self.open[k:]
+
+    def _innermost(self, tags: tuple) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
 
     def _close_open(self, tags: tuple, bounds: tuple) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in tags:
-                self._pop_to(k)
-                return
-            if self.open[k][0] in bounds:
-                return
+        k = self._innermost(tags)
+        if k > self._innermost(bounds):
+            self._pop_to(k)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -111,21 +121,18 @@ class Page(HTMLParser):
             if tag in HIDDEN:
                 self._end_block()
             self._push(tag, attrs)
-            self.open.append((tag, self.here))
+            self._open(tag, self.here)
         else:
-            self.open.append((tag, None))
+            self._open(tag, None)
             self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing on other than void elements
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._pop_to(k)
-                return
-            if tag not in BLOCKS and self.open[k][1] is not None:
-                return  # an inline end tag does not close a block
+        k = self._innermost((tag,))
+        if k >= 0 and (tag in BLOCKS or not self.nested or k >= self.nested[-1]):  # an inline end tag does not close a block
+            self._pop_to(k)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] in HIDDEN:

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Entries of the cache, about 250 MB a worker; a full one starts anew.
-CACHE = 1_000_000
+#: Bytes of the cache of words (an entry counts its word, its ids and ENTRY more); a full one starts anew. Longer words stay out.
+CACHE, ENTRY, LONGEST = 256 << 20, 200, 64
 #: Fixed value of the format: an unknown character costs this much more than the worst piece.
 PENALTY = 10.0
 
@@ -60,6 +60,7 @@ class Codec:
             raise ValueError("pieces of this model cross words")
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if newline else f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best pieces of a text whose blanks are marks already."""
@@ -108,11 +109,19 @@ class Codec:
         if None in found:
             for i, ids in enumerate(found):
                 if ids is None:
-                    if len(self.cache) >= CACHE:
-                        self.cache.clear()
-                    found[i] = self.cache[parts[i]] = array("I", self.viterbi(parts[i])).tobytes()
+                    found[i] = self._word(parts[i])
         return b"".join(found)
 
+    def _word(self, word: str) -> bytes:
+        ids = array("I", self.viterbi(word)).tobytes()
+        if len(word) <= LONGEST:
+            if self.cached >= CACHE:
+                self.cache.clear()
+                self.cached = 0
+            self.cache[word] = ids
+            self.cached += 4 * len(word) + len(ids) + ENTRY
+        return ids
+
     def decode(self, ids: bytes) -> str:
         """The text without the blank that encoding puts first; broken UTF-8 becomes U+FFFD."""
         data = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -23,8 +23,8 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 #: Characters beyond these, whose class, composition or lower case could differ between libraries.
 _OTHER = re.compile("[^\t\n\r -~\xa1-įı-ſ]")
-#: Entries of the caches, about 300 MB a worker together; a full one starts anew.
-WORDS, PARTS = 1_000_000, 600_000
+#: Bytes of each of the two caches (an entry counts its word, its ids and ENTRY more); a full one starts anew. Longer words stay out.
+CACHE, ENTRY, LONGEST = 128 << 20, 200, 64
 
 
 def _byte_characters() -> list[str]:
@@ -37,6 +37,21 @@ def _byte_characters() -> list[str]:
 _BYTES = dict(enumerate(_byte_characters()))
 
 
+class _Cache(dict):
+    """Ids by word, of bounded size."""
+
+    held = 0
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONGEST:
+            if self.held >= CACHE:
+                self.clear()
+                self.held = 0
+            self[word] = ids
+            self.held += 4 * len(word) + len(ids) + ENTRY
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,8 +59,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = _Cache(), _Cache()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -72,17 +86,11 @@ class Encoder:
         return b"".join(found)
 
     def _word(self, word: str) -> bytes:
-        if len(self.words) >= WORDS:
-            self.words.clear()
-        ids = self.words[word] = b"".join([self.parts.get(p) or self._part(p) for p in _SPLIT.findall(word.lower())])
-        return ids
+        return self.words.keep(word, b"".join([self.parts.get(p) or self._part(p) for p in _SPLIT.findall(word.lower())]))
 
     def _part(self, part: str) -> bytes:
-        if len(self.parts) >= PARTS:
-            self.parts.clear()
         spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
-        ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return ids
+        return self.parts.keep(part, array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes())
 
 
 @functools.lru_cache(maxsize=2)
