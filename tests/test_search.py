@@ -207,3 +207,27 @@ def test_pooling_moves_a_row_for_each_task_and_key(spark, monkeypatch):
             assert got[name].windows == 100 and np.allclose(got[name].embedding, mean / np.linalg.norm(mean), atol=1e-9)
     plan = semantic.pool_embeddings(frame, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def _patterns(plan):
+    """First characters of the second argument of every RLIKE."""
+    at = plan.find("RLIKE(")
+    while at >= 0:
+        k, depth = at + 6, 0
+        while depth or plan[k] != ",":
+            depth += (plan[k] in "([") - (plan[k] in ")]")
+            k += 1
+        yield plan[k + 2:k + 4]
+        at = plan.find("RLIKE(", at + 1)
+
+
+def test_patterns_are_constants(spark):
+    """No pattern of a search comes out of a column: every one is a literal that Spark compiles once."""
+    from wardlight.workload import registry
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    for name in ("r25_search_responses", "v14_federated_responses"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        found = list(_patterns(plan))
+        assert len(found) > 100 and set(found) == {"(?"}

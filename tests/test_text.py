@@ -104,10 +104,12 @@ def test_case_text_from_json(spark, tmp_path):
         "Gestational age: 28", "Diagnosis: Depression", "Visit: Late", "Date: 2024-08-18T00:00:00", "Location: Unknown"]
     assert (row.encounter_count, row.obs_count, row.groups_too_deep, row.encounters_left_out) == (2, 5, 0, 0)
     # what is left out is counted: a second encounter, and a group below the declared levels
-    flat = records.earliest(records.read_encounters(spark, str(tmp_path / "e.json"), depth=1), 1)
+    typed = lambda depth: spark.read.schema(records.schemas.encounters(depth)).json(str(tmp_path / "e.json"))
+    flat = records.earliest(typed(1), 1)
     row = ca.case_text(patients, flat).first()
     assert (row.encounter_count, row.encounters_left_out, row.groups_too_deep) == (1, 1, 1)
-    assert ca.declared_depth(flat) == 1 and ca.declared_depth(visits) == 4
+    assert ca.declared_depth(flat) == 1 and ca.declared_depth(typed(4)) == 4
+    assert ca.case_text(patients, records.earliest(typed(4), 50)).first().case_text == ca.case_text(patients, visits).first().case_text
 
 
 def test_sse(spark):
@@ -144,3 +146,34 @@ def test_first_term_in_dictionary_order(spark, part_chars):
     assert {r.doc_id: r.concept.ciel_id for r in out.collect()} == {k: n for k, n in want.items() if n is not None}
     if part_chars > 12:
         assert "Exchange hash" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def _nested(levels, name="leaf"):
+    """An observation inside ``levels`` groups."""
+    obs = {"concept": {"display": name, "datatype": {"display": "Numeric"}, "mappings": [{"conceptReferenceTerm": {"code": "5089", "conceptSource": {"display": "CIEL"}}}]}, "value": 7}
+    for k in range(levels):
+        obs = {"concept": {"display": f"group {k}"}, "value": None, "groupMembers": [obs, {"concept": {"display": f"after {name} {k}"}, "value": {"display": "Yes"}}]}
+    return obs
+
+
+def test_observations_nest_to_any_depth(spark, tmp_path):
+    """Read from JSON lines without a declared depth: all leaves, depth first, in order."""
+    import json
+
+    visits = [{"patient_uuid": "p", "uuid": "e1", "encounterDatetime": "2026-01-02T10:00:00", "obs": [_nested(7), _nested(0, "flat"), _nested(11, "deep")]},
+              {"patient_uuid": "p", "uuid": "e2", "encounterDatetime": "2026-01-01", "obs": []}, {"patient_uuid": "q", "uuid": "e3", "encounterDatetime": None, "obs": None},
+              {"patient_uuid": "q", "uuid": "e4", "encounterDatetime": None, "obs": [{"concept": {"display": "empty group"}, "value": "text", "groupMembers": []}]}]
+    path = tmp_path / "visits.json"
+    path.write_text("\n".join(map(json.dumps, visits)))
+    read = records.read_encounters(spark, str(path))
+    rows = {}
+    for r in ca.flatten_obs(read).orderBy("encounter_uuid", "ord").collect():
+        rows.setdefault(r.encounter_uuid, []).append(r)
+    want = ["leaf", *[f"after leaf {k}" for k in range(7)], "flat", "deep", *[f"after deep {k}" for k in range(11)]]
+    assert [r.name for r in rows["e1"]] == want and [r.ord for r in rows["e1"]] == list(range(len(want)))
+    assert (rows["e1"][0].value, rows["e1"][0].code, rows["e1"][0].datatype, ca and rows["e1"][1].value) == ("7", "5089", "Numeric", '{"display":"Yes"}')
+    assert [(r.name, r.value) for r in rows["e4"]] == [("empty group", "text")] and set(rows) == {"e1", "e4"}
+    people = spark.createDataFrame([("p", "d", None, []), ("q", "d", None, [])], records.schemas.PATIENTS)
+    cases = {r.patient_uuid: r for r in ca.case_text(people, records.earliest(read, 50)).collect()}
+    assert "leaf: 7 kg" in cases["p"].case_text and "after deep 10: Yes" in cases["p"].case_text
+    assert (cases["p"].obs_count, cases["p"].encounter_count, cases["p"].groups_too_deep) == (3, 2, 0)

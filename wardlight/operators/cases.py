@@ -2,9 +2,11 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.numbers import one_decimal
+from ..session import stored
 
 # fixed values: units by concept code, coded and date concepts, prompt frame
 UNITS = {
@@ -76,15 +78,51 @@ def declared_depth(encounters: DataFrame) -> int:
     return depth
 
 
-def flatten_obs(encounters: DataFrame) -> DataFrame:
-    """One row per leaf observation: patient_uuid, encounter_uuid, ord, name, datatype, code, value.
+_CONCEPT = ("struct<display:string,datatype:struct<display:string>,mappings:array<struct<conceptReferenceTerm:"
+            "struct<code:string,conceptSource:struct<display:string>>>>>")
+
+
+def unrolled(encounters: DataFrame) -> DataFrame:
+    """row, path and leaf (concept and value) of all observations without members, however deep; ``encounters`` has row and obs as VARIANT.
 
-    All levels of the schema are followed; ``case_text`` counts groups that nest deeper.
+    A round for each level; only groups go on to the next one.
     """
-    depth = declared_depth(encounters)
-    rows = encounters.select(
-        "patient_uuid", F.col("uuid").alias("encounter_uuid"), F.posexplode(leaves(F.col("obs"), depth)).alias("ord", "_o")
-    )
+    members = lambda of, place: F.try_variant_get(of, place, "array<variant>")
+    level = encounters.select("row", F.array().cast("array<int>").alias("path"), members("obs", "$").alias("members"))
+    found = None
+    while True:
+        rows = level.select("row", "path", F.posexplode("members").alias("_p", "_o"))
+        rows = stored(rows.select("row", F.concat("path", F.array("_p")).alias("path"), F.col("_o").alias("o"), members("_o", "$.groupMembers").alias("members")))
+        grouped = F.coalesce(F.size("members") > 0, F.lit(False))
+        found = rows.where(~grouped) if found is None else found.union(rows.where(~grouped))
+        level = rows.where(grouped)
+        if level.isEmpty():
+            break
+    concept = F.try_variant_get("o", "$.concept", _CONCEPT)
+    value = F.try_variant_get("o", "$.value", "variant")
+    text = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.to_json(value)).otherwise(value.cast("string"))
+    leaf = F.struct(concept["display"].alias("name"), F.coalesce(concept["datatype"]["display"], F.lit("")).alias("datatype"),
+                    concept_code(concept["mappings"]).alias("code"), text.alias("value"))
+    return found.select("row", "path", leaf.alias("leaf"))
+
+
+def with_leaves(encounters: DataFrame) -> DataFrame:
+    """Encounters with ``leaves`` (observations without members, depth first, in order), n_obs, and deep: groups below the levels that are read.
+
+    Observations that were read as VARIANT are followed to the last level, others to the levels of their schema.
+    """
+    if not isinstance(encounters.schema["obs"].dataType, T.VariantType):
+        depth = declared_depth(encounters)
+        return encounters.withColumns({"leaves": leaves(F.col("obs"), depth), "n_obs": F.coalesce(F.size("obs"), F.lit(0)), "deep": too_deep(F.col("obs"), depth)})
+    numbered = stored(encounters.withColumn("row", F.monotonically_increasing_id()))
+    of_row = unrolled(numbered).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "leaf"))), lambda x: x["leaf"]).alias("leaves"))
+    size = F.size(F.try_variant_get("obs", "$", "array<variant>"))
+    return numbered.join(of_row, "row", "left").withColumns({"n_obs": F.coalesce(size, F.lit(0)), "deep": F.lit(0)}).drop("row")
+
+
+def flatten_obs(encounters: DataFrame) -> DataFrame:
+    """One row per leaf observation: patient_uuid, encounter_uuid, ord, name, datatype, code, value."""
+    rows = with_leaves(encounters).select("patient_uuid", F.col("uuid").alias("encounter_uuid"), F.posexplode("leaves").alias("ord", "_o"))
     return rows.select("patient_uuid", "encounter_uuid", "ord", "_o.*")
 
 
@@ -138,14 +176,14 @@ def encounter_date(raw: Column) -> Column:
     return F.when((cut != "") & ~F.contains(cut, F.lit("T")), F.concat(tx.head(cut, 10), F.lit("T00:00:00"))).otherwise(cut)
 
 
-def encounter_lines(depth: int) -> Column:
+def encounter_lines() -> Column:
     none = F.array().cast("array<string>")
     top = F.array(
         F.concat(F.lit("Visit: "), F.coalesce("encounterType.display", F.lit("Visit"))),
         F.concat(F.lit("Date: "), encounter_date(F.col("encounterDatetime"))),
         F.concat(F.lit("Location: "), F.coalesce("location.display", F.lit("Unknown"))),
     )
-    return F.concat(top, F.coalesce(F.array_compact(F.transform(leaves(F.col("obs"), depth), obs_line)), none))
+    return F.concat(top, F.coalesce(F.array_compact(F.transform("leaves", obs_line)), none))
 
 
 def case_text(patients: DataFrame, encounters: DataFrame) -> DataFrame:
@@ -155,11 +193,7 @@ def case_text(patients: DataFrame, encounters: DataFrame) -> DataFrame:
     rows per patient, so that a patient's lines are gathered within a bound, and
     ``n_encounters``, from which encounters_left_out is counted.
     """
-    depth = declared_depth(encounters)
-    visits = encounters.select(
-        "patient_uuid", "ord", "n_encounters", encounter_lines(depth).alias("lines"),
-        F.coalesce(F.size("obs"), F.lit(0)).alias("n_obs"), too_deep(F.col("obs"), depth).alias("deep"),
-    ).groupBy("patient_uuid").agg(
+    visits = with_leaves(encounters).select("patient_uuid", "ord", "n_encounters", encounter_lines().alias("lines"), "n_obs", "deep").groupBy("patient_uuid").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lines"))), lambda e: e["lines"])).alias("lines"),
         F.count("*").alias("encounter_count"),
         F.sum(F.greatest("n_obs", F.lit(0))).alias("obs_count"),

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from ..functions.text import head, matches
 from ..rules import RulePack, V2
 from ..rules import vocabulary as v
-from .intent import coherent, topic_match
 from .rerank import actionable, is_in
+from .signals import LOWER, PLAIN
 
 # fixed values: guardrail ratio, flag limits, reasons
 GUARD_RATIO, LOW_CONFIDENCE, LOW_PRIORITY = 0.70, 0.012, 0.5
@@ -41,10 +41,9 @@ def promote_aligned(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     v2 never displaces an actionable top hit, promotes only actionable hits, and
     for action queries replaces even an on-topic top hit that is not actionable.
     """
-    lower = F.lower(_plain())
     aligned = F.when(
-        F.col("condition").isNotNull(), topic_match(lower, 2) & ~topic_match(lower, 3)
-    ).otherwise(coherent(_plain()))
+        F.col("condition").isNotNull(), F.col(f"{LOWER}.on") & ~F.col(f"{LOWER}.off")
+    ).otherwise(F.col(f"{PLAIN}.coherent"))
     hits = hits.withColumns({"aligned": aligned, "promotable": is_in(pack.action_types) | F.col("rescued")})
     strong = F.col("score") >= _of_top(F.col("score")) * pack.promote_ratio
     wanted = (F.col("pos") > 1) & F.col("aligned") & strong
@@ -59,7 +58,7 @@ def promote_aligned(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
 
 
 def _off_condition(pack: RulePack, top_actionable: Column) -> Column:
-    off = ~topic_match(_plain(), 2) & ((F.size("coherence") == 0) | ~coherent(_plain()))
+    off = ~F.col(f"{PLAIN}.on") & ((F.size("coherence") == 0) | ~F.col(f"{PLAIN}.coherent"))
     if pack.chest_syndrome:
         off = off | (F.col("asks_chest_syndrome") & ~matches(_plain(), v.CHEST_SYNDROME_CHUNK))
     return F.col("condition").isNotNull() & off & ~(F.col("asks_component") & top_actionable)
@@ -70,7 +69,7 @@ def safe_top(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     component = is_in(pack.component_types) if pack.component_types else is_in(pack.action_types)
     hits = hits.withColumns({
         "_off": _off_condition(pack, component),
-        "_fits": topic_match(_plain(), 2) & ((F.size("coherence") == 0) | coherent(_plain())),
+        "_fits": F.col(f"{PLAIN}.on") & ((F.size("coherence") == 0) | F.col(f"{PLAIN}.coherent")),
     })
     wanted = (
         F.col("safe_top1_guardrail") & (F.col("pos") > 1) & _of_top(F.col("_off")) & F.col("_fits")

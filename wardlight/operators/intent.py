@@ -3,9 +3,10 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import java_regex, matches, quote, strip
+from ..functions.text import matches, quote, strip
 from ..rules import RulePack, V2
 from ..rules import vocabulary as v
+from .signals import bit
 
 
 def expand_query(query: Column, pack: RulePack) -> Column:
@@ -34,27 +35,25 @@ def first_topic(query: Column, pack: RulePack) -> Column:
     return F.coalesce(*[F.when(matches(query, q), cid) for cid, q, _, _ in pack.conditions])
 
 
-def topic_pattern(condition: Column, pack: RulePack, slot: int) -> Column:
-    """Chunk pattern (2: on-topic, 3: off-topic) of a condition; null if there is none."""
+def topic_bit(condition: Column, pack: RulePack) -> Column:
+    """Bit of a condition in its pack; 0 if there is none."""
     branch = F
-    for rule in pack.conditions:
-        if rule[slot]:
-            branch = branch.when(condition == rule[0], java_regex(rule[slot]))
-    return branch.otherwise(F.lit(None).cast("string"))
+    for k, rule in enumerate(pack.conditions):
+        branch = branch.when(condition == rule[0], bit(k))
+    return branch.otherwise(F.lit(0).cast("bigint"))
 
 
 def active_rules(query: Column, rules) -> Column:
-    """All rules whose query pattern matches: array of (id, pattern, factor)."""
+    """All rules whose query pattern matches: array of (id, bit, factor)."""
     found = [
         F.when(matches(query, rule[1]), F.struct(
-            F.lit(rule[0]).alias("id"), F.lit(java_regex(rule[2])).alias("pattern"),
-            F.lit(rule[3] if len(rule) > 3 else 1.0).alias("factor")))
-        for rule in rules
+            F.lit(rule[0]).alias("id"), bit(k).alias("bit"), F.lit(rule[3] if len(rule) > 3 else 1.0).alias("factor")))
+        for k, rule in enumerate(rules)
     ]
     return F.array_compact(F.array(*found)) if found else F.array().cast(_RULES)
 
 
-_RULES = "array<struct<id:string,pattern:string,factor:double>>"
+_RULES = "array<struct<id:string,bit:bigint,factor:double>>"
 
 
 def query_intent(queries: DataFrame, pack: RulePack = V2) -> DataFrame:
@@ -85,28 +84,11 @@ def query_intent(queries: DataFrame, pack: RulePack = V2) -> DataFrame:
     return slots.withColumns({
         "sev_heavy": F.col("_heavy") & ~F.col("sev_light"),
         "pop_child": F.col("_child") & ~F.col("pop_adult") & ~F.col("pop_neonate"),
-        "topic_on": topic_pattern(F.col("condition"), pack, 2),
-        "topic_off": topic_pattern(F.col("condition"), pack, 3),
-        "coherence_on": F.array_join(F.transform("coherence", lambda r: r["pattern"]), "|"),
+        "topic": topic_bit(F.col("condition"), pack),
     }).drop("_heavy", "_child")
 
 
 INTENT_COLUMNS = [
-    "is_action", "condition", "coherence", "title_exclusions", "content_exclusions", "topic_on", "topic_off",
-    "coherence_on", "sev_light", "sev_heavy", "sensitive_tb", "pop_adult", "pop_neonate", "pop_child",
+    "is_action", "condition", "coherence", "title_exclusions", "content_exclusions", "topic", "sev_light", "sev_heavy", "sensitive_tb", "pop_adult", "pop_neonate", "pop_child",
     "task", "asks_chest_syndrome", "asks_component", "asks_paediatric", "asks_adult_other",
 ]
-
-
-def topic_match(text: Column, slot: int) -> Column:
-    """Does the chunk text match the on-topic (2) or off-topic (3) pattern of its query?
-
-    A query brings its own few patterns along as columns, so a candidate row
-    runs only those, and plans stay small however many rules a pack has.
-    """
-    return F.coalesce(F.rlike(text, F.col("topic_on" if slot == 2 else "topic_off")), F.lit(False))
-
-
-def coherent(text: Column) -> Column:
-    """Does the chunk text match any coherence rule that the query activates?"""
-    return (F.col("coherence_on") != "") & F.rlike(text, F.col("coherence_on"))

@@ -12,7 +12,7 @@ from ..functions.ranking import by_trail, factor, rescored, settle, start_trail
 from ..functions.text import head, matches, strip
 from ..rules import RulePack, V2
 from ..rules import vocabulary as v
-from .intent import coherent, topic_match
+from .signals import BOTH, HEAD, PLAIN, RESCUE, TITLE
 
 # fixed values: stage factors
 CONTEXT_FACTOR, SIGNAL_STEP, ACTION_BONUS, PROTOCOL_BONUS = 0.75, 0.07, 1.15, 1.08
@@ -117,37 +117,37 @@ def demote_population(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
 
 def demote_incoherent(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     """Chunks without a word of any topic that the query names."""
-    off = (F.size("coherence") > 0) & ~coherent(_with_title(1000))
+    off = (F.size("coherence") > 0) & ~F.col(f"{HEAD}.coherent")
     harsh = F.when(is_in(pack.action_types), pack.harsh_incoherence).otherwise(INCOHERENT_FACTOR)
     return rescored(hits, F.when(off, F.col("score") * harsh).otherwise(F.col("score")))
 
 
-def _exclusions(rules: str, text: Column) -> Column:
-    """Score times the factor of every active rule that the text matches, in rule order."""
-    return F.aggregate(rules, F.col("score"), lambda acc, r: acc * F.when(F.rlike(text, r["pattern"]), r["factor"]).otherwise(1.0))
+def _exclusions(rules: str, window: str) -> Column:
+    """Score times the factor of every active rule that the window's text matches, in rule order."""
+    found = F.col(f"{window}.rules")
+    return F.aggregate(rules, F.col("score"), lambda acc, r: acc * F.when(found.bitwiseAND(r["bit"]) != 0, r["factor"]).otherwise(1.0))
 
 
 def demote_exclusions(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     """Chunks about a disease that is known to be confused with the query's."""
-    by_title = _exclusions("title_exclusions", _title())
+    by_title = _exclusions("title_exclusions", TITLE)
     if pack.metadata_priority:
-        return rescored(hits.withColumn("score", by_title), _exclusions("content_exclusions", _with_title(1200)))
+        return rescored(hits.withColumn("score", by_title), _exclusions("content_exclusions", PLAIN))
     hits = rescored(hits, by_title)
     if not pack.content_exclusions:
         return hits
-    return rescored(hits, _exclusions("content_exclusions", _with_title(1200)))
+    return rescored(hits, _exclusions("content_exclusions", PLAIN))
 
 
 def rescue_background(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     """Background chunks that read like a protocol for the query's topic."""
     if not pack.rescue:
         return hits.withColumn("rescued", F.lit(False))
-    text = F.lower(_with_title(2000))
     protocol = matches(_protocol_window(), v.PROTOCOL_TEXT) & (
         matches(_protocol_window(), v.RESCUE_RECOMMEND) | (signal_count(_protocol_window()) >= 2)
     )
     # an off-topic chunk is rescued only if it is on topic as well, which is the plain on-topic test
-    on_topic = F.when(F.col("condition").isNotNull(), topic_match(text, 2)).otherwise(coherent(text))
+    on_topic = F.coalesce(F.when(F.col("condition").isNotNull(), F.col(f"{RESCUE}.on")).otherwise(F.col(f"{RESCUE}.coherent")), F.lit(False))
     hits = hits.withColumn("rescued", (_type() == "background") & protocol & on_topic)
     return rescored(hits, F.col("score") * factor(F.col("rescued"), RESCUE_FACTOR))
 
@@ -210,8 +210,8 @@ def intent_signals(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
     severity = F.col("sev_light") | F.col("sev_heavy")
     adult, neonate, child = F.col("pop_adult"), F.col("pop_neonate"), F.col("pop_child")
     return hits.withColumns({
-        "on_topic": topic_match(text, 2),
-        "off_topic": topic_match(text, 3),
+        "on_topic": F.col(f"{BOTH}.on"),
+        "off_topic": F.col(f"{BOTH}.off"),
         "chunk_heavy": only(severity, v.SEVERITY_HEAVY_CHUNK),
         "chunk_light": only(F.col("sev_light"), v.SEVERITY_LIGHT_CHUNK),
         "chunk_resistant": only(F.col("sensitive_tb"), v.RESISTANT_TB_CHUNK),
@@ -222,7 +222,7 @@ def intent_signals(hits: DataFrame, pack: RulePack = V2) -> DataFrame:
         "chunk_rabies_confuser": only(F.col("condition") == "rabies", v.RABIES_CONFUSERS),
         "chest_miss": (F.col("condition") == "sickle_cell") & F.col("asks_chest_syndrome")
         & ~matches(text, v.CHEST_SYNDROME_CHUNK),
-        "incoherent": (F.size("coherence") > 0) & ~coherent(text),
+        "incoherent": (F.size("coherence") > 0) & ~F.col(f"{BOTH}.coherent"),
     }).withColumns({
         c: F.coalesce(c, F.lit(False)) for c in ("chunk_scorpion", "chunk_rabies_confuser", "chest_miss")
     })

@@ -12,6 +12,7 @@ from ..operators.fusion import dispatch, fetch_errors, pool_size
 from ..operators.intent import INTENT_COLUMNS, query_intent
 from ..operators.lexical import InvertedIndex, bm25_topk, build_lexical_index, index_of, invert
 from ..operators.semantic import cosine_topk
+from ..operators.signals import with_signals
 from ..rules import PROFILES, RulePack, V2
 from ..session import scratch, stored
 
@@ -62,24 +63,23 @@ def without_empty(listed: DataFrame, chunks: DataFrame) -> DataFrame:
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).select(listed.columns)
 
 
-def with_chunks(candidates: DataFrame, intents: DataFrame, chunks: DataFrame, n_requests: int, pool: int) -> DataFrame:
-    """Candidates with chunk and intent columns, hash-partitioned by query; content is cut to the request's length here.
+def with_chunks(candidates: DataFrame, intents: DataFrame, corpus: "Corpus", pack: RulePack = V2) -> DataFrame:
+    """Candidates with chunk, intent and signal columns, hash-partitioned by query; content is cut to the request's length here.
 
-    The chunk table is by far the largest input.  Candidates number at most two
-    pools per request; while that bound is small they are broadcast to the
-    chunks, so that chunk text is not shuffled.
+    The chunk table is by far the largest input. ``candidates`` is a written table; while its counted
+    rows are few they are broadcast to the chunks, so that chunk text is not shuffled.
     """
-    bound = broadcast_if(candidates, n_requests * pool * 2, 96)
-    joined = chunks.join(bound.withColumnRenamed("frame_id", "chunk_id"), "chunk_id").drop("chunk_id")
+    bound = broadcast_if(candidates, candidates.count(), 160)
+    joined = corpus.chunks.join(bound.withColumnRenamed("frame_id", "chunk_id"), "chunk_id").drop("chunk_id")
     slots = intents.select("query_id", "query", "snippet_chars", *REQUEST_COLUMNS, *INTENT_COLUMNS)
     full = joined.repartition("query_id").join(slots, "query_id")
-    return full.withColumn("content", F.substring(F.col("content"), F.lit(1), F.col("snippet_chars"))).drop("snippet_chars")
+    cut = full.withColumn("content", F.substring(F.col("content"), F.lit(1), F.col("snippet_chars"))).drop("snippet_chars")
+    return with_signals(cut, pack)
 
 
 def candidates(intents: DataFrame, corpus: Corpus, query_vecs: DataFrame, pack: RulePack = V2) -> DataFrame:
-    pool = pack.pool_limit or 50
     lists = candidate_lists(intents, corpus, query_vecs, pack)
-    return with_chunks(lists, intents, corpus.chunks, intents.count(), pool)
+    return with_chunks(lists, intents, corpus, pack)
 
 
 def rerank_all(hits: DataFrame, pack: RulePack = V2) -> DataFrame:

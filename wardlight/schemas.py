@@ -55,6 +55,9 @@ def encounters(depth: int = 4) -> T.StructType:
     )
 
 
+#: Observations as they come, to any depth.
+ENCOUNTERS = _struct(patient_uuid=_S, uuid=_S, encounterDatetime=_S, encounterType=_DISPLAY, location=_DISPLAY, obs=T.VariantType())
+
 PATIENTS = _struct(
     uuid=_S, display=_S,
     person=_struct(

@@ -13,8 +13,9 @@ def read_patients(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PATIENTS).json(path)
 
 
-def read_encounters(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
-    return spark.read.schema(schemas.encounters(depth)).json(path)
+def read_encounters(spark: SparkSession, path: str) -> DataFrame:
+    """Encounters with their observations as VARIANT, which may nest to any depth."""
+    return spark.read.schema(schemas.ENCOUNTERS).json(path)
 
 
 def earliest(encounters: DataFrame, limit: int) -> DataFrame:

@@ -71,7 +71,7 @@ def lists(spark, d, profile="v2"):
 
 def pool(spark, d, profile="v2"):
     pack, it = PROFILES[profile], intents(spark, d, profile)
-    return with_chunks(lists(spark, d, profile), it, corpus(spark, d, pack).chunks, it.count(), pack.pool_limit or 50)
+    return with_chunks(lists(spark, d, profile), it, corpus(spark, d, pack), pack)
 
 
 # ------------------------------------------------------------------ sources and chunks
@@ -244,7 +244,7 @@ def _(spark, d):
     return intents(spark, d).select("query_id", F.length("query").cast("bigint").alias("chars"), F.col("query").alias("expanded"))
 
 
-_SLOTS = [c for c in INTENT_COLUMNS if c not in ("coherence", "title_exclusions", "content_exclusions", "topic_on", "topic_off", "coherence_on")]
+_SLOTS = [c for c in INTENT_COLUMNS if c not in ("coherence", "title_exclusions", "content_exclusions", "topic")]
 _LISTED = ["coherence", "title_exclusions", "content_exclusions"]
 _SLOT_SQL = "SELECT query_id, " + ", ".join(_SLOTS + [f"array_to_string({c}, '|') AS {c}" for c in _LISTED]) + " FROM intents"
 

@@ -560,8 +560,8 @@ _THINK = _OBS + _M + [
     "block AS (SELECT doc_id, CASE WHEN regexp_matches(raw, '(?s)<think>.*?</think>') THEN regexp_extract(raw, '(?s)<think>(.*?)</think>', 1) ELSE raw END AS body FROM outputs)",
     f"think AS MATERIALIZED (SELECT doc_id, unnest(range(len(x))) AS n, ltrim({strip('unnest(x)')}, '- ') AS line FROM (SELECT doc_id, string_split(body, chr(10)) AS x FROM block))",
     "listed AS (SELECT DISTINCT doc_id, label FROM enc JOIN manifest USING (t))",
-    f"""able AS MATERIALIZED (SELECT doc_id, n, label, {strip("rtrim(" + strip("regexp_extract(line, '(?i)' || regexp_escape(label) || '\s*[:=]\s*(.+)', 1)") + ", ',')")} AS value
-  FROM think JOIN listed USING (doc_id) WHERE regexp_matches(line, '(?i)' || regexp_escape(label) || '\s*[:=]\s*.'))""",
+    f"""able AS MATERIALIZED (SELECT doc_id, n, label, {strip("rtrim(" + strip("regexp_extract(line, '(?i)' || regexp_escape(label) || '\\s*[:=]\\s*(.+)', 1)") + ", ',')")} AS value
+  FROM think JOIN listed USING (doc_id) WHERE regexp_matches(line, '(?i)' || regexp_escape(label) || '\\s*[:=]\\s*.'))""",
     """taken AS (SELECT doc_id, 0 AS n, []::VARCHAR[] AS seen, NULL::VARCHAR AS label, NULL::VARCHAR AS value FROM block
   UNION ALL SELECT t.doc_id, t.n + 1, CASE WHEN a.value <> '' THEN list_append(seen, a.label) ELSE seen END, a.label, a.value
   FROM taken t LEFT JOIN LATERAL (SELECT label, value FROM able WHERE able.doc_id = t.doc_id AND able.n = t.n AND NOT list_contains(t.seen, label) ORDER BY length(label) DESC, label LIMIT 1) a ON true
