@@ -230,4 +230,4 @@ def test_patterns_are_constants(spark):
     for name in ("r25_search_responses", "v14_federated_responses"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
         found = list(_patterns(plan))
-        assert len(found) > 100 and set(found) == {"(?"}
+        assert len(found) > (100 if name.startswith("r25") else 10) and set(found) == {"(?"}
