@@ -362,10 +362,10 @@ def first_terms(texts: DataFrame, words: DataFrame, part_chars: int = PART_CHARS
 
 
 def extract_rules(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Observations of free-text notes by rule: vital signs, else one dictionary term (synonyms count as substrings)."""
+    """Observations of free-text notes by rule, in order: vital signs, else one dictionary term (synonyms count as substrings)."""
     scanned = notes.select("doc_id", F.lower("text").alias("_text"), vital_signs(F.col("text")).alias("_vitals"))
     vitals = scanned.select("doc_id", F.inline("_vitals")).select(
-        "doc_id", "concept_id", "label", F.lit("numeric").alias("datatype"), "value_num",
+        "doc_id", "ord", "concept_id", "label", F.lit("numeric").alias("datatype"), "value_num",
         F.lit(None).cast("boolean").alias("value_bool"), F.lit(None).cast("string").alias("icd10"),
         F.lit(None).cast("string").alias("certainty"), "units", F.lit(RULE_CONFIDENCE).alias("confidence"),
     )
@@ -373,7 +373,7 @@ def extract_rules(notes: DataFrame, vocabulary: DataFrame) -> DataFrame:
     best = first_terms(rest, stored(synonyms(vocabulary).where(F.length("synonym") > 2))).withColumnRenamed("concept", "c")
     coded = F.coalesce(F.col("c.icd10"), F.lit("")) != ""
     terms = best.select(
-        "doc_id", F.col("c.ciel_id").alias("concept_id"), F.col("c.name").alias("label"), F.col("c.datatype").alias("datatype"),
+        "doc_id", F.lit(0).alias("ord"), F.col("c.ciel_id").alias("concept_id"), F.col("c.name").alias("label"), F.col("c.datatype").alias("datatype"),
         F.lit(None).cast("double").alias("value_num"), F.when(~coded, F.lit(True)).alias("value_bool"),
         F.when(coded, F.col("c.icd10")).alias("icd10"), F.when(coded, "provisional").alias("certainty"),
         F.lit(None).cast("string").alias("units"), F.lit(SYNONYM_CONFIDENCE).alias("confidence"),
@@ -386,6 +386,33 @@ def embedded_json(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(\{[\s\S]*\})", 1), schema)
 
 
+_RESPONSE = ("observations array<struct<concept_id:bigint,label:string,datatype:string,value:string,units:string,confidence:double>>, "
+             "cds_alerts array<struct<type:string,message:string>>")
+
+
+def parse_responses(responses: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, observations, cds_alerts and fallback of model responses (doc_id, response, phrase).
+
+    The JSON object inside a response counts, missing keys are empty lists; a value that is an object stays JSON text.
+    Where there is no object or it is malformed, the observations are those that the rules find in the phrase.
+    """
+    inner = F.regexp_extract("response", r"(\{[\s\S]*\})", 1)
+    read = stored(responses.select("doc_id", "phrase", F.when(F.try_parse_json(inner).isNotNull(), inner).alias("_json")))
+    kinds = [f.dataType for f in T.StructType.fromDDL(_RESPONSE)]
+    none = [F.array().cast(k) for k in kinds]
+    body = F.from_json("_json", _RESPONSE)
+    given = read.where(F.col("_json").isNotNull()).select("doc_id", body.alias("_b")).select(
+        "doc_id", F.coalesce("_b.observations", none[0]).alias("observations"), F.coalesce("_b.cds_alerts", none[1]).alias("cds_alerts"), F.lit(False).alias("fallback"))
+    rest = read.where(F.col("_json").isNull())
+    coded = F.to_json(F.struct("icd10", "certainty"))
+    value = F.when(F.col("value_num").isNotNull(), F.col("value_num").cast("string")).when(F.col("icd10").isNotNull(), coded).otherwise("true")
+    found = extract_rules(rest.select("doc_id", F.col("phrase").alias("text")), vocabulary).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "ord", F.struct("concept_id", "label", "datatype", value.alias("value"), "units", "confidence").alias("o")))).alias("_found"))
+    ruled = rest.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.transform("_found", lambda x: x["o"]).cast(kinds[0]), none[0]).alias("observations"), none[1].alias("cds_alerts"), F.lit(True).alias("fallback"))
+    return given.unionByName(ruled)
+
+
 def confidence_scores(clip_vectors: DataFrame, label_vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     """Confidence of (clip_id, label) pairs: cosine of the mean vectors, mapped to 0..1."""
     clips = pool_embeddings(clip_vectors, "clip_id", renorm=False).select("clip_id", F.col("embedding").alias("a"))

@@ -525,6 +525,30 @@ def _(spark, d):
     return out.select("doc_id", "concept_id", "icd10", "certainty", "confidence")
 
 
+_RESPONSES = _NOTES + [
+    """vocab AS (SELECT p_partkey AS ord, 0 AS k, lower(substr('The and ing ion ent der die und que los las', (p_partkey % 38 + 1)::INTEGER, 4)) AS s, p_partkey + 100000 AS ciel_id FROM part
+    UNION ALL SELECT p_partkey, 1, 'x' || p_partkey % 40, p_partkey + 100000 FROM part)""",
+    "syn AS (SELECT s, min(ord * 10 + k) AS place, last(ciel_id ORDER BY ord, k) AS ciel_id FROM vocab WHERE length(s) > 2 GROUP BY s)",
+    f"term AS (SELECT doc_id, first(ciel_id ORDER BY place) AS concept_id FROM (SELECT doc_id, {strip('t')} AS t FROM notes WHERE doc_id NOT IN (SELECT doc_id FROM vitals)), syn WHERE contains(t, s) GROUP BY doc_id)",
+    f"ruled AS (SELECT doc_id, count(*) AS n, first(concept_id ORDER BY list_position([{', '.join(str(x[1]) for x in c.VITAL_SIGNS)}], concept_id)) AS concept_id, first(value_num ORDER BY list_position([{', '.join(str(x[1]) for x in c.VITAL_SIGNS)}], concept_id)) AS number FROM vitals GROUP BY doc_id UNION ALL SELECT doc_id, 1, concept_id, NULL FROM term)",
+]
+
+
+@query("e18_parsed_responses", with_(_RESPONSES, """SELECT n.doc_id, n.doc_id % 5 >= 2 AS fallback, CASE n.doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE coalesce(r.n, 0) END AS n_observations,
+  CASE n.doc_id % 5 WHEN 0 THEN n.doc_id WHEN 1 THEN NULL ELSE r.concept_id END AS concept_id, CASE n.doc_id % 5 WHEN 0 THEN 36.5e0 WHEN 1 THEN NULL ELSE r.number END AS number,
+  CASE WHEN n.doc_id % 5 = 1 THEN 1 ELSE 0 END AS n_alerts FROM notes n LEFT JOIN ruled r USING (doc_id)"""))
+def _(spark, d):
+    k = F.col("doc_id")
+    whole = F.concat(F.lit('Here: {"observations": [{"concept_id": '), k.cast("string"), F.lit(', "label": "t", "value": 36.5}, {"label": "x", "value": {"a": 1}}]} done'))
+    response = F.when(k % 5 == 0, whole).when(k % 5 == 1, '{"cds_alerts": [{"type": "info", "message": "m"}], "unmatched": "x"}').when(
+        k % 5 == 2, '{"observations": [ {"concept_id": 1} }').when(k % 5 == 3, "no object").otherwise(F.lit(None))
+    notes = i.notes(spark, d).select("doc_id", F.col("text").alias("phrase"), response.alias("response"))
+    out = ob.parse_responses(notes, i.vocabulary(spark, d))
+    first = F.try_element_at("observations", F.lit(1))
+    return out.select("doc_id", "fallback", F.size("observations").cast("bigint").alias("n_observations"), first["concept_id"].alias("concept_id"),
+                      first["value"].try_cast("double").alias("number"), F.size("cds_alerts").cast("bigint").alias("n_alerts"))
+
+
 @query("e18_embedded_json", """SELECT event_id, CAST(value AS DOUBLE) AS v, json_extract_string(props, '$.k')::BIGINT AS k, event_id % 4 = 3 AS malformed FROM (
   SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN value END AS value, CASE WHEN event_id % 4 <> 3 THEN props END AS props FROM events)""")
 def _(spark, d):
