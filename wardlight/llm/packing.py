@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import ship, stored
+from .columns import lookup
 from .tokens import encoder
 
 SIZE = 4096
@@ -33,40 +34,50 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 class _Sums:
-    """Which counted lengths are left, and sums of one to three of them."""
+    """Index of the lengths, and of the sums of two of them: for each sum its pairs, the larger member descending.
+
+    A triple is a length and a pair of the rest. What is taken must be there: the counts are asked at each use.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        self.lengths = np.flatnonzero(counts)[::-1]
+        size = len(counts) - 1
+        smaller = [self.lengths[k:][self.lengths[k:] <= size - a] for k, a in enumerate(self.lengths.tolist())]
+        larger = np.repeat(self.lengths, list(map(len, smaller))).astype(np.int32)
+        sums = larger + np.concatenate([np.empty(0, np.int32), *smaller]).astype(np.int32)
+        self.larger = larger[np.argsort(sums, kind="stable")]  # larger members stay in descending order
+        self.starts = np.append(0, np.cumsum(np.bincount(sums, minlength=size + 1)))
 
     def take(self, first: int, gap: int, most: int) -> list[int] | None:
         """At most ``most`` (up to 3) lengths that fill the gap exactly beside one piece of ``first``."""
-        left = self.counts.copy()
+        left = self.counts
         left[first] -= 1
-        if gap < len(left) and left[gap] > 0:
-            return [gap]
-        here = np.flatnonzero(left[:gap] > 0)
-        if most < 2 or not len(here):
+        try:
+            if left[gap] > 0:
+                return [gap]
+            found = self._pair(gap, gap) if most > 1 else None
+            if found or most < 3:
+                return found
+            for a in self.lengths[np.searchsorted(-self.lengths, -gap, "right"):].tolist():
+                if 3 * a < gap:
+                    break
+                if left[a] > 0:
+                    left[a] -= 1
+                    found = self._pair(gap - a, a)
+                    left[a] += 1
+                    if found:
+                        return [a, *found]
             return None
-        pair = self._pair(left, here, gap)
-        if pair or most < 3:
-            return pair
-        for a in here[::-1].tolist():
-            rest = gap - a
-            if 3 * a < gap:
-                break
-            left[a] -= 1
-            pair = self._pair(left, here[here <= min(a, rest - 1)], rest)
-            left[a] += 1
-            if pair:
-                return [a, *pair]
-        return None
+        finally:
+            left[first] += 1
 
-    @staticmethod
-    def _pair(left: np.ndarray, here: np.ndarray, gap: int) -> list[int] | None:
-        """Two of the lengths ``here`` with that sum; the index of single lengths is ``left`` itself."""
-        large = here[(2 * here >= gap) & (here < gap)]
-        fits = large[(left[large] > 0) & (left[gap - large] > (gap == 2 * large))]
-        return [int(fits[-1]), int(gap - fits[-1])] if len(fits) else None
+    def _pair(self, total: int, limit: int) -> list[int] | None:
+        """Two lengths of up to ``limit`` with that sum, the larger one as large as can be."""
+        entries = self.larger[self.starts[total]:self.starts[total + 1]]
+        entries = entries[np.searchsorted(-entries, -limit, "left"):]
+        there = np.flatnonzero((self.counts[entries] > 0) & (self.counts[total - entries] > (2 * entries == total)))
+        return [int(entries[there[0]]), int(total - entries[there[0]])] if len(there) else None
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -79,8 +90,9 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     """
     least = -(-sum(k * n for k, n in counts.items()) // size)
     best, fewest = [], None
+    index = _Sums(_array(counts, size))
     for most in (3, 2, 1):
-        lines = _plan(counts, size, most)
+        lines = _plan(counts, size, most, index)
         total = sum(n for _, n in lines)
         if fewest is None or total < fewest:
             best, fewest = lines, total
@@ -89,15 +101,20 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     return best
 
 
-def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    left = np.zeros(size + 1, np.int64)
+def _array(counts: dict[int, int], size: int) -> np.ndarray:
+    found = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
-        left[length] += n
+        found[length] += n
+    return found
+
+
+def _plan(counts: dict[int, int], size: int, most: int, sums: _Sums) -> list[tuple[tuple[int, ...], int]]:
+    left = sums.counts = _array(counts, size)
     lines: list[tuple[tuple[int, ...], int]] = []
     residue: list[tuple[int, int]] = []
     for length in range(size, 0, -1):
         while left[length] > 0:
-            fill = [] if length == size else _Sums(left).take(length, size - length, most)
+            fill = [] if length == size else sums.take(length, size - length, most)
             if fill is None:
                 residue.append((length, int(left[length])))
                 left[length] = 0
@@ -182,12 +199,13 @@ _EMPTY = pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], names=_NA
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
+    ship(spark)
     cut = pieces(docs, tokenizer, end_id, size)
     counts = stored(cut.groupBy("length", "writer").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``size`` rows
     table = spark.sparkContext.broadcast(slots(plan(histogram, size)))
     earlier = Window.partitionBy("length").orderBy("writer").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("length", "writer", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    before = stored(counts.select("length", "writer", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), keep=True)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = table.value
@@ -198,6 +216,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
             sequence = rows[at, 2] + rank - rows[at, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(rows[at, 3])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = cut.join(before, ["length", "writer"]).select(
+    ranked = lookup(cut, before, ["length", "writer"], "inner", F.col("local")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("local") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(place, PACKED)
