@@ -177,3 +177,17 @@ def test_observations_nest_to_any_depth(spark, tmp_path):
     cases = {r.patient_uuid: r for r in ca.case_text(people, records.earliest(read, 50)).collect()}
     assert "leaf: 7 kg" in cases["p"].case_text and "after deep 10: Yes" in cases["p"].case_text
     assert (cases["p"].obs_count, cases["p"].encounter_count, cases["p"].groups_too_deep) == (3, 2, 0)
+
+
+def test_vocabulary_file_keeps_its_order(spark, tmp_path):
+    import json
+
+    from wardlight.sources.dictionaries import read_vocabulary
+
+    concept = lambda n, **more: {"ciel_id": n, "name": f"c{n}", "datatype": "coded", "synonyms": [f"s{n}"], **more}
+    doc = {"version": 1, "categories": {"vitals": {"concepts": [concept(3), concept(1, units="kg")]}, "alpha": {"concepts": [concept(2, synonyms=None, icd10="A1")]}, "none": {"concepts": []}}}
+    (tmp_path / "v.json").write_text(json.dumps(doc, indent=2))
+    rows = read_vocabulary(spark, str(tmp_path / "v.json")).orderBy("ord").collect()
+    assert [(r.category, r.ciel_id, r.synonyms, r.units, r.icd10) for r in rows] == [
+        ("vitals", 3, ["s3"], None, None), ("vitals", 1, ["s1"], "kg", None), ("alpha", 2, [], None, "A1")]
+    assert ob.synonyms(read_vocabulary(spark, str(tmp_path / "v.json"))).count() == 2

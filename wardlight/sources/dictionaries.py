@@ -16,5 +16,5 @@ def explode_vocabulary(doc: DataFrame) -> DataFrame:
     parts = doc.select(F.posexplode(F.map_entries("categories")).alias("_c", "_e"))
     rows = parts.select("_c", F.col("_e.key").alias("category"), F.posexplode(F.col("_e.value.concepts")).alias("_i", "_k"))
     return rows.select(
-        (F.col("_c").cast("bigint") * 1_000_000 + F.col("_i")).alias("ord"), "category", "_k.ciel_id", "_k.name",
+        (F.shiftleft(F.col("_c").cast("bigint"), 32) + F.col("_i")).alias("ord"), "category", "_k.ciel_id", "_k.name",
         "_k.datatype", F.coalesce("_k.synonyms", F.array().cast("array<string>")).alias("synonyms"), "_k.units", "_k.icd10")

@@ -1,5 +1,7 @@
 """Registered search queries and their comparison SQL."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chunks as ch
@@ -14,7 +16,8 @@ from ..plans import federation as fed
 from ..plans.search import Corpus, candidate_lists, rerank_all, search, understood, with_chunks
 from ..rules import FEDERATED, PROFILES, V1, V2
 from ..rules import vocabulary as v
-from ..sources.corpus import corpus_stats
+from ..session import shared_folder
+from ..sources.corpus import corpus_stats, read_chunks
 from ..sources.requests import with_defaults
 from . import inputs as i
 from . import oracle_search as o
@@ -78,7 +81,9 @@ def pool(spark, d, profile="v2"):
 
 @query("s1_corpus_scan", with_(o.raw(), "SELECT frame_id, title, length(snippet) AS chars, uri, len(regexp_split_to_array(uri, '/')) AS depth FROM chunks_raw"))
 def _(spark, d):
-    raw = i.chunks_raw(spark, d)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    i.chunks_raw(spark, d).write.parquet(path)
+    raw = read_chunks(spark, path)
     return raw.select("frame_id", "title", F.length("snippet").cast("bigint").alias("chars"), "uri", F.size(F.split("uri", "/")).cast("bigint").alias("depth"))
 
 

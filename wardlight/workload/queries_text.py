@@ -129,6 +129,29 @@ def _(spark, d):
     return tr.next_prompts(t, prompts, out, ev).select("conv_id", "turn", md5("prompt").alias("prompt"))
 
 
+# the streaming loop trims what has grown too long after every turn
+_MARK = "'<start_of_turn>user' || chr(10)"
+_TRIM = (f"CASE WHEN length(x) > {tr.CONTEXT_CHARS} THEN substr(x, 1, strpos(x, {_MARK}) - 1 + length({_MARK})) || '[...context trimmed...]' || chr(10) || right(x, {tr.TAIL_CHARS}) ELSE x END")
+_LONG = "repeat(text || ' ', 40)"
+_STREAM_PROMPTS = _fold("streaming") + _EVID + [
+    f"""added AS (SELECT o.conv_id, o.step, o.turn, s.text || '<end_of_turn>' || chr(10) || '<start_of_turn>user' || chr(10) || {_REPLY}
+  || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS added
+  FROM outcomes o JOIN steps s USING (conv_id, turn) LEFT JOIN blocks b USING (conv_id, turn) WHERE o.outcome <> 'stop')""",
+    f"starts AS (SELECT conv_id, '<bos>' || '<start_of_turn>user' || chr(10) || {_LONG} || '<start_of_turn>model' || chr(10) AS start FROM conversations WHERE turn = 0)",
+    f"""grown AS (SELECT conv_id, -1::BIGINT AS step, NULL::BIGINT AS turn, start AS x FROM starts
+  UNION ALL SELECT conv_id, step, turn, {_TRIM} FROM (SELECT a.conv_id, a.step, a.turn, g.x || a.added AS x FROM grown g JOIN added a ON a.conv_id = g.conv_id AND a.step = g.step + 1))""",
+]
+
+
+@query("t5_next_prompts_streaming", _rec(_STREAM_PROMPTS, f"SELECT conv_id, turn, md5(x) AS prompt, contains(x, '[...context trimmed...]') AS trimmed FROM grown WHERE step >= 0"))
+def _(spark, d):
+    t, out, ev = _evidence(spark, d, "streaming")
+    first = i.table(spark, d, "conversations").where(F.col("turn") == 0)
+    prompts = first.select("conv_id", F.concat(F.lit(tr.USER_TURN), F.repeat(F.concat("text", F.lit(" ")), 40)).alias("prompt"))
+    out = tr.next_prompts(t, prompts, out, ev, "streaming")
+    return out.select("conv_id", "turn", md5("prompt").alias("prompt"), F.contains("prompt", F.lit("[...context trimmed...]")).alias("trimmed"))
+
+
 @query("t6_trim_context", f"""SELECT doc_id, length(t) AS chars, md5(t) AS hash FROM (SELECT doc_id, CASE WHEN length(x) > {tr.CONTEXT_CHARS}
   THEN substr(x, 1, strpos(x, m) - 1 + length(m)) || '[...context trimmed...]' || chr(10) || right(x, {tr.TAIL_CHARS}) ELSE x END AS t
   FROM (SELECT doc_id, '<bos>' || doc_id || '<start_of_turn>user' || chr(10) || text AS x, '<start_of_turn>user' || chr(10) AS m FROM documents))""")
