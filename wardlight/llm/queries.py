@@ -64,7 +64,7 @@ def op10_html_extraction(spark, folder):
 
 
 def op11_suffix_array_dedup(spark, folder):
-    return suffix_dedup.without_repeats(_table(spark, folder, "documents")).drop("kept")
+    return suffix_dedup.without_repeats(_table(spark, folder, "documents"), texts=False)
 
 
 def op12_hard_negatives(spark, folder):

@@ -41,6 +41,8 @@ from .windows import mix, parts
 WINDOW, GRAM = 400, 64
 #: Bytes of a text that are worked on at once.
 PIECE = 1 << 21
+#: Runs, and bytes of texts, that leave a task at once.
+RUNS, LEAVE = 4096, 1 << 22
 
 
 class Sizes(NamedTuple):
@@ -149,10 +151,18 @@ def _cut_rows(rows: DataFrame, window: int) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
-                raw, items = memoryview(text.as_buffer()), wanted.values
-                runs = [bytes(raw[a:a + n + window - 1]) for a, n in zip(items.field("first").to_pylist(), items.field("n").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*[items.field(c) for c in names], pa.array(runs, pa.binary())], names=[*names, "run"])
+            lists = batch.column("wanted")
+            edges, items = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).tolist(), lists.flatten()
+            first, n = items.field("first").to_pylist(), items.field("n").to_pylist()
+            a = runs_from = 0
+            runs: list[bytes] = []
+            for text, b in zip(batch.column("text"), edges[1:], strict=True):
+                raw = memoryview(text.as_buffer())
+                runs += [bytes(raw[x:x + k + window - 1]) for x, k in zip(first[a:b], n[a:b], strict=True)]
+                a = b
+                if len(runs) >= RUNS or b == edges[-1]:
+                    yield pa.RecordBatch.from_arrays([*[items.field(c).slice(runs_from, len(runs)) for c in names], pa.array(runs, pa.binary())], names=[*names, "run"])
+                    runs_from, runs = b, []
 
     names = ["anchor", "h1", "h2", "many", "off"]
     return rows.select("text", "wanted").mapInArrow(kernel, f"{_KIND}, many long, off int, run binary")
@@ -307,22 +317,31 @@ def _covered(n: int, spans: list[dict] | None, window: int) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sizes: Sizes = Sizes()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of each row."""
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sizes: Sizes = Sizes(), texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the bytes left) of each row."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                data = batch.column("text")[k].as_py().encode("utf-8", "surrogatepass")
-                edges = _covered(len(data), batch.column("spans")[k].as_py(), window).tolist()
-                kept = b"".join(data[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(data)], strict=True))
-                row = [len(data), len(data) - len(kept), len(edges) // 2, sha256(kept).hexdigest(), kept]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), *map(pa.array, ([x] for x in row))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            rows: list[tuple] = []
+            a = size = 0
+            for k, (text, spans) in enumerate(zip(batch.column("text"), batch.column("spans"), strict=True)):
+                data = bytes(memoryview(text.as_buffer()))
+                edges = _covered(len(data), spans.as_py(), window).tolist() if spans.is_valid else []
+                kept = b"".join(data[x:y] for x, y in zip([0, *edges[1::2]], [*edges[::2], len(data)], strict=True)) if edges else data
+                rows.append((len(data), len(data) - len(kept), len(edges) // 2, sha256(kept).hexdigest(), *([kept] if texts else [])))
+                size += len(kept)
+                if size >= LEAVE or k == batch.num_rows - 1:
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(rows)), *columns], names=names)
+                    a, rows, size = k + 1, [], 0
 
     gone = repeated_windows(docs, window, gram, sizes).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "spans")
-    texts = _texts(docs)
-    rows = texts.join(gone, texts.doc_id.eqNullSafe(F.col("_d")) & (texts.t == F.col("_t")), "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    read = _texts(docs)
+    rows = read.join(gone, read.doc_id.eqNullSafe(F.col("_d")) & (read.t == F.col("_t")), "left").select("doc_id", "text", "spans")
+    return rows.mapInArrow(kernel, schema)
 
 
 ORACLE = r"""
