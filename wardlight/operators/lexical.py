@@ -23,8 +23,8 @@ from ..session import scratch, ship, stored, stored_by
 
 K1, B = 1.2, 0.75
 _UNITS = 1_000_000  # scores add up in whole millionths, so that the order of the sum does not matter
-#: Chunks of a shard, postings of a block, and query terms that meet a shard in one task.
-SHARD_CHUNKS, BLOCK, BLOCK_TERMS = 8192, 128, 200_000
+#: Chunks of a shard at most, and at least where there are cores for more; postings of a block; query terms that meet a shard in one task.
+SHARD_CHUNKS, SPREAD_CHUNKS, BLOCK, BLOCK_TERMS = 8192, 256, 128, 200_000
 #: Folders of an index: one for this many chunks, within these bounds.
 BUCKET_CHUNKS, BUCKETS = 8192, (8, 1024)
 _NAMES = -1  # the folder of the chunks' names
@@ -145,7 +145,8 @@ def invert(index: LexicalIndex, folder: str | None = None, keep: bool = False, s
     ship(spark)
     row = index.stats.first()
     n, avg_len = row["n_chunks"], row["avg_len"] or 1.0
-    shards = max(1, -(-n // shard_chunks))
+    # small corpora are spread over the cores; results do not depend on the shards
+    shards = max(1, -(-n // shard_chunks), min(spark.sparkContext.defaultParallelism, n // SPREAD_CHUNKS))
     buckets = min(BUCKETS[1], max(BUCKETS[0], -(-n // BUCKET_CHUNKS)))
     dealt = index.entries.withColumn("shard", F.pmod(F.xxhash64("frame_id", "doc_len", "terms"), F.lit(shards)).cast("int"))
     rows = dealt.groupBy("shard").applyInArrow(_invert_kernel(avg_len), _ROWS)

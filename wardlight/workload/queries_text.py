@@ -492,6 +492,33 @@ def _(spark, d):
                     at("subject.reference").alias("subject"), at("encounter.reference").alias("encounter"))
 
 
+def _paths(payload, names):
+    return [F.get_json_object(payload, "$." + path).alias(name) for name, path in names.items()]
+
+
+# the parts of the resources that do not depend on the value
+@query("e12_observation_frame", with_(_FH, f"""SELECT b.doc_id, b.label, 'Observation' AS resource, 'final' AS status, coalesce(m.category, 'exam') AS category, {lit(fh.CATEGORY_SYSTEM)} AS category_system,
+  array_to_string(list_transform(string_split(coalesce(m.category, 'exam'), '-'), lambda w: upper(w[1]) || lower(w[2:])), '-') AS category_display, b.display0 AS display, b.display0 AS text,
+  {lit(fh.CIEL_SYSTEM)} AS ciel_system, NULL::VARCHAR AS local_system, 'Patient' AS subject_type, 'Encounter' AS encounter_type, {lit(_BUILT)} AS at
+  FROM built b JOIN manifest m ON m.t = b.t AND m.label = b.entry WHERE b.entry IS NOT NULL"""))
+def _(spark, d):
+    p = _items(spark, d).where(F.col("fhir_payload").isNotNull())
+    return p.select("doc_id", "label", *_paths("fhir_payload", {
+        "resource": "resourceType", "status": "status", "category": "category[0].coding[0].code", "category_system": "category[0].coding[0].system",
+        "category_display": "category[0].coding[0].display", "display": "code.coding[0].display", "text": "code.text", "ciel_system": "code.coding[1].system",
+        "local_system": "code.coding[0].system", "subject_type": "subject.type", "encounter_type": "encounter.type", "at": "effectiveDateTime"}))
+
+
+@query("e13_condition_frame", with_(_FH, f"""SELECT b.doc_id, b.label, 'Condition' AS resource, {lit(fh.CLINICAL_SYSTEM)} AS clinical_system, {lit(fh.VERIFICATION_SYSTEM)} AS verification_system,
+  b.display0 AS display, b.display0 AS text, b.local_uuid AS local_uuid, b.ciel_code AS ciel_code, 'Patient/' || patient_uuid AS subject, 'Encounter/' || encounter_uuid AS encounter, {lit(_BUILT)} AS at
+  FROM built b WHERE b.entry IS NOT NULL"""))
+def _(spark, d):
+    items = _cleaned(spark, d).where(F.col("entry").isNotNull()).withColumn("entry", F.col("entry").withField("fhir_type", F.lit("Condition")))
+    return fh.to_fhir(items, F.lit(_BUILT)).select("doc_id", "label", *_paths("fhir_payload", {
+        "resource": "resourceType", "clinical_system": "clinicalStatus.coding[0].system", "verification_system": "verificationStatus.coding[0].system", "display": "code.coding[0].display",
+        "text": "code.text", "local_uuid": "code.coding[0].code", "ciel_code": "code.coding[1].code", "subject": "subject.reference", "encounter": "encounter.reference", "at": "recordedDate"}))
+
+
 @query("e13_condition_json", with_(_FH, """SELECT doc_id, label, CASE WHEN lower(trim(value)) IN ('absent', 'ruled_out') THEN 'refuted' WHEN lower(trim(value)) IN ('confirmed', 'unconfirmed')
   THEN lower(trim(value)) ELSE 'confirmed' END AS verification, CASE WHEN lower(trim(value)) IN ('absent', 'ruled_out') THEN 'inactive' ELSE 'active' END AS clinical
   FROM (SELECT doc_id, label, CASE doc_id % 4 WHEN 0 THEN 'Absent' WHEN 1 THEN 'unconfirmed' WHEN 2 THEN 'ruled_out' ELSE value END AS value FROM built WHERE entry IS NOT NULL)"""))
