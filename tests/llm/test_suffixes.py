@@ -62,7 +62,7 @@ def _texts(r, window):
     return [(k if k % 9 else None, t) for k, t in enumerate(rows)] + [(1, rows[1]), (1, rows[1])]
 
 
-@pytest.mark.parametrize("sizes", [suffix_dedup.Sizes(), suffix_dedup.Sizes(900, 2, 500), suffix_dedup.Sizes(3000, 1, 1 << 21)])
+@pytest.mark.parametrize("sizes", [suffix_dedup.Sizes(), suffix_dedup.Sizes(900, 2, 500), suffix_dedup.Sizes(3000, 1, 1 << 20)])
 def test_equals_brute_force(spark, sizes):
     """Also with anchors dealt to many shards, their lists to ranges, and texts cut to pieces."""
     window, gram = 60, 12

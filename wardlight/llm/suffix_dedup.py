@@ -40,7 +40,7 @@ from .windows import mix, parts
 
 WINDOW, GRAM = 400, 64
 #: Bytes of a text that are worked on at once.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Runs, and bytes of texts, that leave a task at once.
 RUNS, LEAVE = 4096, 1 << 22
 
@@ -48,7 +48,7 @@ RUNS, LEAVE = 4096, 1 << 22
 class Sizes(NamedTuple):
     """Bytes of runs in a shard (its arrays take about 100 times that), shards of an anchor whose lists meet in one task, bytes of a text worked on at once."""
 
-    shard: int = 1 << 21
+    shard: int = 1 << 20
     lists: int = 64
     piece: int = PIECE
 
@@ -121,7 +121,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tupl
 
 def _pieces(column: pa.Array, window: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers, places in their texts, bytes and offsets of pieces of texts; pieces of one text overlap by a window less one."""
-    for a, b, data, offsets in parts(column):
+    for a, b, data, offsets in parts(column, size):
         if len(data) <= size or b - a > 1:
             yield np.arange(a, b), np.zeros(b - a, np.int64), data, offsets
             continue

@@ -46,14 +46,14 @@ class Words(NamedTuple):
     hashes: np.ndarray
 
 
-def parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def parts(column: pa.Array, size: int = PART) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and end row, bytes and offsets of parts of a text column."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PART, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         yield a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         a = b
 
