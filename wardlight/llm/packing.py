@@ -42,12 +42,21 @@ class _Sums:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
         self.lengths = np.flatnonzero(counts)[::-1]
-        size = len(counts) - 1
-        smaller = [self.lengths[k:][self.lengths[k:] <= size - a] for k, a in enumerate(self.lengths.tolist())]
-        larger = np.repeat(self.lengths, list(map(len, smaller))).astype(np.int32)
-        sums = larger + np.concatenate([np.empty(0, np.int32), *smaller]).astype(np.int32)
-        self.larger = larger[np.argsort(sums, kind="stable")]  # larger members stay in descending order
-        self.starts = np.append(0, np.cumsum(np.bincount(sums, minlength=size + 1)))
+        many = np.zeros(len(counts) + 1, np.int64)
+        for sums in self._sums():
+            many[sums + 1] += 1
+        self.starts = np.cumsum(many)
+        self.larger = np.empty(self.starts[-1], np.min_scalar_type(len(counts)))  # at most size ** 2 / 4 numbers of two bytes
+        free = self.starts[:-1].copy()
+        for a, sums in zip(self.lengths.tolist(), self._sums(), strict=True):
+            self.larger[free[sums]] = a
+            free[sums] += 1
+
+    def _sums(self) -> Iterator[np.ndarray]:
+        """Sums of each length, from the largest, with itself and all smaller ones."""
+        for k, a in enumerate(self.lengths.tolist()):
+            sums = self.lengths[k:] + a
+            yield sums[sums < len(self.counts)]
 
     def take(self, first: int, gap: int, most: int) -> list[int] | None:
         """At most ``most`` (up to 3) lengths that fill the gap exactly beside one piece of ``first``."""
@@ -74,7 +83,7 @@ class _Sums:
 
     def _pair(self, total: int, limit: int) -> list[int] | None:
         """Two lengths of up to ``limit`` with that sum, the larger one as large as can be."""
-        entries = self.larger[self.starts[total]:self.starts[total + 1]]
+        entries = self.larger[self.starts[total]:self.starts[total + 1]].astype(np.int64)
         entries = entries[np.searchsorted(-entries, -limit, "left"):]
         there = np.flatnonzero((self.counts[entries] > 0) & (self.counts[total - entries] > (2 * entries == total)))
         return [int(entries[there[0]]), int(total - entries[there[0]])] if len(there) else None
