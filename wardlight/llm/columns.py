@@ -40,6 +40,11 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str, spread:
     return salted(big, small, keys, how, spread)
 
 
+def without(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``big`` whose keys (null: never) are not in a written table: broadcast if its counted rows are few."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys, "left_anti")
+
+
 def renewed(docs: DataFrame, text: Column) -> list[Column]:
     """The columns of ``docs`` out of struct ``row``, with a new text and, where it is there, its n_chars."""
     def value(name: str) -> Column:

@@ -28,16 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import scratch, ship, stored
+from .columns import without
 from .components import components
-from .files import settled
 from .windows import Words, mix, parts, words_of
 
 DISTANCE, BLOCKS, SHINGLE, SEED = 3, 6, 3, 42
-#: For near copies: words of a shingle; bits that may differ in the print of words, and its blocks; bits of 128 that
-#: may differ over shingles. 0.8 of the shingles in common makes 19.4 different bits in the mean with a deviation of 4.1.
-COPY_SHINGLE, COPY_DISTANCE, COPY_BLOCKS, COPY_PROOF = 5, 5, 7, 23
-#: Bits of 128 that may differ in a candidate: 6 deviations above the mean at 0.8, and enough for sets of 5 shingles. Per cent of
+#: For near copies: words of a shingle; bits that may differ in the print of words, and its blocks.
+COPY_SHINGLE, COPY_DISTANCE, COPY_BLOCKS = 5, 5, 7
+#: Bits of 128 over the shingles that may differ in a candidate: at 0.8 the mean is 19.4 with a deviation of 4.1, so 6 deviations, and enough for sets of 5 shingles. Per cent of
 #: all distinct shingles of two texts that are in both.
 COPY_REACH, COPY_PERCENT = 44, 80
 #: Keys from least hashes of the shingles, and least hashes a key.
@@ -189,19 +188,21 @@ def _dealt(rows: DataFrame, by: Column) -> DataFrame:
 
 def _reached(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
     """component_id of every row of ``prints`` (doc_id, fp), a written table."""
-    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")))
     edges = links(nodes, distance, blocks)
     # the rows of one repeated doc_id are one node
     repeated = prints.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
     own = prints.join(repeated, "doc_id").join(nodes, "fp").select(F.greatest("doc_id", "doc").alias("u"), F.least("doc_id", "doc").alias("v")).where("u > v")
     roots = components(edges.union(own))
     reached = nodes.join(roots, nodes.doc == roots.node, "left").select("fp", F.coalesce("root", "doc").alias("component_id"))
-    return prints.join(settled(reached), "fp")
+    return prints.join(stored(reached), "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every row."""
-    return _reached(settled(fingerprints(docs, shingle, seed)), distance, blocks).select("doc_id", "fp", "component_id")
+    ship(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return stored(_reached(stored(fingerprints(docs, shingle, seed)), distance, blocks).select("doc_id", "fp", "component_id"), keep=True)
 
 
 def _majority(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -376,7 +377,7 @@ def proven_links(members: DataFrame) -> DataFrame:
     group, last = ["cc", "i", "j"], ["node", "label", "p0", "p1", "grams"]
 
     def proven(rows: DataFrame) -> DataFrame:
-        return settled(rows.select(*group, *last).repartition(*group).sortWithinPartitions(*group).mapInArrow(_proven_links, "u long, v long"))
+        return stored(rows.select(*group, *last).repartition(*group).sortWithinPartitions(*group).mapInArrow(_proven_links, "u long, v long"))
 
     def chunked(rows: DataFrame, size: Column) -> DataFrame:
         n = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(size) / GRAMS), F.lit(1))
@@ -395,13 +396,13 @@ def proven_links(members: DataFrame) -> DataFrame:
     away = members.join(middles, ["cc", "node"]).join(large, "cc").withColumn("label", F.col("node"))
     away = away.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where(F.col("i") != F.pmod(F.xxhash64("node"), F.col("n").cast("long")))
     edges = proven(rows.select(*group, *last).union(away.withColumn("j", F.col("i")).select(*group, *last)))
-    labels = settled(components(edges))
+    labels = stored(components(edges))
     named = rows.where("n > 1").select("cc", "n", "node", "p0", "p1").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    named = settled(named.select("cc", "n", "node", "label", "p0", "p1"))
+    named = stored(named.select("cc", "n", "node", "label", "p0", "p1"))
     mixed = stored(named.groupBy("cc").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cc"))
     pairs = _dealt(named.join(mixed, "cc", "left_semi"), F.col("node")).select(*group, "node", "label", "p0", "p1")
-    opened = settled(pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(_open_nodes, "node long").distinct())
-    left = settled(members.join(opened, "node", "left_semi").join(named.select("node", "label"), "node"))
+    opened = stored(pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(_open_nodes, "node long").distinct())
+    left = stored(members.join(opened, "node", "left_semi").join(named.select("node", "label"), "node"))
     dealt = left.join(chunked(left, F.size("grams")), "cc", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     return edges.union(proven(_dealt(dealt, F.col("node"))))
 
@@ -415,11 +416,11 @@ def copy_candidates(nodes: DataFrame) -> DataFrame:
 
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text) and the doc_id and t that stay for it (keep_id, keep_t), of every row with doc_id."""
-    prints = settled(copy_prints(docs))
-    nodes = settled(prints.groupBy("doc").agg(F.min(F.struct("doc_id", "t")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "p0", "p1", "keys")]))
-    near = components(settled(copy_candidates(nodes)))
-    near = settled(near.select("node", F.col("root").alias("cc")).union(near.select("root", "root").distinct()))
-    asked = settled(nodes.join(near, nodes.doc == near.node).select("cc", "node", "p0", "p1", "least.*"))
+    prints = stored(copy_prints(docs))
+    nodes = stored(prints.groupBy("doc").agg(F.min(F.struct("doc_id", "t")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "p0", "p1", "keys")]))
+    near = components(stored(copy_candidates(nodes)))
+    near = stored(near.select("node", F.col("root").alias("cc")).union(near.select("root", "root").distinct()))
+    asked = stored(nodes.join(near, nodes.doc == near.node).select("cc", "node", "p0", "p1", "least.*"))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.join(asked.select("doc_id", "t"), ["doc_id", "t"], "left_semi")
 
@@ -428,20 +429,32 @@ def copies(docs: DataFrame) -> DataFrame:
         return [pa.ListArray.from_arrays(pa.array(edges), pa.array(grams.view(np.int64)))]
 
     sets = _by_text(texts, values, "doc_id long, t long, grams array<long>", COPY_SHINGLE)
-    members = settled(asked.join(sets, ["doc_id", "t"]).select("cc", "node", "p0", "p1", "grams"))
+    members = stored(asked.join(sets, ["doc_id", "t"]).select("cc", "node", "p0", "p1", "grams"))
     roots = components(proven_links(members))
-    whole = settled(nodes.join(roots, nodes.doc == roots.node, "left").select("doc", "least", F.coalesce("root", "doc").alias("root")))
-    first = settled(whole.groupBy("root").agg(F.min("least").alias("keep")))
-    kept = settled(whole.join(first, "root").select("doc", F.col("keep.doc_id").alias("keep_id"), F.col("keep.t").alias("keep_t")))
+    whole = stored(nodes.join(roots, nodes.doc == roots.node, "left").select("doc", "least", F.coalesce("root", "doc").alias("root")))
+    first = stored(whole.groupBy("root").agg(F.min("least").alias("keep")))
+    kept = stored(whole.join(first, "root").select("doc", F.col("keep.doc_id").alias("keep_id"), F.col("keep.t").alias("keep_t")))
     return prints.select("doc_id", "t", "doc").join(kept, "doc").drop("doc")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id (then text hash) of each group of near copies, columns as given.
 
-    Of rows that repeat doc_id and text one stays; rows that repeat a doc_id with another text are judged by their text. Rows without doc_id all stay.
+    Of rows that repeat doc_id and text that whose columns come first as JSON stays; rows that repeat a doc_id
+    with another text are judged by their text. Rows without doc_id all stay. Only keys are
+    shuffled until it is known which go; whole rows move once, and not at all where few go.
     """
-    others = settled(copies(docs).where("keep_id <> doc_id OR keep_t <> t").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct())
-    rows = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
-    named = rows.join(others, ["_d", "_t"], "left_anti").dropDuplicates(["_d", "_t"])
-    return named.select("row.*").union(docs.where("doc_id IS NULL"))
+    spark, key = docs.sparkSession, ["_d", "_t"]
+    ship(spark)
+    with scratch(spark):
+        found = stored(copies(docs))
+        others = found.where("keep_id <> doc_id OR keep_t <> t").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
+        others = stored(others, keep=True)
+        repeated = found.where("keep_id = doc_id AND keep_t = t").groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.count("*").alias("n"))
+        repeated = stored(repeated.where("n > 1").drop("n"), keep=True)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
+    left = without(rows, others, key)
+    if not repeated.count():
+        return left.select("row.*")
+    one = rows.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return without(left, repeated, key).select("row.*").union(one.select("row.*"))

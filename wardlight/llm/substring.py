@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch, ship, stored
 from .automaton import SuffixAutomaton
 from .columns import lookup, renewed
-from .files import settled
 from .windows import anchors, parts, runs, words_of
 
 WINDOW, GRAM = 13, 4
@@ -130,33 +130,33 @@ def _owners_kernel(window: int):
 
 def _owners(run_rows: DataFrame, window: int) -> DataFrame:
     """anchor, run_hash, at (place of its first window in the run) and owners (smallest doc_id of each window from there)."""
-    references = settled(run_rows.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner")).withColumn("run_hash", F.xxhash64("run")))
-    crowded = settled(references.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor", F.lit(True).alias("crowded")))
+    references = stored(run_rows.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner")).withColumn("run_hash", F.xxhash64("run")))
+    crowded = stored(references.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor", F.lit(True).alias("crowded")))
     marked = lookup(references, crowded, ["anchor"], "left", F.col("run_hash"))
     calm = marked.where("crowded IS NULL").select("anchor", "run_hash", "run", "owner")
     calm = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_owners_kernel(window), "anchor long, run_hash long, at int, owners array<long>")
     words = marked.where("crowded").select("anchor", "run_hash", "owner", F.split("run", " ").alias("w"))
     single = words.select("anchor", "run_hash", "owner", F.explode(F.transform(
         F.sequence(F.lit(0), F.size("w") - window), lambda k: F.struct(k.alias("at"), F.array_join(F.slice("w", k + 1, window), " ").alias("words")))).alias("x"))
-    single = settled(single.select("anchor", "run_hash", "owner", "x.at", "x.words"))
+    single = stored(single.select("anchor", "run_hash", "owner", "x.at", "x.words"))
     least = single.groupBy("words").agg(F.min("owner").alias("least"))
     alone = single.join(least, "words").select("anchor", "run_hash", "at", F.array("least").alias("owners"))
-    return settled(calm.union(alone))
+    return stored(calm.union(alone))
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, text_hash and the first words (numbers from 0) of windows that start in a smaller doc_id, of documents that have some."""
     rows = _rows(docs).withColumn("text_hash", F.xxhash64("text"))
     found = _anchor_rows(rows.select("doc_id", "text"), window, gram)
-    shared = settled(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
+    shared = stored(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
     again = _anchor_rows(rows.select("doc_id", "text"), window, gram)
-    by_document = settled(again.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")))
-    run_rows = settled(_run_rows(rows.join(by_document, "doc_id"), window, gram))
+    by_document = stored(again.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared")))
+    run_rows = stored(_run_rows(rows.join(by_document, "doc_id"), window, gram))
     owners = _owners(run_rows, window)
     placed = run_rows.select("doc_id", "text_hash", "anchor", "first", F.xxhash64("run").alias("run_hash")).join(owners, ["anchor", "run_hash"])
     starts = F.filter(F.transform("owners", lambda o, k: F.when(o < F.col("doc_id"), F.col("first") + F.col("at") + k)), lambda x: x.isNotNull())
-    return settled(placed.withColumn("starts", starts).where(F.size("starts") > 0).groupBy("doc_id", "text_hash")
-                   .agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    return stored(placed.withColumn("starts", starts).where(F.size("starts") > 0).groupBy("doc_id", "text_hash")
+                   .agg(F.flatten(F.collect_list("starts")).alias("starts")), keep=True)
 
 
 def _kept(text: str, starts: list[int] | None, window: int) -> tuple[list[str], list[bool]]:
@@ -169,10 +169,13 @@ def _kept(text: str, starts: list[int] | None, window: int) -> tuple[list[str],
     return words, (np.cumsum(change[:-1]) == 0).tolist()
 
 
-def _with_windows(docs: DataFrame, window: int, gram: int, *more) -> DataFrame:
-    gone = removed_windows(docs, window, gram).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
-    rows = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+def _with_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Each row of ``docs`` as a struct, beside the windows that go from its text; the text moves once."""
+    ship(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        gone = removed_windows(docs, window, gram).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
+    return rows.join(gone, (F.col("_d") == F.col("_id")) & (F.col("_t") == F.col("_hash")), "left").withColumn("text", F.coalesce("row.text", F.lit("")))
 
 
 def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -188,7 +191,8 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, [pa.int64(), pa.int64(), pa.string()])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_windows(docs, window, gram).select("doc_id", "text", "starts").mapInArrow(kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = _with_windows(docs.select("doc_id", "text"), window, gram)
+    return rows.select(F.col("_d").alias("doc_id"), "text", "starts").mapInArrow(kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -205,7 +209,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
         return texts.combine(starts, one)
 
-    rows = _with_windows(docs, window, gram, F.struct("*").alias("row"))
+    rows = _with_windows(docs, window, gram)
     rows = rows.withColumn("clean", F.when(F.col("starts").isNull(), F.col("text")).otherwise(cut("text", "starts")))
     return rows.select(*renewed(docs, F.col("clean")))
 
