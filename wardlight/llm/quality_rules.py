@@ -2,10 +2,10 @@
 
 Base rules read one text: too few words, or too many words in 5-word windows that
 occur more than once in it. The corpus rule hashes normalised lines (lower case, one
-space for white space, trimmed) and counts for each host the distinct documents that
-hold a line; documents with equal texts count once, so copies do not make a line
-frequent. Lines above the limits of a host are removed, and a document is rejected
-if too few of its words are left.
+space for white space, trimmed) and counts for each host the distinct documents
+(doc_id; without one, the text) that hold a line. Lines above that count, which does
+not depend on the size of the host, are removed, and a document is rejected if too
+few of its words are left.
 
 A null text is empty, a null source is host ''. A row without doc_id is judged like
 any other. Rows that repeat doc_id and text get equal results. Empty tables give no
@@ -17,8 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .columns import BLANK, let, lines_with_words, lookup, renewed, words
+from ..session import scratch, stored
+from .columns import BLANK, BROADCAST_ROWS, let, lines_with_words, lookup, renewed, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -26,12 +26,11 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Limits:
-    """A line goes if more than ``documents`` and more than ``percent`` of its host's documents hold it; with 0 the size of the host plays no part."""
+    """A line goes if more than ``documents`` documents of its host hold it."""
 
     min_words: int = 10
     repeat_percent: int = 20
     documents: int = 10
-    percent: int = 5
     left_words: int = 10
     left_percent: int = 30
 
@@ -93,9 +92,9 @@ def _line_rows(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """host, line (hash) and n of lines above the limits."""
-    counts = _line_rows(docs).groupBy("host", "line").agg(F.countDistinct("text_hash").alias("n")).where(F.col("n") > limits.documents)
-    hosts = docs.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.countDistinct(F.xxhash64(F.coalesce("text", F.lit("")))).alias("documents"))
-    return stored(counts.join(hosts, "host").where(100 * F.col("n") > limits.percent * F.col("documents")).select("host", "line", "n"))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")))
+    counts = _line_rows(docs).groupBy("host", "line").agg(F.countDistinct(document).alias("n"))
+    return stored(counts.where(F.col("n") > limits.documents), keep=True)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -118,15 +117,19 @@ def apply_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     A document meets only those frequent lines that it holds, so nothing grows with the lines of a host.
     """
-    hits = lookup(_line_rows(docs), frequent_lines(docs, limits), ["host", "line"], "inner", F.struct("doc_id", "text_hash"))
-    own = stored(hits.groupBy("doc_id", "host", "text_hash").agg(F.collect_set("line").alias("frequent"))
-                 .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "frequent"))
+    spark = docs.sparkSession
+    with scratch(spark):
+        hits = lookup(_line_rows(docs), frequent_lines(docs, limits), ["host", "line"], "inner", F.struct("doc_id", "text_hash"))
+        own = stored(hits.groupBy("doc_id", "host", "text_hash").agg(F.collect_set("line").alias("frequent"))
+                     .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), "frequent"), keep=True)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_d"), F.coalesce("source", F.lit("")).alias("_s"), text.alias("t"), F.xxhash64(text).alias("_t"))
-    rows = rows.join(own, rows._d.eqNullSafe(own._id) & (rows._s == own._host) & (rows._t == own._hash), "left")
-    cleaned = F.when(F.col("frequent").isNull(), F.col("t")).otherwise(
-        F.array_join(F.filter(F.split("t", "\n"), lambda x: ~F.array_contains("frequent", F.xxhash64(normalised(x)))), "\n"))
-    both = let(words(F.col("t")), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("again")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_d"), F.coalesce("source", F.lit("")).alias("_s"), F.xxhash64(text).alias("_t"))
+    met = rows._d.eqNullSafe(own._id) & (rows._s == own._host) & (rows._t == own._hash)
+    rows = rows.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, met, "left")
+    whole = F.coalesce(F.col("row.text"), F.lit(""))
+    cleaned = F.when(F.col("frequent").isNull(), whole).otherwise(
+        F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains("frequent", F.xxhash64(normalised(x)))), "\n"))
+    both = let(words(whole), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("again")))
     rows = rows.select("row", cleaned.alias("clean"), both.alias("w"))
     rows = rows.select("row", "clean", F.col("w.n").alias("n_words"), F.col("w.again").alias("again"), F.size(words(F.col("clean"))).alias("n_left_words"))
     kept = rows.where((F.col("n_words") >= limits.min_words) & (100 * F.col("again") <= limits.repeat_percent * F.col("n_words")) & _enough(limits))
@@ -142,8 +145,7 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
 l AS (SELECT doc_id, host, t, lower(trim(regexp_replace(x, '[ \t\n\x0b\x0c\r]+', ' ', 'g'))) AS line,
   len(list_filter(regexp_split_to_array(x, '[ \t\n\x0b\x0c\r]+'), lambda y: y <> '')) AS n FROM (SELECT doc_id, host, t, unnest(ls) AS x FROM w)),
-f AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM l GROUP BY ALL)
-  JOIN (SELECT host, count(DISTINCT t) AS m FROM d GROUP BY host) USING (host) WHERE n > 10 AND 100 * n > 5 * m),
+f AS (SELECT host, line FROM l GROUP BY host, line HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'without ' || t)) > 10),
 gone AS (SELECT doc_id, sum(n) AS n FROM l JOIN f USING (host, line) GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ \t\n\x0b\x0c\r]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
