@@ -30,7 +30,8 @@ def salted(big: DataFrame, small: DataFrame, keys: list[str], how: str, spread:
     """Equi-join on keys of which one may hold much of ``big``: its rows are spread by salts, ``small`` is repeated for each."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    # by the size of its files Spark would take the repeated side for small and broadcast it
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str, spread: Column) -> DataFrame:

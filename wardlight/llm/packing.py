@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import BROADCAST_BYTES, broadcast_if
 from ..session import ship, stored
-from .columns import lookup
 from .tokens import encoder
 
 SIZE = 4096
@@ -225,6 +225,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
             sequence = rows[at, 2] + rank - rows[at, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(rows[at, 3])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = lookup(cut, before, ["length", "writer"], "inner", F.col("local")).select(
+    # a key has at most the pieces of one writer; a small table is broadcast by its counted rows, another one merged
+    n = before.count()
+    near = broadcast_if(before, n, 64) if n * 64 <= BROADCAST_BYTES else before.hint("merge")
+    ranked = cut.join(near, ["length", "writer"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("local") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(place, PACKED)
