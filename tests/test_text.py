@@ -191,3 +191,32 @@ def test_vocabulary_file_keeps_its_order(spark, tmp_path):
     assert [(r.category, r.ciel_id, r.synonyms, r.units, r.icd10) for r in rows] == [
         ("vitals", 3, ["s3"], None, None), ("vitals", 1, ["s1"], "kg", None), ("alpha", 2, [], None, "A1")]
     assert ob.synonyms(read_vocabulary(spark, str(tmp_path / "v.json"))).count() == 2
+
+
+@pytest.fixture(scope="module")
+def tied_ages(spark, tmp_path_factory):
+    """The smallest tables with ages half way between two tenths."""
+    import shutil
+
+    folder = tmp_path_factory.mktemp("ages")
+    for name in ("orders", "lineitem"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", folder)
+    ages = F.when(F.col("c_custkey") % 2 == 0, 9325.0).otherwise(-25.0)
+    spark.read.parquet("/root/testdata/sf0.001/customer.parquet").withColumn("c_acctbal", ages).write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+def _same_as_sql(spark, folder, name):
+    import duckdb
+    from oracle_check import compare
+    from wardlight.workload import registry
+
+    con = duckdb.connect()
+    for table, files in (("customer", "customer.parquet/*.parquet"), ("orders", "orders.parquet"), ("lineitem", "lineitem.parquet")):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{files}'")
+    status, rows, *_, detail = compare(spark, con, name, registry.QUERIES[name], registry.ORACLES[name], folder)
+    assert status == "match" and rows > 0, detail
+
+
+def test_header_of_tied_ages_equals_sql(spark, tied_ages):
+    _same_as_sql(spark, tied_ages, "p5_p6_header_and_attributes")

@@ -146,14 +146,15 @@ def obs_line(o: Column) -> Column:
     return F.concat(name, F.lit(": "), body)
 
 
-def header_lines(person: Column, identifiers: Column) -> Column:
+def header_lines(person: Column, identifiers: Column, ties_to_even: bool = False) -> Column:
+    """Age, gender, birthdate and id; an age half way between two tenths goes up, with ``ties_to_even`` to the even one."""
     birth = tx.head(F.coalesce(person["birthdate"], F.lit("")), 10)
     own = F.filter(identifiers, lambda i: F.contains(F.lower(i["identifierType"]["display"]), F.lit("openmrs")))
     chosen = F.coalesce(
         F.try_element_at(own, F.lit(1))["identifier"], F.try_element_at(identifiers, F.lit(1))["identifier"], F.lit("Unknown")
     )
     return F.array(
-        F.concat(F.lit("Age: "), F.coalesce(one_decimal(person["age"], ties_to_even=False), F.lit("0.0"))),
+        F.concat(F.lit("Age: "), F.coalesce(one_decimal(person["age"], ties_to_even), F.lit("0.0"))),
         F.concat(F.lit("Gender: "), tx.head(F.coalesce(person["gender"], F.lit("U")), 1)),
         F.concat(F.lit("Birthdate: "), F.when(birth == "", "1900-01-01").otherwise(birth)),
         F.concat(F.lit("OpenMRS ID: "), chosen),
@@ -186,12 +187,12 @@ def encounter_lines() -> Column:
     return F.concat(top, F.coalesce(F.array_compact(F.transform("leaves", obs_line)), none))
 
 
-def case_text(patients: DataFrame, encounters: DataFrame) -> DataFrame:
+def case_text(patients: DataFrame, encounters: DataFrame, ties_to_even: bool = False) -> DataFrame:
     """Case text and prompt per patient, with what it leaves out.
 
     ``encounters`` comes from ``records.earliest``: ``ord``, at most its limit of
     rows per patient, so that a patient's lines are gathered within a bound, and
-    ``n_encounters``, from which encounters_left_out is counted.
+    ``n_encounters``, from which encounters_left_out is counted. ``ties_to_even`` is that of ``header_lines``.
     """
     visits = with_leaves(encounters).select("patient_uuid", "ord", "n_encounters", encounter_lines().alias("lines"), "n_obs", "deep").groupBy("patient_uuid").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lines"))), lambda e: e["lines"])).alias("lines"),
@@ -204,7 +205,7 @@ def case_text(patients: DataFrame, encounters: DataFrame) -> DataFrame:
     joined = patients.withColumnRenamed("uuid", "patient_uuid").join(visits, "patient_uuid", "left")
     text = F.array_join(
         F.concat(
-            header_lines(F.col("person"), F.col("identifiers")),
+            header_lines(F.col("person"), F.col("identifiers"), ties_to_even),
             attribute_lines(F.col("person.attributes")),
             F.coalesce("lines", none),
         ),

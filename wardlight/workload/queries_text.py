@@ -291,7 +291,7 @@ def _(spark, d):
   'Occupation: ' || c_mktsegment || chr(10) || 'Civil Status: Married' AS attributes FROM customer JOIN ages USING (c_custkey)"""))
 def _(spark, d):
     p = i.patients(spark, d)
-    return p.select(F.col("uuid").alias("patient_uuid"), F.array_join(ca.header_lines(F.col("person"), F.col("identifiers")), "\n").alias("header"),
+    return p.select(F.col("uuid").alias("patient_uuid"), F.array_join(ca.header_lines(F.col("person"), F.col("identifiers"), ties_to_even=True), "\n").alias("header"),
                     F.array_join(ca.attribute_lines(F.col("person.attributes")), "\n").alias("attributes"))
 
 
