@@ -220,3 +220,7 @@ def _same_as_sql(spark, folder, name):
 
 def test_header_of_tied_ages_equals_sql(spark, tied_ages):
     _same_as_sql(spark, tied_ages, "p5_p6_header_and_attributes")
+
+
+def test_case_text_of_tied_ages_equals_sql(spark, tied_ages):
+    _same_as_sql(spark, tied_ages, "p7_p8_case_text")

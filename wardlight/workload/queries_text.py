@@ -305,7 +305,7 @@ def _(spark, d):
   coalesce(encounter_count, 0) AS encounter_count, coalesce(obs_count, 0) AS obs_count,
   coalesce(all_, 0) - coalesce(encounter_count, 0) AS encounters_left_out FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS all_ FROM orders GROUP BY 1) USING (c_custkey) JOIN ages USING (c_custkey) LEFT JOIN per ON patient_uuid = 'p' || c_custkey"""))
 def _(spark, d):
-    out = ca.case_text(i.patients(spark, d), records.earliest(i.encounters(spark, d), records.ENCOUNTER_LIMIT))
+    out = ca.case_text(i.patients(spark, d), records.earliest(i.encounters(spark, d), records.ENCOUNTER_LIMIT), ties_to_even=True)
     return out.select("patient_uuid", md5("case_text").alias("case_text"), "encounter_count", "obs_count", "encounters_left_out")
 
 
