@@ -192,6 +192,23 @@ def test_lsh_recall(spark):
     assert len(exact) == 1500 and len(exact & near) >= 0.9 * len(exact)
 
 
+def test_lsh_moves_vectors_once(spark):
+    """Rows shuffled do not grow with the hash tables nor with the pairs that share a bucket."""
+    vectors = spark.range(2000).select(F.col("id").cast("string").alias("frame_id"), F.array(F.lit(1.0), F.rand(3), F.rand(4), F.rand(5)).alias("embedding"))
+    queries = vectors.limit(40).select(F.col("frame_id").cast("bigint").alias("query_id"), "embedding")
+    vectors, queries = stored(vectors), stored(queries)
+
+    def shuffled():
+        store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        none = spark._jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, gateway.new_array(spark._jvm.double, 0), none)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = shuffled()
+    assert cosine_topk(queries, vectors, F.lit(5), mode="lsh").count() == 200
+    assert shuffled() - before < 2 * 2000
+
+
 def test_pooling_moves_a_row_for_each_task_and_key(spark, monkeypatch):
     from wardlight.operators import semantic
 

@@ -2,8 +2,6 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,8 +148,17 @@ def _unit_rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return rows / norms[:, None]
 
 
-def _cosine_cell(id_type: pa.DataType, held_scores: int):
-    """Kernel over a shard of chunk vectors and a block of query vectors: the best of the shard for each query."""
+def _buckets(rows: np.ndarray, bucket_length: float, tables: int) -> np.ndarray:
+    """Bucket of each row in each table: its projection on a random direction, in steps of ``bucket_length``."""
+    directions = np.random.default_rng(7).normal(size=(rows.shape[1], tables))
+    return np.floor(rows @ (directions / np.linalg.norm(directions, axis=0)) / bucket_length).astype(np.int32)
+
+
+def _cosine_cell(id_type: pa.DataType, held_scores: int, lsh: tuple[float, int, float] | None = None):
+    """Kernel over a shard of chunk vectors and a block of query vectors: the best of the shard for each query.
+
+    With ``lsh`` (bucket length, tables, greatest distance) only pairs that share a bucket of a table and lie nearer than that.
+    """
 
     def run(key: tuple, chunks: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", id_type), ("frame_id", pa.string()), ("score", pa.float64())])
@@ -159,11 +166,21 @@ def _cosine_cell(id_type: pa.DataType, held_scores: int):
             return schema.empty_table()
         chunks = chunks.sort_by("frame_id")  # columns in the order that settles ties
         matrix, asked = _unit_rows(chunks.column("embedding"), chunks.num_rows), _unit_rows(queries.column("embedding"), queries.num_rows)
+        if lsh:
+            length, tables, distance = lsh
+            own, other = _buckets(matrix, length, tables), _buckets(asked, length, tables)
         ks = queries.column("_k").to_numpy()
         parts, step = [], max(1, held_scores // chunks.num_rows)
         for a in range(0, queries.num_rows, step):  # the score matrix stays bounded
             scores = np.round(matrix @ asked[a:a + step].T, _DIGITS).T
+            if lsh:
+                meet = np.zeros(scores.shape, bool)
+                for t in range(tables):
+                    meet |= other[a:a + step, t, None] == own[None, :, t]
+                scores[~(meet & (2 - 2 * scores < distance * distance))] = -np.inf
             row, col = first_scores(scores, int(ks[a:a + step].max()))
+            found = np.isfinite(scores[row, col])
+            row, col = row[found], col[found]
             parts.append(pa.table([queries.column("query_id").take(pa.array(a + row)), chunks.column("frame_id").take(pa.array(col)), pa.array(scores[row, col])], schema=schema))
         return pa.concat_tables(parts)
 
@@ -178,13 +195,13 @@ def cosine_topk(query_vecs: DataFrame, chunk_vecs: DataFrame, k: Column, mode: s
     ``exact``: chunk vectors are dealt to shards and query vectors to blocks of a bounded number of
     ``components``; a shard meets each block in one task, which returns its best k. Vectors meet
     those of their own size; see ``unmatched_vectors`` for the rest. ``lsh``: approximate, by random
-    projection buckets.
+    projection buckets, which are made and met in the same cells: vectors move once a block, not once
+    a table, and no pair leaves its task but the best.
     """
     spark = query_vecs.sparkSession
     ship(spark)
     queries = query_vecs.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), k.cast("int").alias("_k"))
-    if mode == "lsh":
-        return _lsh_topk(queries, chunk_vecs, bucket_length, tables, max_distance)
+    lsh = (bucket_length, tables, max_distance) if mode == "lsh" else None
     id_field = queries.schema["query_id"]
     schema = T.StructType([id_field, T.StructField("frame_id", T.StringType()), T.StructField("score", T.DoubleType())])
     id_type = pa.int64() if isinstance(id_field.dataType, T.LongType) else pa.string()
@@ -201,7 +218,7 @@ def cosine_topk(query_vecs: DataFrame, chunk_vecs: DataFrame, k: Column, mode: s
         right = asked.join(sizes, "dim").withColumn("block", dealt("query_id", "blocks")).withColumn("shard", every("shards"))
         cell = ["dim", "shard", "block"]
         found = left.select(*cell, "frame_id", "embedding").groupBy(*cell).cogroup(right.select(*cell, "query_id", "embedding", "_k").groupBy(*cell)).applyInArrow(
-            _cosine_cell(id_type, SCORES), schema)
+            _cosine_cell(id_type, SCORES, lsh), schema)
         found = stored(found, keep=True)
     ranked = found.join(queries.select("query_id", "_k"), "query_id")
     return top_k(ranked, "query_id", F.col("_k"), F.col("score").desc(), F.col("frame_id")).select("query_id", "frame_id", "score", "rank")
@@ -211,24 +228,3 @@ def unmatched_vectors(query_vecs: DataFrame, chunk_vecs: DataFrame) -> DataFrame
     """Sizes of chunk vectors that no query has, with their number: chunks that a search cannot find."""
     asked = query_vecs.select(F.size("embedding").alias("dim")).distinct()
     return chunk_vecs.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).join(asked, "dim", "left_anti")
-
-
-def _lsh_topk(queries, chunk_vecs, bucket_length, tables, max_distance):
-    unit = lambda c: F.transform(c, lambda x: x / F.greatest(vector_norm(c), F.lit(1e-300)))
-    left = queries.select("query_id", "_k", array_to_vector(unit(F.col("embedding"))).alias("vec"))
-    right = chunk_vecs.select(
-        F.col("frame_id").cast("string").alias("frame_id"),
-        array_to_vector(unit(F.col("embedding").cast("array<double>"))).alias("vec"),
-    )
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="vec", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=7
-    )
-    pairs = lsh.fit(right).approxSimilarityJoin(left, right, max_distance, distCol="_distance")
-    scored = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetA._k").alias("_k"),
-        F.col("datasetB.frame_id").alias("frame_id"),
-        F.round(1 - F.col("_distance") * F.col("_distance") / 2, _DIGITS).alias("score"),
-    )
-    best = top_k(scored, "query_id", F.col("_k"), F.col("score").desc(), F.col("frame_id"))
-    return best.select("query_id", "frame_id", "score", "rank")
