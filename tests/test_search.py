@@ -127,6 +127,39 @@ def test_inverted_index_holds_the_postings(spark):
         assert blocks.count() == 0
 
 
+def _stages(spark):
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return [stages.apply(k) for k in range(stages.size())]
+
+
+def test_index_moves_only_its_postings(spark):
+    """Entries are not shuffled to their shards; only the rows go to their folders."""
+    _, forward = _index(spark)
+    entries = stored(forward.entries)
+    before = sum(s.shuffleWriteRecords() for s in _stages(spark))
+    found = invert(lexical.index_of(entries), shard_chunks=50)
+    moved = sum(s.shuffleWriteRecords() for s in _stages(spark)) - before
+    assert moved <= found.rows.count() + 20
+
+
+@pytest.mark.parametrize("postings", [1, 100])
+def test_shards_hold_a_bounded_number_of_postings(spark, monkeypatch, postings):
+    _, forward = _index(spark)
+    want = sorted(map(tuple, forward.postings.collect()))
+    monkeypatch.setattr(lexical, "SHARD_POSTINGS", postings)
+    kernel = lexical._invert_kernel(1.0, 8192)
+    monkeypatch.setattr(lexical, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
+    batches = stored(forward.entries).toArrow().to_batches(40)
+    rows = [r for b in kernel(iter(batches)) for r in b.to_pylist()]
+    names = {r["shard"]: r["names"] for r in rows if r["term"] is None}
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["n"] or 0
+    assert len(names) > 1 and all(sizes[s] <= postings or len(names[s]) == 1 for s in names)
+    assert sorted((r["term"], names[r["shard"]][o], tf, n) for r in rows if r["term"] for o, tf, n in zip(r["ords"], r["tfs"], r["lens"], strict=True)) == want
+
+
 def test_search_opens_only_the_folders_of_its_terms(spark):
     _, forward = _index(spark)
     found = invert(forward)

@@ -1,7 +1,7 @@
 """Term index and BM25 top-k for whole batches of queries.
 
 ``LexicalIndex`` holds each chunk with its term counts. ``InvertedIndex`` is what a search reads:
-chunks are dealt to shards and numbered in the order of their names; a row holds the postings of a
+each task cuts its chunks to shards and numbers them in the order of their names; a row holds the postings of a
 term in a shard, in blocks with their greatest gains. Rows lie in folders by the hash of their
 term, so a search opens only the folders of its terms. Its terms meet the postings in a join, and
 the postings of a shard meet the queries in one task, which scores whole chunks and returns its best.
@@ -12,21 +12,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import top_k
 from ..functions.sizing import broadcast_if
-from ..functions.text import let
 from ..session import scratch, ship, stored, stored_by
 
 K1, B = 1.2, 0.75
 _UNITS = 1_000_000  # scores add up in whole millionths, so that the order of the sum does not matter
-#: Chunks of a shard at most, and at least where there are cores for more; postings of a block; query terms that meet a shard in one task.
-SHARD_CHUNKS, SPREAD_CHUNKS, BLOCK, BLOCK_TERMS = 8192, 256, 128, 200_000
+#: Chunks and postings of a shard at most; postings of a block; query terms that meet a shard in one task; words counted at once.
+SHARD_CHUNKS, SHARD_POSTINGS, BLOCK, BLOCK_TERMS, COUNT_WORDS = 8192, 1 << 21, 128, 200_000, 1 << 21
 #: Folders of an index: one for this many chunks, within these bounds.
 BUCKET_CHUNKS, BUCKETS = 8192, (8, 1024)
+#: Rows that leave a task at once.
+OUT_ROWS = 20_000
 _NAMES = -1  # the folder of the chunks' names
 
 
@@ -49,7 +51,7 @@ class InvertedIndex:
     """``rows`` (by bucket): a term's postings in a shard; in the folder of names the names of a shard's chunks, in order."""
 
     rows: DataFrame  # bucket, shard, term, n, ords, tfs, lens, peaks (greatest gain of each block), names
-    stats: DataFrame  # one row: n_chunks, avg_len, shards, buckets
+    stats: DataFrame  # one row: n_chunks, avg_len, buckets
 
     @property
     def lists(self) -> DataFrame:
@@ -69,19 +71,32 @@ class InvertedIndex:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def counted(words: Column) -> Column:
-    """Array of (term, tf): starts of equal runs in the sorted words, each up to the next."""
-
-    def of_sorted(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k) != F.get(s, k - 1)))
-        return let(starts, lambda p: F.transform(p, lambda k, n: F.struct(
-            F.get(s, k).alias("term"), (F.coalesce(F.get(p, n + 1), F.size(s)) - k).cast("long").alias("tf"))))
-
-    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return F.when(F.size(words) == 0, empty).otherwise(let(F.sort_array(words), of_sorted))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel over chunks and their words: doc_len and the array of (term, tf) of each."""
+    for batch in batches:
+        many = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for a, b in _runs(many, batch.num_rows, COUNT_WORDS):
+            part = batch.slice(a, b - a)
+            words = part.column(1).flatten().dictionary_encode()
+            size = max(1, len(words.dictionary))
+            key, tfs = np.unique(np.repeat(np.arange(b - a), many[a:b]) * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            starts = np.append(0, np.cumsum(np.bincount(key // size, minlength=b - a)))
+            terms = pa.StructArray.from_arrays([words.dictionary.take(pa.array(key % size)).cast(pa.string()), pa.array(tfs.astype(np.int64))], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(many[a:b].astype(np.int64)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), terms)], names=["frame_id", "doc_len", "terms"])
+
+
+def _runs(weights: np.ndarray, most: int, weight: int) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``most`` items and, but for a single item, at most ``weight`` together."""
+    ends, a = np.cumsum(weights), 0
+    while a < len(weights):
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, min(a + most, int(np.searchsorted(ends, before + weight, "right"))))
+        yield a, b
+        a = b
 
 
 def index_of(entries: DataFrame) -> LexicalIndex:
@@ -95,8 +110,9 @@ def index_of(entries: DataFrame) -> LexicalIndex:
 
 def build_lexical_index(chunks: DataFrame, key: str = "frame_id") -> LexicalIndex:
     """Index of title and whole content; ``key`` names the chunk."""
+    ship(chunks.sparkSession)
     words = chunks.select(F.col(key).alias("frame_id"), tokens(F.concat_ws(" ", "title", "content")).alias("_words"))
-    return index_of(words.select("frame_id", F.size("_words").cast("long").alias("doc_len"), counted(F.col("_words")).alias("terms")))
+    return index_of(words.mapInArrow(counted, "frame_id string, doc_len long, terms array<struct<term:string,tf:bigint>>"))
 
 
 def _gain(tf: np.ndarray, length: np.ndarray, avg_len: float) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +120,27 @@ def _gain(tf: np.ndarray, length: np.ndarray, avg_len: float) -> tuple[np.ndarra
     return tf * (K1 + 1), tf + K1 * (1 - B + B * length / avg_len)
 
 
-_ROWS = "shard int, term string, n int, ords array<int>, tfs array<int>, lens array<int>, peaks array<double>, names array<string>"
+_ROWS = "shard long, term string, n int, ords array<int>, tfs array<int>, lens array<int>, peaks array<double>, names array<string>"
+
 
+def _invert_kernel(avg_len: float, shard_chunks: int):
+    """Kernel over the entries of a task, which it cuts to shards: for each a row for each of its terms, and one with its names."""
 
-def _invert_kernel(avg_len: float):
-    """Kernel over the entries of a shard: a row for each of its terms, and one with its names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, chunks, postings = TaskContext.get().partitionId() << 32, [], 0, 0
+        for batch in batches:
+            many = batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for a, b in _runs(many, shard_chunks, SHARD_POSTINGS):
+                more = int(many[a:b].sum())
+                if held and (chunks + b - a > shard_chunks or postings + more > SHARD_POSTINGS):
+                    yield from shard(number, pa.Table.from_batches(held)).to_batches(OUT_ROWS)
+                    number, held, chunks, postings = number + 1, [], 0, 0
+                held.append(batch.slice(a, b - a))
+                chunks, postings = chunks + b - a, postings + more
+        if held:
+            yield from shard(number, pa.Table.from_batches(held)).to_batches(OUT_ROWS)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def shard(number: int, table: pa.Table) -> pa.Table:
         names = table.column("frame_id").to_pylist()
         order = sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] or ""))
         table = table.take(pa.array(order, pa.int64())).combine_chunks()
@@ -131,9 +161,9 @@ def _invert_kernel(avg_len: float):
         ends = np.append(0, np.cumsum(-(-counts // BLOCK)))
         of = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
         n = len(counts)
-        found = pa.table({"shard": pa.array(np.full(n, key[0].as_py(), np.int32)), "term": words.dictionary.cast(pa.string()), "n": pa.array(counts.astype(np.int32)),
+        found = pa.table({"shard": pa.array(np.full(n, number, np.int64)), "term": words.dictionary.cast(pa.string()), "n": pa.array(counts.astype(np.int32)),
                           "ords": of(starts, ords), "tfs": of(starts, tfs), "lens": of(starts, lens), "peaks": of(ends, peaks), "names": pa.nulls(n, pa.list_(pa.string()))})
-        own = {"shard": pa.array([key[0].as_py()], pa.int32()), "names": pa.array([[names[i] for i in order]], pa.list_(pa.string()))}
+        own = {"shard": pa.array([number], pa.int64()), "names": pa.array([[names[i] for i in order]], pa.list_(pa.string()))}
         return pa.concat_tables([found, pa.table({f.name: own.get(f.name, pa.nulls(1, f.type)) for f in found.schema}, schema=found.schema)])
 
     return run
@@ -145,15 +175,13 @@ def invert(index: LexicalIndex, folder: str | None = None, keep: bool = False, s
     ship(spark)
     row = index.stats.first()
     n, avg_len = row["n_chunks"], row["avg_len"] or 1.0
-    # small corpora are spread over the cores; results do not depend on the shards
-    shards = max(1, -(-n // shard_chunks), min(spark.sparkContext.defaultParallelism, n // SPREAD_CHUNKS))
     buckets = min(BUCKETS[1], max(BUCKETS[0], -(-n // BUCKET_CHUNKS)))
-    dealt = index.entries.withColumn("shard", F.pmod(F.xxhash64("frame_id", "doc_len", "terms"), F.lit(shards)).cast("int"))
-    rows = dealt.groupBy("shard").applyInArrow(_invert_kernel(avg_len), _ROWS)
+    # a task makes its own shards, so entries are not shuffled; results do not depend on the shards
+    rows = index.entries.select("frame_id", "doc_len", "terms").mapInArrow(_invert_kernel(avg_len, shard_chunks), _ROWS)
     rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), F.lit(_NAMES)).otherwise(bucket_of(F.col("term"), buckets)))
     # files of even size: Spark splits a bucket of frequent terms and joins small ones
     written = stored_by(rows.hint("rebalance", "bucket"), "bucket", keep, folder and f"{folder}/rows")
-    stats = index.stats.withColumns({"shards": F.lit(shards), "buckets": F.lit(buckets)})
+    stats = index.stats.withColumn("buckets", F.lit(buckets))
     return InvertedIndex(written, stored(stats, keep, folder and f"{folder}/stats"))
 
 
@@ -229,7 +257,7 @@ def _search_kernel(k: int, avg_len: float, id_type: pa.DataType):
     """Kernel over a shard's postings of the asked terms and a block of query terms."""
 
     def run(key: tuple, lists: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", id_type), ("shard", pa.int32()), ("ord", pa.int32()), ("score", pa.int64())])
+        schema = pa.schema([("query_id", id_type), ("shard", pa.int64()), ("ord", pa.int32()), ("score", pa.int64())])
         if not lists.num_rows or not asked.num_rows:
             return schema.empty_table()
         lists = lists.combine_chunks()
@@ -265,7 +293,7 @@ def _search_kernel(k: int, avg_len: float, id_type: pa.DataType):
             return schema.empty_table()
         query = asked.column("query_id").take(pa.array(np.concatenate(queries)))
         chunk = np.concatenate(chunks).astype(np.int32)
-        return pa.table([query, pa.array(np.full(len(chunk), key[0].as_py(), np.int32)), pa.array(chunk), pa.array(np.concatenate(scores))], schema=schema)
+        return pa.table([query, pa.array(np.full(len(chunk), key[0].as_py(), np.int64)), pa.array(chunk), pa.array(np.concatenate(scores))], schema=schema)
 
     return run
 
@@ -285,10 +313,10 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex | InvertedIndex, k: Column
     if isinstance(index, LexicalIndex):
         index = invert(index)
     row = index.stats.first()
-    n, avg_len, shards = row["n_chunks"], row["avg_len"] or 1.0, row["shards"]
+    n, avg_len = row["n_chunks"], row["avg_len"] or 1.0
     id_field = queries.schema["query_id"]
     id_type = pa.int64() if isinstance(id_field.dataType, T.LongType) else pa.string()
-    schema = T.StructType([T.StructField("query_id", id_field.dataType), T.StructField("shard", T.IntegerType()), T.StructField("ord", T.IntegerType()), T.StructField("score", T.LongType())])
+    schema = T.StructType([T.StructField("query_id", id_field.dataType), T.StructField("shard", T.LongType()), T.StructField("ord", T.IntegerType()), T.StructField("score", T.LongType())])
     with scratch(queries.sparkSession):
         terms = stored(query_terms(queries).withColumn("bucket", bucket_of(F.col("term"), row["buckets"])))
         n_terms = terms.count()
@@ -300,7 +328,7 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex | InvertedIndex, k: Column
         asked = stored(terms.join(weights, "term").select("query_id", "term", "idf", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")))
         every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
         cells = found.withColumn("block", every(blocks)) if blocks > 1 else found.withColumn("block", F.lit(0))
-        meet = asked.withColumn("shard", every(shards))
+        meet = asked.crossJoin(F.broadcast(stored(found.select("shard").distinct())))  # a row for each shard
         best = stored(cells.groupBy("shard", "block").cogroup(meet.groupBy("shard", "block")).applyInArrow(_search_kernel(largest_k, avg_len, id_type), schema), keep=True)
     named = index.names.join(broadcast_if(best, best.count(), 48), ["shard", "ord"])
     named = named.select("query_id", "frame_id", (F.col("score") / _UNITS).alias("score"))
