@@ -99,3 +99,10 @@ def test_pack_documents(odd, none):
         ends[r.sequence_id] += r.length
     assert max(ends.values()) <= 4096 and len(ends) == -(-sum(ends.values()) // 4096)
     assert packing.pack_documents(none, PATH).collect() == []
+
+
+def test_caches_of_a_worker_are_small():
+    """Both together; four workers of an executor hold them beside its heap."""
+    from wardlight.llm import tokens
+
+    assert 2 * tokens.CACHE <= 100 << 20

@@ -24,7 +24,7 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LE
 #: Characters beyond these, whose class, composition or lower case could differ between libraries.
 _OTHER = re.compile("[^\t\n\r -~\xa1-įı-ſ]")
 #: Bytes of each of the two caches (an entry counts its word, its ids and ENTRY more); a full one starts anew. Longer words stay out.
-CACHE, ENTRY, LONGEST = 128 << 20, 200, 64
+CACHE, ENTRY, LONGEST = 48 << 20, 200, 64
 
 
 def _byte_characters() -> list[str]:
