@@ -4,16 +4,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.fhir import confirm
+from ..session import open_files, scratch, stored
 
 
 _STATUS = ["encounter_uuid", "item_id", "label", "fhir_type", "status", "error"]
 
 
 def _write(status: DataFrame, folder: str, batch: str) -> None:
-    """One folder per batch, overwritten when the batch is repeated."""
-    status.where(F.col("status") == "posted").select("fhir_type", F.col("fhir_payload").alias("value")).write.mode(
-        "overwrite").partitionBy("fhir_type").text(f"{folder}/resources/batch={batch}")
-    status.select(*_STATUS).write.mode("overwrite").parquet(f"{folder}/results/batch={batch}")
+    """One folder per batch, overwritten when the batch is repeated. The items are worked out once, for both tables."""
+    spark = status.sparkSession
+    with scratch(spark), open_files(spark):
+        status = stored(status.select(*_STATUS, F.when(F.col("status") == "posted", F.col("fhir_payload")).alias("value")))
+        status.where(F.col("status") == "posted").select("fhir_type", "value").write.mode(
+            "overwrite").partitionBy("fhir_type").text(f"{folder}/resources/batch={batch}")
+        status.select(*_STATUS).write.mode("overwrite").parquet(f"{folder}/results/batch={batch}")
 
 
 def write_confirmed(items: DataFrame, folder: str, accepted: Column | None = None, batch: str = "0") -> DataFrame:
