@@ -15,6 +15,15 @@ VERIFICATION = {
 }
 CONDITION_TEXT = {"confirmed": "Confirmed", "unconfirmed": "Suspected", "absent": "Absent / Ruled out"}
 
+_CODED = "array<struct<system:string,code:string,display:string>>"
+#: Members of the resources that ``to_fhir`` writes, for ``from_json``.
+RESOURCE = (
+    f"resourceType string, status string, category array<struct<coding:{_CODED}>>, code struct<coding:{_CODED},text:string>, "
+    "subject struct<reference:string,type:string>, encounter struct<reference:string,type:string>, effectiveDateTime string, "
+    f"valueQuantity struct<value:double,unit:string>, valueCodeableConcept struct<coding:{_CODED},text:string>, valueString string, "
+    f"clinicalStatus struct<coding:{_CODED}>, verificationStatus struct<coding:{_CODED}>, recordedDate string"
+)
+
 _e = lambda f: F.col(f"entry.{f}")
 
 

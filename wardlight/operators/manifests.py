@@ -64,14 +64,15 @@ def with_manifest_type(encounters: DataFrame, entries: DataFrame) -> DataFrame:
 
 def manifests(encounters: DataFrame, concepts: DataFrame, encounter_concepts: DataFrame,
               concept_ids: DataFrame) -> DataFrame:
-    """Encounters with their ``manifest`` array and ``manifest_string``; unknown types get the default list."""
+    """Encounters with their ``manifest`` array, ``manifest_string`` and ``manifest_labels``; unknown types get the default list."""
     per_type = type_manifests(concepts, encounter_concepts, concept_ids)
     text = F.concat_ws("\n", F.lit("CONCEPTS:"), F.transform("manifest", lambda m: m["manifest_line"]))
-    per_type = stored(per_type.withColumn("manifest_string", text))
+    per_type = per_type.withColumn("manifest_string", text)
+    per_type = stored(per_type.withColumn("manifest_labels", manifest_labels(F.col("manifest_string"))))  # once a type
     own = broadcast_small(per_type.where(F.col("encounter_type_uuid").isNotNull()), per_type.count())
     default = per_type.where(F.col("encounter_type_uuid").isNull())
     joined = encounters.join(own, "encounter_type_uuid", "left")
-    return joined.withColumns({c: F.coalesce(c, default.select(c).scalar()) for c in ("manifest", "manifest_string")})
+    return joined.withColumns({c: F.coalesce(c, default.select(c).scalar()) for c in ("manifest", "manifest_string", "manifest_labels")})
 
 
 def manifest_rows(encounters_with_manifest: DataFrame) -> DataFrame:

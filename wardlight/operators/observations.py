@@ -71,6 +71,11 @@ def labelled_lines(lines: list[str], labels: tuple[str, ...]) -> list[tuple[str,
     return list(found.items())
 
 
+@lru_cache(maxsize=256)
+def _listed(labels: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(filter(None, labels.split("\n"))))
+
+
 def think_lines(raw: Column, labels: Column) -> Column:
     """``label: value`` lines of the think block, for manifest labels only.
 
@@ -82,10 +87,10 @@ def think_lines(raw: Column, labels: Column) -> Column:
 
     @F.pandas_udf("string")
     def pick(lines: pd.Series, listed: pd.Series) -> pd.Series:
-        made = (None if x is None or y is None else "\n".join(f"{label}: {value}" for label, value in labelled_lines(list(x), tuple(y))) for x, y in zip(lines, listed, strict=True))
+        made = (None if x is None or y is None else "\n".join(f"{label}: {value}" for label, value in labelled_lines(list(x), _listed(y))) for x, y in zip(lines, listed, strict=True))
         return pd.Series(list(made), dtype=object)
 
-    return pick(tx.lines(body), F.array_distinct(labels))
+    return pick(tx.lines(body), F.array_join(labels, "\n"))  # one text, so that a list of labels is unpacked once and not for each row
 
 
 def _pairs(lines: Column, make) -> Column:
@@ -167,16 +172,21 @@ def parse_kv(outputs: DataFrame, variant: str = "server") -> DataFrame:
     return outputs.select(*rest, F.inline(kv_pairs(F.col("raw"), variant)))
 
 
+#: Labels and values that cleaning leaves as they are: most rows, which one match spares the steps.
+_CLEAN_LABEL = r"(?s)^[A-Za-z0-9](?:.*[A-Za-z0-9])?\z"
+_CLEAN_VALUE = r"""^(?:[A-Za-z](?:[^"'{}\[\]]*[A-Za-z0-9])?|[0-9]+(?:\.[0-9]+)?)\z"""
+
+
 def clean_label(label: Column) -> Column:
     bare = tx.strip(tx.lstrip(tx.strip(label), "_"))
-    return tx.strip(F.regexp_replace(bare, r"(?U)^\[.*?\]\s*", ""))
+    return F.when(label.rlike(_CLEAN_LABEL), label).otherwise(tx.strip(F.regexp_replace(bare, r"(?U)^\[.*?\]\s*", "")))
 
 
 def clean_value(value: Column) -> Column:
     """Cut leaked JSON, drop a trailing comma, strip the unit of a plain number."""
     cut = F.element_at(F.split(tx.strip(value), r"""(?<![0-9])["'{}\[\]]"""), 1)
     bare = tx.strip(F.rtrim(tx.strip(cut), F.lit(",")))
-    return F.regexp_replace(bare, r"(?Ud)^([0-9]+(?:\.[0-9]+)?)\s*[a-zA-Z%/]+$", "$1")
+    return F.when(value.rlike(_CLEAN_VALUE), value).otherwise(F.regexp_replace(bare, r"(?Ud)^([0-9]+(?:\.[0-9]+)?)\s*[a-zA-Z%/]+$", "$1"))
 
 
 def _says(value: Column, phrases) -> Column:
@@ -193,12 +203,10 @@ def with_entry(rows: DataFrame, entries: DataFrame, suffixes: bool) -> DataFrame
     that lost their start. Both tables go by (manifest_type, label), so a row
     carries a type and not a manifest.
     """
-    n, key = entries.count(), ["manifest_type", "label"]
-    if not suffixes:
-        return rows.join(broadcast_small(entries, n), key, "left")
-    ends = stored(suffix_entries(entries).withColumnRenamed("entry", "_end"))
-    rows = rows.join(broadcast_small(entries, n), key, "left").join(broadcast_small(ends, ends.count()), key, "left")
-    return rows.withColumn("entry", F.coalesce("entry", "_end")).drop("_end")
+    key = ["manifest_type", "label"]
+    if suffixes:  # one table for both, in which a whole label comes before an ending
+        entries = stored(entries.select(*key, "entry").unionByName(suffix_entries(entries).join(entries, key, "left_anti").select(*key, "entry")))
+    return rows.join(broadcast_small(entries, entries.count()), key, "left")
 
 
 def accept(rows: DataFrame, entries: DataFrame, path: str = "audio") -> DataFrame:
@@ -208,7 +216,9 @@ def accept(rows: DataFrame, entries: DataFrame, path: str = "audio") -> DataFram
     ``manifests.manifest_entries``.
     """
     if path == "audio":
-        rows = rows.withColumns({"label": clean_label(F.col("label")), "value": clean_value(F.col("value"))})
+        # as a generated row, so that the filters below read the cleaned texts and do not clean them again
+        cleaned = F.struct(clean_label(F.col("label")).alias("label"), clean_value(F.col("value")).alias("value"))
+        rows = rows.select(*[x for x in rows.columns if x not in ("label", "value")], F.inline(F.array(cleaned)))
         rows = rows.where((F.col("label") != "") & (F.col("value") != "") & ~_says(F.col("value"), AUDIO_NEGATIONS))
         rows = with_entry(rows, entries, True).withColumn("label", F.coalesce("entry.label", "label"))
         rows = rows.where(~F.lower("value").isin(*AUDIO_ABSENT))
@@ -234,8 +244,8 @@ def clean_observations(rows: DataFrame, entries: DataFrame, path: str = "audio",
     manifest itself.
     """
     kept = accept(rows, entries, path)
-    if path == "audio":
-        kept = first_per_label(kept)
+    if path == "audio":  # an accepted row has the label of its entry, so the entry need not ride through the sort
+        kept = with_entry(first_per_label(kept.drop("entry")), entries, False)
     inside = F.col("entry").isNotNull()
     plain = F.translate(F.lower("label"), " ", "_")
     if labels is None:
@@ -425,7 +435,9 @@ def confidence_scores(clip_vectors: DataFrame, label_vectors: DataFrame, pairs:
 
 
 def labelled_outputs(outputs: DataFrame, variant: str = "plain") -> DataFrame:
-    """Text path: think-block lines of the manifest labels, parsed. Needs ``manifest_string``."""
+    """Text path: think-block lines of the manifest labels, parsed. Needs ``manifest_string``; its ``manifest_labels``,
+    if there (``manifests.manifests``), are not read out of it again."""
     ship(outputs.sparkSession)
-    lines = think_lines(F.col("raw"), manifest_labels(F.col("manifest_string")))
-    return parse_kv(outputs.withColumn("raw", lines), variant)
+    listed = F.col("manifest_labels") if "manifest_labels" in outputs.columns else manifest_labels(F.col("manifest_string"))
+    lines = think_lines(F.col("raw"), listed)
+    return parse_kv(outputs.withColumn("raw", lines).drop("manifest_labels"), variant)

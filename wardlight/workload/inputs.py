@@ -1,6 +1,6 @@
 """Clinical inputs derived from the driver's tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import seeds
@@ -240,18 +240,20 @@ def concept_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def observation_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as observation lines: doc_id, n, label, value."""
-    li = table(spark, folder, "lineitem").withColumn("_k", F.col("l_linenumber") * 5 + F.col("l_orderkey"))
+    """Line items as observation lines: doc_id, pos (from 0), label, value.
+
+    Keys are shuffled and put in order once; the seeds, which follow from the keys, join the numbered lines.
+    """
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = table(spark, folder, "lineitem").select("l_orderkey", (F.row_number().over(order) - 1).alias("pos"), (F.col("l_linenumber") * 5 + F.col("l_orderkey")).alias("_k"))
     seeded = _seeded(li, "_k", seeds.OBSERVATIONS, "label string, value string")
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return seeded.select(F.col("l_orderkey").alias("doc_id"), key.alias("n"), "label", "value")
+    return seeded.select(F.col("l_orderkey").alias("doc_id"), "pos", "label", "value")
 
 
 def model_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """One model output per order: its observation lines as text, after a think block."""
     lines = observation_lines(spark, folder).withColumn("line", F.concat("label", F.lit(": "), "value"))
-    text = lines.groupBy("doc_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    text = lines.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("lines"))
     head = F.when(F.col("doc_id") % 3 == 0, "<think>weighing it</think>\n- ").when(F.col("doc_id") % 3 == 1, "Note: check\n* ").otherwise("")
     tail = F.when(F.col("doc_id") % 5 == 0, "\nNOT_IN_MANIFEST: oedema\npallor: NONE\n# done: yes").when(
         F.col("doc_id") % 5 == 1, "\n<think>cut: off").otherwise("")

@@ -359,7 +359,7 @@ def _(spark, d):
     "labels AS (SELECT t, string_agg(x, '|' ORDER BY x) AS labels FROM (SELECT DISTINCT t, replace(lower(trim(split_part(trim(regexp_replace(trim(l), '^\\[.*?\\]\\s*', '')), '(', 1))), ' ', '_') AS x FROM ls WHERE NOT starts_with(upper(trim(l)), 'CONCEPTS')) GROUP BY t)",
 ], "SELECT encounter_uuid, labels FROM enc JOIN labels USING (t)"))
 def _(spark, d):
-    return _manifests(spark, d).select("encounter_uuid", F.array_join(F.array_sort(ma.manifest_labels(F.col("manifest_string"))), "|").alias("labels"))
+    return _manifests(spark, d).select("encounter_uuid", F.array_join(F.array_sort("manifest_labels"), "|").alias("labels"))
 
 
 _OBS = [
@@ -433,9 +433,7 @@ def _entries(spark, d):
 
 
 def _rows(spark, d, entries):
-    lines = i.observation_lines(spark, d)
-    per = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "label", "value"))).alias("ls"))
-    rows = per.select("doc_id", F.posexplode("ls").alias("pos", "o")).select("doc_id", "pos", "o.label", "o.value")
+    rows = i.observation_lines(spark, d)
     typed = ma.with_manifest_type(i.encounters_flat(spark, d), entries)
     return rows.join(typed.select("doc_id", "encounter_uuid", "patient_uuid", "manifest_type"), "doc_id")
 
@@ -485,15 +483,15 @@ _FH = _ACC + [f"""built AS (SELECT f.*, m.unit, m.local_uuid, m.ciel_code, m.dis
   CASE WHEN number IS NULL THEN value END AS value_string, local_uuid, ciel_code, 'Patient/' || patient_uuid AS subject, 'Encounter/' || encounter_uuid AS encounter
   FROM built WHERE entry IS NOT NULL"""))
 def _(spark, d):
-    p = _items(spark, d).where(F.col("fhir_payload").isNotNull())
-    at = lambda path: F.get_json_object("fhir_payload", "$." + path)
-    return p.select("doc_id", "label", at("valueQuantity.value").cast("double").alias("quantity"), at("valueQuantity.unit").alias("unit"),
-                    at("valueString").alias("value_string"), at("code.coding[0].code").alias("local_uuid"), at("code.coding[1].code").alias("ciel_code"),
-                    at("subject.reference").alias("subject"), at("encounter.reference").alias("encounter"))
+    return _read(_items(spark, d), {
+        "quantity": "valueQuantity.value", "unit": "valueQuantity.unit", "value_string": "valueString", "local_uuid": "code.coding[0].code",
+        "ciel_code": "code.coding[1].code", "subject": "subject.reference", "encounter": "encounter.reference"})
 
 
-def _paths(payload, names):
-    return [F.get_json_object(payload, "$." + path).alias(name) for name, path in names.items()]
+def _read(items, names):
+    """doc_id, label and members of the payloads, each payload built and read once; items without one are left out."""
+    read = items.select("doc_id", "label", F.inline(F.array(F.from_json("fhir_payload", fh.RESOURCE)))).where(F.col("resourceType").isNotNull())
+    return read.select("doc_id", "label", *[F.expr(path).alias(name) for name, path in names.items()])
 
 
 # the parts of the resources that do not depend on the value
@@ -502,11 +500,10 @@ def _paths(payload, names):
   {lit(fh.CIEL_SYSTEM)} AS ciel_system, NULL::VARCHAR AS local_system, 'Patient' AS subject_type, 'Encounter' AS encounter_type, {lit(_BUILT)} AS at
   FROM built b JOIN manifest m ON m.t = b.t AND m.label = b.entry WHERE b.entry IS NOT NULL"""))
 def _(spark, d):
-    p = _items(spark, d).where(F.col("fhir_payload").isNotNull())
-    return p.select("doc_id", "label", *_paths("fhir_payload", {
+    return _read(_items(spark, d), {
         "resource": "resourceType", "status": "status", "category": "category[0].coding[0].code", "category_system": "category[0].coding[0].system",
         "category_display": "category[0].coding[0].display", "display": "code.coding[0].display", "text": "code.text", "ciel_system": "code.coding[1].system",
-        "local_system": "code.coding[0].system", "subject_type": "subject.type", "encounter_type": "encounter.type", "at": "effectiveDateTime"}))
+        "local_system": "code.coding[0].system", "subject_type": "subject.type", "encounter_type": "encounter.type", "at": "effectiveDateTime"})
 
 
 @query("e13_condition_frame", with_(_FH, f"""SELECT b.doc_id, b.label, 'Condition' AS resource, {lit(fh.CLINICAL_SYSTEM)} AS clinical_system, {lit(fh.VERIFICATION_SYSTEM)} AS verification_system,
@@ -514,9 +511,9 @@ def _(spark, d):
   FROM built b WHERE b.entry IS NOT NULL"""))
 def _(spark, d):
     items = _cleaned(spark, d).where(F.col("entry").isNotNull()).withColumn("entry", F.col("entry").withField("fhir_type", F.lit("Condition")))
-    return fh.to_fhir(items, F.lit(_BUILT)).select("doc_id", "label", *_paths("fhir_payload", {
+    return _read(fh.to_fhir(items, F.lit(_BUILT)), {
         "resource": "resourceType", "clinical_system": "clinicalStatus.coding[0].system", "verification_system": "verificationStatus.coding[0].system", "display": "code.coding[0].display",
-        "text": "code.text", "local_uuid": "code.coding[0].code", "ciel_code": "code.coding[1].code", "subject": "subject.reference", "encounter": "encounter.reference", "at": "recordedDate"}))
+        "text": "code.text", "local_uuid": "code.coding[0].code", "ciel_code": "code.coding[1].code", "subject": "subject.reference", "encounter": "encounter.reference", "at": "recordedDate"})
 
 
 @query("e13_condition_json", with_(_FH, """SELECT doc_id, label, CASE WHEN lower(trim(value)) IN ('absent', 'ruled_out') THEN 'refuted' WHEN lower(trim(value)) IN ('confirmed', 'unconfirmed')
@@ -526,9 +523,7 @@ def _(spark, d):
     value = F.when(F.col("doc_id") % 4 == 0, "Absent").when(F.col("doc_id") % 4 == 1, "unconfirmed").when(F.col("doc_id") % 4 == 2, "ruled_out").otherwise(F.col("value"))
     items = _cleaned(spark, d).where(F.col("entry").isNotNull())
     items = items.withColumn("value", value).withColumn("entry", F.col("entry").withField("fhir_type", F.lit("Condition")))
-    out = fh.to_fhir(items, F.lit(_BUILT))
-    at = lambda path: F.get_json_object("fhir_payload", "$." + path)
-    return out.select("doc_id", "label", at("verificationStatus.coding[0].code").alias("verification"), at("clinicalStatus.coding[0].code").alias("clinical"))
+    return _read(fh.to_fhir(items, F.lit(_BUILT)), {"verification": "verificationStatus.coding[0].code", "clinical": "clinicalStatus.coding[0].code"})
 
 
 @query("e14_routing_and_text", with_(_FH, """SELECT doc_id, label, 'Observation' AS fhir_type, CASE WHEN entry IS NULL THEN array_to_string(list_transform(string_split(replace(label, '_', ' '), ' '),
@@ -646,7 +641,7 @@ _THINK = _OBS + _M + [
 @query("e3_think_lines", with_(_THINK, """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, replace(lower(label), ' ', '_') AS label, value
   FROM taken WHERE value <> ''""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
-    out = i.model_outputs(spark, d).join(_manifests(spark, d).select("doc_id", "manifest_string"), "doc_id")
+    out = i.model_outputs(spark, d).join(_manifests(spark, d).select("doc_id", "manifest_string", "manifest_labels"), "doc_id")
     return ob.labelled_outputs(out).select("doc_id", "pos", "label", "value")
 
 
