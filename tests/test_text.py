@@ -26,6 +26,8 @@ def test_inline_metadata(spark):
     assert row.content == "Give artesunate 2.4 mg/kg IV."
     assert (row.content_type, row.pdf_file, row.retrieval_priority, row.is_current) == ("recommendation", "a.pdf", 1.0, True)
     assert row.headings == ["Malaria", "Severe"] and row.uri == "kb://w/a.pdf/3"
+    # characters of two units before the tail count once
+    assert one(spark, "\U0001d4b3\U0001d4b3 dose title: t", lambda c: ch.split_inline_metadata(c)[0]) == "\U0001d4b3\U0001d4b3 dose"
     # an empty value takes the next field with it
     _, parts = ch.split_inline_metadata(F.lit("a title: t headings: uri: y"))
     assert spark.range(1).select(ch.inline_field(parts, "headings")).first()[0] == "uri: y"

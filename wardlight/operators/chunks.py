@@ -9,6 +9,8 @@ from ..rules import vocabulary as v
 
 _MARK, _SEP = "\u0001", "\u0002"
 _BOUNDARY = " (" + "|".join(v.INLINE_FIELDS) + "): "
+#: The colon of the same boundary: the search stops at colons, which are rarer than blanks.
+_BOUNDARY_COLON = ":(?<= (?:" + "|".join(v.INLINE_FIELDS) + "):) "
 
 
 def split_inline_metadata(snippet: Column) -> tuple[Column, Column]:
@@ -17,9 +19,15 @@ def split_inline_metadata(snippet: Column) -> tuple[Column, Column]:
     The tail starts at the first `` <field>: `` of a known field; each value
     runs to the next one.  A part is ``field␂value``.
     """
-    cut = F.regexp_instr(snippet, F.lit(_BOUNDARY))
-    content = F.when(cut > 0, tx.strip(F.substring(snippet, F.lit(1), cut - 1))).otherwise(snippet)
-    tail = F.when(cut > 0, F.concat(F.lit(" "), tx.strip(F.substring(snippet, cut, F.length(snippet)))))
+    def cut(parts):
+        """Content and tail around the first boundary, which is searched once; lengths count characters, also those of two units."""
+        field = F.substring_index(parts[0], " ", -1)
+        tail = F.concat(F.lit(" "), tx.strip(F.concat(field, F.lit(": "), F.try_element_at(parts, F.lit(2)))))
+        before = tx.strip(F.substring(parts[0], F.lit(1), F.length(parts[0]) - F.length(field) - 1))
+        return F.struct(F.when(F.size(parts) > 1, before).otherwise(snippet).alias("content"), F.when(F.size(parts) > 1, tail).alias("tail"))
+
+    found = tx.let(F.split(snippet, _BOUNDARY_COLON, 2), cut)
+    content, tail = found["content"], found["tail"]
     marked = F.regexp_replace(tail, _BOUNDARY, f"{_MARK}$1{_SEP}")
     return content, F.split(marked, _MARK)
 
