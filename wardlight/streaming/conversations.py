@@ -13,7 +13,7 @@ goes; an ended stream keeps nothing but its end marker until then.
 import json
 import re
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,7 +22,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.text import BLANKS
 from ..operators import transcripts as tr
-from ..session import ship
+from ..session import scratch, ship, stored
 from ..sources.sse import DONE, payload
 from .tags import LiveSections, split_piece
 
@@ -46,20 +46,21 @@ class Live:
     change); and event: the sequence that a reader of the loop sees (title: turn_start, token, kb_query, done, error).
     Of the queries in a turn the first that was not used before runs; the loop stops at a turn without
     one, with an answer, at the last turn, or after as many queries as are allowed. If no assessment was written
-    by then, one more turn follows.
+    by then, one more turn follows. With ``kinds`` only rows of these are given; their numbers stay.
     """
 
-    def __init__(self, place: tuple = _FRESH, titles=(), used=(), hits=()):
+    def __init__(self, place: tuple = _FRESH, titles=(), used=(), hits=(), kinds: frozenset[str] | None = None):
         for name, value in zip(_PLACE, place, strict=True):
             setattr(self, name, value)
-        self.titles, self.used, self.hits = list(titles), list(used), list(hits)
+        self.titles, self.used, self.hits, self.kinds = list(titles), list(used), list(hits), kinds
         self.rows: list[tuple] = []
 
     def place(self) -> tuple:
         return tuple(getattr(self, name) for name in _PLACE)
 
     def _emit(self, kind, ord=None, title=None, text=None, score=None, source=None, uri=None):
-        self.rows.append((self.seq, self.part, self.turn, kind, ord, title, text, score, source, uri))
+        if self.kinds is None or kind in self.kinds:
+            self.rows.append((self.seq, self.part, self.turn, kind, ord, title, text, score, source, uri))
         self.part += 1
 
     def push(self, seq: int, text: str | None) -> None:
@@ -110,15 +111,15 @@ class Live:
         self.said += piece
         self._seen("token", text=piece)
         pieces, self.mode, self.held = split_piece(piece, self.mode, self.held)
-        live = LiveSections(self.line, self.titles)
         for mode, part in pieces:
             if mode == "kb_query":
                 continue
             self._emit(mode, text=part)
             if mode == "answer":
+                live = LiveSections(self.line, self.titles)
                 for ord_, title, added in live.push(part):
                     self._emit("section", ord=ord_, title=title, text=added)
-        self.line, self.titles = live.line, live.titles
+                self.line, self.titles = live.line, live.titles
 
     def _seen(self, title: str, **more) -> None:
         """An event of the loop, as long as it runs."""
@@ -151,8 +152,8 @@ class Live:
 
 
 class Conversation(StatefulProcessor):
-    def __init__(self, idle_ms: int | None, forget_ms: int | None):
-        self.idle_ms, self.forget_ms = idle_ms, forget_ms
+    def __init__(self, idle_ms: int | None, forget_ms: int | None, kinds: frozenset[str] | None = None):
+        self.idle_ms, self.forget_ms, self.kinds = idle_ms, forget_ms, kinds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -164,19 +165,21 @@ class Conversation(StatefulProcessor):
 
     def _load(self) -> Live:
         if not self.place.exists():
-            return Live()
+            return Live(kinds=self.kinds)
         place = tuple(self.place.get())
         if place[list(_PLACE).index("ended")]:
-            return Live(place)
-        return Live(place, [r[0] for r in self.titles.get()], [r[0] for r in self.used.get()], [tuple(r) for r in self.hits.get()])
+            return Live(place, kinds=self.kinds)
+        return Live(place, [r[0] for r in self.titles.get()], [r[0] for r in self.used.get()], [tuple(r) for r in self.hits.get()], self.kinds)
 
     def _save(self, live: Live, before: tuple) -> None:
+        """``before``: early lines, titles, used queries and hits in the state. What holds nothing is not touched, as each call leaves the worker."""
         self.place.update(live.place())
         if live.ended:
-            for state in (self.early, self.titles, self.used, self.hits):
-                state.clear()
+            for state, then in zip((self.early, self.titles, self.used, self.hits), before, strict=True):
+                if then:
+                    state.clear()
             return
-        for state, now, then in zip((self.titles, self.used, self.hits), ([(t,) for t in live.titles], [(q,) for q in live.used], live.hits), before, strict=True):
+        for state, now, then in zip((self.titles, self.used, self.hits), ([(t,) for t in live.titles], [(q,) for q in live.used], live.hits), before[1:], strict=True):
             if len(now) != then:
                 state.put(now)
 
@@ -191,7 +194,7 @@ class Conversation(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         live = self._load()
-        sizes = len(live.titles), len(live.used), len(live.hits)
+        sizes = live.early, len(live.titles), len(live.used), len(live.hits)
         came = {}
         for pdf in rows:
             for seq, text in zip(pdf["seq"], pdf["text"], strict=True):
@@ -225,7 +228,7 @@ class Conversation(StatefulProcessor):
             for state in (self.place, self.early, self.titles, self.used, self.hits):
                 state.clear()
             return
-        sizes = len(live.titles), len(live.used), len(live.hits)
+        sizes = live.early, len(live.titles), len(live.used), len(live.hits)
         for (seq,), (text,) in sorted((tuple(k), tuple(v)) for k, v in self.early.iterator()):
             live.push(seq, text)
         self.early.clear()
@@ -239,17 +242,18 @@ class Conversation(StatefulProcessor):
         pass
 
 
-def follow(lines: DataFrame, idle_minutes: float | None = 30, forget_minutes: float | None = None) -> DataFrame:
+def follow(lines: DataFrame, idle_minutes: float | None = 30, forget_minutes: float | None = None, kinds: Iterable[str] | None = None) -> DataFrame:
     """Typed rows of live streams from (stream_id, seq, line); ``seq`` counts every line from 0.
 
     A stream that stays silent for ``idle_minutes`` goes on without the lines it misses, one that then stays
     silent for ``forget_minutes`` (by default as long again) is forgotten. A run that
     must end once all input is read needs None: timers keep it waiting. The state lives in RocksDB, see ``run_to_table``.
+    ``kinds``: those that the reader wants, all by default; other rows do not leave the Python worker.
     """
     ship(lines.sparkSession)
     texts = lines.select("stream_id", "seq", payload(F.col("line")).alias("text"))
     ms = lambda minutes: int(minutes * 60_000) if minutes else None
-    processor = Conversation(ms(idle_minutes), ms(forget_minutes or idle_minutes))
+    processor = Conversation(ms(idle_minutes), ms(forget_minutes or idle_minutes), None if kinds is None else frozenset(kinds))
     return texts.groupBy("stream_id").transformWithStateInPandas(processor, OUTPUT, "append", "processingTime" if idle_minutes else "none")
 
 
@@ -348,10 +352,15 @@ def event_rows(rows: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def enrich_events(results: DataFrame, out: str):
-    """``foreachBatch`` function: the event rows of a micro-batch, in a folder of its own that a repeated batch overwrites."""
+    """``foreachBatch`` function: the event rows of a micro-batch, in a folder of its own that a repeated batch overwrites.
+
+    A micro-batch that is read twice runs its streams twice, so its events are written first.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        event_rows(batch, results).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with scratch(batch.sparkSession):
+            events = stored(batch.where(F.col("kind") == "event"))
+            event_rows(events, results).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return write
 

@@ -758,7 +758,7 @@ _EVENTS = _fold("streaming") + [
 def _(spark, d):
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     i.sse_lines(spark, d).write.parquet(f"{folder}/lines")
-    rows = live.follow(sse.read_lines(spark, f"{folder}/lines"), idle_minutes=None)
+    rows = live.follow(sse.read_lines(spark, f"{folder}/lines"), idle_minutes=None, kinds=["event"])
     live.run_events(rows, i.query_results(spark, d), f"{folder}/events", f"{folder}/state")
     order = Window.partitionBy("stream_id").orderBy("seq", "part", "sub")
     events = spark.read.parquet(f"{folder}/events").withColumn("n", F.row_number().over(order).cast("bigint"))
