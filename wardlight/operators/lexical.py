@@ -2,13 +2,13 @@
 
 ``LexicalIndex`` holds each chunk with its term counts. ``InvertedIndex`` is what a search reads:
 each task cuts its chunks to shards and numbers them in the order of their names; a row holds the postings of a
-term in a shard, in blocks with their greatest gains. Rows lie in folders by the hash of their
-term, so a search opens only the folders of its terms. Its terms meet the postings in a join, and
+term in a shard, in blocks with their greatest gains. Tasks write their rows to folders by the hash of the
+term, nothing is shuffled, so a search opens only the folders of its terms. Its terms meet the postings in a join, and
 the postings of a shard meet the queries in one task, which scores whole chunks and returns its best.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ from ..session import scratch, ship, stored, stored_by
 K1, B = 1.2, 0.75
 _UNITS = 1_000_000  # scores add up in whole millionths, so that the order of the sum does not matter
 #: Chunks and postings of a shard at most; postings of a block; query terms that meet a shard in one task; words counted at once.
-SHARD_CHUNKS, SHARD_POSTINGS, BLOCK, BLOCK_TERMS, COUNT_WORDS = 8192, 1 << 21, 128, 200_000, 1 << 21
-#: Folders of an index: one for this many chunks, within these bounds.
-BUCKET_CHUNKS, BUCKETS = 8192, (8, 1024)
+SHARD_CHUNKS, SHARD_POSTINGS, BLOCK, BLOCK_TERMS, COUNT_WORDS = 8192, 1 << 21, 128, 200_000, 1 << 20
+#: Folders of an index: one for this many chunks, within these bounds. With that of the names a task can hold all open at once (``session.open_files``).
+BUCKET_CHUNKS, BUCKETS = 8192, (8, 15)
 #: Rows that leave a task at once.
 OUT_ROWS = 20_000
 _NAMES = -1  # the folder of the chunks' names
@@ -39,6 +39,7 @@ class LexicalIndex:
     entries: DataFrame  # frame_id, doc_len, terms: array of (term, tf)
     term_df: DataFrame  # term, df
     stats: DataFrame  # one row: n_chunks, avg_len
+    words: DataFrame | None = None  # frame_id and the words that entries are counted from, where they are at hand
 
     @property
     def postings(self) -> DataFrame:
@@ -48,9 +49,9 @@ class LexicalIndex:
 
 @dataclass
 class InvertedIndex:
-    """``rows`` (by bucket): a term's postings in a shard; in the folder of names the names of a shard's chunks, in order."""
+    """``rows`` (by bucket): a term's postings in a shard; in the folder of names the names of a shard's chunks, in order, and their lengths."""
 
-    rows: DataFrame  # bucket, shard, term, n, ords, tfs, lens, peaks (greatest gain of each block), names
+    rows: DataFrame  # bucket, shard, term, n, ords, tfs, lens, peaks (greatest gain of each block, if asked for), names
     stats: DataFrame  # one row: n_chunks, avg_len, buckets
 
     @property
@@ -112,7 +113,8 @@ def build_lexical_index(chunks: DataFrame, key: str = "frame_id") -> LexicalInde
     """Index of title and whole content; ``key`` names the chunk."""
     ship(chunks.sparkSession)
     words = chunks.select(F.col(key).alias("frame_id"), tokens(F.concat_ws(" ", "title", "content")).alias("_words"))
-    return index_of(words.mapInArrow(counted, "frame_id string, doc_len long, terms array<struct<term:string,tf:bigint>>"))
+    index = index_of(words.mapInArrow(counted, "frame_id string, doc_len long, terms array<struct<term:string,tf:bigint>>"))
+    return replace(index, words=words)
 
 
 def _gain(tf: np.ndarray, length: np.ndarray, avg_len: float) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +125,8 @@ def _gain(tf: np.ndarray, length: np.ndarray, avg_len: float) -> tuple[np.ndarra
 _ROWS = "shard long, term string, n int, ords array<int>, tfs array<int>, lens array<int>, peaks array<double>, names array<string>"
 
 
-def _invert_kernel(avg_len: float, shard_chunks: int):
-    """Kernel over the entries of a task, which it cuts to shards: for each a row for each of its terms, and one with its names."""
+def _invert_kernel(avg_len: float | None, shard_chunks: int):
+    """Kernel over the entries of a task, which it cuts to shards: for each a row for each of its terms, and one with its names and lengths. No peaks without ``avg_len``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, chunks, postings = TaskContext.get().partitionId() << 32, [], 0, 0
@@ -133,55 +135,71 @@ def _invert_kernel(avg_len: float, shard_chunks: int):
             for a, b in _runs(many, shard_chunks, SHARD_POSTINGS):
                 more = int(many[a:b].sum())
                 if held and (chunks + b - a > shard_chunks or postings + more > SHARD_POSTINGS):
-                    yield from shard(number, pa.Table.from_batches(held)).to_batches(OUT_ROWS)
-                    number, held, chunks, postings = number + 1, [], 0, 0
+                    yield from shard(number, held).to_batches(OUT_ROWS)
+                    number, chunks, postings = number + 1, 0, 0
                 held.append(batch.slice(a, b - a))
                 chunks, postings = chunks + b - a, postings + more
         if held:
-            yield from shard(number, pa.Table.from_batches(held)).to_batches(OUT_ROWS)
+            yield from shard(number, held).to_batches(OUT_ROWS)
 
-    def shard(number: int, table: pa.Table) -> pa.Table:
-        names = table.column("frame_id").to_pylist()
+    def shard(number: int, held: list[pa.RecordBatch]) -> pa.Table:
+        """Rows of the entries that are held, which are let go once their numbers are read."""
+        names = [name for batch in held for name in batch.column(0).to_pylist()]
         order = sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] or ""))
-        table = table.take(pa.array(order, pa.int64())).combine_chunks()
-        lists = table.column("terms").combine_chunks()
-        many = lists.value_lengths().to_numpy(zero_copy_only=False)
-        flat = lists.flatten()
-        words = flat.field("term").dictionary_encode()
-        ords = np.repeat(np.arange(len(names), dtype=np.int32), many)
-        tfs = flat.field("tf").to_numpy(zero_copy_only=False).astype(np.int32)
-        lens = table.column("doc_len").to_numpy().astype(np.int32)[ords]
-        turn = np.argsort(words.indices.to_numpy(zero_copy_only=False), kind="stable")
-        ords, tfs, lens = ords[turn], tfs[turn], lens[turn]
-        counts = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
+        rank = np.empty(len(names), np.int32)
+        rank[order] = np.arange(len(names), dtype=np.int32)
+        lengths = np.concatenate([batch.column(1).to_numpy() for batch in held]).astype(np.int32)
+        many = np.concatenate([batch.column(2).value_lengths().to_numpy(zero_copy_only=False) for batch in held])
+        flat = [batch.column(2).flatten() for batch in held]
+        words = pa.concat_arrays([x.field("term") for x in flat]).dictionary_encode()
+        tfs = np.concatenate([x.field("tf").to_numpy(zero_copy_only=False) for x in flat]).astype(np.int32)
+        terms, dictionary = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+        held.clear()
+        del flat, words
+        ords = rank[np.repeat(np.arange(len(names), dtype=np.int32), many)]
+        turn = np.lexsort((ords, terms))
+        counts = np.bincount(terms, minlength=len(dictionary))
         starts = np.append(0, np.cumsum(counts))
-        first, second = _gain(tfs.astype(np.float64), lens, avg_len)
-        blocks = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(starts, starts[1:], strict=False)]) if len(counts) else np.empty(0, np.int64)
-        peaks = np.maximum.reduceat(first / second, blocks) if len(blocks) else np.empty(0)
-        ends = np.append(0, np.cumsum(-(-counts // BLOCK)))
+        ords, tfs = ords[turn], tfs[turn]
+        del terms, turn
+        lengths = lengths[order]
+        lens = lengths[ords]
         of = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
         n = len(counts)
-        found = pa.table({"shard": pa.array(np.full(n, number, np.int64)), "term": words.dictionary.cast(pa.string()), "n": pa.array(counts.astype(np.int32)),
-                          "ords": of(starts, ords), "tfs": of(starts, tfs), "lens": of(starts, lens), "peaks": of(ends, peaks), "names": pa.nulls(n, pa.list_(pa.string()))})
-        own = {"shard": pa.array([number], pa.int64()), "names": pa.array([[names[i] for i in order]], pa.list_(pa.string()))}
+        if avg_len is None:
+            peaks = pa.nulls(n, pa.list_(pa.float64()))
+        else:
+            first, second = _gain(tfs.astype(np.float64), lens, avg_len)
+            blocks = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(starts, starts[1:], strict=False)]) if n else np.empty(0, np.int64)
+            peaks = of(np.append(0, np.cumsum(-(-counts // BLOCK))), np.maximum.reduceat(first / second, blocks) if n else np.empty(0))
+        found = pa.table({"shard": pa.array(np.full(n, number, np.int64)), "term": dictionary.cast(pa.string()), "n": pa.array(counts.astype(np.int32)),
+                          "ords": of(starts, ords), "tfs": of(starts, tfs), "lens": of(starts, lens), "peaks": peaks, "names": pa.nulls(n, pa.list_(pa.string()))})
+        own = {"shard": pa.array([number], pa.int64()), "names": pa.array([[names[i] for i in order]], pa.list_(pa.string())), "lens": pa.array([lengths], pa.list_(pa.int32()))}
         return pa.concat_tables([found, pa.table({f.name: own.get(f.name, pa.nulls(1, f.type)) for f in found.schema}, schema=found.schema)])
 
     return run
 
 
-def invert(index: LexicalIndex, folder: str | None = None, keep: bool = False, shard_chunks: int = SHARD_CHUNKS) -> InvertedIndex:
-    """Write the postings by term. ``folder`` names the place; without one it is a table of the open scope (``keep``: of the one around)."""
+def invert(index: LexicalIndex, folder: str | None = None, keep: bool = False, shard_chunks: int = SHARD_CHUNKS, peaks: bool = True) -> InvertedIndex:
+    """Write the postings by term. ``folder`` names the place; without one it is a table of the open scope (``keep``: of the one around).
+
+    Peaks need the average length before the first shard is written, for which all words are counted once more.
+    """
     spark = index.entries.sparkSession
     ship(spark)
-    row = index.stats.first()
-    n, avg_len = row["n_chunks"], row["avg_len"] or 1.0
+    source = index.entries.select("frame_id", "doc_len", "terms") if index.words is None else index.words
+    row = index.stats.first() if peaks else None
+    n = row["n_chunks"] if peaks else source.count()
     buckets = min(BUCKETS[1], max(BUCKETS[0], -(-n // BUCKET_CHUNKS)))
-    # a task makes its own shards, so entries are not shuffled; results do not depend on the shards
-    rows = index.entries.select("frame_id", "doc_len", "terms").mapInArrow(_invert_kernel(avg_len, shard_chunks), _ROWS)
+    # a task makes its own shards and writes them, so nothing is shuffled; results do not depend on the shards
+    kernel = _invert_kernel((row["avg_len"] or 1.0) if peaks else None, shard_chunks)
+    # words are counted and inverted by one worker; entries do not leave it
+    rows = source.mapInArrow(kernel if index.words is None else lambda batches: kernel(counted(batches)), _ROWS)
     rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), F.lit(_NAMES)).otherwise(bucket_of(F.col("term"), buckets)))
-    # files of even size: Spark splits a bucket of frequent terms and joins small ones
-    written = stored_by(rows.hint("rebalance", "bucket"), "bucket", keep, folder and f"{folder}/rows")
-    stats = index.stats.withColumn("buckets", F.lit(buckets))
+    written = stored_by(rows, "bucket", keep, folder and f"{folder}/rows")
+    total = F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))
+    stats = written.where(F.col("bucket") == _NAMES).agg(
+        F.coalesce(F.sum(F.size("names")), F.lit(0)).alias("n_chunks"), (total / F.sum(F.size("names"))).alias("avg_len"), F.lit(buckets).alias("buckets"))
     return InvertedIndex(written, stored(stats, keep, folder and f"{folder}/stats"))
 
 
@@ -202,12 +220,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 class _Term:
-    """Postings of one term in a shard, with their gains in millionths."""
+    """Postings of one term in a shard, with their gains in millionths; ``peaks`` are worked out where they are not known."""
 
-    def __init__(self, ords: np.ndarray, tfs: np.ndarray, lens: np.ndarray, peaks: np.ndarray, idf: float, avg_len: float):
+    def __init__(self, ords: np.ndarray, tfs: np.ndarray, lens: np.ndarray, peaks: np.ndarray | None, idf: float, avg_len: float):
         first, second = _gain(tfs.astype(np.float64), lens, avg_len)
         self.ords, self.gains = ords, np.floor(idf * first / second * _UNITS + 0.5).astype(np.int64)
-        self.peaks = np.floor(idf * peaks * _UNITS + 1.5).astype(np.int64)  # no gain of the block is above
+        # no gain of the block is above
+        self.peaks = np.maximum.reduceat(self.gains, np.arange(0, len(ords), BLOCK)) if peaks is None else np.floor(idf * peaks * _UNITS + 1.5).astype(np.int64)
         self.peak = int(self.peaks.max(initial=0))
 
     def of(self, chunks: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +283,7 @@ def _search_kernel(k: int, avg_len: float, id_type: pa.DataType):
         words = lists.column("term").to_pylist()
         at = {w: i for i, w in enumerate(words)}
         columns = {}
-        for c in ("ords", "tfs", "lens", "peaks"):
+        for c in ("ords", "tfs", "lens"):
             column = lists.column(c).combine_chunks()
             columns[c] = (column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
         part = lambda c, i: columns[c][0][columns[c][1][i]:columns[c][1][i + 1]]
@@ -282,7 +301,7 @@ def _search_kernel(k: int, avg_len: float, id_type: pa.DataType):
                 i = at.get(w)
                 if i is not None:
                     if i not in made:
-                        made[i] = _Term(*(part(c, i) for c in ("ords", "tfs", "lens", "peaks")), x, avg_len)
+                        made[i] = _Term(*(part(c, i) for c in ("ords", "tfs", "lens")), None, x, avg_len)
                     own.append(made[i])
             if own:
                 found, score = best_chunks(own, n_chunks, k)
@@ -321,7 +340,7 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex | InvertedIndex, k: Column
         terms = stored(query_terms(queries).withColumn("bucket", bucket_of(F.col("term"), row["buckets"])))
         n_terms = terms.count()
         distinct = terms.select("bucket", "term").distinct()
-        found = stored(asked_lists(distinct, index, n_terms).select("shard", "term", "n", "ords", "tfs", "lens", "peaks"))
+        found = stored(asked_lists(distinct, index, n_terms).select("shard", "term", "n", "ords", "tfs", "lens"))
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
         weights = found.groupBy("term").agg(F.sum("n").alias("df")).select("term", idf.alias("idf"))
         blocks = max(1, -(-n_terms // BLOCK_TERMS))

@@ -10,11 +10,11 @@ from ..operators import guardrails as g
 from ..operators import rerank as r
 from ..operators.fusion import dispatch, fetch_errors, pool_size
 from ..operators.intent import INTENT_COLUMNS, query_intent
-from ..operators.lexical import InvertedIndex, bm25_topk, build_lexical_index, index_of, invert
+from ..operators.lexical import InvertedIndex, bm25_topk, build_lexical_index, invert
 from ..operators.semantic import cosine_topk
 from ..operators.signals import with_signals
 from ..rules import PROFILES, RulePack, V2
-from ..session import scratch, stored
+from ..session import stored
 
 REQUEST_COLUMNS = ["k", "threshold", "safe_top1_guardrail", "strict_mode", "strict_cds_mode"]
 
@@ -31,10 +31,7 @@ class Corpus:
     def of(cls, chunks: DataFrame, vectors: DataFrame) -> "Corpus":
         """Store the cleaned chunks and their postings once; searches read them."""
         chunks = stored(chunks)
-        with scratch(chunks.sparkSession):
-            entries = index_of(stored(build_lexical_index(chunks, "chunk_id").entries))
-            index = invert(entries, keep=True)
-        return cls(chunks, index, vectors)
+        return cls(chunks, invert(build_lexical_index(chunks, "chunk_id"), peaks=False), vectors)
 
 
 def understood(requests: DataFrame, pack: RulePack = V2) -> DataFrame:
