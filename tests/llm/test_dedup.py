@@ -310,3 +310,41 @@ def test_a_clean_text_stays_where_its_doc_id_is_repeated(spark):
     rows = [(3, base), (5, clean), (5, base + " end"), (5, clean)]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == [(3, base), (5, clean)]
+
+
+def test_unrelated_texts_are_no_candidates(spark):
+    """Their pairs grow with the square of the input, also where all use the same words equally often."""
+    r = random.Random(25)
+    words = made_words(r, 60)
+    texts = [r.sample(words * 4, 240) for _ in range(1200)]
+    copies = [[*t[:100], "changed", *t[101:]] for t in texts[:20]]
+    rows = [(k, " ".join(t)) for k, t in enumerate([*texts, *copies])]
+    prints = simhash.copy_prints(spark.createDataFrame(rows, "doc_id long, text string")).drop("doc").withColumnRenamed("doc_id", "doc").cache()
+    found = simhash.copy_candidates(prints).distinct().collect()
+    assert sorted((x.u, x.v) for x in found) == [(1200 + k, k) for k in range(20)]
+
+
+def test_only_rows_that_may_meet_a_table_are_sieved_out(spark, monkeypatch):
+    from wardlight.llm import columns
+
+    big = spark.range(20_000).selectExpr("if(id % 1000 = 0, null, id) AS a", "concat('s', id % 7) AS b", "id")
+    small = big.where("id % 50 = 0").select("a", "b")
+    some, clear = columns.sieved(big, small, ["a", "b"])
+    some, clear = {x.id for x in some.collect()}, {x.id for x in clear.collect()}
+    assert some | clear == set(range(20_000)) and not some & clear
+    assert set(range(0, 20_000, 50)) <= some and len(some) < 420
+    want = sorted(map(str, columns.without(big, small, ["a", "b"]).collect()))
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, columns.without(big, small, ["a", "b"]).collect())) == want
+    monkeypatch.setattr(columns, "SIEVE", 2)  # a full map lets all through
+    assert sorted(map(str, columns.without(big, small, ["a", "b"]).collect())) == want
+
+
+def test_one_of_each_beyond_the_broadcast_bound(odd, none, monkeypatch):
+    from wardlight.llm import columns
+
+    want = sorted(map(str, simhash.one_of_each(odd).collect()))
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, simhash.one_of_each(odd).collect())) == want
+    assert simhash.one_of_each(none).collect() == []

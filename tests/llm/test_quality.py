@@ -125,3 +125,16 @@ def test_pipeline_count_does_not_grow_with_the_host(spark):
     rows = [(1000 * size + k, ("Cookie notice of this host\n" if k < 15 else "") + " ".join(f"w{size}x{k}x{j}" for j in range(20)), f"s{size}") for size in (40, 400) for k in range(size)]
     out = corpus_pipeline.rules(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), None).collect()
     assert len(out) == 440 and not any("Cookie" in r.text for r in out)
+
+
+def test_rules_beyond_the_broadcast_bound(odd, none, spark, monkeypatch):
+    """Texts that hold no frequent line need not move; the others meet theirs in a join."""
+    from wardlight.llm import columns
+
+    lines = [(1000 + k if k else None, "a common line\n" + " ".join(f"w{k}x{j}" for j in range(30)), "en", None if k % 2 else "s0") for k in range(60)]
+    docs = odd.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(lines, "doc_id long, text string, lang string, source string"))
+    want = sorted(map(str, qr.apply_rules(docs).collect()))
+    for module in (columns, qr):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, qr.apply_rules(docs).collect())) == want and not any("common" in x for x in want)
+    assert qr.apply_rules(none).collect() == []

@@ -12,7 +12,7 @@ task for each pair of chunks.
 corpus, where near copies share at least 0.8 of their distinct five-word shingles. Prints
 only give candidates there: a print of the single words is cut into blocks, 16 keys come
 from the least hashes of the shingles, which added passages move as little as scattered
-edits, and prints of 128 bits over the shingles must not be far apart. Texts of one component of candidates are
+edits, and prints of 256 bits over the shingles must not be far apart. Texts of one component of candidates are
 then linked if their sets of shingles, compared whole, share enough.
 
 Rows without doc_id take no part. A null or empty text has fingerprint zero, which
@@ -29,16 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch, ship, stored
-from .columns import without
+from .columns import BROADCAST_ROWS, sieved, without
 from .components import components
 from .windows import Words, mix, parts, words_of
 
 DISTANCE, BLOCKS, SHINGLE, SEED = 3, 6, 3, 42
 #: For near copies: words of a shingle; bits that may differ in the print of words, and its blocks.
 COPY_SHINGLE, COPY_DISTANCE, COPY_BLOCKS = 5, 5, 7
-#: Bits of 128 over the shingles that may differ in a candidate: at 0.8 the mean is 19.4 with a deviation of 4.1, so 6 deviations, and enough for sets of 5 shingles. Per cent of
-#: all distinct shingles of two texts that are in both.
-COPY_REACH, COPY_PERCENT = 44, 80
+#: Bits over the shingles that may differ, of 256 in a candidate and of 128 in a component. At 0.8 the means are 38.8 and 19.4 with deviations of 5.7 and 4.1, so 7 and 6 deviations;
+#: for sets of 5 and 4 shingles, which differ most, 48 and 24 with 6.2 and 4.4, so 5 and 4.5. Unrelated texts, whose pairs grow with the square of the input, have 128 with 8 and 64 with
+#: 5.7: 2 of 10,000 of their pairs are within 44 of 128 bits, 1 of 1,000 million within 80 of 256. Per cent of all distinct shingles of two texts that are in both.
+COPY_BITS, COPY_REACH, COPY_PERCENT = 80, 44, 80
+PROOF = ("p0", "p1", "p2", "p3")
+_SEEDS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D], np.uint64)
 #: Keys from least hashes of the shingles, and least hashes a key.
 COPY_KEYS, COPY_LEAST = 16, 4
 _ORDERS = mix(np.arange(1, COPY_KEYS * COPY_LEAST + 1, dtype=np.uint64)) | np.uint64(1)
@@ -250,7 +253,7 @@ def _by_text(docs: DataFrame, values, schema: str, shingle: int) -> DataFrame:
 
 
 def _proofs(grams: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
-    return [pa.array(_majority(g, owner, n)) for g in (grams, mix(grams ^ np.uint64(0x5851F42D4C957F2D)))]
+    return [pa.array(_majority(mix(grams ^ s) if s else grams, owner, n)) for s in _SEEDS]
 
 
 def _totals(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -261,7 +264,7 @@ def _totals(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def copy_prints(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """doc_id, t (hash of the text), fp (over single words), the proofs p0 and p1 (over distinct word shingles), doc (hash of the set of shingles) and keys."""
+    """doc_id, t (hash of the text), fp (over single words), the proofs p0 to p3 (over distinct word shingles), doc (hash of the set of shingles) and keys."""
 
     def values(words: Words, grams: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
         fp = pa.array(_majority(words.hashes, words.text, n))
@@ -269,7 +272,7 @@ def copy_prints(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    return _by_text(rows, values, "doc_id long, t long, fp long, p0 long, p1 long, doc long, keys array<long>", shingle)
+    return _by_text(rows, values, "doc_id long, t long, fp long, p0 long, p1 long, p2 long, p3 long, doc long, keys array<long>", shingle)
 
 
 def _keys(grams: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -408,20 +411,21 @@ def proven_links(members: DataFrame) -> DataFrame:
 
 
 def copy_candidates(nodes: DataFrame) -> DataFrame:
-    """u, v: pairs that connect all near copies among ``nodes`` (doc, fp, p0, p1, keys), and others."""
-    proof = ("p0", "p1")
-    keyed = nodes.select("fp", "doc", *proof, F.posexplode("keys").alias("mask", "key"))
-    return links(nodes, COPY_DISTANCE, COPY_BLOCKS, proof, COPY_REACH).union(_within(keyed, 64, proof, COPY_REACH))
+    """u, v: pairs that connect all near copies among ``nodes`` (doc, fp, proofs, keys), and a few others."""
+    keyed = nodes.select(F.lit(0).cast("long").alias("fp"), "doc", *PROOF, F.posexplode("keys").alias("mask", "key"))
+    return links(nodes, COPY_DISTANCE, COPY_BLOCKS, PROOF, COPY_BITS).union(_within(keyed, 64, PROOF, COPY_BITS))
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text) and the doc_id and t that stay for it (keep_id, keep_t), of every row with doc_id."""
     prints = stored(copy_prints(docs))
-    nodes = stored(prints.groupBy("doc").agg(F.min(F.struct("doc_id", "t")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "p0", "p1", "keys")]))
+    nodes = stored(prints.groupBy("doc").agg(F.min(F.struct("doc_id", "t")).alias("least"), *[F.first(c).alias(c) for c in ("fp", *PROOF, "keys")]))
     near = components(stored(copy_candidates(nodes)))
     near = stored(near.select("node", F.col("root").alias("cc")).union(near.select("root", "root").distinct()))
     asked = stored(nodes.join(near, nodes.doc == near.node).select("cc", "node", "p0", "p1", "least.*"))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    if asked.count() > BROADCAST_ROWS:
+        texts, _ = sieved(texts, asked.select("doc_id", "t"), ["doc_id", "t"])
     texts = texts.join(asked.select("doc_id", "t"), ["doc_id", "t"], "left_semi")
 
     def values(words: Words, grams: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
