@@ -201,14 +201,16 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
         rows = lookup(rows, sizes, ["size"], "inner", F.col("row"))
         asked = rows.where("asked").withColumnRenamed("row", "anchor").withColumn("block", _dealt(rows, "anchor", "blocks"))
         asked = stored(asked.select("size", "block", "shards", "anchor", "vec_id", "label", "vector"))
-        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        to_shards = lambda some: some.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
         cells = rows.withColumn("shard", _dealt(rows, "row", "shards"))
         cells = cells.select("size", "shard", "vec_id", "label", "vector", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         cell = ["size", "shard", "block"]
-        near = cells.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(_positives(positives), _PAIR_ROWS)
+        near = cells.groupBy(*cell).cogroup(to_shards(asked).groupBy(*cell)).applyInArrow(_positives(positives), _PAIR_ROWS)
         best = stored(top_k(stored(near), "anchor", F.lit(positives), F.col("score").desc(), F.col("vec_id")).select("anchor", "anchor_id", "vec_id", "score"))
         known = best.groupBy("anchor").agg(F.collect_list("score").alias("positives"))  # at most ``positives`` an anchor
-        far = cells.groupBy(*cell).cogroup(asked.join(known, "anchor").groupBy(*cell)).applyInArrow(_candidates(negatives, low, high), _PAIR_ROWS)
+        # repeated for the shards after the join: Spark takes repeated rows for as small as their files and would broadcast them
+        known = asked.join(known.hint("merge"), "anchor")
+        far = cells.groupBy(*cell).cogroup(to_shards(known).groupBy(*cell)).applyInArrow(_candidates(negatives, low, high), _PAIR_ROWS)
         keys = stored(_packed(best, _POSITIVE).union(_packed(far, _NEGATIVE)), keep=True)
     return keys.repartition("anchor").sortWithinPartitions("key").select("anchor", "anchor_id", "key").mapInArrow(_emit(negatives, low, high), _MINED)
 
