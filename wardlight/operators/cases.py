@@ -188,18 +188,22 @@ def encounter_lines() -> Column:
 
 
 def case_text(patients: DataFrame, encounters: DataFrame, ties_to_even: bool = False) -> DataFrame:
-    """Case text and prompt per patient, with what it leaves out.
+    """Case text and prompt per patient, with all of the given ``encounters`` in time order.
 
-    ``encounters`` comes from ``records.earliest``: ``ord``, at most its limit of
-    rows per patient, so that a patient's lines are gathered within a bound, and
-    ``n_encounters``, from which encounters_left_out is counted. ``ties_to_even`` is that of ``header_lines``.
+    Where they are a patient's first ones only (``records.earliest``), encounters_left_out counts the others by
+    their ``n_encounters``. A visit is text before it is shuffled; a case is one row, and so one value of a task.
+    ``ties_to_even`` is that of ``header_lines``.
     """
-    visits = with_leaves(encounters).select("patient_uuid", "ord", "n_encounters", encounter_lines().alias("lines"), "n_obs", "deep").groupBy("patient_uuid").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lines"))), lambda e: e["lines"])).alias("lines"),
+    counted = [c for c in encounters.columns if c == "n_encounters"]
+    every = F.max("n_encounters") if counted else F.count("*")
+    at = F.col("encounterDatetime").try_cast("timestamp")
+    visit = F.struct(at.isNull().alias("undated"), at.alias("at"), "uuid", F.array_join(encounter_lines(), "\n").alias("text"))
+    visits = with_leaves(encounters).select("patient_uuid", visit.alias("visit"), *counted, "n_obs", "deep").groupBy("patient_uuid").agg(
+        F.transform(F.array_sort(F.collect_list("visit")), lambda v: v["text"]).alias("visits"),
         F.count("*").alias("encounter_count"),
         F.sum(F.greatest("n_obs", F.lit(0))).alias("obs_count"),
         F.sum("deep").alias("groups_too_deep"),
-        (F.max("n_encounters") - F.count("*")).alias("encounters_left_out"),
+        (every - F.count("*")).alias("encounters_left_out"),
     )
     none = F.array().cast("array<string>")
     joined = patients.withColumnRenamed("uuid", "patient_uuid").join(visits, "patient_uuid", "left")
@@ -207,7 +211,7 @@ def case_text(patients: DataFrame, encounters: DataFrame, ties_to_even: bool = F
         F.concat(
             header_lines(F.col("person"), F.col("identifiers"), ties_to_even),
             attribute_lines(F.col("person.attributes")),
-            F.coalesce("lines", none),
+            F.coalesce("visits", none),
         ),
         "\n",
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-#: The usual number of encounters of a patient that a case shows.
+#: The usual number of encounters of a patient that are listed.
 ENCOUNTER_LIMIT = 50
 
 

@@ -296,16 +296,17 @@ def _(spark, d):
 
 
 @query("p7_p8_case_text", with_(_P + [
+    "whole AS (SELECT *, row_number() OVER (PARTITION BY patient_uuid ORDER BY o_orderdate, uuid) AS ord FROM enc)",
     "obs_text AS (SELECT l_orderkey, string_agg(line, chr(10) ORDER BY n, m) AS t, count(DISTINCT n) AS n_obs FROM lines GROUP BY l_orderkey)",
     """visits AS (SELECT patient_uuid, ord, 'Visit: ' || o_orderpriority || chr(10) || 'Date: ' || CASE WHEN contains(substr(dt, 1, 19), 'T') THEN substr(dt, 1, 19)
     ELSE substr(dt, 1, 10) || 'T00:00:00' END || chr(10) || 'Location: ' || CASE WHEN o_orderstatus <> 'P' THEN 'Clinic ' || o_orderstatus ELSE 'Unknown' END
-    || coalesce(chr(10) || t, '') AS v, coalesce(n_obs, 0) AS n_obs FROM ranked LEFT JOIN obs_text ON l_orderkey = o_orderkey)""",
+    || coalesce(chr(10) || t, '') AS v, coalesce(n_obs, 0) AS n_obs FROM whole LEFT JOIN obs_text ON l_orderkey = o_orderkey)""",
     "per AS (SELECT patient_uuid, string_agg(v, chr(10) ORDER BY ord) AS vs, count(*) AS encounter_count, sum(n_obs)::BIGINT AS obs_count FROM visits GROUP BY patient_uuid)",
 ], f"""SELECT 'p' || c_custkey AS patient_uuid, md5({_HEAD} || chr(10) || 'Occupation: ' || c_mktsegment || chr(10) || 'Civil Status: Married' || coalesce(chr(10) || vs, '')) AS case_text,
   coalesce(encounter_count, 0) AS encounter_count, coalesce(obs_count, 0) AS obs_count,
   coalesce(all_, 0) - coalesce(encounter_count, 0) AS encounters_left_out FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS all_ FROM orders GROUP BY 1) USING (c_custkey) JOIN ages USING (c_custkey) LEFT JOIN per ON patient_uuid = 'p' || c_custkey"""))
 def _(spark, d):
-    out = ca.case_text(i.patients(spark, d), records.earliest(i.encounters(spark, d), records.ENCOUNTER_LIMIT), ties_to_even=True)
+    out = ca.case_text(i.patients(spark, d), i.encounters(spark, d), ties_to_even=True)
     return out.select("patient_uuid", md5("case_text").alias("case_text"), "encounter_count", "obs_count", "encounters_left_out")
 
 
